@@ -1,20 +1,25 @@
 """Near-duplicate components by a chosen-path set similarity join.
 
 Every document is the set of its distinct k-word shingles. Equal sets form one class, and only
-classes take part in the join. A class has ``width`` MinHash tokens. Each of several independent
-trees starts with all classes in one node; a node picks one or two of the token positions (1.25 on
-average, 1 / 0.8) and sends each class to one child for each picked position, named by the class's
-token there. A pair of similarity 0.8 stays together in at least one child about as often as not to
-die out, and the trees are repeated so that the chance to miss it in all of them is below 1e-3.
-
-* Nodes of at most ``leaf`` classes are compared exhaustively.
-* In a larger node, every class is compared with one pivot, on full sets. Jaccard distance obeys the
-  triangle inequality, so a class within the threshold of the pivot can only matter again to a class
-  in the ring between the threshold and twice its distance: without such classes it leaves the node,
-  linked to the pivot. A group of near copies of any size thus costs one comparison for each member
-  and never all pairs. What remains branches further; beyond ``depth`` branchings nodes are no
-  longer split, only worked off pivot by pivot, so no case is dropped.
-* Links are confirmed on the full sets and joined into components by contracting edges in Spark.
+classes take part. A class has ``width`` MinHash tokens, its signature.
+
+1. Candidates, on signatures. Each of several independent trees starts with all classes in one node;
+   a node picks one or two of the token positions (1.25 on average, 1 / 0.8) and sends each class to
+   one child for each picked position, named by the class's token there. A pair of similarity 0.8
+   stays together in at least one child about as often as not to die out, and the trees are repeated
+   so that the chance to miss it in all of them is below 1e-3. Nodes of at most ``leaf`` classes are
+   compared exhaustively. In a larger node every class is compared with one pivot. Distances of
+   signatures obey the triangle inequality, so a class near the pivot matters again only to classes
+   in the ring between the cut and twice its distance; without such classes it leaves the node,
+   joined to the pivot. A group of near copies of any size so costs one comparison for each member.
+   What remains branches; at ``depth`` a node that is still large is joined as a whole.
+2. Candidate pairs are contracted to candidate groups, in Spark. Each class's full set goes to its
+   group once.
+3. Links are confirmed on full sets. A group of up to ``group_limit`` classes is worked off in one
+   task, likeliest pairs first, leaving out pairs that are already connected. Larger groups stay
+   spread: in rounds, a bounded number of pivots is compared with all members, until every member
+   is in the group's largest component, or has been a pivot itself, or is shown by the triangle
+   inequality to have no partner outside its pivot's component. No case is dropped.
 
 Rows: every input row gives one output row. A row without words has an empty set and stays alone. A
 row without ``doc_id`` can't be named as a partner: it has no component and is kept. Repeated rows
@@ -29,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
@@ -93,41 +98,154 @@ def _sketcher(k: int, width: int):
 def _setter(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cids, sets = [], []
-            for cid, text in zip(batch.column("cid").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            kept, sets = [], []
+            for at, (cid, text) in enumerate(zip(batch.column("cid").to_pylist(), batch.column("text").to_pylist(), strict=True)):
                 data = shingle_set(text, k).tobytes()
                 if hashlib.blake2b(data, digest_size=16).digest() == cid:  # a repeated doc_id may carry another text
-                    cids.append(cid)
+                    kept.append(at)
                     sets.append(data)
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.binary()), pa.array(sets, pa.binary())], ["cid", "shingles"])
+            rows = batch.take(pa.array(kept, pa.int64()))
+            names = ["grp", "size", "cid", "sig"]
+            yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), pa.array(sets, pa.binary())], [*names, "shingles"])
 
     return run
 
 
-def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, sa, sb) to (a, b, shared, na, nb) on full sets."""
-    for batch in batches:
-        shared, na, nb = [], [], []
-        for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            shared.append(len(np.intersect1d(p, q, assume_unique=True)))
-            na.append(len(p))
-            nb.append(len(q))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(na, pa.int64()), pa.array(nb, pa.int64())],
-            ["a", "b", "shared", "na", "nb"],
-        )
+def _shared(x: bytes, y: bytes) -> tuple[int, int]:
+    """Sizes of the intersection and of the union."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both, len(p) + len(q) - both
+
+
+def _split_group(rows: list[tuple[bytes, bytes, bytes]], percent: int, cut: float, width: int) -> list[int]:
+    """The position of each row's root, for the (cid, sig, shingles) rows of one candidate group."""
+    root = list(range(len(rows)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    if len(rows) == 2:
+        pairs = [(0, 1)]
+    else:
+        g = np.frombuffer(b"".join(r[1] for r in rows), np.int32).reshape(-1, width)
+        agree = [(g[i] == g[i + 1 :]).sum(axis=1) for i in range(len(rows) - 1)]
+        found = [(-int(n), i, i + 1 + int(j)) for i, row in enumerate(agree) for j, n in ((j, row[j]) for j in np.flatnonzero(row >= cut * width))]
+        pairs = [(i, j) for _, i, j in sorted(found)]
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        if a != b:
+            both, either = _shared(rows[i][2], rows[j][2])
+            if 100 * both >= percent * either:
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(rows))]
+
+
+def _splitter(percent: int, cut: float, width: int):
+    """Rows sorted by group to (cid, root)."""
+
+    def done(rows: list) -> pa.RecordBatch:
+        rows = list({r[0]: r for r in rows}.values())  # repeated input rows give a set twice
+        roots = _split_group(rows, percent, cut, width) if len(rows) > 1 else [0]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([rows[x][0] for x in roots], pa.binary())], ["cid", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows, ready, n = None, [], [], 0
+        for batch in batches:
+            for grp, *row in zip(*(batch.column(c).to_pylist() for c in ("grp", "cid", "sig", "shingles")), strict=True):
+                if grp != group and rows:
+                    ready.append(done(rows))
+                    n += len(rows)
+                    rows = []
+                    if n > 10_000:
+                        yield pa.Table.from_batches(ready).combine_chunks().to_batches()[0]
+                        ready, n = [], 0
+                group = grp
+                rows.append(row)
+        if rows:
+            ready.append(done(rows))
+        if ready:
+            yield pa.Table.from_batches(ready).combine_chunks().to_batches()[0]
+
+    return run
 
 
-def _agreeing(width: int, least: float):
-    """Pairs whose signatures agree in at least ``least`` of their positions."""
+def _against(held, cut: float, width: int):
+    """Members of large groups to (pivot, cid, shared, either) for the held pivots of their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[bytes, tuple[list, np.ndarray]] = {}
+        for grp, cid, sig, data in held.value:
+            own.setdefault(grp, ([], []))[0].append((cid, data))
+            own[grp][1].append(np.frombuffer(sig, np.int32))
         for batch in batches:
+            out = []
+            for grp, cid, sig, data in zip(*(batch.column(c).to_pylist() for c in ("grp", "cid", "sig", "shingles")), strict=True):
+                pivots, signatures = own.get(grp, ([], []))
+                if pivots:
+                    agree = (np.array(signatures) == np.frombuffer(sig, np.int32)).mean(axis=1)
+                    out += [(pivots[i][0], cid, *_shared(pivots[i][1], data)) for i in np.flatnonzero(agree >= cut) if pivots[i][0] != cid]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            types = [pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["pivot", "cid", "shared", "either"])
+
+    return run
+
+
+def _large_groups(members: DataFrame, scratch: Scratch, percent: int, width: int, pivots: int) -> DataFrame:
+    """(cid, root) for the members (grp, size, cid, sig, shingles) of groups too large for one task.
+
+    ``pivots`` full sets are held in a round, and 32 MB of them at most (one at least).
+    """
+    near = percent / 100
+    reach = 2 * near - 1
+    ids = scratch.save(members.select("grp", "cid").distinct(), "large-ids")
+    seen, labels, used = None, None, None
+    waiting = ids
+    for step in range(1, 100_000):
+        ranked = waiting.select("grp", "cid", F.row_number().over(Window.partitionBy("grp", F.pmod(F.xxhash64("cid", F.lit(3)), F.lit(64))).orderBy(F.xxhash64("cid", F.lit(step)))).alias("r"))
+        chosen = ranked.where(F.col("r") <= pivots).orderBy("r", F.xxhash64("cid", F.lit(step))).limit(pivots)
+        chosen = scratch.save(chosen.select("grp", "cid"), f"pivots-{step}")
+        rows, size = [], 0
+        for r in members.select("grp", "cid", "sig", "shingles").join(F.broadcast(chosen.select("cid")), "cid", "left_semi").dropDuplicates(["cid"]).select("grp", "cid", "sig", "shingles").toLocalIterator():
+            if rows and size + len(r.shingles) > 32 << 20:
+                break
+            rows.append((bytes(r.grp), bytes(r.cid), bytes(r.sig), bytes(r.shingles)))
+            size += len(r.shingles)
+        if not rows:
+            return labels.select(F.col("node").alias("cid"), "root")
+        held = members.sparkSession.sparkContext.broadcast(rows)
+        now = members.select("grp", "cid", "sig", "shingles").mapInArrow(_against(held, reach - 0.2, width), "pivot binary, cid binary, shared long, either long")
+        now = scratch.save(now, f"against-{step}")
+        own = members.sparkSession.createDataFrame([(r[1],) for r in rows], "cid binary")
+        seen, used = (now, own) if seen is None else (seen.union(now), used.union(own))
+        links = seen.where(f"100 * shared >= {percent} * either").select(F.col("pivot").alias("a"), F.col("cid").alias("b"))
+        labels = components(links.union(ids.select(F.col("cid").alias("a"), F.col("cid").alias("b"))), scratch, f"large-{step}")
+        placed = ids.join(labels, ids.cid == labels.node).select("grp", "cid", "root")
+        largest = placed.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+        sims = seen.select("pivot", "cid", (F.col("shared") / F.col("either")).alias("sim"))
+        sims = sims.join(labels.select(F.col("node").alias("cid"), "root"), "cid").join(labels.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivot")
+        outside = sims.where((F.col("root") != F.col("pivot_root")) & (F.col("sim") >= reach - 1e-9)).groupBy("pivot").agg(F.max("sim").alias("closest"))
+        settled = sims.where("root = pivot_root").join(outside, "pivot", "left").where(f"closest is null or sim > closest + {1 - near + 1e-9}").select("cid")
+        waiting = placed.join(largest, "grp").where("root <> main").select("grp", "cid").join(settled.union(used), "cid", "left_anti")
+        waiting = scratch.save(waiting.select("grp", "cid"), f"waiting-{step}")
+    raise RuntimeError("unreachable: every round settles one member at least")
+
+
+def _agreement(width: int, least: float):
+    """Pairs with the part of their signatures that agrees, from ``least`` on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sim = np.empty(0)
             if batch.num_rows:
                 p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, width) for c in ("ga", "gb"))
-                batch = batch.filter(pa.array((p == q).mean(axis=1) >= least))
-            yield batch.select(["a", "b"])
+                sim = (p == q).mean(axis=1)
+            rows = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim)], ["a", "b", "sim"])
+            yield rows.filter(pa.array(sim >= least)) if batch.num_rows else rows
 
     return run
 
@@ -158,7 +276,7 @@ def _branched(rows: DataFrame, width: int) -> DataFrame:
     return at.select(F.xxhash64("node", "at", F.get("tokens", F.col("at"))).alias("node"), "cid").distinct()
 
 
-def components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, label: str = "cc", rounds: int = 60) -> DataFrame:
     """(a, b) to (node, root): every node of a link with one common root for each component.
 
     Each round points every node at its least neighbour and rewrites the links between those. Odd
@@ -166,11 +284,9 @@ def components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     shortens long chains by a constant factor whatever their order. Nothing but a count of the
     remaining links reaches the driver.
     """
-    links = scratch.save(links.where(F.col("a") != F.col("b")).distinct(), "links-0")
-    labels = scratch.save(
-        links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("root")),
-        "labels-0",
-    )
+    nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    labels = nodes.select("node", F.col("node").alias("root"))
+    links = scratch.save(links.where(F.col("a") != F.col("b")).distinct(), f"{label}-links-0")
     for i in range(1, rounds + 1):
         if links.isEmpty():
             return labels
@@ -184,22 +300,61 @@ def components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
             .agg(F.min(order("b")).alias("best"))
             .select("child", F.least(order("child"), F.col("best"))["key"].alias("parent"))
         )
-        parent = scratch.save(parent, f"parent-{i}")
+        parent = scratch.save(parent, f"{label}-parent-{i}")
         links = scratch.save(
             links.join(parent.select(F.col("child").alias("a"), F.col("parent").alias("pa")), "a")
             .join(parent.select(F.col("child").alias("b"), F.col("parent").alias("pb")), "b")
             .where("pa <> pb")
             .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
             .distinct(),
-            f"links-{i}",
+            f"{label}-links-{i}",
         )
         labels = scratch.save(
             labels.join(parent, labels.root == parent.child, "left").select("node", F.coalesce("parent", "root").alias("root")),
-            f"labels-{i}",
+            f"{label}-labels-{i}",
         )
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _candidates(signatures: DataFrame, scratch: Scratch, near: float, trees: int, width: int, leaf: int, depth: int) -> DataFrame:
+    """(a, b): pairs of (cid, sig) rows whose closure holds every pair that is likely to be similar."""
+    cut = near - 0.2  # four standard deviations of 64 tokens below the link threshold
+    ring_from = 2 * cut - 1
+    roots = signatures.mapInArrow(_tokens(width), "cid binary, tokens array<int>").select(
+        "cid", "tokens", F.explode(F.array(*[F.xxhash64(F.lit("root"), F.lit(t)) for t in range(trees)])).alias("node")
+    )
+    members = _branched(roots, width)
+    own = signatures.select("cid", F.col("sig").alias("ga"))
+    other = signatures.select(F.col("cid").alias("b"), F.col("sig").alias("gb"))
+    found = []
+    for level in range(1, depth + 1):
+        size = members.groupBy("node").agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("cid", F.lit(7)).alias("rank"), F.col("cid").alias("pivot")))["pivot"].alias("pivot")
+        )
+        here = scratch.save(members.join(size.where("n > 1"), "node"), f"nodes-{level}")
+        few = here.where(F.col("n") <= leaf)
+        pairs = few.select("node", F.col("cid").alias("a")).join(few.select("node", F.col("cid").alias("b")), "node").where("a < b").select("a", "b")
+        many = here.where((F.col("n") > leaf) & (F.col("cid") != F.col("pivot")))
+        star = many.select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
+        if level == depth:
+            found.append(scratch.save(star.distinct(), "unsplit"))
+            star = star.limit(0)
+        every = pairs.union(star).distinct().join(own.withColumnRenamed("cid", "a"), "a").join(other, "b").select("a", "b", "ga", "gb")
+        compared = scratch.save(every.mapInArrow(_agreement(width, max(0.0, ring_from)), "a binary, b binary, sim double"), f"compared-{level}")
+        found.append(compared.where(F.col("sim") >= cut).select("a", "b"))
+        if level == depth or many.isEmpty():
+            break
+        left = many.join(compared.select(F.col("a").alias("cid"), F.col("b").alias("pivot"), "sim"), ["cid", "pivot"], "left")
+        ring = left.where(F.col("sim") < cut).groupBy("node").agg(F.max("sim").alias("closest"))
+        left = left.join(ring, "node", "left").where((F.col("sim").isNull()) | (F.col("sim") < cut) | (F.col("sim") <= F.col("closest") + 1 - cut))
+        left = left.select("cid", "node").join(signatures, "cid").select("cid", "node", "sig")
+        members = _branched(left.mapInArrow(_tokens(width), "cid binary, node long, tokens array<int>"), width)
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
 def minhash_components(
     docs: DataFrame,
     scratch: Scratch,
@@ -208,14 +363,16 @@ def minhash_components(
     trees: int = 10,
     width: int = 64,
     leaf: int = 12,
-    depth: int = 10,
+    depth: int = 8,
+    group_limit: int = 400,
+    pivots: int = 64,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B| for their sets of distinct
     k-word shingles; component_id is the least doc_id reachable over links.
     """
-    near, reach = percent / 100, 2 * percent / 100 - 1  # reach: similarity at twice the link distance
+    near = percent / 100
     rows = scratch.save(
         docs.select("doc_id", "text").mapInArrow(_sketcher(k, width), "doc_id long, n_shingles long, cid binary, sig binary"),
         "rows",
@@ -224,81 +381,23 @@ def minhash_components(
         rows.where("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")),
         "classes",
     )
-    tokens = classes.select("cid", "sig")
-
-    def sized(members: DataFrame) -> DataFrame:
-        """Nodes that hold two classes at least, with their size and pivot: the same few pivots in all nodes of a group."""
-        size = members.groupBy("node").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("cid", F.lit(7)).alias("rank"), F.col("cid").alias("pivot"))).alias("p")
-        )
-        return members.join(size.where("n > 1").select("node", "n", F.col("p.pivot").alias("pivot")), "node")
-
-    def agreeing(pairs: DataFrame, least: float) -> DataFrame:
-        known = pairs.distinct().join(tokens.select(F.col("cid").alias("a"), F.col("sig").alias("ga")), "a").join(
-            tokens.select(F.col("cid").alias("b"), F.col("sig").alias("gb")), "b"
-        )
-        return known.select("a", "b", "ga", "gb").mapInArrow(_agreeing(width, least), "a binary, b binary")
-
-    def exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a").join(
-            sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b"
-        )
-        return both.select("a", "b", "sa", "sb").mapInArrow(_overlap, "a binary, b binary, shared long, na long, nb long")
-
-    linked = f"100 * shared >= {percent} * (na + nb - shared)"
-    roots = tokens.mapInArrow(_tokens(width), "cid binary, tokens array<int>").select(
-        "cid", "tokens", F.explode(F.array(*[F.xxhash64(F.lit("root"), F.lit(t)) for t in range(trees)])).alias("node")
-    )
-    members = _branched(roots, width)
-    small, links, sets = [], [], None
-    for level in range(1, 10_000):
-        here = scratch.save(sized(members), f"nodes-{level}")
-        few = here.where(F.col("n") <= leaf)
-        pairs = few.select("node", F.col("cid").alias("a")).join(few.select("node", F.col("cid").alias("b")), "node").where("a < b").select("a", "b")
-        small.append(scratch.save(agreeing(pairs, near - 0.22), f"small-{level}"))
-        many = here.where(F.col("n") > leaf)
-        if sets is None:
-            wanted = small[0].select(F.col("a").alias("cid")).union(small[0].select(F.col("b").alias("cid"))).union(many.select("cid")).distinct()
-            wanted = scratch.save(wanted.join(classes.select("cid", F.col("rep").alias("doc_id")), "cid"), "wanted")
-            sets = scratch.save(
-                docs.select("doc_id", "text").join(wanted, "doc_id").select("cid", "text").mapInArrow(_setter(k), "cid binary, shingles binary"),
-                "sets",
-            )
-        if many.isEmpty():
-            break
-        star = many.where("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
-        known = scratch.save(exact(agreeing(star, reach - 0.2), sets).distinct(), f"star-{level}")
-        links.append(known.where(linked).select("a", "b"))
-        left = many.where("cid <> pivot").join(
-            known.select(F.col("a").alias("cid"), F.col("b").alias("pivot"), (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("sim"), F.expr(linked).alias("near")),
-            ["cid", "pivot"],
-            "left",
-        )
-        # The farthest class in the ring decides which linked classes may still have a partner there.
-        ring = left.where(f"not near and sim >= {reach - 1e-9}").groupBy("node").agg(F.max("sim").alias("closest"))
-        left = (
-            left.join(ring, "node", "left")
-            .where(f"near is null or not near or (closest is not null and sim <= closest + {1 - near + 1e-9})")
-            .select("node", "cid")
-        )
-        left = scratch.save(left, f"left-{level}")
-        if level < depth:
-            members = _branched(left.join(tokens, "cid").select("cid", "node", "sig").mapInArrow(_tokens(width), "cid binary, node long, tokens array<int>"), width)
-        else:
-            members = left
-    found = small[0]
-    for more in small[1:]:
-        found = found.union(more)
-    links.append(exact(found.distinct(), sets).where(linked).select("a", "b"))
-    every = links[0]
-    for more in links[1:]:
-        every = every.union(more)
-    labels = components(every, scratch)
-    named = classes.select("cid", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    candidates = _candidates(classes.select("cid", "sig"), scratch, near, trees, width, leaf, depth)
+    groups = components(candidates, scratch, "groups")
+    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    wanted = groups.join(sizes, "root").select(F.col("root").alias("grp"), "size", F.col("node").alias("cid"))
+    wanted = scratch.save(wanted.join(classes.select("cid", "sig", F.col("rep").alias("doc_id")), "cid"), "wanted")
+    sets = docs.select("doc_id", "text").join(wanted, "doc_id").select("grp", "size", "cid", "sig", "text")
+    sets = scratch.save(sets.mapInArrow(_setter(k), "grp binary, size long, cid binary, sig binary, shingles binary"), "sets")
+    small = sets.where(F.col("size") <= group_limit).repartition("grp").sortWithinPartitions("grp")
+    labels = small.select("grp", "cid", "sig", "shingles").mapInArrow(_splitter(percent, near - 0.2, width), "cid binary, root binary")
+    labels = scratch.save(labels, "labels-small")
+    large = sets.where(F.col("size") > group_limit)
+    if not large.isEmpty():
+        labels = labels.union(_large_groups(large, scratch, percent, width, pivots))
+    named = classes.select("cid", "rep").join(labels, "cid", "left")
     least = named.where("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
     named = scratch.save(named.join(least, "root", "left").select("cid", F.coalesce("least", "rep").alias("component_id")), "named")
-    for name in ("sets", "wanted"):
-        scratch.drop(name)
+    scratch.drop("sets")
     out = rows.select("doc_id", "n_shingles", "cid").join(named, "cid", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
