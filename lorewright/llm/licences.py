@@ -76,7 +76,8 @@ EQUIVALENT = (
     ("whilst", "while"), ("wilful", "wilfull"), ("owner", "holder"),
 )
 
-_COPYRIGHT = r"(?s)\A[^\p{L}\p{N}©(]*(?:copyright|copr|\(c\)|©|all rights reserved)(?:[^\p{L}].*)?\z"
+# A notice names an owner: a mark, a year or "by" follows the word, which alone may start a wrapped line of the licence.
+_COPYRIGHT = r"(?s)\A[^\p{L}\p{N}©(]*(?:(?:(?:copyright|copr)[^\p{L}\p{N}©(]*)?(?:\(c\)|©)|(?:copyright|copr)[^\p{L}\p{N}]*(?:[0-9]{4}|by )|all rights reserved[^\p{L}]*\z).*\z"
 
 
 def canonical(text: Column) -> Column:

@@ -62,6 +62,15 @@ def drop_common_lines(docs: DataFrame, scratch: Scratch, min_docs: int = 10, min
     return kept.select("row", "lines", "kept", text.alias("text"))
 
 
+def clean_rows(docs: DataFrame, scratch: Scratch, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+    """``docs`` with the texts that remain; ``n_chars``, where it is a column, counts them anew."""
+    done = drop_common_lines(docs, scratch, min_docs, min_chars)
+    new = F.when(F.col("row.text").isNotNull(), F.col("text"))
+    kind = dict(docs.dtypes)
+    fresh = {"text": new, **({"n_chars": F.char_length(new).cast(kind["n_chars"])} if "n_chars" in kind else {})}
+    return done.select(*[fresh.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
 def line_report(docs: DataFrame, scratch: Scratch, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """doc_id, n_lines, n_dropped and the digest of what stays."""
     done = drop_common_lines(docs.select("doc_id", "text"), scratch, min_docs, min_chars)

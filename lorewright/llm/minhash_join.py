@@ -279,28 +279,28 @@ def _branched(rows: DataFrame, width: int) -> DataFrame:
 def components(links: DataFrame, scratch: Scratch, label: str = "cc", rounds: int = 60) -> DataFrame:
     """(a, b) to (node, root): every node of a link with one common root for each component.
 
-    Each round points every node at its least neighbour and rewrites the links between those. Odd
-    rounds order nodes by their key, which folds a star at once; even rounds by a fresh hash, which
-    shortens long chains by a constant factor whatever their order. Nothing but a count of the
-    remaining links reaches the driver.
+    Each round points every node at its least neighbour, follows that pointer once more, and rewrites
+    the links between the nodes so reached. Odd rounds order nodes by their key, which folds stars
+    and short paths at once; even rounds by a fresh hash, which shortens long chains by a constant
+    factor whatever their order. Only whether links remain reaches the driver. The pointers of the
+    rounds are written, and put together at the end.
     """
     nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
     labels = nodes.select("node", F.col("node").alias("root"))
     links = scratch.save(links.where(F.col("a") != F.col("b")).distinct(), f"{label}-links-0")
     for i in range(1, rounds + 1):
         if links.isEmpty():
-            return labels
+            return scratch.save(labels, f"{label}-labels")
+
         def order(c: str, i: int = i) -> Column:
             first = F.lit(0).cast("long") if i % 2 else F.xxhash64(F.col(c), F.lit(i))
             return F.struct(first.alias("rank"), F.col(c).alias("key"))
 
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = (
-            both.groupBy(F.col("a").alias("child"))
-            .agg(F.min(order("b")).alias("best"))
-            .select("child", F.least(order("child"), F.col("best"))["key"].alias("parent"))
-        )
-        parent = scratch.save(parent, f"{label}-parent-{i}")
+        best = both.groupBy(F.col("a").alias("child")).agg(F.min(order("b")).alias("best"))
+        one = best.select("child", F.least(order("child"), F.col("best"))["key"].alias("up"))
+        two = one.select(F.col("child").alias("up"), F.col("up").alias("parent"))
+        parent = scratch.save(one.join(two, "up").select("child", "parent"), f"{label}-parent-{i}")
         links = scratch.save(
             links.join(parent.select(F.col("child").alias("a"), F.col("parent").alias("pa")), "a")
             .join(parent.select(F.col("child").alias("b"), F.col("parent").alias("pb")), "b")
@@ -309,10 +309,9 @@ def components(links: DataFrame, scratch: Scratch, label: str = "cc", rounds: in
             .distinct(),
             f"{label}-links-{i}",
         )
-        labels = scratch.save(
-            labels.join(parent, labels.root == parent.child, "left").select("node", F.coalesce("parent", "root").alias("root")),
-            f"{label}-labels-{i}",
-        )
+        labels = labels.join(parent, labels.root == parent.child, "left").select("node", F.coalesce("parent", "root").alias("root"))
+        if i % 6 == 0:
+            labels = scratch.save(labels, f"{label}-labels-{i}")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
@@ -332,9 +331,10 @@ def _candidates(signatures: DataFrame, scratch: Scratch, near: float, trees: int
             F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("cid", F.lit(7)).alias("rank"), F.col("cid").alias("pivot")))["pivot"].alias("pivot")
         )
         here = scratch.save(members.join(size.where("n > 1"), "node"), f"nodes-{level}")
-        few = here.where(F.col("n") <= leaf)
+        most = leaf if level == 1 else 5 * leaf  # what a pivot left over is compared exhaustively sooner
+        few = here.where(F.col("n") <= most)
         pairs = few.select("node", F.col("cid").alias("a")).join(few.select("node", F.col("cid").alias("b")), "node").where("a < b").select("a", "b")
-        many = here.where((F.col("n") > leaf) & (F.col("cid") != F.col("pivot")))
+        many = here.where((F.col("n") > most) & (F.col("cid") != F.col("pivot")))
         star = many.select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
         if level == depth:
             found.append(scratch.save(star.distinct(), "unsplit"))
@@ -363,7 +363,7 @@ def minhash_components(
     trees: int = 10,
     width: int = 64,
     leaf: int = 12,
-    depth: int = 8,
+    depth: int = 6,
     group_limit: int = 400,
     pivots: int = 64,
 ) -> DataFrame:
@@ -403,3 +403,20 @@ def minhash_components(
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
+
+
+def keep_one(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row with the least doc_id.
+
+    Rows that repeat a doc_id and its text are one document, and stay once.
+    """
+    out = scratch.save(minhash_components(docs, scratch, **options).select("doc_id", "kept"), "verdicts")
+    ids = out.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    ids = scratch.save(ids.where("not kept or n > 1"), "not-once")
+    left = docs.join(ids.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    again = ids.where("kept").select("doc_id")
+    if again.isEmpty():
+        return left
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(
+        left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    )

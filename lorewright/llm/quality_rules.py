@@ -28,6 +28,9 @@ SYMBOLS = "#*$%&|<>"
 #: ratio: least distance from the upper quartile that counts as unusual.
 FLOORS = {"symbol_ratio": 0.10, "upper_ratio": 0.30, "dup_line_ratio": 0.30, "repeat_ratio": 0.10}
 
+#: Base columns, in the order of the report.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
 
 def _covered(size: int) -> Column:
     """Words in windows that occur twice or more, from the sorted (hash, position) pairs ``_pairs``."""
@@ -85,10 +88,12 @@ def _ratios() -> dict[str, Column]:
     }
 
 
-def judge(docs: DataFrame, scratch: Scratch, spread: float = 3.0, min_group: int = 30, accuracy: int = 10_000) -> DataFrame:
-    """doc_id, lang, source, the base columns, base_failed and kept for every row of ``docs``."""
-    need = docs.select("doc_id", "text", "lang", "source")
-    measured = with_base(need)
+def judged_rows(docs: DataFrame, scratch: Scratch, keep: list[str], spread: float, min_group: int, accuracy: int) -> DataFrame:
+    """The columns ``keep`` of every row as the struct ``row``, its base columns and its verdict.
+
+    Ratios are measured once and written with the row; limits are then looked up by group.
+    """
+    measured = with_base(docs.select(F.struct(*keep).alias("row"), "text", "lang", "source"))
     ratios = _ratios()
     slim = scratch.save(measured.select("*", *[c.alias(name) for name, c in ratios.items()]).drop("text"), "measured")
     valid = slim.where(~F.col("base_failed"))
@@ -113,7 +118,48 @@ def judge(docs: DataFrame, scratch: Scratch, spread: float = 3.0, min_group: int
     for name in ratios:
         limit = F.coalesce(F.col(f"g_{name}"), F.col(f"l_{name}"), F.lit(every[f"a_{name}"] if every else float("inf")))
         fine = fine & (F.col(name) <= limit)
-    return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & fine).alias("kept"),
-    )
+    return out.select("row", *BASE, "base_failed", (~F.col("base_failed") & fine).alias("kept"))
+
+
+def judge(docs: DataFrame, scratch: Scratch, spread: float = 3.0, min_group: int = 30, accuracy: int = 10_000) -> DataFrame:
+    """doc_id, the base columns, base_failed and kept for every row of ``docs``."""
+    return judged_rows(docs, scratch, ["doc_id"], spread, min_group, accuracy).select("row.doc_id", *BASE, "base_failed", "kept")
+
+
+def keep_good(docs: DataFrame, scratch: Scratch, spread: float = 3.0, min_group: int = 30, accuracy: int = 10_000) -> DataFrame:
+    """The rows of ``docs`` that pass, with their columns."""
+    return judged_rows(docs, scratch, docs.columns, spread, min_group, accuracy).where("kept").select("row.*")
+
+
+#: The same in DuckDB: exact quartiles, which the sketches equal as long as a group has fewer rows than their accuracy.
+QUALITY_SQL = r"""
+with d as (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as text from documents),
+w as (select *, list_filter(string_split_regex(text, '[ 	
+]+'), x -> x <> '') as ws,
+        list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^ 	
+]')) as ls,
+        regexp_replace(text, '[ 	
+]+', '', 'g') as bare from d),
+g as (select rid, i, list_slice(ws, i, i + 4) as g from (select rid, ws, unnest(generate_series(1, len(ws) - 4)) as i from w)),
+r as (select rid, i from (select rid, i, count(*) over (partition by rid, g) as n from g) where n > 1),
+c as (select rid, count(distinct i + j) as n from r cross join range(5) as t(j) group by 1),
+m as (select rid, doc_id, lang, source, len(ws)::bigint as n_words, length(bare) as word_chars,
+        length(regexp_replace(bare, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
+        (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, len(ls) as n_lines,
+        length(regexp_replace(bare, '[^A-Z]+', '', 'g')) as n_upper from w),
+b as (select m.*, coalesce(c.n, 0)::bigint as n_repeat_words from m left join c using (rid)),
+f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+        n_symbols / greatest(word_chars, 1) as r1, n_upper / greatest(word_chars, 1) as r2,
+        n_dup_lines / greatest(n_lines, 1) as r3, n_repeat_words / greatest(n_words, 1) as r4 from b),
+q as (select lang, source, grouping(lang, source) as level, count(*) as n,
+        quantile_disc(r1, [0.25, 0.75]) as q1, quantile_disc(r2, [0.25, 0.75]) as q2,
+        quantile_disc(r3, [0.25, 0.75]) as q3, quantile_disc(r4, [0.25, 0.75]) as q4
+      from f where not base_failed group by grouping sets ((lang, source), (lang), ()) having count(*) >= 30),
+t as (select lang, source, level, q1[2] + greatest(3.0 * (q1[2] - q1[1]), 0.10) as t1, q2[2] + greatest(3.0 * (q2[2] - q2[1]), 0.30) as t2,
+        q3[2] + greatest(3.0 * (q3[2] - q3[1]), 0.30) as t3, q4[2] + greatest(3.0 * (q4[2] - q4[1]), 0.10) as t4 from q)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and r1 <= coalesce(g.t1, l.t1, a.t1, 'infinity'::double) and r2 <= coalesce(g.t2, l.t2, a.t2, 'infinity'::double)
+       and r3 <= coalesce(g.t3, l.t3, a.t3, 'infinity'::double) and r4 <= coalesce(g.t4, l.t4, a.t4, 'infinity'::double) as kept
+from f left join t g on g.level = 0 and g.lang is not distinct from f.lang and g.source is not distinct from f.source
+left join t l on l.level = 1 and l.lang is not distinct from f.lang left join t a on a.level = 3
+"""

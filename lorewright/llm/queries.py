@@ -14,7 +14,7 @@ from .licences import scan, scan_sql
 from .line_dedup import LINE_SQL, line_report
 from .minhash_join import minhash_components
 from .mixing import mix
-from .quality_rules import judge
+from .quality_rules import QUALITY_SQL, judge
 from .token_counts import token_counts
 from .url_rules import judge_urls
 
@@ -89,5 +89,6 @@ ORACLES: dict[str, str] = {
     "op1_licence_scan": scan_sql(),
     "op5_arc_to_warc": ARCHIVE_SQL,
     "op7_benchmark_leaks": LEAK_SQL,
+    "op8_quality_rules": QUALITY_SQL,
     "op9_line_dedup": LINE_SQL,
 }
