@@ -1,0 +1,3 @@
+"""Registered queries over the driver's tables."""
+
+from . import analytics, registry  # noqa: F401

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from . import analytics
+from collections.abc import Callable
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-for _module in (analytics,):
-    QUERIES.update(_module.QUERIES)
-    ORACLES.update(_module.ORACLES)
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its own name, with its SQL twin if there is one."""
+
+    def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"{f.__name__} is registered twice")
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
