@@ -97,7 +97,7 @@ def clean(docs: DataFrame, items: DataFrame, scratch: Scratch, **options) -> Dat
 LEAK_SQL = r"""
 with w as (select 'd' as t, doc_id as id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents
            union all select 'b', item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark),
-v as (select t, id, list_filter(string_split_regex(x, '[ \t\n\x0B\f\r]+'), y -> y <> '') as ws from w),
+v as (select t, id, list_filter(string_split_regex(x, '[ \t\n\x0B\f\r]+'), lambda y: y <> '') as ws from w),
 s as (select distinct t, id, list_aggregate(list_slice(ws, i, i + 4), 'string_agg', ' ') as g
       from (select t, id, ws, unnest(generate_series(1, greatest(len(ws) - 4, case when len(ws) > 0 then 1 else 0 end))) as i from v)),
 n as (select id, count(*) as n_item from s where t = 'b' group by 1),

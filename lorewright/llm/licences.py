@@ -117,7 +117,7 @@ def _quoted(x: str) -> str:
 def scan_sql(known=KNOWN) -> str:
     """The scan of ``documents`` in DuckDB."""
     def form(x: str) -> str:
-        kept = f"list_filter(string_split(translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)), l -> not regexp_matches(l, {_quoted(_COPYRIGHT)}))"
+        kept = f"list_filter(string_split(translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)), lambda l: not regexp_matches(l, {_quoted(_COPYRIGHT)}))"
         out = f"' ' || trim(regexp_replace(array_to_string({kept}, chr(10)), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g'), ' ') || ' '"
         for one, other in EQUIVALENT:
             out = f"replace({out}, ' {one} ', ' {other} ')"

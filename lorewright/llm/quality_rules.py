@@ -135,11 +135,14 @@ def keep_good(docs: DataFrame, scratch: Scratch, spread: float = 3.0, min_group:
 QUALITY_SQL = r"""
 with d as (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as text from documents),
 w as (select *, list_filter(string_split_regex(text, '[ 	
-]+'), x -> x <> '') as ws,
-        list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^ 	
-]')) as ls,
+
+]+'), lambda x: x <> '') as ws,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	
+
+]')) as ls,
         regexp_replace(text, '[ 	
-]+', '', 'g') as bare from d),
+
+]+', '', 'g') as bare from d),
 g as (select rid, i, list_slice(ws, i, i + 4) as g from (select rid, ws, unnest(generate_series(1, len(ws) - 4)) as i from w)),
 r as (select rid, i from (select rid, i, count(*) over (partition by rid, g) as n from g) where n > 1),
 c as (select rid, count(distinct i + j) as n from r cross join range(5) as t(j) group by 1),

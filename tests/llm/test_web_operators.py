@@ -61,9 +61,7 @@ def test_mined_rules_equal_brute_force(spark):
         hit, all_ = sum(a <= s and b for s, b in sets), sum(a <= s for s, _ in sets)
         if hit / n >= max(0.01, 3 / n) and hit / all_ >= 0.8:
             rules.append(a)
-    for r in out.collect():
-        pass
-    got = sorted((r.page_id or -1, r.verdict) for r in out.collect())
+    got = sorted((-1 if r.page_id is None else r.page_id, r.verdict) for r in out.collect())
     expected = sorted(((i if i is not None else -1), "block" if u and any(a <= set(items[u]) for a in rules) else "allow") for i, u, _ in rows)
     assert got == expected and {v for _, v in got} == {"allow", "block"}
 
