@@ -68,13 +68,14 @@ def contained_items(docs: DataFrame, items: DataFrame, scratch: Scratch, size: i
         "index",
     )
     texts = docs.where("text is not null")
+    # explode_outer: an inner explode is also planned as a filter below, which would compute the shingles once more for each word.
     probed = _by_text(texts).select("key", _shingles(F.col("_words"), size, shorter).alias("s"))
-    found = probed.select("key", F.size("s").alias("n"), F.explode("s").alias("h")).join(index, "h").where("n >= least")
+    found = probed.select("key", F.size("s").alias("n"), F.explode_outer("s").alias("h")).join(index, "h").where("n >= least")
     candidates = scratch.save(found.select("key", "item_id").distinct(), "candidates")
     again = texts.select(F.unhex(F.md5("text")).alias("key"), "text").join(candidates.select("key").distinct(), "key", "left_semi")
     again = again.select("key", words(ascii_lower(F.col("text"))).alias("_words")).select("key", _shingles(F.col("_words"), size, shorter).alias("s"))
     full = scratch.save(item.select("item_id", "n_item", "least", F.explode("s").alias("h")), "full")
-    shared = again.select("key", F.explode("s").alias("h")).join(full, "h").distinct()
+    shared = again.select("key", F.explode_outer("s").alias("h")).join(full, "h").distinct()
     counted = shared.groupBy("key", "item_id").agg(F.count(F.lit(1)).alias("n_shared"), F.first("n_item").alias("n_item"), F.first("least").alias("least"))
     exact = counted.where("n_shared >= least").join(candidates, ["key", "item_id"], "left_semi")
     return scratch.save(exact.select("key", "item_id", F.col("n_item").cast("long").alias("n_item"), "n_shared"), "contained")
