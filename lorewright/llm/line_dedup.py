@@ -33,9 +33,9 @@ def _lines(text: Column) -> Column:
 
 def common_positions(docs: DataFrame, scratch: Scratch, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """digest, drop: for each text with common lines, the positions of those lines."""
-    keyed = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.posexplode(F.transform(_lines(F.col("text")), line_key)).alias("pos", "key"))
+    keyed = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.posexplode_outer(F.transform(_lines(F.col("text")), line_key)).alias("pos", "key"))
     keyed = keyed.where(F.char_length("key") >= max(1, min_chars)).select("digest", "pos", F.unhex(F.md5("key")).alias("key"))
-    in_document = docs.select(F.explode(F.array_distinct(F.transform(_lines(F.col("text")), line_key))).alias("key"))
+    in_document = docs.select(F.explode_outer(F.array_distinct(F.transform(_lines(F.col("text")), line_key))).alias("key"))
     common = (
         in_document.where(F.char_length("key") >= max(1, min_chars))
         .groupBy(F.unhex(F.md5("key")).alias("key"))
