@@ -102,7 +102,7 @@ def mine_rules(pages: DataFrame, labels: DataFrame, scratch: Scratch, support: f
 def bad_urls(pages: DataFrame, rules: DataFrame, scratch: Scratch) -> DataFrame:
     """url, confidence, bad_rule of the distinct URLs that a mined rule matches."""
     urls = pages.where("url is not null").select("url").distinct()
-    looked_up = urls.select("url", tokens(F.col("url")).alias("t")).select("url", "t", F.explode("t").alias("anchor"))
+    looked_up = urls.select("url", tokens(F.col("url")).alias("t")).select("url", "t", F.explode_outer("t").alias("anchor"))
     often = rules.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     anchors = rules.select("rule_id", "items", "confidence", F.explode("items").alias("item")).join(often, "item")
     index = anchors.groupBy("rule_id").agg(F.min(F.struct("n", "item"))["item"].alias("anchor"), F.first("items").alias("items"), F.first("confidence").alias("confidence"))
