@@ -57,7 +57,7 @@ def token_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     """term, key, tf and the document's length: the keyword index."""
     terms = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     each = docs.select(key, terms.alias("terms"))
-    return each.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return each.select(key, F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")).where("term is not null").groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(index: DataFrame, docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -1,3 +1,3 @@
 """Registered queries over the driver's tables."""
 
-from . import analytics, registry, search, texts  # noqa: F401
+from . import analytics, registry, search, streams, texts  # noqa: F401
