@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _PAIRS = ((r"\\{1,3}\(", "$"), (r"\\{1,3}\)", "$"), (r"\\{1,3}\[", "$$"), (r"\\{1,3}\]", "$$"))
 FORMULA = re.compile(r"(?<!\\)\$\$(.+?)(?<!\\)\$\$|(?<![\\$])\$([^$]+?)(?<!\\)\$(?!\$)", re.S)
@@ -94,13 +95,16 @@ def normalise(text: str | None) -> str | None:
     return re.sub(r"\^\s*\{?\s*°\s*\}?", r"^{\\circ}", text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalised(texts: pd.Series) -> pd.Series:
     """TX7 as a column."""
     return texts.map(normalise, na_action="ignore")
 
 
-@F.pandas_udf("array<struct<start:int,end:int,kind:string,body:string>>")
+_FOUND = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("kind", T.StringType()).add("body", T.StringType()))
+
+
+@F.pandas_udf(_FOUND)
 def formulas(texts: pd.Series) -> pd.Series:
     """TX9: every formula with its place, kind and body."""
     def find(text: str | None) -> list[dict]:
@@ -129,7 +133,7 @@ def strip_wrappers(text: str | None) -> str | None:
         return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unwrapped(texts: pd.Series) -> pd.Series:
     """TX10 as a column."""
     return texts.map(strip_wrappers, na_action="ignore")

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ratio(a: str | None, b: str | None) -> float:
@@ -20,7 +21,7 @@ def ratio(a: str | None, b: str | None) -> float:
     return difflib.SequenceMatcher(None, a or "", b or "", autojunk=False).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """ST39 as a column."""
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -144,7 +145,7 @@ def pack(text: str, target: int = 2000, hard: int = 3000) -> list[str]:
     return [p for p in parts if p.strip()]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def packed(texts: pd.Series) -> pd.Series:
     """MX14 as a column."""
     return texts.map(lambda t: pack(t or ""))
@@ -169,7 +170,7 @@ def overlapping_pieces(text: str, size: int = 3000, overlap: int = 300) -> list[
         start = max(end - overlap, start + 1)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def pieces(texts: pd.Series) -> pd.Series:
     """WIN15 as a column."""
     return texts.map(lambda t: overlapping_pieces(t or ""))
