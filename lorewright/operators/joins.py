@@ -59,7 +59,7 @@ def nearest_lower(df: DataFrame, key: str, at: str, level: str, max_level: int)
 
     One running maximum for each level, of which there are few.
     """
-    w = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(key).orderBy(at).rangeBetween(Window.unboundedPreceding, -1)  # positions may repeat
     last = [F.max(F.when(F.col(level) == i, F.col(at))).over(w) for i in range(1, max_level)]
     lower = [F.when(F.col(level) > i + 1, last[i]) for i in range(max_level - 1)]
     return df.withColumn("parent", F.greatest(*lower) if len(lower) > 1 else lower[0])

@@ -116,8 +116,8 @@ def agg45_gaps(spark, sf_dir):
 
 
 @query("""
-with p as (select l_orderkey as k, l_linenumber * 15 as at from lineitem), r as (select l_orderkey as k, l_linenumber as id, l_partkey % 50 as s, l_partkey % 50 + l_quantity::bigint as e from lineitem)
-select p.k, at, id from p join r on p.k = r.k and at between s and e
+with p as (select l_orderkey as k, l_linenumber * 15 as "at" from lineitem), r as (select l_orderkey as k, l_linenumber as id, l_partkey % 50 as s, l_partkey % 50 + l_quantity::bigint as e from lineitem)
+select p.k, p."at", id from p join r on p.k = r.k and p."at" between s and e
 """)
 def jn12_points_in_ranges(spark, sf_dir):
     """Interval join within each order."""
