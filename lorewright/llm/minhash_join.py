@@ -8,15 +8,15 @@ classes take part. A class has ``width`` MinHash tokens, its signature.
    one child for each picked position, named by the class's token there. A pair of similarity 0.8
    stays together in at least one child about as often as not to die out, and the trees are repeated
    so that the chance to miss it in all of them is below 1e-3. Nodes of at most ``leaf`` classes are
-   compared exhaustively. In a larger node every class is compared with one pivot. Distances of
+   compared exhaustively in one task and leave a spanning forest of their pairs. In a larger node every class is compared with one pivot. Distances of
    signatures obey the triangle inequality, so a class near the pivot matters again only to classes
    in the ring between the cut and twice its distance; without such classes it leaves the node,
    joined to the pivot. A group of near copies of any size so costs one comparison for each member.
    What remains branches; at ``depth`` a node that is still large is joined as a whole.
 2. Candidate pairs are contracted to candidate groups, in Spark. Each class's full set goes to its
    group once.
-3. Links are confirmed on full sets. A group of up to ``group_limit`` classes is worked off in one
-   task, likeliest pairs first, leaving out pairs that are already connected. Larger groups stay
+3. Links are confirmed on full sets. A group of up to ``group_limit`` classes and ``group_shingles``
+   shingles is worked off in one task, likeliest pairs first, leaving out pairs that are already connected. Larger groups stay
    spread: in rounds, a bounded number of pivots is compared with all members, until every member
    is in the group's largest component, or has been a pivot itself, or is shown by the triangle
    inequality to have no partner outside its pivot's component. No case is dropped.
@@ -105,7 +105,7 @@ def _setter(k: int):
                     kept.append(at)
                     sets.append(data)
             rows = batch.take(pa.array(kept, pa.int64()))
-            names = ["grp", "size", "cid", "sig"]
+            names = ["grp", "large", "cid", "sig"]
             yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), pa.array(sets, pa.binary())], [*names, "shingles"])
 
     return run
@@ -196,7 +196,7 @@ def _against(held, cut: float, width: int):
 
 
 def _large_groups(members: DataFrame, scratch: Scratch, percent: int, width: int, pivots: int) -> DataFrame:
-    """(cid, root) for the members (grp, size, cid, sig, shingles) of groups too large for one task.
+    """(cid, root) for the members (grp, large, cid, sig, shingles) of groups too large for one task.
 
     ``pivots`` full sets are held in a round, and 32 MB of them at most (one at least).
     """
@@ -315,6 +315,42 @@ def components(links: DataFrame, scratch: Scratch, label: str = "cc", rounds: in
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _forest(width: int, cut: float):
+    """Rows (node, cid, sig) sorted by node to (a, b): a spanning forest of each node's pairs that agree in ``cut``."""
+
+    def edges(cids: list[bytes], sigs: list[bytes], least: float) -> list[tuple[bytes, bytes]]:
+        g = np.frombuffer(b"".join(sigs), np.int32).reshape(-1, width)
+        out, waiting = [], np.arange(1, len(cids))
+        reached, at = [0], 0
+        while len(waiting):  # breadth first: each class is compared once with those not reached yet
+            if at == len(reached):
+                reached.append(int(waiting[0]))
+                waiting = waiting[1:]
+                continue
+            near = (g[waiting] == g[reached[at]]).sum(axis=1) >= least
+            out += [(cids[reached[at]], cids[x]) for x in waiting[near]]
+            reached += waiting[near].tolist()
+            waiting = waiting[~near]
+            at += 1
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, cids, sigs = None, [], []
+        for batch in batches:
+            out = []
+            for n, c, s in zip(*(batch.column(x).to_pylist() for x in ("node", "cid", "sig")), strict=True):
+                if n != node:
+                    out += edges(cids, sigs, cut * width)
+                    node, cids, sigs = n, [], []
+                cids.append(c)
+                sigs.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in out], pa.binary()) for i in (0, 1)], ["a", "b"])
+        out = edges(cids, sigs, cut * width)
+        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in out], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
 def _candidates(signatures: DataFrame, scratch: Scratch, near: float, trees: int, width: int, leaf: int, depth: int) -> DataFrame:
     """(a, b): pairs of (cid, sig) rows whose closure holds every pair that is likely to be similar."""
     cut = near - 0.2  # four standard deviations of 64 tokens below the link threshold
@@ -323,7 +359,7 @@ def _candidates(signatures: DataFrame, scratch: Scratch, near: float, trees: int
         "cid", "tokens", F.explode(F.array(*[F.xxhash64(F.lit("root"), F.lit(t)) for t in range(trees)])).alias("node")
     )
     members = _branched(roots, width)
-    own = signatures.select("cid", F.col("sig").alias("ga"))
+    own = signatures.select(F.col("cid").alias("a"), F.col("sig").alias("ga"))
     other = signatures.select(F.col("cid").alias("b"), F.col("sig").alias("gb"))
     found = []
     for level in range(1, depth + 1):
@@ -331,19 +367,19 @@ def _candidates(signatures: DataFrame, scratch: Scratch, near: float, trees: int
             F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("cid", F.lit(7)).alias("rank"), F.col("cid").alias("pivot")))["pivot"].alias("pivot")
         )
         here = scratch.save(members.join(size.where("n > 1"), "node"), f"nodes-{level}")
-        most = leaf if level == 1 else 5 * leaf  # what a pivot left over is compared exhaustively sooner
-        few = here.where(F.col("n") <= most)
-        pairs = few.select("node", F.col("cid").alias("a")).join(few.select("node", F.col("cid").alias("b")), "node").where("a < b").select("a", "b")
-        many = here.where((F.col("n") > most) & (F.col("cid") != F.col("pivot")))
-        star = many.select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
+        few = here.where(F.col("n") <= leaf).select("node", "cid").join(signatures, "cid").select("node", "cid", "sig")
+        few = few.repartition("node").sortWithinPartitions("node")
+        found.append(scratch.save(few.mapInArrow(_forest(width, cut), "a binary, b binary").distinct(), f"small-{level}"))
+        many = here.where((F.col("n") > leaf) & (F.col("cid") != F.col("pivot")))
+        if many.isEmpty():
+            break
+        star = many.select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
         if level == depth:
-            found.append(scratch.save(star.distinct(), "unsplit"))
-            star = star.limit(0)
-        every = pairs.union(star).distinct().join(own.withColumnRenamed("cid", "a"), "a").join(other, "b").select("a", "b", "ga", "gb")
-        compared = scratch.save(every.mapInArrow(_agreement(width, max(0.0, ring_from)), "a binary, b binary, sim double"), f"compared-{level}")
-        found.append(compared.where(F.col("sim") >= cut).select("a", "b"))
-        if level == depth or many.isEmpty():
+            found.append(scratch.save(star, "unsplit"))
             break
+        star = star.join(own, "a").join(other, "b").select("a", "b", "ga", "gb")
+        compared = scratch.save(star.mapInArrow(_agreement(width, max(0.0, ring_from)), "a binary, b binary, sim double"), f"star-{level}")
+        found.append(compared.where(F.col("sim") >= cut).select("a", "b"))
         left = many.join(compared.select(F.col("a").alias("cid"), F.col("b").alias("pivot"), "sim"), ["cid", "pivot"], "left")
         ring = left.where(F.col("sim") < cut).groupBy("node").agg(F.max("sim").alias("closest"))
         left = left.join(ring, "node", "left").where((F.col("sim").isNull()) | (F.col("sim") < cut) | (F.col("sim") <= F.col("closest") + 1 - cut))
@@ -362,10 +398,11 @@ def minhash_components(
     percent: int = 80,
     trees: int = 10,
     width: int = 64,
-    leaf: int = 12,
-    depth: int = 6,
-    group_limit: int = 400,
-    pivots: int = 64,
+    leaf: int = 1000,
+    depth: int = 8,
+    group_limit: int = 1000,
+    group_shingles: int = 4_000_000,
+    pivots: int = 256,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
@@ -378,20 +415,20 @@ def minhash_components(
         "rows",
     )
     classes = scratch.save(
-        rows.where("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")),
+        rows.where("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n")),
         "classes",
     )
     candidates = _candidates(classes.select("cid", "sig"), scratch, near, trees, width, leaf, depth)
     groups = components(candidates, scratch, "groups")
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    wanted = groups.join(sizes, "root").select(F.col("root").alias("grp"), "size", F.col("node").alias("cid"))
-    wanted = scratch.save(wanted.join(classes.select("cid", "sig", F.col("rep").alias("doc_id")), "cid"), "wanted")
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id").select("grp", "size", "cid", "sig", "text")
-    sets = scratch.save(sets.mapInArrow(_setter(k), "grp binary, size long, cid binary, sig binary, shingles binary"), "sets")
-    small = sets.where(F.col("size") <= group_limit).repartition("grp").sortWithinPartitions("grp")
+    wanted = groups.select(F.col("root").alias("grp"), F.col("node").alias("cid")).join(classes.select("cid", "sig", "n", F.col("rep").alias("doc_id")), "cid")
+    size = wanted.groupBy("grp").agg((F.greatest(F.count(F.lit(1)) / group_limit, F.sum("n") / group_shingles) > 1).alias("large"))
+    wanted = scratch.save(wanted.join(size, "grp").drop("n"), "wanted")
+    sets = docs.select("doc_id", "text").join(wanted, "doc_id").select("grp", "large", "cid", "sig", "text")
+    sets = scratch.save(sets.mapInArrow(_setter(k), "grp binary, large boolean, cid binary, sig binary, shingles binary"), "sets")
+    small = sets.where("not large").repartition("grp").sortWithinPartitions("grp")
     labels = small.select("grp", "cid", "sig", "shingles").mapInArrow(_splitter(percent, near - 0.2, width), "cid binary, root binary")
     labels = scratch.save(labels, "labels-small")
-    large = sets.where(F.col("size") > group_limit)
+    large = sets.where("large")
     if not large.isEmpty():
         labels = labels.union(_large_groups(large, scratch, percent, width, pivots))
     named = classes.select("cid", "rep").join(labels, "cid", "left")

@@ -63,8 +63,8 @@ def test_equals_brute_force(spark, k):
         add(base)
     rows += [(n, None, "x", 1), (n + 1, "", "x", 1), (n + 2, " \n\t", "x", 1), (n + 3, "Two Words", None, None), (n + 4, "two words", "x", 1)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    for leaf, depth in ((12, 10), (8, 2)) if k == 4 else ((12, 10),):
-        assert got(minhash_components(df, Scratch(spark, "t3"), k=k, leaf=leaf, depth=depth)) == brute(rows, k)
+    for more in ({}, {"leaf": 6, "depth": 3, "group_limit": 8, "pivots": 20}) if k == 4 else ({"leaf": 5, "depth": 5},):
+        assert got(minhash_components(df, Scratch(spark, "t3"), k=k, **more)) == brute(rows, k)
 
 
 def test_nulls_repeats_and_empty_tables(spark):
