@@ -68,14 +68,11 @@ def nearest_lower(df: DataFrame, key: str, at: str, level: str, max_level: int)
 def ancestors(df: DataFrame, key: str, at: str, title: str, max_level: int) -> DataFrame:
     """path: titles from the top to each row, by at most ``max_level`` joins to the parent."""
     out = df.withColumn("_up", F.col("parent")).withColumn("path", F.array(title))
-    names = df.select(key, F.col(at).alias("_at"), F.col(title).alias("_title"), F.col("parent").alias("_next"))
+    names = df.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.col(title).alias("_title"), F.col("parent").alias("_next"))
     for _ in range(max_level - 1):
-        step = out.join(names, (out[key] == names[key]) & (out["_up"] == names["_at"]), "left").drop(names[key])
-        out = step.select(
-            *df.columns,
-            F.when(F.col("_title").isNotNull(), F.array_prepend("path", F.col("_title"))).otherwise(F.col("path")).alias("path"),
-            F.col("_next").alias("_up"),
-        )
+        step = out.join(names, (F.col(key) == F.col("_key")) & (F.col("_up") == F.col("_at")), "left")
+        longer = F.when(F.col("_title").isNotNull(), F.array_prepend("path", F.col("_title"))).otherwise(F.col("path"))
+        out = step.select(*df.columns, longer.alias("path"), F.col("_next").alias("_up"))
     return out.drop("_up")
 
 

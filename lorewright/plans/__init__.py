@@ -1,3 +1,3 @@
 """Registered queries over the driver's tables."""
 
-from . import analytics, records, registry, search, streams, texts  # noqa: F401
+from . import analytics, books, records, registry, search, streams, texts  # noqa: F401
