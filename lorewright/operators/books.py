@@ -1,14 +1,14 @@
 """Structure of books: anchors, blocks, deduplication and chunks (WIN13, S15, MX13-MX16, WIN15).
 
-Order-dependent algorithms run for each document in ``applyInPandas``: a document's catalog or block
-list is what bounds a group. Everything around them is columns.
+Order-dependent algorithms run document by document over sorted partitions: a document's catalog or
+block list is what bounds a group. Everything around them is columns.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -55,16 +55,42 @@ def best_increasing(lines: Sequence[int], confidence: Sequence[float]) -> list[i
     return chain[::-1]
 
 
+def by_document(rows: DataFrame, key: str, order: list[str], columns: list[str], work: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """``work`` on each document's rows (``columns``, in ``order``), documents of a partition one after another.
+
+    Rows of a document lie together in one sorted partition, so many small documents cost one pass
+    over Arrow batches; one document at a time is held.
+    """
+    names = [c.split()[0] for c in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, held = None, []
+        for pdf in batches:
+            out = []
+            for k, *row in pdf[[key, *columns]].astype(object).where(pdf[[key, *columns]].notna(), None).itertuples(index=False, name=None):
+                if k != current and held:
+                    out += [(current, *r) for r in work(held)]
+                    held = []
+                current = k
+                held.append(tuple(row))
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame([(current, *r) for r in work(held)], columns=names)
+
+    sorted_rows = rows.select(key, *columns).repartition(key).sortWithinPartitions(key, *order)
+    return sorted_rows.mapInPandas(run, schema)
+
+
 def consistent_anchors(anchors: DataFrame) -> DataFrame:
     """(doc_id, pos, line, confidence) with ``kept``: anchors outside the best increasing chain are rejected."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        matched = pdf.index[pdf["line"].notna()]
-        kept = set(matched) if len(matched) < 2 else {matched[i] for i in best_increasing(pdf.loc[matched, "line"].astype(int).tolist(), pdf.loc[matched, "confidence"].fillna(0.0).tolist())}
-        return pdf.assign(kept=[i in kept for i in pdf.index])[["doc_id", "pos", "line", "confidence", "kept"]]
+    def work(rows: list[tuple]) -> list[tuple]:
+        matched = [i for i, r in enumerate(rows) if r[1] is not None]
+        kept = set(matched) if len(matched) < 2 else {matched[i] for i in best_increasing([int(rows[i][1]) for i in matched], [float(rows[i][2] or 0.0) for i in matched])}
+        return [(*r, i in kept) for i, r in enumerate(rows)]
 
-    return anchors.groupBy("doc_id").applyInPandas(run, "doc_id long, pos long, line long, confidence double, kept boolean")
+    return by_document(anchors, "doc_id", ["pos", "line", "confidence"], ["pos", "line", "confidence"], work, "doc_id long, pos long, line long, confidence double, kept boolean")
 
 
 def greedy_blocks(rows: list[tuple[str, str, int, int, float]], least: float = 0.70) -> list[tuple[str, str, int, int, float]]:
@@ -86,12 +112,7 @@ def greedy_blocks(rows: list[tuple[str, str, int, int, float]], least: float = 0
 def unique_blocks(blocks: DataFrame) -> DataFrame:
     """(doc_id, block_id, title, start, end, confidence) after greedy deduplication."""
     names = ["block_id", "title", "start", "end", "confidence"]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = greedy_blocks(list(pdf[names].itertuples(index=False, name=None)))
-        return pd.DataFrame(kept, columns=names).assign(doc_id=key[0])[["doc_id", *names]]
-
-    return blocks.select("doc_id", *names).groupBy("doc_id").applyInPandas(run, "doc_id long, block_id string, title string, start long, end long, confidence double")
+    return by_document(blocks, "doc_id", ["start", "end", "block_id", "title", "confidence"], names, greedy_blocks, "doc_id long, block_id string, title string, start long, end long, confidence double")
 
 
 _BOUNDARY = re.compile(r"^\s*(?:#{1,6}\s|[-*+]\s|\d+[.)、]|(?:定义|定理|例|证明))")

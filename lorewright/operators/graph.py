@@ -59,7 +59,7 @@ def merge_extractions(rows: DataFrame) -> DataFrame:
 
 def relation_type(explicit: Column, keywords: Column, description: Column, allowed: list[str]) -> Column:
     """Explicit field, else the first allowed keyword, else the first keyword, else the longest allowed name in the description."""
-    words = F.filter(F.transform(F.split(F.coalesce(keywords, F.lit("")), r"[,;|]"), F.trim), lambda x: x != "")
+    words = F.filter(F.transform(F.split(F.coalesce(keywords, F.lit("")), r"[,;|]"), lambda x: F.trim(x)), lambda x: x != "")
     good = F.filter(words, lambda x: F.array_contains(F.array(*map(F.lit, allowed)), x))
     ranked = sorted(allowed, key=lambda x: (-len(x), x))
     scan = F.coalesce(*[F.when(F.contains(F.coalesce(description, F.lit("")), F.lit(x)), F.lit(x)) for x in ranked], F.lit(""))
