@@ -399,7 +399,7 @@ def minhash_components(
     trees: int = 10,
     width: int = 64,
     leaf: int = 1000,
-    depth: int = 8,
+    depth: int = 3,
     group_limit: int = 1000,
     group_shingles: int = 4_000_000,
     pivots: int = 256,
