@@ -139,7 +139,7 @@ def sha1_label(data: bytes) -> str:
 
 
 def _files(rows: Iterator[tuple[bytes, bytes]], file_bytes: int) -> Iterator[bytes]:
-    """Records put together to files: (opening block, record) pairs in, file contents out."""
+    """(opening record, record) pairs to file contents."""
     parts, size = [], 0
     for opening, record in rows:
         if not parts:
@@ -168,28 +168,24 @@ def read_files(spark, path: str) -> DataFrame:
 
 
 def pages_to_arc(pages: DataFrame, path: str, file_bytes: int, date: str) -> None:
-    """ARC files of ``pages``; every other one of version 2, so that both readers are in use."""
+    """ARC files of ``pages``; versions 1 and 2 alternate every 64 records, so that both readers are in use."""
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        n = 0
+        for batch in batches:
+            for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+                version, opens = 1 + n // 64 % 2, n % 64 == 0
+                n += 1
+                payload = (html or "").encode("utf-8", "surrogatepass")
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page_id is None else page_id}\r\n\r\n"
+                if opens:  # a version block may stand anywhere: what follows it has its fields
+                    yield arc_block(version, f"v{version}.arc", date)
+                yield arc_record(version, url or "", date, head.encode() + payload, 0, f"v{version}.arc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def records() -> Iterator[tuple[bytes, bytes]]:
-            n = 0
-            for batch in batches:
-                for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                    version = 1 + n // 64 % 2
-                    n += 1
-                    payload = (html or "").encode("utf-8", "surrogatepass")
-                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page_id is None else page_id}\r\n\r\n"
-                    # A version block may stand anywhere: what follows it has its fields.
-                    yield b"", (arc_block(version, f"v{version}.arc", date) if n % 64 == 1 else b"") + arc_record(version, url or "", date, head.encode() + payload, 0, f"v{version}.arc")
-
-        def whole(rows: Iterator[tuple[bytes, bytes]]) -> Iterator[tuple[bytes, bytes]]:
-            return rows
-
-        # A file must open with a block: files are cut only before one.
-        pending: list[bytes] = []
-        size = 0
-        for _, record in whole(records()):
-            if size >= file_bytes and record.startswith(b"filedesc:"):
+        pending, size = [], 0
+        for record in records(batches):
+            if size >= file_bytes and record.startswith(b"filedesc:"):  # files are cut only before a version block
                 yield from _in_small_batches(iter([b"".join(pending)]))
                 pending, size = [], 0
             pending.append(record)

@@ -161,7 +161,7 @@ def test_mixing_meets_its_targets(spark):
         if i % 2:
             labels.append((i, 0 if kind == "poor" else 1, 1 if kind == "toxic" else 0))
     lab = spark.createDataFrame([*labels, (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
-    out = mixing.mix(frame(spark, texts), lab, Scratch(spark, "t10")).toPandas()
+    out = mixing.mix(frame(spark, texts), lab, Scratch(spark, "t10"), steps=40).toPandas()
     assert len(out) == len(texts) and (out.rate >= 0).all()
     total = out.n_words.sum()
     for name, target in zip(mixing.DOMAINS, mixing.TARGETS, strict=True):
@@ -171,7 +171,7 @@ def test_mixing_meets_its_targets(spark):
     p = dict(zip(out.doc_id, out.p_toxic, strict=True))
     right = sum((p[i] > 0.5) == ("idiot" in t) for i, t in held_out)
     assert right / len(held_out) > 0.95
-    assert mixing.mix(frame(spark, texts), lab.where("false"), Scratch(spark, "t10")).count() == len(texts)
-    assert mixing.mix(frame(spark, texts).where("false"), lab, Scratch(spark, "t10")).count() == 0
+    assert mixing.mix(frame(spark, texts), lab.where("false"), Scratch(spark, "t10"), steps=3).count() == len(texts)
+    assert mixing.mix(frame(spark, texts).where("false"), lab, Scratch(spark, "t10"), steps=3).count() == 0
     copies = out.copies.sum() / out.rate.sum()
     assert 0.9 < copies < 1.1
