@@ -69,6 +69,7 @@ def test_bucket():
 
 
 def test_stream_equals_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # timeouts would keep an availableNow query going
     rnd = random.Random(3)
     rows = []
     for chat in range(6):
@@ -89,7 +90,7 @@ def test_stream_equals_batch(spark, tmp_path):
     ends.coalesce(1).write.option("ignoreNullFields", False).mode("append").json(source)
     stream = spark.readStream.schema(batch.schema).json(source)
     q = S.segments_of_stream(stream).writeStream.format("memory").queryName("segments").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q.awaitTermination(90)
     assert sorted(map(tuple, spark.table("segments").collect())) == expected
 
 
@@ -99,5 +100,5 @@ def test_tail_drops_repeats(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "t"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "t"))
     q = S.tail(stream, "chunk_id", "at", "1 hour").writeStream.format("memory").queryName("tailed").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q.awaitTermination(90)
     assert spark.table("tailed").count() == 5
