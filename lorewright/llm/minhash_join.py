@@ -198,7 +198,8 @@ def _against(held, cut: float, width: int):
 def _large_groups(members: DataFrame, scratch: Scratch, percent: int, width: int, pivots: int) -> DataFrame:
     """(cid, root) for the members (grp, large, cid, sig, shingles) of groups too large for one task.
 
-    ``pivots`` full sets are held in a round, and 32 MB of them at most (one at least).
+    ``pivots`` full sets are held in the first round, four and sixteen times as many in the next
+    ones, and 32 MB of them at most (one at least).
     """
     near = percent / 100
     reach = 2 * near - 1
@@ -207,7 +208,8 @@ def _large_groups(members: DataFrame, scratch: Scratch, percent: int, width: int
     waiting = ids
     for step in range(1, 100_000):
         ranked = waiting.select("grp", "cid", F.row_number().over(Window.partitionBy("grp", F.pmod(F.xxhash64("cid", F.lit(3)), F.lit(64))).orderBy(F.xxhash64("cid", F.lit(step)))).alias("r"))
-        chosen = ranked.where(F.col("r") <= pivots).orderBy("r", F.xxhash64("cid", F.lit(step))).limit(pivots)
+        most = pivots * 4 ** min(step - 1, 2)  # what is left after a round has few near members: more pivots at once stay cheap
+        chosen = ranked.where(F.col("r") <= most).orderBy("r", F.xxhash64("cid", F.lit(step))).limit(most)
         chosen = scratch.save(chosen.select("grp", "cid"), f"pivots-{step}")
         rows, size = [], 0
         for r in members.select("grp", "cid", "sig", "shingles").join(F.broadcast(chosen.select("cid")), "cid", "left_semi").dropDuplicates(["cid"]).select("grp", "cid", "sig", "shingles").toLocalIterator():
