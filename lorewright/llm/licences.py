@@ -105,7 +105,8 @@ def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
     table = F.broadcast(known_digests(docs.sparkSession, known))  # len(known) rows
     rows = docs.select("doc_id", "text", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(table, "digest", "left")
     granted = docs.where("text is not null").select(F.md5("text").alias("key"), F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line"))
-    granted = granted.select("key", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(table, "digest").groupBy("key").agg(F.array_sort(F.collect_set("licence")).alias("found"))
+    # coalesce: of a digest that may be null, the join would also plan a filter, which computes the canonical form once more.
+    granted = granted.select("key", F.coalesce(F.sha2(canonical(F.col("line")), 256), F.lit("")).alias("digest")).join(table, "digest").groupBy("key").agg(F.array_sort(F.collect_set("licence")).alias("found"))
     out = rows.withColumn("key", F.md5("text")).join(granted, "key", "left")
     return out.select("doc_id", "digest", "licence", F.coalesce(F.array_join("found", ","), F.lit("")).alias("line_licences"))
 
