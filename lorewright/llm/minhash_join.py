@@ -231,7 +231,7 @@ def _large_groups(members: DataFrame, scratch: Scratch, percent: int, width: int
         sims = seen.select("pivot", "cid", (F.col("shared") / F.col("either")).alias("sim"))
         sims = sims.join(labels.select(F.col("node").alias("cid"), "root"), "cid").join(labels.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivot")
         outside = sims.where((F.col("root") != F.col("pivot_root")) & (F.col("sim") >= reach - 1e-9)).groupBy("pivot").agg(F.max("sim").alias("closest"))
-        settled = sims.where("root = pivot_root").join(outside, "pivot", "left").where(f"closest is null or sim > closest + {1 - near + 1e-9}").select("cid")
+        settled = sims.where("root = pivot_root").join(outside, "pivot", "left").where(f"sim > coalesce(closest, {reach}) + {1 - near + 1e-9}").select("cid")  # outsiders below ``reach`` are not in ``outside``
         waiting = placed.join(largest, "grp").where("root <> main").select("grp", "cid").join(settled.union(used), "cid", "left_anti")
         waiting = scratch.save(waiting.select("grp", "cid"), f"waiting-{step}")
     raise RuntimeError("unreachable: every round settles one member at least")

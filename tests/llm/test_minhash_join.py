@@ -67,6 +67,18 @@ def test_equals_brute_force(spark, k):
         assert got(minhash_components(df, Scratch(spark, "t3"), k=k, **more)) == brute(rows, k)
 
 
+def test_large_group_that_drifts(spark):
+    rnd = random.Random(1)
+    words, rows = rnd.choices([f"w{i}" for i in range(5000)], k=100), []
+    for i in range(400):  # one chain: neighbours are similar, far members share nothing
+        rows.append((i, " ".join(words), "x", 1))
+        words[rnd.randrange(len(words))] = f"w{rnd.randrange(5000)}"
+    expected = brute(rows, 4)
+    df = spark.createDataFrame(rows, SCHEMA)
+    for pivots in (40, 8):
+        assert got(minhash_components(df, Scratch(spark, "t3"), k=4, group_limit=50, pivots=pivots)) == expected
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     rows = [(None, "a b c d e f", "x", 1), (1, "a b c d e f", "x", 1), (1, "a b c d e f", "x", 1), (2, "A b c\nd e f", "x", 1), (3, None, "x", 1)]
     out = minhash_components(spark.createDataFrame(rows, SCHEMA), Scratch(spark, "t3"), k=4).collect()
