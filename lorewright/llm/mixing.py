@@ -4,13 +4,14 @@
    are hashed word counts (``HashingTF``), the model is multinomial logistic regression; it is
    fitted on at most ``fit_rows`` labelled rows, chosen by a hash of doc_id, everything else covers
    all documents.
-2. Document rates r >= 0 are fitted by projected gradient on
+2. Document rates r >= 0 minimise
        1/2 sum_k (sum_d w_d r_d p_dk - t_k)^2 + ridge/2 sum_d w_d (r_d - 1)^2,
    where w_d is the document's share of all tokens, p_dk its posterior and t_k the target share of
-   domain k. Each step sums K numbers over all documents with a map-side combine and sends only
-   those to the driver; a step is r <- max(0, r - eta * (sum_k p_dk e_k + ridge (r - 1))), a column
-   expression. Rates are written every few steps, so expressions stay short and lost executors cost
-   little.
+   domain k. ``ridge`` is taken relative to the smallest domain's share, so it does not hold a rare
+   domain back. The minimum has r_d = max(0, 1 + sum_k mu_k p_dk) with K multipliers mu, which
+   Newton steps with a line search find: each sums the K totals and the K x K matrix
+   of the documents with r_d > 0 over all documents, with a map-side combine, and sends only those
+   to the driver. Totals that stay further than ``tolerance`` from their targets are reported.
 
 DataFrame functions and Spark's own JVM estimators only. Every row gets its
 rate: none is dropped. A document without words has no tokens and gets rate 1, a null doc_id is as
@@ -20,6 +21,9 @@ domain and gets the rate that meets its total.
 
 from __future__ import annotations
 
+import logging
+
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -33,6 +37,8 @@ from .text_native import ascii_lower, words
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = (0.90, 0.09, 0.01)
 
+_log = logging.getLogger(__name__)
+
 
 def domain_label() -> Column:
     return F.when(F.col("toxic") == 1, 2.0).when(F.col("quality") == 0, 1.0).otherwise(0.0)
@@ -75,27 +81,52 @@ def posteriors(docs: DataFrame, fitted) -> DataFrame:
     return scored.select(*docs.columns, n.alias("_tokens"), F.array(*[F.coalesce(F.get(p, i), F.lit(0.0)) for i in range(len(DOMAINS))]).alias("_p"))
 
 
-def fit_rates(rows: DataFrame, scratch: Scratch, targets: tuple[float, ...], ridge: float, steps: int, tolerance: float, every: int = 8) -> DataFrame:
-    """``rows`` (key, _tokens, _p) with ``rate``; sums over all rows, K numbers a step to the driver."""
-    k = len(targets)
+def fit_rates(rows: DataFrame, targets: tuple[float, ...], ridge: float, steps: int, tolerance: float) -> DataFrame:
+    """``rows`` (key, _tokens, _p) with ``rate``; sums over all rows, K * (K + 1) + 1 numbers a step to the driver."""
+    k, t = len(targets), np.array(targets)
     total = rows.agg(F.sum("_tokens")).first()[0] or 1.0
-    rows = rows.withColumn("rate", F.lit(1.0)).withColumn("_last", F.lit(1.0))
-    eta, momentum = 1 / (1 + ridge), 1.0
-    for step in range(1, steps + 1):
-        following = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
-        beta, momentum = (momentum - 1) / following, following
-        ahead = F.col("rate") + F.lit(beta) * (F.col("rate") - F.col("_last"))
-        rows = rows.withColumn("_ahead", ahead)
-        sums = rows.agg(*[F.sum(F.col("_tokens") / total * F.col("_ahead") * F.get("_p", i)).alias(f"s{i}") for i in range(k)]).first()
-        error = [(sums[i] or 0.0) - targets[i] for i in range(k)]
-        slope = sum((F.get("_p", i) * F.lit(float(error[i])) for i in range(k)), F.lit(0.0))
-        new = F.greatest(F.lit(0.0), F.col("_ahead") - F.lit(eta) * (slope + F.lit(ridge) * (F.col("_ahead") - 1)))
-        rows = rows.select(*[c for c in rows.columns if c not in ("rate", "_last", "_ahead")], new.alias("rate"), F.col("rate").alias("_last"))
-        if step % every == 0:
-            rows = scratch.save(rows, f"rates-{step}")
-        if max(map(abs, error)) < tolerance:
+    weight = F.col("_tokens") / total
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def rate(mu: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), sum((F.get("_p", i) * F.lit(float(mu[i])) for i in range(k)), F.lit(1.0)))
+
+    def sums(mu: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Half the squared rates, the totals, and the matrix of the documents with a rate above 0."""
+        over = rows.select(weight.alias("w"), rate(mu).alias("r"), "_p")
+        got = over.agg(
+            F.sum(F.col("w") * F.col("r") * F.col("r")),
+            *[F.sum(F.col("w") * F.col("r") * F.get("_p", i)) for i in range(k)],
+            *[F.sum(F.when(F.col("r") > 0, F.col("w") * F.get("_p", i) * F.get("_p", j))) for i, j in pairs],
+        ).first()
+        got = [x or 0.0 for x in got]
+        gram = np.zeros((k, k))
+        for (i, j), x in zip(pairs, got[1 + k :], strict=True):
+            gram[i, j] = gram[j, i] = x
+        return got[0] / 2, np.array(got[1 : 1 + k]), gram
+
+    mu = np.zeros(k)
+    squares, totals, gram = sums(mu)
+    shares = totals[totals > 0]
+    ridge *= float(shares.min()) if len(shares) else 1.0
+    value = squares
+    direction, size = None, 1.0
+    for _ in range(steps):
+        slope = totals - t + ridge * mu
+        if np.abs(slope).max() < tolerance / 100:
             break
-    return rows
+        if direction is None:
+            direction, size = -np.linalg.solve(gram + ridge * np.eye(k), slope), 1.0
+        ahead = mu + size * direction
+        there = sums(ahead)
+        reached = there[0] - float(ahead @ t) + ridge / 2 * float(ahead @ ahead)
+        if reached > value + 1e-4 * size * float(slope @ direction) + 1e-14:
+            size /= 2
+            continue
+        mu, value, (_, totals, gram), direction = ahead, reached, there, None
+    if (missed := np.abs(totals - t).max()) > tolerance:
+        _log.warning("mixing targets missed by up to %.6f: totals %s, targets %s", missed, [round(float(x), 6) for x in totals], list(targets))
+    return rows.withColumn("rate", rate(mu))
 
 
 def mix(docs: DataFrame, labels: DataFrame, scratch: Scratch, targets: tuple[float, ...] = TARGETS, ridge: float = 1e-4, steps: int = 64, tolerance: float = 2e-4, fit_rows: int = 4000) -> DataFrame:
@@ -108,7 +139,7 @@ def mix(docs: DataFrame, labels: DataFrame, scratch: Scratch, targets: tuple[flo
     fitted = fit_domains(docs, labels, fit_rows)
     pick = F.pmod(F.xxhash64("text", F.lit(29)), F.lit(1_000_000)) / F.lit(1_000_000.0)
     rows = scratch.save(posteriors(docs, fitted).withColumn("_pick", pick).drop("text"), "posteriors")
-    rated = fit_rates(rows, scratch, targets, ridge, steps, tolerance)
+    rated = fit_rates(rows, targets, ridge, steps, tolerance)
     rate = F.when(F.col("_tokens") == 0, F.lit(1.0)).otherwise(F.col("rate"))
     return rated.select(
         "doc_id",

@@ -175,3 +175,23 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.mix(frame(spark, texts).where("false"), lab, Scratch(spark, "t10"), steps=3).count() == 0
     copies = out.copies.sum() / out.rate.sum()
     assert 0.9 < copies < 1.1
+
+
+@pytest.mark.parametrize(("poor", "toxic"), [(0.3, 0.002), (0.3, 0.0005), (0.3, 0.0001), (0.001, 0.1)])
+def test_mixing_meets_its_targets_on_rare_domains(spark, monkeypatch, poor, toxic):
+    n = 20_000
+    kind = F.when(F.col("doc_id") < n * toxic, 2).when(F.col("doc_id") < n * (toxic + poor), 1).otherwise(0)
+    p = F.array(*[F.when(kind == i, 0.9998).otherwise(0.0001) for i in range(3)])
+    monkeypatch.setattr(mixing, "fit_domains", lambda *_: None)
+    monkeypatch.setattr(mixing, "posteriors", lambda docs, _: docs.select("*", F.lit(10.0).alias("_tokens"), p.alias("_p")))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    out = mixing.mix(docs, None, Scratch(spark, "t10"))
+    got = out.agg(F.min("rate"), *[F.sum(F.col("rate") * F.col(f"p_{d}")) / n for d in mixing.DOMAINS]).first()
+    assert got[0] >= 0
+    for share, target in zip(got[1:], mixing.TARGETS, strict=True):
+        assert math.isclose(share, target, abs_tol=2e-4)
+
+
+def test_mixing_reports_what_it_cannot_meet(spark, caplog):
+    mixing.mix(frame(spark, ["one good text"] * 3), spark.createDataFrame([], "doc_id long, quality int, toxic int"), Scratch(spark, "t10"))
+    assert "missed by up to 0.09" in caplog.text
