@@ -1,7 +1,7 @@
 """Streams: tailing, stateful token processing, rate limits and event-time windows.
 
 Each stateful operator is one small state object (think filter, segment buffer, bucket) kept by key,
-as JSON fields in the state row, and the same object replays a batch by ``applyInPandas`` in order.
+as JSON fields in the state row, and the same object replays a batch in order.
 State holds what is not emitted yet, never a stream's history; it goes with its key's timeout.
 """
 
@@ -124,14 +124,23 @@ DECISION_SCHEMA = "key string, request_id long, allowed boolean"
 
 
 def rate_limited_batch(requests: DataFrame, limit: int) -> DataFrame:
-    """(key, request_id, at in seconds) to decisions, in time order for each key."""
+    """(key, request_id, at in seconds) to decisions, in time order for each key.
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket = TokenBucket(limit)
-        pdf = pdf.sort_values(["at", "request_id"])
-        return pd.DataFrame({"key": key[0], "request_id": pdf["request_id"], "allowed": [bucket.allow(t) for t in pdf["at"]]})
+    Rows of a key lie together in one sorted partition; what is held is its bucket and one batch.
+    """
 
-    return requests.select("key", "request_id", "at").groupBy("key").applyInPandas(run, DECISION_SCHEMA)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, bucket = None, None
+        for pdf in batches:
+            keys, allowed = pdf["key"].astype(object).where(pdf["key"].notna(), None), []
+            for key, at in zip(keys, pdf["at"], strict=True):
+                if bucket is None or key != current:
+                    current, bucket = key, TokenBucket(limit)
+                allowed.append(bucket.allow(at))
+            yield pd.DataFrame({"key": keys, "request_id": pdf["request_id"], "allowed": allowed})
+
+    rows = requests.select("key", "request_id", "at").repartition("key")
+    return rows.sortWithinPartitions("key", F.asc_nulls_last("at"), F.asc_nulls_last("request_id")).mapInPandas(run, DECISION_SCHEMA)
 
 
 def rate_limited_stream(requests: DataFrame, limit: int, idle: str = "2 hours") -> DataFrame:

@@ -68,6 +68,21 @@ def test_bucket():
     assert [b.allow(t) for t in (0, 0, 0, 29, 30, 31, 1000, 1000, 1000)] == [True, True, False, False, True, False, True, True, False]
 
 
+def test_rate_limit_holds_no_group(spark):
+    rnd = random.Random(11)
+    rows = [(rnd.choice(["hot", "hot", "hot", "a", "b", None]), i, float(rnd.randint(0, 4000))) for i in range(600)]
+    buckets, expected = {}, set()
+    for key, i, at in sorted(rows, key=lambda r: (r[2], r[1])):
+        expected.add((key, i, buckets.setdefault(key, TokenBucket(2)).allow(at)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = S.rate_limited_batch(spark.createDataFrame(rows, "key string, request_id long, at double").repartition(5), 2)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+        assert {(r.key, r.request_id, r.allowed) for r in out.collect()} == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_stream_equals_batch(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # timeouts would keep an availableNow query going
     rnd = random.Random(3)
