@@ -90,30 +90,31 @@ def month_day(text: Column, year: Column) -> Column:
     return F.when(m != "", F.try_to_date(F.concat_ws("-", year.cast("string"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd"))
 
 
-#: Date patterns in the order in which they are tried: the first that matches decides, valid or not.
+#: Date patterns in the order in which they are tried, and the groups of year (0: none), month and day.
+#: The first that matches decides, even if its date does not exist. A day after a separator ends at its shortest form.
 DATE_PATTERNS = (
-    r"(\d{4})-(\d{1,2})-(\d{1,2})",
-    r"(\d{4})/(\d{1,2})/(\d{1,2})",
-    r"(\d{4})\.(\d{1,2})\.(\d{1,2})",
-    r"(\d{4})年(\d{1,2})月(\d{1,2})日",
-    r"(?<!\d)(20\d{2})(\d{2})(\d{2})(?!\d)",
+    (r"(20\d{2})[-/.](0?[1-9]|1[0-2])[-/.](0?[1-9]|[12]\d|3[01])", (1, 2, 3)),
+    (r"(20\d{2})\s*年\s*(0?[1-9]|1[0-2])\s*月\s*(0?[1-9]|[12]\d|3[01])\s*日", (1, 2, 3)),
+    (r"(20\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])", (1, 2, 3)),
+    (r"(20\d{2})[-/.](0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])", (1, 2, 3)),
+    (r"(0?[1-9]|1[0-2])\s*月\s*(0?[1-9]|[12]\d|3[01])\s*日", (0, 1, 2)),
 )
 
 
-def found_date(text: Column) -> Column:
-    """DT10: the date in a text."""
+def found_date(text: Column, now: Column) -> Column:
+    """DT10: the date in a text; one without a year is in that of ``now``. Empty and null texts have none."""
     out = None
-    for p in DATE_PATTERNS:
-        parts = [F.regexp_extract(text, p, i) for i in (1, 2, 3)]
-        day = F.try_to_date(F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0")), "yyyy-MM-dd")
-        hit = F.rlike(text, F.lit(p))
+    for pattern, (y, m, d) in DATE_PATTERNS:
+        year = F.regexp_extract(text, pattern, y) if y else F.year(now).cast("string")
+        day = F.try_to_date(F.concat_ws("-", year, *[F.lpad(F.regexp_extract(text, pattern, i), 2, "0") for i in (m, d)]), "yyyy-MM-dd")
+        hit = F.rlike(text, F.lit(pattern))
         out = F.when(hit, day) if out is None else out.when(hit, day)
     return out
 
 
-def found_in(*texts: Column) -> Column:
+def found_in(now: Column, *texts: Column) -> Column:
     """DT10: title, then content, then URL."""
-    return F.coalesce(*map(found_date, texts))
+    return F.coalesce(*[found_date(t, now) for t in texts])
 
 
 def iso_z(ts: Column) -> Column:

@@ -100,7 +100,7 @@ def strip_code_fence(text: Column) -> Column:
 
 def sub_questions(text: Column) -> Column:
     """ST19: the parts that follow (1), (2) ...; empty when there are none."""
-    return F.filter(F.transform(F.slice(F.split(text, r"[(（]\s*\d+\s*[)）]"), 2, 100_000), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.slice(F.split(text, r"[(（]\s*\d+\s*[)）]"), F.lit(2), F.char_length(text) + 1), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def split_question(text: Column) -> Column:

@@ -16,6 +16,11 @@ def average(x: Column) -> Column:
     return F.coalesce(F.avg(x), F.lit(0.0))
 
 
+def exact_mean(name: str) -> Column:
+    """The mean of a column of up to six decimals, from an exact sum: the same in whatever order rows come."""
+    return F.sum(F.col(name).cast("decimal(18,6)")).cast("double") / F.count(name)
+
+
 def labelled(x: Column, name: str = "unknown") -> Column:
     """Applied after grouping: null and empty stay two groups, both shown as ``name``."""
     return F.when(x.isNull() | (x == ""), F.lit(name)).otherwise(x)
@@ -44,9 +49,10 @@ def keep_newest(df: DataFrame, keys: list[str], ts: str, tiebreak: str) -> DataF
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, seed: str, n: int, keep_all: list) -> DataFrame:
     """All rows of the strata ``keep_all``, and of the others the n with the least seeded hash."""
+    whole = F.coalesce(F.col(stratum).isin(keep_all), F.lit(False))
     w = Window.partitionBy(stratum).orderBy(F.sha2(F.concat(F.col(key).cast("string"), F.lit(seed)), 256), key)
-    ranked = df.withColumn("_r", F.row_number().over(w))
-    return ranked.where(F.col(stratum).isin(keep_all) | (F.col("_r") <= n)).drop("_r")
+    ranked = df.where(~whole).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")  # cut by task before the shuffle
+    return df.where(whole).union(ranked)
 
 
 def uniformity(length: Column) -> list[Column]:

@@ -54,7 +54,10 @@ def select_book(nodes: DataFrame, edges: DataFrame, columns: list[str], stem: st
 
 def merge_extractions(rows: DataFrame) -> DataFrame:
     """One row for each entity, with the distinct sources of all of its mentions."""
-    return rows.groupBy(F.lower("entity").alias("entity")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), F.count(F.lit(1)).alias("mentions"))
+    named = rows.select(F.lower("entity").alias("entity"), "sources")
+    mentions = named.groupBy("entity").agg(F.count(F.lit(1)).alias("mentions"))
+    sources = named.select("entity", F.explode("sources").alias("source")).groupBy("entity").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    return mentions.join(sources, "entity", "left").select("entity", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), "mentions")
 
 
 def relation_type(explicit: Column, keywords: Column, description: Column, allowed: list[str]) -> Column:

@@ -31,11 +31,11 @@ def cascade(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str
 
 def copy_missing(source: DataFrame, target: DataFrame, keys: list[str], batch: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Rows to append to ``target``, and one row of totals; rows that exist are skipped, never changed."""
-    new = source.join(target.select(*keys), keys, "left_anti")
-    total = source.agg(F.count(F.lit(1)).alias("total"))
-    added = new.agg(F.count(F.lit(1)).alias("inserted"))
-    stats = total.join(added, how="cross")  # one row each
-    return new, stats.select("total", "inserted", (F.col("total") - F.col("inserted")).alias("skipped"), F.ceil(F.col("total") / batch).cast("long").alias("batches"))
+    marked = source.join(target.select(*keys).distinct().withColumn("_there", F.lit(True)), keys, "left")
+    absent = F.col("_there").isNull()
+    stats = marked.agg(F.count(F.lit(1)).alias("total"), F.count_if(absent).alias("inserted"))
+    stats = stats.select("total", "inserted", (F.col("total") - F.col("inserted")).alias("skipped"), F.ceil(F.col("total") / batch).cast("long").alias("batches"))
+    return marked.where(absent).select(*source.columns), stats
 
 
 def push_bounded(array: Column, new: Column, limit: int) -> Column:

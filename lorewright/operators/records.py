@@ -130,6 +130,13 @@ def last_user_message(messages: Column) -> Column:
     return F.coalesce(F.try_element_at(mine, F.lit(-1))["content"], F.try_element_at(messages, F.lit(-1))["content"], F.lit(""))
 
 
+def last_user_messages(messages: DataFrame, key: str, order: list[str], role: str, text: str) -> DataFrame:
+    """SUP33 over rows: each key's last user message, else its last message, else empty; one row is kept by key and task."""
+    at = F.struct(*order)
+    mine = F.max_by(F.when(F.col(role) == "user", F.col(text)), F.when(F.col(role) == "user", at))
+    return messages.groupBy(key).agg(F.coalesce(mine, F.max_by(text, at), F.lit("")).alias("message"))
+
+
 def latest_runs(runs: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
     """SUP26: the latest completed run of each key."""
     done = runs.where("status = 'completed'")

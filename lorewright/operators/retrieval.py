@@ -1,17 +1,24 @@
 """Retrieval, ranking and fusion (RET1-RET20, JN9-JN11, AGG43).
 
-Queries are a stated set: they are few beside the rows they run against, and go to every task as
-literals or, above ``MOST_LITERAL_QUERIES``, in blocks of that many. Each block scans the rows once;
-top-k is kept by task before any shuffle (``row_number() <= k`` is cut by Spark's group limit). The
-keyword scores and the rank fusion are this engine's own: BM25, and reciprocal ranks with k = 60.
+Query vectors are a stated set that runs against all rows, block by block: a block of at most
+``QUERY_BLOCK`` vectors goes to every task, and a task keeps its k best rows of each query, so only
+those are shuffled. Blocks are read one after another, whatever their number. Terms of queries
+select from the keyword index in a join. The keyword scores and the rank fusion are this engine's
+own: BM25, and reciprocal ranks with k = 60.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_LITERAL_QUERIES = 64
+from ..scratch import Scratch
+
+QUERY_BLOCK = 2048
 RRF_K = 60
 
 
@@ -40,35 +47,85 @@ def top_k(scored: DataFrame, query: str, score: str, key: str, k: int) -> DataFr
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def similarity_top_k(rows: DataFrame, key: str, vector: str, queries: list[tuple[int, list[float]]], k: int, least: float | None = None) -> DataFrame:
-    """RET5, RET6: exact cosine top-k of each query vector, in blocks of queries."""
-    out = None
-    for at in range(0, len(queries), MOST_LITERAL_QUERIES):
-        block = F.array(*[F.struct(F.lit(i).cast("long").alias("query_id"), F.array(*[F.lit(float(x)) for x in v]).alias("q")) for i, v in queries[at : at + MOST_LITERAL_QUERIES]])
-        scored = rows.select(key, vector, F.explode(block).alias("e")).select("e.query_id", key, F.round(cosine(F.col(vector), F.col("e.q")), 6).alias("score"))
-        if least is not None:
-            scored = scored.where(F.col("score") >= least)
-        best = top_k(scored, "query_id", "score", key, k)
-        out = best if out is None else out.union(best)
+def _best_of_block(held, key: str, vector: str, k: int, least: float | None):
+    """Rows (key, vector) to (query_id, key, score): a task's k best rows of each query of the block."""
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-10)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = held.value
+        q = unit(np.frombuffer(vectors, np.float64).reshape(len(ids), -1))
+        at, rows, scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        bar = np.full(len(ids), -np.inf if least is None else least)  # what a row has to reach to be among the best
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                column = part.column(vector)
+                flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                score = np.round(q @ unit(flat.reshape(part.num_rows, -1)).T, 6)
+                new_at, new = np.nonzero(score >= bar[:, None])
+                at = np.concatenate([at, new_at])
+                rows = np.concatenate([rows, part.column(key).to_numpy()[new]])
+                scores = np.concatenate([scores, score[new_at, new]])
+                order = np.lexsort((rows, -scores, at))
+                at, rows, scores = at[order], rows[order], scores[order]
+                first = np.searchsorted(at, at)
+                kept = np.arange(len(at)) - first < k
+                at, rows, scores = at[kept], rows[kept], scores[kept]
+                last = np.arange(len(at)) - np.searchsorted(at, at) == k - 1
+                bar[at[last]] = scores[last]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[at]), pa.array(rows), pa.array(scores)], ["query_id", key, "score"])
+
+    return run
+
+
+def similarity_top_k(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int, scratch: Scratch, least: float | None = None) -> DataFrame:
+    """RET5, RET6: exact cosine top-k of the rows (key, vector) for each of ``queries`` (query_id, q).
+
+    Scores are rounded to six places, equal ones ranked by key. Rows or queries without a vector are left out.
+    """
+    spark, slim = rows.sparkSession, rows.where(F.col(vector).isNotNull()).select(key, vector)
+    out, block = None, []
+
+    def search(block: list, n: int) -> DataFrame:
+        held = spark.sparkContext.broadcast(([r.query_id for r in block], np.array([r.q for r in block], np.float64).tobytes()))
+        best = slim.mapInArrow(_best_of_block(held, key, vector, k, least), f"query_id long, {key} long, score double")
+        return scratch.save(top_k(best, "query_id", "score", key, k), f"block-{n}")
+
+    n = 0
+    for r in queries.where("q is not null").select("query_id", "q").toLocalIterator():
+        block.append(r)
+        if len(block) == QUERY_BLOCK:
+            found, block, n = search(block, n), [], n + 1
+            out = found if out is None else out.union(found)
+    if block or out is None:
+        found = search(block, n) if block else spark.createDataFrame([], f"query_id long, {key} long, score double, rank int")
+        out = found if out is None else out.union(found)
     return out
 
 
-def token_table(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """term, key, tf and the document's length: the keyword index."""
-    terms = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    each = docs.select(key, terms.alias("terms"))
-    return each.select(key, F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")).where("term is not null").groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
+def terms_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+def token_table(docs: DataFrame, key: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
+    """term, key, tf and the document's length: the keyword index, of the terms ``wanted`` only if given."""
+    each = docs.select(key, terms_of(F.col(text)).alias("terms"))
+    each = each.select(key, F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")).where("term is not null")
+    if wanted is not None:
+        each = each.join(wanted, "term", "left_semi")
+    return each.groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(index: DataFrame, docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, scratch: Scratch, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """RET10: query_id, key, score, rank over ``queries`` (query_id, term).
 
-    Only terms of queries are read from the index; collection statistics are one row.
+    Only terms of queries are counted and shuffled; collection statistics are one row.
     """
-    terms = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    stats = docs.select(F.size(terms).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl")).first()  # one row
-    wanted = queries.select("query_id", "term").distinct()
-    hits = index.join(wanted.select("term").distinct(), "term", "left_semi")
+    stats = docs.select(F.size(terms_of(F.col(text))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl")).first()  # one row
+    wanted = scratch.save(queries.select("query_id", "term").distinct(), "query-terms")
+    hits = scratch.save(token_table(docs, key, text, wanted.select("term").distinct()), "hits")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(float(stats.n_docs or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(stats.avg_dl or 1.0))))
@@ -165,39 +222,55 @@ def long_web_text(text: Column) -> Column:
     return F.when(n > 2400, F.concat(F.substring(text, 1, 1200), F.lit("\n...\n"), F.right(text, F.lit(800)))).otherwise(F.substring(text, 1, 1200))
 
 
-MOST_LITERAL_TERMS = 2000
+TERM_BLOCK = 50_000
+
+
+def _contained(held):
+    """Rows (key, low) to (key, term): the distinct terms of the block that stand in each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for term in held.value:
+            automaton.add_word(term, term)
+        automaton.make_automaton()
+        for batch in batches:
+            at, found = [], []
+            for i, low in enumerate(batch.column(1).to_pylist()):
+                terms = {t for _, t in automaton.iter(low or "")}
+                at += [i] * len(terms)
+                found += terms
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], [batch.schema.names[0], "term"])
+
+    return run
 
 
-def terms_in_text(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str, pos: str) -> DataFrame:
-    """JN9, JN11: every (text, term) where the lower-cased term is a substring.
+def terms_in_text(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str, pos: str, scratch: Scratch) -> DataFrame:
+    """JN9, JN11: every (key, term, pos) where the lower-cased term is a substring of the lower-cased text.
 
-    Up to ``MOST_LITERAL_TERMS`` terms go to the scan as literals, and no text is shuffled. Longer
-    lists are filed under their first three characters, and each text looks up its distinct
-    three-character windows (and shorter ones, for terms as short): an equi-join instead of all
-    pairs, whose hits are then verified.
+    Terms are looked for by an automaton that reads each text once, in blocks of ``TERM_BLOCK`` terms:
+    no text is shuffled, and no list of terms is too long. Empty terms and null texts match nothing.
     """
-    filed = terms.select(F.lower(term).alias("_term"), F.col(pos).alias("pos")).where("_term <> ''").distinct()
-    few = filed.limit(MOST_LITERAL_TERMS + 1).collect()
-    if not few:
-        return texts.select(key, F.lit("").alias("term"), F.lit(0).cast(dict(filed.dtypes)["pos"]).alias("pos")).where("false")
-    if len(few) <= MOST_LITERAL_TERMS:
-        listed = F.array(*[F.struct(F.lit(r._term).alias("term"), F.lit(r.pos).cast(dict(filed.dtypes)["pos"]).alias("pos")) for r in few])
-        low = texts.select(key, F.lower(text).alias("_t"))
-        hits = low.select(key, F.explode(F.filter(listed, lambda x: F.contains(F.col("_t"), x["term"]))).alias("e"))
-        return hits.select(key, "e.term", "e.pos").distinct()
-    low = texts.select(key, F.lower(text).alias("_t"))
-    starts = F.sequence(F.lit(1), F.greatest(F.char_length("_t"), F.lit(1)))
-    grams = F.concat(*[F.array_distinct(F.transform(starts, lambda i, n=n: F.substr(F.col("_t"), i, F.lit(n)))) for n in (1, 2, 3)])
-    looked_up = low.select(key, F.explode(F.array_distinct(grams)).alias("gram")).where("gram <> ''")
-    found = looked_up.join(filed.withColumn("gram", F.substring("_term", 1, 3)), "gram").select(key, "_term", "pos").distinct()
-    return found.join(low, key).where(F.contains("_t", F.col("_term"))).select(key, F.col("_term").alias("term"), "pos").distinct()
-
-
-def first_concept(texts: DataFrame, key: str, text: str, concepts: DataFrame) -> DataFrame:
+    spark = texts.sparkSession
+    filed = scratch.save(terms.select(F.lower(term).alias("term"), F.col(pos).alias("pos")).where("term <> ''").distinct(), "terms")
+    low = texts.select(key, F.lower(text).alias("low"))
+    schema = f"{key} {dict(texts.dtypes)[key]}, term string"
+    out, block, n = spark.createDataFrame([], schema), [], 0
+    for r in filed.select("term").distinct().toLocalIterator():
+        block.append(r.term)
+        if len(block) == TERM_BLOCK:
+            out, block, n = out.union(scratch.save(low.mapInArrow(_contained(spark.sparkContext.broadcast(block)), schema), f"found-{n}")), [], n + 1
+    if block:
+        out = out.union(low.mapInArrow(_contained(spark.sparkContext.broadcast(block)), schema))
+    return out.join(filed, "term").select(key, "term", "pos").distinct()
+
+
+def first_concept(texts: DataFrame, key: str, text: str, concepts: DataFrame, scratch: Scratch) -> DataFrame:
     """JN9: the first concept of ``concepts`` (pos, name, alias or null) that a text names; names before aliases."""
-    names = concepts.select("pos", F.col("name").alias("term"), "name", F.lit(0).alias("kind"))
-    aliases = concepts.where("alias is not null").select("pos", F.col("alias").alias("term"), "name", F.lit(1).alias("kind"))
-    every = names.union(aliases).withColumn("id", F.col("kind") * 1_000_000_000 + F.col("pos"))
-    hits = terms_in_text(texts, key, text, every, "term", "id")
-    best = hits.groupBy(key).agg(F.min("pos").alias("id"))
-    return best.join(every.select("id", "name", "kind"), "id").select(key, "name", F.when(F.col("kind") == 0, "name").otherwise("alias").alias("by"))
+    rank = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col("pos"), F.col("name")).alias("_hit")
+    names = concepts.select(rank(0), F.col("name").alias("term"))
+    aliases = concepts.where("alias is not null").select(rank(1), F.col("alias").alias("term"))
+    hits = terms_in_text(texts, key, text, names.union(aliases), "term", "_hit", scratch)
+    best = hits.groupBy(key).agg(F.min("pos").alias("_hit"))
+    return best.select(key, "_hit.name", F.when(F.col("_hit.kind") == 0, "name").otherwise("alias").alias("by"))

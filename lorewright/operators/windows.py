@@ -30,11 +30,10 @@ def gaps_and_islands(lines: DataFrame, key: str, order: str, is_start: Column, t
     return marked.groupBy(key, "record").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("entry"))
 
 
-def fixed_windows(lines: DataFrame, key: str, at: str, size: int, overlap: int) -> DataFrame:
-    """start, end of overlapping windows over each key's lines; the last one ends at the last line."""
-    span = lines.groupBy(key).agg(F.max(at).alias("last"))
-    starts = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("last") - F.lit(overlap)), F.lit(size - overlap)))
-    return span.select(key, starts.alias("start"), "last").select(key, "start", F.least(F.col("start") + size - 1, "last").alias("end"))
+def fixed_windows(spans: DataFrame, key: str, last: str, size: int, overlap: int) -> DataFrame:
+    """start, end of overlapping windows over the lines 1 to ``last`` of each key; the last one ends at the last line."""
+    starts = F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.col(last) - F.lit(overlap)), F.lit(size - overlap).cast("long")))
+    return spans.select(key, starts.alias("start"), last).select(key, "start", F.least(F.col("start") + size - 1, last).alias("end"))
 
 
 def nearest_filled(lines: DataFrame, key: str, at: str, text: str, reach: int) -> DataFrame:

@@ -47,10 +47,10 @@ def prj7_qa_chunks(spark, sf_dir):
     return P.qa_chunks(books, "k").select("k", "chunk_index", F.array_join("title_path", "/").alias("path"), "content")
 
 
-@query("select doc_id, source || ' > ' || lang || chr(10) || chr(10) || substring(text, 1, 50) as out from documents")
+@query("select doc_id, source || ' > ' || lang || chr(10) || chr(10) || text as out from documents")
 def prj9_embedding_text(spark, sf_dir):
     """Title path before the content."""
-    return table(spark, sf_dir, "documents").select("doc_id", P.embedding_text(F.array("source", "lang"), F.substring("text", 1, 50)).alias("out"))
+    return table(spark, sf_dir, "documents").select("doc_id", P.embedding_text(F.array("source", "lang"), F.col("text")).alias("out"))
 
 
 @query("select p_partkey, p_name || ' ' || p_brand || ' ' || p_type || ' x' as out from part")
@@ -128,8 +128,7 @@ select conv_id, coalesce(u, l, '') as message from m
 """)
 def sup33_last_user_message(spark, sf_dir):
     """The last user message of a list."""
-    m = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m")
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(m).select("conv_id", P.last_user_message(F.col("m")).alias("message"))
+    return P.last_user_messages(table(spark, sf_dir, "conversations"), "conv_id", ["turn", "role"], "role", "text")
 
 
 @query("""

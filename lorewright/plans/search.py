@@ -5,26 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..scratch import Scratch
 from ..session import table
 from .registry import query
 
-N_QUERIES, K = 5, 10
+#: Queries are every row whose id is divisible by EVERY; K results are kept for each.
+EVERY, K = 20, 10
 
 _COSINE = """
-with q as (select vec_id as query_id, embedding as q from embeddings where vec_id < 5),
+with q as (select vec_id as query_id, embedding as q from embeddings where vec_id % 20 = 0),
 s as (select query_id, vec_id, round(list_dot_product(q::double[], embedding::double[]) / greatest(sqrt(list_dot_product(q::double[], q::double[])) * sqrt(list_dot_product(embedding::double[], embedding::double[])), 1e-10), 6) as score
       from q, embeddings),
 v as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 """
 
 
-def _queries(spark, sf_dir) -> list[tuple[int, list[float]]]:
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < N_QUERIES).select("vec_id", "embedding").collect()  # N_QUERIES rows
-    return [(r.vec_id, list(r.embedding)) for r in sorted(rows)]
-
-
-def _vector(spark, sf_dir, k=K):
-    return R.similarity_top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _queries(spark, sf_dir), k)
+def _vector(spark, sf_dir, least=None):
+    rows = table(spark, sf_dir, "embeddings")
+    queries = rows.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return R.similarity_top_k(rows, "vec_id", "embedding", queries, K, Scratch(spark, "vectors"), least)
 
 
 @query(_COSINE + "select query_id, vec_id, score, rank from v where rank <= 10")
@@ -36,14 +35,18 @@ def ret5_vector_top_k(spark, sf_dir):
 @query(_COSINE + "select query_id, vec_id, score, rank from v where rank <= 10 and score >= 0.2")
 def ret6_threshold(spark, sf_dir):
     """Top-k above a threshold."""
-    return R.similarity_top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _queries(spark, sf_dir), K, least=0.2)
+    return _vector(spark, sf_dir, least=0.2)
 
 
-@query("select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double * x::double)), 4) > 0 as filled, len(embedding)::bigint as n from embeddings")
+@query("""
+with n as (select vec_id, embedding, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings),
+e as (select vec_id, n, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as dim from n)
+select vec_id, dim, round(case when n = 0 then x else (x / n)::float end::double, 5) as x from e
+""")
 def ret4_normalised(spark, sf_dir):
-    """Unit vectors: their length is 1 where the vector is not zero."""
+    """Unit vectors, by dimension; a zero vector stays."""
     unit = R.l2_normalised(F.col("embedding"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", (F.round(R.norm(unit), 4) == 1).alias("filled"), F.size(unit).cast("long").alias("n"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(unit).alias("dim", "x")).select("vec_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 _BM25 = r"""
@@ -51,7 +54,7 @@ with t as (select doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p
 st as (select count(*) as n_docs, avg(len(terms)) as avg_dl from t),
 i as (select doc_id, len(terms) as dl, unnest(terms) as term from t),
 tf as (select term, doc_id, dl, count(*) as tf from i group by all),
-q as (select distinct item_id as query_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) as term from benchmark where item_id < 5),
+q as (select distinct item_id as query_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) as term from benchmark where item_id % 20 = 0),
 df as (select term, count(*) as df from tf group by 1),
 s as (select query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 6) as score
       from q join tf using (term) join df using (term), st group by 1, 2),
@@ -59,11 +62,10 @@ k as (select *, row_number() over (partition by query_id order by score desc, do
 """
 
 
-def _keyword(spark, sf_dir, k=K):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    terms = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    queries = table(spark, sf_dir, "benchmark").where(F.col("item_id") < N_QUERIES).select(F.col("item_id").alias("query_id"), F.explode(terms).alias("term"))
-    return R.bm25(R.token_table(docs, "doc_id", "text"), docs, "doc_id", "text", queries, k)
+def _keyword(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").where(F.col("item_id") % EVERY == 0)
+    queries = items.select(F.col("item_id").alias("query_id"), F.explode(R.terms_of(F.col("text"))).alias("term"))
+    return R.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", queries, K, Scratch(spark, "keywords"))
 
 
 @query(_BM25 + "select query_id, doc_id, score, rank from k where rank <= 10")
@@ -74,7 +76,7 @@ def ret10_keyword_top_k(spark, sf_dir):
 
 @query(
     _BM25.rstrip().removesuffix(")").replace("with t as", "with recursive t as") + """),
-q2 as (select vec_id as query_id, embedding as q from embeddings where vec_id < 5),
+q2 as (select vec_id as query_id, embedding as q from embeddings where vec_id % 20 = 0),
 s2 as (select query_id, vec_id as doc_id, round(list_dot_product(q::double[], embedding::double[]) / greatest(sqrt(list_dot_product(q::double[], q::double[])) * sqrt(list_dot_product(embedding::double[], embedding::double[])), 1e-10), 6) as score from q2, embeddings),
 v2 as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s2),
 u as (select query_id, doc_id, rank, score as vector_score, null::double as keyword_score from v2 where rank <= 10 union all select query_id, doc_id, rank, null, score from k where rank <= 10),
@@ -126,7 +128,7 @@ def jn9_first_concept(spark, sf_dir):
     """The first concept that a text names."""
     words = F.split("text", " ")
     concepts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), F.lower(F.concat(F.get(words, 0), F.lit(" "), F.get(words, 1))).alias("name"), F.lit(None).cast("string").alias("alias"))
-    return R.first_concept(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", concepts).select("doc_id", "name")
+    return R.first_concept(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", concepts, Scratch(spark, "concepts")).select("doc_id", "name")
 
 
 @query("""

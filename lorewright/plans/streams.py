@@ -18,7 +18,7 @@ from .registry import query
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of each conversation's texts as a token stream."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "(?<= )", -1)).alias("p", "token_text"))
-    return rows.select(F.col("conv_id").cast("string").alias("chat_id"), (F.col("turn") * 1_000_000 + F.col("p")).alias("token_index"), "token_text")
+    return rows.select(F.col("conv_id").cast("string").alias("chat_id"), (F.shiftleft("turn", 32) + F.col("p")).alias("token_index"), "token_text")
 
 
 @query()
@@ -79,8 +79,8 @@ select doc_id, s.s as start, least(s.s + 19, last) as "end" from l, lateral (sel
 """)
 def win14_line_windows(spark, sf_dir):
     """Overlapping windows of twenty lines."""
-    lines = readers.numbered_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return W.fixed_windows(lines, "doc_id", "line_no", 20, 5)
+    spans = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("last"))
+    return W.fixed_windows(spans, "doc_id", "last", 20, 5)
 
 
 @query()
@@ -154,21 +154,36 @@ def dt2_weekdays(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", C.weekday_expression(F.lit("next friday"), day).alias("next_friday"), fifth.alias("fifth_friday"), C.iso_z(F.col("o_orderdate")).alias("iso"))
 
 
-@query("""
-with t as (select o_orderkey, 'on ' || case o_orderkey % 3 when 0 then strftime(o_orderdate, '%Y-%m-%d') when 1 then strftime(o_orderdate, '%Y/%m/%d') else '2024-02-30' end || ' and 2020-01-01' as s from orders)
-select o_orderkey, try_cast(nullif(replace(regexp_extract(s, '\\d{4}[-/]\\d{2}[-/]\\d{2}'), '/', '-'), '') as date) as found from t where o_orderkey % 3 <> 1
-""")
+_DATED = """
+with t as (select o_orderkey, 'on ' || case o_orderkey % 7 when 0 then strftime(o_orderdate + interval 9 year, '%Y-%m-%d') when 1 then strftime(o_orderdate + interval 9 year, '%Y/%m/%d')
+             when 2 then '2024年02月30日' when 3 then strftime(o_orderdate + interval 9 year, '%Y%m%d') when 4 then strftime(o_orderdate + interval 9 year, '%Y/%m%d')
+             when 5 then strftime(o_orderdate, '%m月%d日') else 'no day' end || ' or so' as s from orders),
+"""
+
+def _date_sql() -> str:
+    cases = " ".join(
+        f"when regexp_matches(s, '{p}') then " + "try_cast(" + (f"regexp_extract(s, '{p}', {y})" if y else "'2024'") + "".join(f" || '-' || lpad(regexp_extract(s, '{p}', {i}), 2, '0')" for i in (m, d)) + " as date)"
+        for p, (y, m, d) in C.DATE_PATTERNS
+    )
+    return _DATED.rstrip().rstrip(",") + f" select o_orderkey, case {cases} end as found from t"
+
+
+@query(_date_sql())
 def dt10_found_dates(spark, sf_dir):
     """The first date pattern that matches decides, even if its date is impossible."""
-    r = F.col("o_orderkey") % 3
-    s = F.concat(F.lit("on "), F.when(r == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(r == 1, F.date_format("o_orderdate", "yyyy/MM/dd")).otherwise("2024-02-30"), F.lit(" and 2020-01-01"))
-    return table(spark, sf_dir, "orders").where(r != 1).select("o_orderkey", C.found_in(s).alias("found"))
+    day, r = F.col("o_orderdate") + F.expr("interval 9 years"), F.col("o_orderkey") % 7
+    forms = {0: F.date_format(day, "yyyy-MM-dd"), 1: F.date_format(day, "yyyy/MM/dd"), 2: F.lit("2024年02月30日"), 3: F.date_format(day, "yyyyMMdd"), 4: F.date_format(day, "yyyy/MMdd"), 5: F.date_format("o_orderdate", "MM月dd日")}
+    form = F.lit("no day")
+    for k, v in forms.items():
+        form = F.when(r == k, v).otherwise(form)
+    s = F.concat(F.lit("on "), form, F.lit(" or so"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", C.found_in(F.lit("2024-06-01").cast("date"), s).alias("found"))
 
 
 @query()
 def tx7_normalised(spark, sf_dir):
     """Formula text normalised."""
-    t = F.concat(F.lit(r"\( x "), F.substring("text", 1, 20), F.lit(r" \) and \boxed{y}"))
+    t = F.concat(F.lit(r"\( x "), F.col("text"), F.lit(r" \) and \boxed{y}"))
     return table(spark, sf_dir, "documents").select("doc_id", tex.normalised(t).alias("out"))
 
 

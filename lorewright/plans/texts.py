@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import filters as L
+from ..scratch import Scratch
 from ..session import table
 from .registry import query
 
@@ -42,23 +43,26 @@ text_query("st20_proof", "Proof or not.", T.is_proof, "regexp_matches(text, '(?i
 text_query("st22_list_markers", "List markers go.", T.strip_list_markers, r"regexp_replace(text, '(?m)^([ \t]*)(?:[-*+])[ \t]+', '\1', 'g')")
 text_query("st36_math", "Mathematical signs.", T.has_math, r"regexp_matches(text, '[=+×÷√∑∫≤≥≠∞π^]|\\[a-zA-Z]+|\d\s*[-*/]\s*\d')")
 text_query("st37_title", "Normal title.", lambda t: T.normal_title(F.get(F.split(t, "\n"), 0)), r"lower(regexp_replace(regexp_replace(regexp_replace(split_part(text, chr(10), 1), '^\s*#+\s*', ''), '[*_`]', '', 'g'), '\s+', '', 'g'))")
-text_query("st38_page", "Title without page number.", lambda t: T.without_page(F.concat(F.substring(t, 1, 20), F.lit(" ... 12"))), r"rtrim(regexp_replace(substring(text, 1, 20) || ' ... 12', '[\s.·…]*\s\d+\s*$', ''))")
+text_query("st38_page", "Title without page number.", lambda t: T.without_page(F.concat(t, F.lit(" ... 12"))), r"rtrim(regexp_replace(text || ' ... 12', '[\s.·…]*\s\d+\s*$', ''))")
 text_query("st48_sentences", "Sentences, counted.", lambda t: F.size(T.sentences(t)).cast("long"), r"len(list_filter(string_split_regex(text, '[?？!！。；;\n]'), lambda x: trim(x, ' ') <> ''))::bigint")
 text_query("prj4_shortened", "Cut with an ellipsis.", lambda t: T.shortened(t, 120), r"case when length(regexp_replace(text, '\n+', ' ', 'g')) > 120 then substring(regexp_replace(text, '\n+', ' ', 'g'), 1, 120) || '…' else regexp_replace(text, '\n+', ' ', 'g') end")
 text_query("st21_speech", "Markdown to speech.", T.speech_text, None)
 text_query("st41_body", "Clean body.", T.clean_body, None)
-text_query("st15_fence", "Fence stripped.", lambda t: T.strip_code_fence(F.concat(F.lit("```json\n"), F.substring(t, 1, 50), F.lit("\n```"))), None)
+text_query("st15_fence", "Fence stripped.", lambda t: T.strip_code_fence(F.concat(F.lit("```json\n"), t, F.lit("\n```"))), "trim(text, ' ')")
 text_query("st34_alias", "Label by alias.", lambda t: T.alias_of(F.col("lang"), {"en": "english", "fr": "french"}, "general"), "case lang when 'en' then 'english' when 'fr' then 'french' else 'general' end")
 
 
 @query("""
-select conv_id, turn, case when role = 'user' and length(text) % 2 = 0 then text else 'plain' end as out from conversations
+with r as (select *, case when turn % 4 = 0 then '' when turn % 4 = 1 then text || text || text || text when turn % 4 = 2 then lower(text) else '什么是 ' || text end as new from conversations where text is not null),
+l as (select *, case when regexp_matches(text, '[一-鿿]') then 'zh' when regexp_matches(text, '[A-Za-z]') then 'en' else '' end as a,
+        case when regexp_matches(new, '[一-鿿]') then 'zh' when regexp_matches(new, '[A-Za-z]') then 'en' else '' end as b from r)
+select conv_id, turn, case when trim(new, ' ') = '' or (a <> '' and b <> '' and a <> b) or length(trim(new, ' ')) > greatest(80, 3 * length(text)) then text else trim(new, ' ') end as out from l
 """)
 def st25_guarded_rewrite(spark, sf_dir):
-    """An empty rewrite is refused, a good one taken."""
-    rows = table(spark, sf_dir, "conversations").where("text is not null")
-    original = F.when((F.col("role") == "user") & (F.char_length("text") % 2 == 0), F.col("text")).otherwise(F.lit("plain"))
-    return rows.select("conv_id", "turn", T.guarded_rewrite(original, F.lit("")).alias("out"))
+    """Empty rewrites, answers and rewrites in another language are refused, good ones taken."""
+    t, kind = F.col("text"), F.col("turn") % 4
+    new = F.when(kind == 0, "").when(kind == 1, F.concat(t, t, t, t)).when(kind == 2, F.lower(t)).otherwise(F.concat(F.lit("什么是 "), t))
+    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", T.guarded_rewrite(t, new).alias("out"))
 
 
 @query("""
@@ -72,22 +76,22 @@ def fil16_consistent_sentences(spark, sf_dir):
 
 
 @query(r"""
-with w as (select * from (values (1, 'idiot'), (2, 'the'), (3, 'ouan'), (4, 'É')) v(pos, term)),
+with w as (select item_id as pos, lower(split_part(text, ' ', 3)) as term from benchmark union all values (-1, 'idiot'), (-2, 'ouan'), (-3, 'é')),
 d as (select doc_id, ' ' || regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '  ', 'g') || ' ' as padded, lower(text) as low from documents)
-select doc_id, pos from d, w where case when regexp_matches(lower(term), '^[a-z0-9]+$') then contains(padded, ' ' || lower(term) || ' ') else contains(low, lower(term)) end
+select doc_id, pos from d, w where term <> '' and case when regexp_matches(term, '^[a-z0-9]+$') then contains(padded, ' ' || term || ' ') else contains(low, term) end
 """)
 def jn11_sensitive_words(spark, sf_dir):
     """Sensitive words: whole words for plain terms, substrings otherwise."""
     from ..operators.retrieval import terms_in_text
 
-    terms = spark.createDataFrame([(1, "idiot"), (2, "the"), (3, "ouan"), (4, "É")], "pos long, term string")
+    listed = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), F.get(F.split("text", " "), 2).alias("term"))
+    terms = listed.union(spark.createDataFrame([(-1, "idiot"), (-2, "ouan"), (-3, "É")], "pos long, term string"))
     rows = docs(spark, sf_dir).select("doc_id", "text")
-    hits = terms_in_text(rows, "doc_id", "text", terms, "term", "pos")
+    hits = terms_in_text(rows, "doc_id", "text", terms, "term", "pos", Scratch(spark, "words"))
     return hits.join(rows, "doc_id").where(T.word_or_substring(F.col("text"), F.col("term"))).select("doc_id", "pos")
 
 
-@query("""
-select event_id, case (event_id % 100) when 0 then 'clear sky' when 3 then 'overcast' when 45 then 'fog' when 61 then 'light rain' when 95 then 'thunderstorm' else 'other' end as weather,
+@query("select event_id, case (event_id % 100) " + " ".join(f"when {k} then '{v}'" for k, v in N.WEATHER.items()) + """ else 'unknown' end as weather,
        (['north', 'north-east', 'east', 'south-east', 'south', 'south-west', 'west', 'north-west'])[1 + (floor((value * 3.6 - 360 * floor(value * 3.6 / 360) + 22.5) / 45)::int % 8)] as wind,
        case when isodow(ts) - 1 < 5 and (hour(ts) between 7 and 9 or hour(ts) between 17 and 19) then 'high' when hour(ts) between 10 and 20 then 'medium' else 'low' end as rush
 from events
@@ -95,8 +99,7 @@ from events
 def mx1_codes(spark, sf_dir):
     """Weather codes, wind sectors and rush hours (MX1, MX2, DT13)."""
     code = F.col("event_id") % 100
-    weather = F.when(code.isin(0, 3, 45, 61, 95), N.weather_text(code)).otherwise("other")
-    return table(spark, sf_dir, "events").select("event_id", weather.alias("weather"), N.wind_sector(F.col("value") * 3.6).alias("wind"), N.rush_level(F.col("ts")).alias("rush"))
+    return table(spark, sf_dir, "events").select("event_id", N.weather_text(code).alias("weather"), N.wind_sector(F.col("value") * 3.6).alias("wind"), N.rush_level(F.col("ts")).alias("rush"))
 
 
 @query("""
