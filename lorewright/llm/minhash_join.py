@@ -3,27 +3,27 @@
 Every document is the set of its distinct k-word shingles. Equal sets form one class, and only
 classes take part. A class has ``width`` MinHash tokens, its signature.
 
-1. Candidates, on signatures. Each of several independent trees starts with all classes in one node;
-   a node picks one or two of the token positions (1.25 on average, 1 / 0.8) and sends each class to
-   one child for each picked position, named by the class's token there. A pair of similarity 0.8
-   stays together in at least one child about as often as not to die out, and the trees are repeated
-   so that the chance to miss it in all of them is below 1e-3. Nodes of at most ``leaf`` classes are
-   compared exhaustively in one task and leave a spanning forest of their pairs. In a larger node every class is compared with one pivot. Distances of
-   signatures obey the triangle inequality, so a class near the pivot matters again only to classes
-   in the ring between the cut and twice its distance; without such classes it leaves the node,
-   joined to the pivot. A group of near copies of any size so costs one comparison for each member.
-   What remains branches; at ``depth`` a node that is still large is joined as a whole.
+1. Candidates, on signatures. Each of several independent trees starts with all classes in one
+   node; a node picks one or two of the token positions (1.25 on average, 1 / 0.8) and sends each
+   class to one child for each picked position, named by the class's token there. A pair of
+   similarity 0.8 stays together in at least one child about as often as not to die out, and
+   ``trees`` independent trees make a loss in all of them rare. Nodes of at most ``leaf`` classes
+   are compared exhaustively in one task; larger ones branch again. A node that is still large at
+   ``depth`` is joined as a whole, so no pair is lost there.
 2. Candidate pairs are contracted to candidate groups, in Spark. Each class's full set goes to its
    group once.
-3. Links are confirmed on full sets. A group of up to ``group_limit`` classes and ``group_shingles``
-   shingles is worked off in one task, likeliest pairs first, leaving out pairs that are already connected. Larger groups stay
-   spread: in rounds, a bounded number of pivots is compared with all members, until every member
-   is in the group's largest component, or has been a pivot itself, or is shown by the triangle
-   inequality to have no partner outside its pivot's component. No case is dropped.
-
-Rows: every input row gives one output row. A row without words has an empty set and stays alone. A
-row without ``doc_id`` can't be named as a partner: it has no component and is kept. Repeated rows
-share their component. Columns other than ``doc_id`` and ``text`` are not looked at.
+3. Links are confirmed on full sets, all of a group's: a group of up to ``group_limit`` classes and
+   ``group_shingles`` shingles is searched breadth first in one task. Larger groups stay spread.
+   Their members are first dealt into buckets of that size, ``rounds`` times by another token, so
+   that similar ones mostly meet; every bucket is searched. Then members outside the group's
+   largest component are compared with all its members, block by block. What is left apart has no
+   link: no case is dropped, and only members that a few rounds leave outside meet the whole group.
+
+Rows: every input row gives one output row, an empty table none. A row without words has an empty
+set and stays alone. A row without ``doc_id`` can't be named as a partner: it has no component and is
+kept. Repeated rows share their component. Very long texts are read whole; their signatures are made
+in slices. A similarity equal to the threshold links. Columns other than ``doc_id`` and ``text`` are
+not looked at.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
@@ -105,164 +105,185 @@ def _setter(k: int):
                     kept.append(at)
                     sets.append(data)
             rows = batch.take(pa.array(kept, pa.int64()))
-            names = ["grp", "large", "cid", "sig"]
-            yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), pa.array(sets, pa.binary())], [*names, "shingles"])
+            names = ["grp", "pieces", "cid", "sig", "n"]
+            yield pa.RecordBatch.from_arrays([*(rows.column(x) for x in names), pa.array(sets, pa.binary())], [*names, "shingles"])
 
     return run
 
 
-def _shared(x: bytes, y: bytes) -> tuple[int, int]:
-    """Sizes of the intersection and of the union."""
-    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    both = len(np.intersect1d(p, q, assume_unique=True))
-    return both, len(p) + len(q) - both
-
-
-def _split_group(rows: list[tuple[bytes, bytes, bytes]], percent: int, cut: float, width: int) -> list[int]:
-    """The position of each row's root, for the (cid, sig, shingles) rows of one candidate group."""
-    root = list(range(len(rows)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    if len(rows) == 2:
-        pairs = [(0, 1)]
-    else:
-        g = np.frombuffer(b"".join(r[1] for r in rows), np.int32).reshape(-1, width)
-        agree = [(g[i] == g[i + 1 :]).sum(axis=1) for i in range(len(rows) - 1)]
-        found = [(-int(n), i, i + 1 + int(j)) for i, row in enumerate(agree) for j, n in ((j, row[j]) for j in np.flatnonzero(row >= cut * width))]
-        pairs = [(i, j) for _, i, j in sorted(found)]
-    for i, j in pairs:
-        a, b = find(i), find(j)
-        if a != b:
-            both, either = _shared(rows[i][2], rows[j][2])
-            if 100 * both >= percent * either:
-                root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(rows))]
+def _runs(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[tuple]]:
+    """The rows of each value of ``key``, for rows sorted by it; one value's rows are held at a time."""
+    key, rows = None, []
+    for batch in batches:
+        for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", *columns)), strict=True):
+            if k != key and rows:
+                yield rows
+                rows = []
+            key = k
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _paired(found: Iterator[list[tuple[bytes, bytes]]], names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    """Lists of pairs as batches of some ten thousand."""
+    ready: list[tuple[bytes, bytes]] = []
+    for pairs in found:
+        ready += pairs
+        if len(ready) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in ready], pa.binary()) for i in (0, 1)], list(names))
+            ready = []
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in ready], pa.binary()) for i in (0, 1)], list(names))
+
+
+def exact_roots(sets: list[np.ndarray], percent: int) -> list[int]:
+    """For each of some non-empty sets the position of the first one that links reach, itself included.
+
+    Breadth first: a set is marked in the vocabulary of all, and one pass over the sets not reached
+    yet counts what they share with it.
+    """
+    n, root = len(sets), np.arange(len(sets))
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    mark = np.zeros(int(flat.max()) + 1, bool)
+    left, part, at = np.arange(n), flat, bounds[:-1]
+    reached = np.zeros(n, bool)
+    for first in range(n):
+        queue = [] if reached[first] else [first]
+        reached[first] = True
+        while queue:
+            keep = ~reached[left]
+            if 2 * keep.sum() < len(left):
+                part, left = part[np.repeat(keep, sizes[left])], left[keep]
+                at = np.cumsum(sizes[left]) - sizes[left]
+            if not len(left):
+                break
+            x = queue.pop()
+            mark[flat[bounds[x] : bounds[x + 1]]] = True
+            shared = np.add.reduceat(mark[part], at, dtype=np.int64)
+            mark[flat[bounds[x] : bounds[x + 1]]] = False
+            near = left[(100 * shared >= percent * (sizes[x] + sizes[left] - shared)) & ~reached[left]]
+            reached[near] = True
+            root[near] = first
+            queue += near.tolist()
+    return root.tolist()
 
 
-def _splitter(percent: int, cut: float, width: int):
-    """Rows sorted by group to (cid, root)."""
+def _splitter(percent: int):
+    """Rows (key, cid, shingles) sorted by key to (cid, root), the root within its key."""
 
-    def done(rows: list) -> pa.RecordBatch:
-        rows = list({r[0]: r for r in rows}.values())  # repeated input rows give a set twice
-        roots = _split_group(rows, percent, cut, width) if len(rows) > 1 else [0]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([rows[x][0] for x in roots], pa.binary())], ["cid", "root"])
+    def split(rows: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+        rows = sorted(dict(rows).items())  # repeated input rows give a set twice
+        roots = exact_roots([np.frombuffer(x, np.uint64) for _, x in rows], percent) if len(rows) > 1 else [0]
+        return [(cid, rows[r][0]) for (cid, _), r in zip(rows, roots, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, ready, n = None, [], [], 0
-        for batch in batches:
-            for grp, *row in zip(*(batch.column(c).to_pylist() for c in ("grp", "cid", "sig", "shingles")), strict=True):
-                if grp != group and rows:
-                    ready.append(done(rows))
-                    n += len(rows)
-                    rows = []
-                    if n > 10_000:
-                        yield pa.Table.from_batches(ready).combine_chunks().to_batches()[0]
-                        ready, n = [], 0
-                group = grp
-                rows.append(row)
-        if rows:
-            ready.append(done(rows))
-        if ready:
-            yield pa.Table.from_batches(ready).combine_chunks().to_batches()[0]
+        yield from _paired(map(split, _runs(batches, "cid", "shingles")), ("cid", "root"))
 
     return run
 
 
-def _against(held, cut: float, width: int):
-    """Members of large groups to (pivot, cid, shared, either) for the held pivots of their group."""
+def _outsiders(percent: int):
+    """Rows (key, side, root, shingles) sorted by key and side, where side 0 is a block of outsiders and
+    side 1 members of their group, to the pairs of roots that links between the two join."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[bytes, tuple[list, np.ndarray]] = {}
-        for grp, cid, sig, data in held.value:
-            own.setdefault(grp, ([], []))[0].append((cid, data))
-            own[grp][1].append(np.frombuffer(sig, np.int32))
-        for batch in batches:
-            out = []
-            for grp, cid, sig, data in zip(*(batch.column(c).to_pylist() for c in ("grp", "cid", "sig", "shingles")), strict=True):
-                pivots, signatures = own.get(grp, ([], []))
-                if pivots:
-                    agree = (np.array(signatures) == np.frombuffer(sig, np.int32)).mean(axis=1)
-                    out += [(pivots[i][0], cid, *_shared(pivots[i][1], data)) for i in np.flatnonzero(agree >= cut) if pivots[i][0] != cid]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            types = [pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["pivot", "cid", "shared", "either"])
-
-    return run
+    def indexed(block: list[tuple[bytes, np.ndarray]]):
+        sets = [x for _, x in block]
+        vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        return vocabulary, flat, sizes, np.cumsum(sizes) - sizes, np.zeros(len(vocabulary), bool)
 
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, bytes]]]:
+        key, block, held, up = None, [], None, {}
 
-def _large_groups(members: DataFrame, scratch: Scratch, percent: int, width: int, pivots: int) -> DataFrame:
-    """(cid, root) for the members (grp, large, cid, sig, shingles) of groups too large for one task.
+        def find(x: bytes) -> bytes:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
 
-    ``pivots`` full sets are held in the first round, four and sixteen times as many in the next
-    ones, and 32 MB of them at most (one at least).
-    """
-    near = percent / 100
-    reach = 2 * near - 1
-    ids = scratch.save(members.select("grp", "cid").distinct(), "large-ids")
-    seen, labels, used = None, None, None
-    waiting = ids
-    for step in range(1, 100_000):
-        ranked = waiting.select("grp", "cid", F.row_number().over(Window.partitionBy("grp", F.pmod(F.xxhash64("cid", F.lit(3)), F.lit(64))).orderBy(F.xxhash64("cid", F.lit(step)))).alias("r"))
-        most = pivots * 4 ** min(step - 1, 2)  # what is left after a round has few near members: more pivots at once stay cheap
-        chosen = ranked.where(F.col("r") <= most).orderBy("r", F.xxhash64("cid", F.lit(step))).limit(most)
-        chosen = scratch.save(chosen.select("grp", "cid"), f"pivots-{step}")
-        rows, size = [], 0
-        for r in members.select("grp", "cid", "sig", "shingles").join(F.broadcast(chosen.select("cid")), "cid", "left_semi").dropDuplicates(["cid"]).select("grp", "cid", "sig", "shingles").toLocalIterator():
-            if rows and size + len(r.shingles) > 32 << 20:
-                break
-            rows.append((bytes(r.grp), bytes(r.cid), bytes(r.sig), bytes(r.shingles)))
-            size += len(r.shingles)
-        if not rows:
-            return labels.select(F.col("node").alias("cid"), "root")
-        held = members.sparkSession.sparkContext.broadcast(rows)
-        now = members.select("grp", "cid", "sig", "shingles").mapInArrow(_against(held, reach - 0.2, width), "pivot binary, cid binary, shared long, either long")
-        now = scratch.save(now, f"against-{step}")
-        own = members.sparkSession.createDataFrame([(r[1],) for r in rows], "cid binary")
-        seen, used = (now, own) if seen is None else (seen.union(now), used.union(own))
-        links = seen.where(f"100 * shared >= {percent} * either").select(F.col("pivot").alias("a"), F.col("cid").alias("b"))
-        labels = components(links.union(ids.select(F.col("cid").alias("a"), F.col("cid").alias("b"))), scratch, f"large-{step}")
-        placed = ids.join(labels, ids.cid == labels.node).select("grp", "cid", "root")
-        largest = placed.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
-        sims = seen.select("pivot", "cid", (F.col("shared") / F.col("either")).alias("sim"))
-        sims = sims.join(labels.select(F.col("node").alias("cid"), "root"), "cid").join(labels.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivot")
-        outside = sims.where((F.col("root") != F.col("pivot_root")) & (F.col("sim") >= reach - 1e-9)).groupBy("pivot").agg(F.max("sim").alias("closest"))
-        settled = sims.where("root = pivot_root").join(outside, "pivot", "left").where(f"sim > coalesce(closest, {reach}) + {1 - near + 1e-9}").select("cid")  # outsiders below ``reach`` are not in ``outside``
-        waiting = placed.join(largest, "grp").where("root <> main").select("grp", "cid").join(settled.union(used), "cid", "left_anti")
-        waiting = scratch.save(waiting.select("grp", "cid"), f"waiting-{step}")
-    raise RuntimeError("unreachable: every round settles one member at least")
-
-
-def _agreement(width: int, least: float):
-    """Pairs with the part of their signatures that agrees, from ``least`` on."""
+        for batch in batches:
+            found = []
+            for k, side, root, data in zip(*(batch.column(c).to_pylist() for c in ("key", "side", "root", "shingles")), strict=True):
+                if k != key:
+                    key, block, held, up = k, [], None, {}
+                own = np.frombuffer(data, np.uint64)
+                if side == 0:
+                    block.append((root, own))
+                    continue
+                if held is None:
+                    held = indexed(block)
+                vocabulary, flat, sizes, at, mark = held
+                here = np.searchsorted(vocabulary[:-1], own)  # one past the others is the last one's place
+                here = here[vocabulary[here] == own]
+                mark[here] = True
+                shared = np.add.reduceat(mark[flat], at, dtype=np.int64)
+                mark[here] = False
+                for i in np.flatnonzero(100 * shared >= percent * (sizes + len(own) - shared)):
+                    a, b = find(block[i][0]), find(root)
+                    if a != b:
+                        up[max(a, b)] = min(a, b)
+                        found.append((block[i][0], root))
+            yield found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sim = np.empty(0)
-            if batch.num_rows:
-                p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, width) for c in ("ga", "gb"))
-                sim = (p == q).mean(axis=1)
-            rows = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim)], ["a", "b", "sim"])
-            yield rows.filter(pa.array(sim >= least)) if batch.num_rows else rows
+        yield from _paired(links(batches), ("a", "b"))
 
     return run
 
 
-def _tokens(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.int32)
-            offsets = np.arange(0, len(flat) + 1, width, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("cid"), *([batch.column("node")] if "node" in batch.schema.names else []), pa.ListArray.from_arrays(offsets, pa.array(flat))],
-                ["cid", *(["node"] if "node" in batch.schema.names else []), "tokens"],
-            )
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of one ``key`` together and in one task: keys are made for groups of bounded size."""
+    order = ["key", "side"] if "side" in rows.columns else ["key"]
+    return rows.repartition("key").sortWithinPartitions(*order)
 
-    return run
+
+def _large_groups(members: DataFrame, scratch: Scratch, percent: int, width: int, limit: int, shingles: int, rounds: int) -> DataFrame:
+    """(cid, root) for the members (grp, pieces, cid, sig, n, shingles) of groups too large for one task.
+
+    ``pieces`` is the number of tasks' worth of members that the group has.
+    """
+    members = members.dropDuplicates(["cid"])
+    ids = scratch.save(members.select("grp", "pieces", "cid", "sig", "n"), "large-ids")
+    sets = members.select("cid", "shingles")
+
+    def pieces(count: str, total: str) -> Column:
+        return F.ceil(F.greatest(F.col(count) / limit, F.col(total) / shingles)).cast("long")
+
+    turns = ids.select("grp", "cid", "sig", "n", F.explode(F.array(*map(F.lit, range(1, rounds + 1)))).alias("turn"))
+    at = F.pmod(F.xxhash64("grp", "turn"), F.lit(width)).cast("int")
+    turns = turns.select("cid", "n", "turn", F.xxhash64("grp", "turn", _token(F.col("sig"), at)).alias("bucket"))
+    sizes = turns.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("total")).where("many > 1")
+    keys = turns.join(sizes, "bucket").select("cid", F.xxhash64("bucket", F.pmod(F.xxhash64("cid", "turn"), pieces("many", "total"))).alias("key"))
+    met = _dealt(scratch.save(keys, "large-buckets").join(sets, "cid").select("key", "cid", "shingles"))
+    stars = scratch.save(met.mapInArrow(_splitter(percent), "cid binary, root binary"), "large-stars")
+    labels = components(stars.select(F.col("cid").alias("a"), F.col("root").alias("b")), scratch, "large")
+    placed = ids.join(labels, ids.cid == labels.node, "left").select("grp", "pieces", "cid", "n", F.coalesce("root", "cid").alias("root"))
+    placed = scratch.save(placed, "large-placed")
+    largest = placed.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    outside = scratch.save(placed.join(largest, "grp").where("root <> main").drop("main"), "large-outside")
+    blocks = outside.groupBy("grp").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("total")).select("grp", pieces("many", "total").alias("blocks"))
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    def part(n: str, seed: int) -> Column:
+        return F.pmod(F.xxhash64("cid", F.lit(seed)), F.col(n))
+
+    one = outside.join(blocks, "grp").select("grp", "cid", "root", F.lit(0).alias("side"), part("blocks", 5).alias("block"), each("pieces").alias("piece"))
+    all_ = placed.join(blocks, "grp").select("grp", "cid", "root", F.lit(1).alias("side"), each("blocks").alias("block"), part("pieces", 6).alias("piece"))
+    keyed = scratch.save(one.union(all_).select("cid", "root", "side", F.xxhash64("grp", "block", "piece").alias("key")), "large-blocks")
+    held = _dealt(keyed.join(sets, "cid").select("key", "side", "root", "shingles"))
+    more = scratch.save(held.mapInArrow(_outsiders(percent), "a binary, b binary"), "large-more")
+    if more.isEmpty():
+        return placed.select("cid", "root")
+    merged = components(more, scratch, "merged").withColumnRenamed("root", "top")
+    return placed.join(merged, placed.root == merged.node, "left").select("cid", F.coalesce("top", "root").alias("root"))
+
+
+def _token(sig: Column, at: Column) -> Column:
+    """The MinHash token at a position of a signature, as its four bytes."""
+    return F.substring(sig, at * 4 + 1, F.lit(4))
 
 
 def _picked(node: Column, width: int) -> Column:
@@ -273,9 +294,9 @@ def _picked(node: Column, width: int) -> Column:
 
 
 def _branched(rows: DataFrame, width: int) -> DataFrame:
-    """(node, cid, tokens) to (node, cid) one level deeper."""
-    at = rows.select("cid", "node", "tokens", F.explode(_picked(F.col("node"), width)).alias("at"))
-    return at.select(F.xxhash64("node", "at", F.get("tokens", F.col("at"))).alias("node"), "cid").distinct()
+    """(node, cid, sig) to (node, cid) one level deeper."""
+    at = rows.select("cid", "node", "sig", F.explode(_picked(F.col("node"), width)).alias("at"))
+    return at.select(F.xxhash64("node", "at", _token(F.col("sig"), F.col("at"))).alias("node"), "cid")
 
 
 def components(links: DataFrame, scratch: Scratch, label: str = "cc", rounds: int = 60) -> DataFrame:
@@ -317,38 +338,26 @@ def components(links: DataFrame, scratch: Scratch, label: str = "cc", rounds: in
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def _forest(width: int, cut: float):
-    """Rows (node, cid, sig) sorted by node to (a, b): a spanning forest of each node's pairs that agree in ``cut``."""
-
-    def edges(cids: list[bytes], sigs: list[bytes], least: float) -> list[tuple[bytes, bytes]]:
-        g = np.frombuffer(b"".join(sigs), np.int32).reshape(-1, width)
-        out, waiting = [], np.arange(1, len(cids))
-        reached, at = [0], 0
-        while len(waiting):  # breadth first: each class is compared once with those not reached yet
-            if at == len(reached):
-                reached.append(int(waiting[0]))
-                waiting = waiting[1:]
-                continue
-            near = (g[waiting] == g[reached[at]]).sum(axis=1) >= least
-            out += [(cids[reached[at]], cids[x]) for x in waiting[near]]
-            reached += waiting[near].tolist()
-            waiting = waiting[~near]
-            at += 1
+def _stars(width: int, cut: float):
+    """Rows (key, cid, sig) sorted by key to (a, b): each class that agrees with another one in ``cut`` of the
+    positions, or is reached over such classes, with the least class so reached."""
+
+    def compare(rows: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+        rows.sort()
+        g = np.frombuffer(b"".join(x for _, x in rows), np.int32).reshape(-1, width)
+        out, waiting = [], np.arange(len(rows))
+        while len(waiting) > 1:  # breadth first: each class is compared once with those not reached yet
+            queue, waiting = [int(waiting[0])], waiting[1:]
+            first = rows[queue[0]][0]
+            while queue and len(waiting):
+                near = (g[waiting] == g[queue.pop()]).sum(axis=1) >= cut * width
+                queue += waiting[near].tolist()
+                out += [(rows[x][0], first) for x in waiting[near]]
+                waiting = waiting[~near]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, cids, sigs = None, [], []
-        for batch in batches:
-            out = []
-            for n, c, s in zip(*(batch.column(x).to_pylist() for x in ("node", "cid", "sig")), strict=True):
-                if n != node:
-                    out += edges(cids, sigs, cut * width)
-                    node, cids, sigs = n, [], []
-                cids.append(c)
-                sigs.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in out], pa.binary()) for i in (0, 1)], ["a", "b"])
-        out = edges(cids, sigs, cut * width)
-        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in out], pa.binary()) for i in (0, 1)], ["a", "b"])
+        yield from _paired(map(compare, _runs(batches, "cid", "sig")), ("a", "b"))
 
     return run
 
@@ -356,37 +365,21 @@ def _forest(width: int, cut: float):
 def _candidates(signatures: DataFrame, scratch: Scratch, near: float, trees: int, width: int, leaf: int, depth: int) -> DataFrame:
     """(a, b): pairs of (cid, sig) rows whose closure holds every pair that is likely to be similar."""
     cut = near - 0.2  # four standard deviations of 64 tokens below the link threshold
-    ring_from = 2 * cut - 1
-    roots = signatures.mapInArrow(_tokens(width), "cid binary, tokens array<int>").select(
-        "cid", "tokens", F.explode(F.array(*[F.xxhash64(F.lit("root"), F.lit(t)) for t in range(trees)])).alias("node")
-    )
-    members = _branched(roots, width)
-    own = signatures.select(F.col("cid").alias("a"), F.col("sig").alias("ga"))
-    other = signatures.select(F.col("cid").alias("b"), F.col("sig").alias("gb"))
+    roots = F.explode(F.array(*[F.xxhash64(F.lit("root"), F.lit(t)) for t in range(trees)]))
+    members = _branched(signatures.select("cid", "sig", roots.alias("node")), width)
     found = []
     for level in range(1, depth + 1):
-        size = members.groupBy("node").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("cid", F.lit(7)).alias("rank"), F.col("cid").alias("pivot")))["pivot"].alias("pivot")
-        )
-        here = scratch.save(members.join(size.where("n > 1"), "node"), f"nodes-{level}")
-        few = here.where(F.col("n") <= leaf).select("node", "cid").join(signatures, "cid").select("node", "cid", "sig")
-        few = few.repartition("node").sortWithinPartitions("node")
-        found.append(scratch.save(few.mapInArrow(_forest(width, cut), "a binary, b binary").distinct(), f"small-{level}"))
-        many = here.where((F.col("n") > leaf) & (F.col("cid") != F.col("pivot")))
+        size = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("pivot")).where("n > 1")
+        here = scratch.save(members.join(size, "node"), f"nodes-{level}")
+        few = _dealt(here.where(F.col("n") <= leaf).join(signatures, "cid").select(F.col("node").alias("key"), "cid", "sig"))
+        found.append(scratch.save(few.mapInArrow(_stars(width, cut), "a binary, b binary").distinct(), f"small-{level}"))
+        many = here.where(F.col("n") > leaf)
         if many.isEmpty():
             break
-        star = many.select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
         if level == depth:
-            found.append(scratch.save(star, "unsplit"))
-            break
-        star = star.join(own, "a").join(other, "b").select("a", "b", "ga", "gb")
-        compared = scratch.save(star.mapInArrow(_agreement(width, max(0.0, ring_from)), "a binary, b binary, sim double"), f"star-{level}")
-        found.append(compared.where(F.col("sim") >= cut).select("a", "b"))
-        left = many.join(compared.select(F.col("a").alias("cid"), F.col("b").alias("pivot"), "sim"), ["cid", "pivot"], "left")
-        ring = left.where(F.col("sim") < cut).groupBy("node").agg(F.max("sim").alias("closest"))
-        left = left.join(ring, "node", "left").where((F.col("sim").isNull()) | (F.col("sim") < cut) | (F.col("sim") <= F.col("closest") + 1 - cut))
-        left = left.select("cid", "node").join(signatures, "cid").select("cid", "node", "sig")
-        members = _branched(left.mapInArrow(_tokens(width), "cid binary, node long, tokens array<int>"), width)
+            found.append(scratch.save(many.where("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct(), "unsplit"))
+        else:
+            members = _branched(many.select("node", "cid").join(signatures, "cid"), width)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -398,13 +391,13 @@ def minhash_components(
     scratch: Scratch,
     k: int = 5,
     percent: int = 80,
-    trees: int = 10,
+    trees: int = 8,
     width: int = 64,
-    leaf: int = 1000,
+    leaf: int = 2000,
     depth: int = 3,
-    group_limit: int = 1000,
+    group_limit: int = 4000,
     group_shingles: int = 4_000_000,
-    pivots: int = 256,
+    rounds: int = 3,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
@@ -423,16 +416,15 @@ def minhash_components(
     candidates = _candidates(classes.select("cid", "sig"), scratch, near, trees, width, leaf, depth)
     groups = components(candidates, scratch, "groups")
     wanted = groups.select(F.col("root").alias("grp"), F.col("node").alias("cid")).join(classes.select("cid", "sig", "n", F.col("rep").alias("doc_id")), "cid")
-    size = wanted.groupBy("grp").agg((F.greatest(F.count(F.lit(1)) / group_limit, F.sum("n") / group_shingles) > 1).alias("large"))
-    wanted = scratch.save(wanted.join(size, "grp").drop("n"), "wanted")
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id").select("grp", "large", "cid", "sig", "text")
-    sets = scratch.save(sets.mapInArrow(_setter(k), "grp binary, large boolean, cid binary, sig binary, shingles binary"), "sets")
-    small = sets.where("not large").repartition("grp").sortWithinPartitions("grp")
-    labels = small.select("grp", "cid", "sig", "shingles").mapInArrow(_splitter(percent, near - 0.2, width), "cid binary, root binary")
-    labels = scratch.save(labels, "labels-small")
-    large = sets.where("large")
+    pieces = F.ceil(F.greatest(F.count(F.lit(1)) / group_limit, F.sum("n") / group_shingles)).cast("long")
+    wanted = scratch.save(wanted.join(wanted.groupBy("grp").agg(pieces.alias("pieces")), "grp"), "wanted")
+    sets = docs.select("doc_id", "text").join(wanted, "doc_id").select("grp", "pieces", "cid", "sig", "n", "text")
+    sets = scratch.save(sets.mapInArrow(_setter(k), "grp binary, pieces long, cid binary, sig binary, n long, shingles binary"), "sets")
+    small = _dealt(sets.where("pieces = 1").select(F.xxhash64("grp").alias("key"), "cid", "shingles"))
+    labels = scratch.save(small.mapInArrow(_splitter(percent), "cid binary, root binary"), "labels-small")
+    large = sets.where("pieces > 1")
     if not large.isEmpty():
-        labels = labels.union(_large_groups(large, scratch, percent, width, pivots))
+        labels = labels.union(_large_groups(large, scratch, percent, width, group_limit, group_shingles, rounds))
     named = classes.select("cid", "rep").join(labels, "cid", "left")
     least = named.where("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
     named = scratch.save(named.join(least, "root", "left").select("cid", F.coalesce("least", "rep").alias("component_id")), "named")

@@ -63,7 +63,7 @@ def test_equals_brute_force(spark, k):
         add(base)
     rows += [(n, None, "x", 1), (n + 1, "", "x", 1), (n + 2, " \n\t", "x", 1), (n + 3, "Two Words", None, None), (n + 4, "two words", "x", 1)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    for more in ({}, {"leaf": 6, "depth": 3, "group_limit": 8, "pivots": 20}) if k == 4 else ({"leaf": 5, "depth": 5},):
+    for more in ({}, {"leaf": 6, "depth": 3, "group_limit": 8, "rounds": 1}) if k == 4 else ({"leaf": 5, "depth": 5},):
         assert got(minhash_components(df, Scratch(spark, "t3"), k=k, **more)) == brute(rows, k)
 
 
@@ -75,8 +75,8 @@ def test_large_group_that_drifts(spark):
         words[rnd.randrange(len(words))] = f"w{rnd.randrange(5000)}"
     expected = brute(rows, 4)
     df = spark.createDataFrame(rows, SCHEMA)
-    for pivots in (40, 8):
-        assert got(minhash_components(df, Scratch(spark, "t3"), k=4, group_limit=50, pivots=pivots)) == expected
+    for rounds in (3, 1):
+        assert got(minhash_components(df, Scratch(spark, "t3"), k=4, group_limit=50, rounds=rounds)) == expected
 
 
 def test_nulls_repeats_and_empty_tables(spark):
