@@ -21,7 +21,7 @@ from .url_rules import judge_urls
 
 def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence that each document is, and those that its lines grant."""
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
 
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
