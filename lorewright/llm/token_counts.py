@@ -2,11 +2,13 @@
 
 A byte-level BPE never merges across pre-tokens, so a text's token count is the sum of its
 pre-tokens' lengths. The first tier is one broadcast table of frequent pre-tokens and their lengths,
-``table_size`` entries at most, built from the leading characters of ``sample_rows`` rows: both are
-parameters, and they decide speed only. The second tier is a cache in every Python worker; what it
-lacks is encoded by the library itself, in one call for each Arrow batch, and kept (``cache_size``
-entries, then the cache starts anew). Pre-tokens are never shuffled, each row is counted where it is
-read, and whole texts are counted.
+``table_size`` entries at most, built from the whole texts of the ``sample_rows`` rows with the least
+hashes of id and text, wherever they lie in the table, up to ``sample_chars`` characters of them: a
+bounded sample that decides speed only. The second tier is a cache in every Python worker; what it
+lacks is encoded by the library itself, ``encode_rows`` pre-tokens a call, and kept up to
+``cache_bytes`` of text, then the cache starts anew. Pre-tokens longer than ``longest`` characters
+are not kept. Pre-tokens are never shuffled, each row is counted where it is read, and whole texts
+are counted, in slices of a batch.
 
 Strings of the vocabulary's added tokens count as one token each, as is the library's default. A
 null text is empty: 0 bytes, 0 tokens. Every input row gives one output row; null and repeated
@@ -59,7 +61,7 @@ def _worker(path: str):
     if path not in _WORKER:
         from tokenizers import Tokenizer
 
-        _WORKER[path] = (PreTokenizer(path), Tokenizer.from_file(path), {})
+        _WORKER[path] = (PreTokenizer(path), Tokenizer.from_file(path), {"cache": {}, "bytes": 0})
     return _WORKER[path]
 
 
@@ -67,44 +69,88 @@ def frequent_lengths(docs: DataFrame, path: str, sample_rows: int, sample_chars:
     """The first tier: lengths of the pre-tokens that are frequent in a bounded sample."""
     split, tokenizer, _ = _worker(path)
     seen: Counter[str] = Counter()
-    for row in docs.select(F.substring("text", 1, sample_chars).alias("t")).where("t is not null").limit(sample_rows).toLocalIterator():
-        seen.update(split(row.t)[0])
+    ranked = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("rank"))
+    last = ranked.select("rank").orderBy("rank").limit(sample_rows).agg(F.max("rank")).first()[0]  # one number
+    chars = 0
+    for row in ranked.where(F.col("rank") <= F.lit(last)).select("text").toLocalIterator():
+        if chars + len(row.text) > sample_chars:
+            break
+        chars += len(row.text)
+        seen.update(split(row.text)[0])
     names = [x for x, _ in seen.most_common(table_size)]
     return {x: len(e.ids) for x, e in zip(names, tokenizer.encode_batch(names, add_special_tokens=False), strict=True)}
 
 
+class _Counter:
+    """Token counts of texts from the first tier, the worker's cache and, for the rest, the library."""
+
+    def __init__(self, path: str, frequent: dict[str, int], cache_bytes: int, longest: int, encode_rows: int):
+        self.split, self.tokenizer, self.kept = _worker(path)
+        self.frequent, self.cache_bytes, self.longest, self.encode_rows = frequent, cache_bytes, longest, encode_rows
+
+    def _encoded(self, missing: set[str]) -> dict[str, int]:
+        out, names = {}, list(missing)
+        for at in range(0, len(names), self.encode_rows):
+            part = names[at : at + self.encode_rows]
+            out.update(zip(part, [len(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)], strict=True))
+        return out
+
+    def _keep(self, fresh: dict[str, int]) -> None:
+        cache = self.kept["cache"]
+        for token, n in fresh.items():
+            if len(token) <= self.longest:
+                cache[token] = n
+                self.kept["bytes"] += 160 + 4 * len(token)  # a dictionary entry and its string, at most
+        if self.kept["bytes"] > self.cache_bytes:
+            cache.clear()
+            self.kept["bytes"] = 0
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        counts, waiting = [], []
+        for at, text in enumerate(texts):
+            tokens, added = self.split(text)
+            lengths = list(map(self.frequent.get, tokens, repeat(0)))
+            total = added + sum(lengths)
+            if 0 in lengths:
+                rest = [t for t, n in zip(tokens, lengths, strict=True) if not n]
+                known = list(map(self.kept["cache"].get, rest, repeat(0)))
+                total += sum(known)
+                if 0 in known:
+                    waiting.append((at, [t for t, n in zip(rest, known, strict=True) if not n]))
+            counts.append(total)
+        fresh = self._encoded({t for _, missing in waiting for t in missing})
+        for at, missing in waiting:
+            counts[at] += sum(map(fresh.__getitem__, missing))
+        self._keep(fresh)
+        return counts
+
+
+def _slices(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """Consecutive texts of some ``chars`` characters together."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def token_counts(
-    docs: DataFrame, path: str, limit: int = 1024, sample_rows: int = 500, sample_chars: int = 4000, table_size: int = 30_000, cache_size: int = 1_000_000
-) -> DataFrame:
+    docs: DataFrame, path: str, limit: int = 1024, sample_rows: int = 2000, sample_chars: int = 4_000_000, table_size: int = 30_000,
+    cache_bytes: int = 64 << 20, longest: int = 64, encode_rows: int = 4096, slice_chars: int = 1 << 20,
+) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     first_tier = spark.sparkContext.broadcast(frequent_lengths(docs, path, sample_rows, sample_chars, table_size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, tokenizer, cache = _worker(path)
-        frequent = first_tier.value
+        count = _Counter(path, first_tier.value, cache_bytes, longest, encode_rows)
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            counts, waiting = [], []
-            for at, text in enumerate(texts):
-                tokens, added = split(text)
-                lengths = list(map(frequent.get, tokens, repeat(0)))
-                total = added + sum(lengths)
-                if 0 in lengths:
-                    rest = [t for t, n in zip(tokens, lengths, strict=True) if not n]
-                    known = list(map(cache.get, rest, repeat(0)))
-                    total += sum(known)
-                    missing = [t for t, n in zip(rest, known, strict=True) if not n]
-                    if missing:
-                        waiting.append((at, missing))
-                counts.append(total)
-            new = list({t for _, missing in waiting for t in missing})
-            if len(cache) + len(new) > cache_size:
-                cache.clear()
-            fresh = {t: len(e.ids) for t, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
-            for at, missing in waiting:
-                counts[at] += sum(map(fresh.__getitem__, missing))
-            cache.update(fresh)
+            counts = [n for part in _slices(texts, slice_chars) for n in count(part)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
