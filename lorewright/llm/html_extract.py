@@ -4,22 +4,27 @@ A page is read into its blocks of text and its elements, each element with a has
 (tag, own text and its children's hashes). Spark counts, for each host, in how many distinct pages a
 subtree occurs; subtrees that recur across many pages of the host are template and are deleted.
 Pages count as distinct by their remaining main text, so copies of one article don't make its
-paragraphs look like template, and within an article a subtree has to recur on a large part of the
-host's pages.
+paragraphs look like template; within an article, and where a subtree has ``long_text`` characters or
+more, it has to recur on a large part of the host's pages, so neither do near copies.
 
 Structure is used first: elements that are never main text (scripts, styles, forms, navigation,
-asides, footers, page headers ...), and elements whose class, id or role names a menu, sidebar,
-notice, advert or comment. If a page marks articles (``article``, ``main``), its text is what they
-hold; else it is all that remains.
+asides, footers, page headers ...), elements named as comments, and elements of which a whole class,
+id or role names a menu, sidebar or advert. Names that only contain such a word ("ad-slot-3"), or that may as well be
+content ("search", "related"), decide nothing alone: an element so named is deleted if its tag and
+names, whatever its words, recur on the host as a subtree has to, so chrome with varying words is
+counted too. On hosts with fewer than ``least`` distinct pages, where nothing can recur, the clear
+words decide, the doubtful ones never do. If a page marks articles (``article``, ``main``), its text is
+what they hold; else it is all that remains.
 
 Both passes parse pages where they are read. Counting shuffles 64-bit hashes with a map-side
 combine, first by (host, subtree, page), then by (host, subtree), so a host with a third of all
 pages is no hot spot. The template table is written; below ``broadcast_rows`` it goes to every task
 as one sorted array, above it is joined to each page's own elements by shuffle.
 
-Rows: one for each input row. Null or empty html gives an empty text. Null urls form one host.
-Malformed markup (unclosed or stray tags, quotes that never close) is read as far as it goes.
-Repeated rows and other columns make no difference.
+Rows: one for each input row, an empty table gives none. Null or empty html gives an empty text. Null
+urls form one host. Malformed markup (unclosed or stray tags, quotes that never close) is read as far
+as it goes, very long pages are read whole. A subtree on exactly the number of pages asked for is
+template. Repeated rows and other columns make no difference.
 """
 
 from __future__ import annotations
@@ -52,10 +57,12 @@ CLOSES_P = frozenset(
 SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th", "th": "td th", "option": "option", "thead": "tbody", "tbody": "thead tbody", "tfoot": "tbody"}
 SCOPES = frozenset("html body table td th caption object template article section main ul ol dl".split())
 NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar rail footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login related recommended recommendations share sharing social widget pagination pager skip toc search disclaimer copyright contentinfo complementary".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer masthead topbar toolbar cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login social widget pagination pager toc contentinfo complementary".split()
+)
+COMMENTS = frozenset("comment comments disqus".split())
+DOUBTFUL = frozenset(
+    "promo promotion rail notice notices alert related recommended recommendations share sharing skip search disclaimer copyright header reply replies respond discussion".split()
 )
-COMMENTS = frozenset("comment comments reply replies respond disqus discussion".split())
-HEADERS = frozenset("header".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -63,7 +70,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTES = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PARTS = re.compile(r"[a-z]+")
 
 
@@ -73,32 +80,53 @@ def host_of(url: str | None) -> str:
 
 
 class _Element:
-    __slots__ = ("children", "first", "main", "noise", "tag")
+    __slots__ = ("children", "first", "main", "noise", "shape", "tag")
 
-    def __init__(self, tag: str, first: int, noise: str):
-        self.tag, self.first, self.noise = tag, first, noise
+    def __init__(self, tag: str, first: int, noise: str, shape: bytes = b""):
+        self.tag, self.first, self.noise, self.shape = tag, first, noise, shape
         self.children: list[bytes] = []
         self.main = False  # an article or main stands in it
 
 
-def _noise(tag: str, attributes: str, in_article: bool) -> str:
-    """Why an element is not main text: always, a comment, by its name, or not at all."""
-    if tag in DROPPED or (tag == "header" and not in_article):
-        return "always"
-    if not attributes or tag in ("html", "body"):
-        return ""
-    if _HIDDEN.search(attributes):
-        return "always"
-    named = {p for _, v in _NAMES.findall(attributes) for p in _PARTS.findall(v.lower())}
-    if named & COMMENTS:
-        return "always"
-    return "named" if named & NOISE or (named & HEADERS and not in_article) else ""
+def _is_hidden(attributes: str) -> bool:
+    low = attributes.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    for name, value in _ATTRIBUTES.findall(low):
+        value = value.strip("\"'").strip()
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"(?:^|;)\s*display\s*:\s*none", value)):
+            return True
+    return False
+
 
+def _noise(tag: str, attributes: str, in_article: bool) -> tuple[str, bytes]:
+    """How an element's tag and names speak against it, and its shape where they do.
 
-def parse(page: str | None) -> tuple[list[str], list[tuple[int, int, int, bool]]]:
-    """Blocks of text, and (hash, first block, end block, in an article) of every element with text."""
+    always: never main text; named: unless it holds an article; clear, doubtful: if its shape recurs.
+    """
+    if tag in DROPPED or (tag == "header" and not in_article):
+        return "always", b""
+    if not attributes or tag in ("html", "body"):
+        return "", b""
+    if _is_hidden(attributes):
+        return "always", b""
+    names = sorted({x for _, v in _NAMES.findall(attributes) for x in v.strip("\"'").lower().split()})
+    if not names:
+        return "", b""
+    whole, parts = set(names), {p for x in names for p in _PARTS.findall(x)}
+    if parts & COMMENTS:
+        return "always", b""
+    if whole & NOISE:
+        return "named", b""
+    kind = "clear" if parts & NOISE else "doubtful" if parts & DOUBTFUL else ""
+    return kind, (xxhash.xxh64_digest("\0".join(["shape", tag, *(re.sub("[0-9]+", "0", x) for x in names)]).encode("utf-8", "surrogatepass")) if kind else b"")
+
+
+def parse(page: str | None, long_text: int = 240) -> tuple[list[str], list[tuple[int, int, int, bool, bool]]]:
+    """Blocks of text, and (hash, first block, end block, part of an article or long, clearly named) of every
+    element with text; a named element also counts by its shape."""
     blocks: list[str] = []
-    elements: list[tuple[int, int, int, bool]] = []
+    elements: list[tuple[int, int, int, bool, bool]] = []
     spans: list[tuple[int, int]] = []  # block ranges of articles
     pieces: list[str] = []
     stack = [_Element("", 0, "")]
@@ -129,7 +157,10 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[int, int, int, bool]]
         digest = xxhash.xxh64_digest(b"\0".join([e.tag.encode(), *e.children]))
         parent.children.append(digest)
         if len(blocks) > e.first:
-            elements.append((int.from_bytes(digest, "big", signed=True), e.first, len(blocks), articles > 0 or main))
+            long = sum(map(len, blocks[e.first :])) >= long_text if len(blocks) - e.first <= long_text else True
+            elements.append((int.from_bytes(digest, "big", signed=True), e.first, len(blocks), articles > 0 or main or long, False))
+            if e.shape and not e.main:
+                elements.append((int.from_bytes(e.shape, "big", signed=True), e.first, len(blocks), False, e.noise == "clear"))
             if main:
                 spans.append((e.first, len(blocks)))
         parent.main |= e.main or (main and len(blocks) > e.first)
@@ -182,12 +213,12 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[int, int, int, bool]]
                     break
                 if stack[i].tag not in INLINE and stack[i].tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
                     break
-        noise = _noise(tag, attributes, articles > 0)
+        noise, shape = _noise(tag, attributes, articles > 0)
         if tag in INLINE and not noise:
             stack.append(_Element(tag, len(blocks), ""))
             continue
         end_block()
-        stack.append(_Element(tag, len(blocks), noise))
+        stack.append(_Element(tag, len(blocks), noise, shape))
         articles += tag in ("article", "main")
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -204,7 +235,7 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[int, int, int, bool]]
             inside[a:b] = True
         shift = np.concatenate([[0], np.cumsum(inside[:-1])])
         blocks[:] = [x for x, keep in zip(blocks, inside, strict=False) if keep]
-        elements[:] = [(h, int(shift[a]), int(shift[b]), art) for h, a, b, art in elements if shift[b] > shift[a]]
+        elements[:] = [(h, int(shift[a]), int(shift[b]), art, sure) for h, a, b, art, sure in elements if shift[b] > shift[a]]
     return blocks, elements
 
 
@@ -220,7 +251,7 @@ def _keyed(host: str, digest: int) -> int:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """host, key, inside, page for every distinct subtree of every page; key 0 stands for the page itself."""
+    """host, key, inside, page for every distinct subtree of every page; a null ``inside`` marks the host's own key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +262,7 @@ def subtrees(pages: DataFrame) -> DataFrame:
                 if not blocks:
                     continue
                 mark = xxhash.xxh64_intdigest(" ".join(blocks).encode("utf-8", "surrogatepass")) - (1 << 63)
-                own = {(_keyed(host, h), art) for h, _, _, art in elements} | {(0, False)}
+                own = {(_keyed(host, h), art) for h, _, _, art, _ in elements} | {(_keyed(host, 0), None)}
                 hosts += [host] * len(own)
                 keys += [k for k, _ in own]
                 inside += [art for _, art in own]
@@ -244,21 +275,23 @@ def subtrees(pages: DataFrame) -> DataFrame:
 
 
 def template_keys(pages: DataFrame, scratch: Scratch, least: int, share: float, article_share: float) -> DataFrame:
-    """Keys of the subtrees that are template on their host."""
+    """Keys of the subtrees and shapes that are template on their host, and one for each host that is large enough to tell."""
     counted = (
         subtrees(pages).groupBy("host", "key", "inside", "page").agg(F.lit(1).alias("one")).groupBy("host", "key", "inside").agg(F.count(F.lit(1)).alias("n"))
     )
-    counted = scratch.save(counted.where((F.col("key") == 0) | (F.col("n") >= least)), "subtrees")
-    hosts = counted.where("key = 0").select("host", F.col("n").alias("pages"))
-    joined = counted.where("key <> 0").join(hosts, "host")
+    counted = scratch.save(counted.where(F.col("inside").isNull() | (F.col("n") >= least)), "subtrees")
+    hosts = counted.where("inside is null").select("host", F.col("n").alias("pages"), F.col("key").alias("host_key"))
+    joined = counted.where("inside is not null").join(hosts, "host")
     enough = F.when(F.col("inside"), F.col("n") >= F.greatest(F.lit(4 * least), F.col("pages") * article_share)).otherwise(F.col("n") >= F.col("pages") * share)
-    return scratch.save(joined.where(enough).select("key").distinct(), "template")
+    keys = joined.where(enough).select("key").union(hosts.where(F.col("pages") >= least).select("host_key"))
+    return scratch.save(keys.distinct(), "template")
 
 
 def _text(blocks: list[str], elements: list, host: str, template) -> str:
     dropped = np.zeros(len(blocks), bool)
-    for h, a, b, _ in elements:
-        if not dropped[a] and _keyed(host, h) in template:
+    few = _keyed(host, 0) not in template
+    for h, a, b, _, sure in elements:
+        if not dropped[a:b].all() and ((sure and few) or _keyed(host, h) in template):
             dropped[a:b] = True
     return " ".join(x for x, gone in zip(blocks, dropped, strict=True) if not gone)
 
@@ -297,7 +330,8 @@ def extract_text(
         for batch in batches:
             digests, keys = [], []
             for d, url, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                own = {_keyed(host_of(url), h) for h, *_ in parse(page)[1]}
+                host = host_of(url)
+                own = {_keyed(host, h) for h, *_ in parse(page)[1]} | {_keyed(host, 0)}
                 digests += [d] * len(own)
                 keys += own
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(keys, pa.int64())], ["digest", "key"])
