@@ -8,31 +8,41 @@ body of the declared length, so bodies may hold anything, header look-alikes inc
 * version 2: URL, IP address, date, content type, result code, checksum, location, offset, file
   name, length.
 
-Dates have 14 digits, or 12 in old files. The converter gives each record the WARC equivalent: a
-``WARC-Record-ID`` derived from its content and place (the same on every run, so a task that runs
-again writes the same record), the date in ISO form, a type from the URL scheme (``response`` for
-HTTP bodies, ``resource`` otherwise, ``warcinfo`` for the version block), and SHA-1 payload digests.
-
-Files are made in tasks, ``file_bytes`` of records at a time, and written by Spark's own text sink
-with gzip, so they go to any store that Spark writes to; they are read back whole by ``binaryFile``,
-one bounded file at a time. Of records with equal payloads of ``revisit_bytes`` bytes or more, the
-one with the largest page_id stays a ``response`` and the others become ``revisit`` records without
-a body. The largest id of each digest is found with a map-side combine, written as a table of
-digests that really repeat, and joined to the records; the planner broadcasts it only if small.
-
-Rows: one for each input row. Null html is an empty payload; a null url becomes an empty URL; white
-space in a url is percent-encoded, as header lines are split at it. Null page_ids are carried, but
-refer to nothing and are never referred to: such a record is a response. Repeated rows with one
-page_id are all responses if that id is the largest. Other columns are ignored.
+Dates have 14 digits, or 12 in old files. A header line with more fields than declared has spaces in
+its URL. Where a header line can't be read, a body is cut off, or does not end where its length says,
+the reader skips to the next line that looks like a header, and reports what it skipped: one damaged
+record costs itself only (``arc_faults`` lists them). A damaged gzip member costs that member.
+
+The converter gives each record the WARC equivalent: a ``WARC-Record-ID`` derived from its content and
+place (the same on every run, so a task that runs again writes the same record), the date in ISO form,
+the IP address, SHA-1 payload digests, and a type: ``response`` for HTTP messages fetched over http,
+``resource`` with the ARC record's content type otherwise. The version block's text goes into the
+``warcinfo`` record of the file, and ARC fields without a WARC name are carried as ``WARC-X-ARC-...``.
+
+Files are made in tasks, ``file_bytes`` of records at a time, one gzip member for each record, and
+written by Spark's own text sink, so they go to any store that Spark writes to (which puts one line
+feed behind the last member). They are read back by ``binaryFile``, one bounded file at a time, a
+record at a time. Of records with equal payloads of ``revisit_bytes`` bytes or more, the one with the
+largest page_id stays a ``response`` and the others become ``revisit`` records without a body. The
+largest id of each digest is found with a map-side combine, written as a table of digests that really
+repeat, and joined to the records; the planner broadcasts it only if small.
+
+Rows: one for each input row, an empty table gives none. Null html is an empty payload; a null url
+becomes an empty URL; white space in a url is percent-encoded, as header lines are split at it. Null
+page_ids are carried, but refer to nothing and are never referred to: such a record is a response.
+Repeated rows with one page_id are all responses if that id is the largest. Very long payloads are one
+record in a file of their own. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,9 +55,13 @@ ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
+#: Fields that WARC has no header for.
+ARC_ONLY = ("Result-code", "Checksum", "Location", "Filename")
 
 _ESCAPES = {ord(c): f"%{ord(c):02X}" for c in " \t\n\r\x0b\x0c"}
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122: names that are URLs
+# What looks like the header line of an ARC record: a URL, a date of 12 or 14 digits, a length at the end.
+_HEADER = re.compile(rb"^[A-Za-z][A-Za-z0-9+.-]*:[^\n]* [0-9]{12}(?:[0-9]{2})? [^\n]*[0-9]\r?$", re.M)
 
 
 def arc_block(version: int, name: str, date: str) -> bytes:
@@ -57,36 +71,89 @@ def arc_block(version: int, name: str, date: str) -> bytes:
     return f"filedesc://{name} 0.0.0.0 {date} {rest} {len(body)}\n".encode() + body + b"\n"
 
 
-def arc_record(version: int, url: str, date: str, body: bytes, offset: int, name: str) -> bytes:
+def arc_record(version: int, url: str, date: str, body: bytes, offset: int, name: str, ip: str = "0.0.0.0") -> bytes:
     kind = "text/html"
     middle = kind if version == 1 else f"{kind} 200 {hashlib.md5(body).hexdigest()} - {offset} {name}"
-    return f"{url.translate(_ESCAPES) or '-'} 0.0.0.0 {date} {middle} {len(body)}\n".encode() + body + b"\n"
-
-
-def read_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, body) of every record, the version block first."""
-    at, fields = 0, ARC_FIELDS[1]
-    while at < len(data):
-        if data[at : at + 1] in (b"\n", b"\r"):
-            at += 1
+    return f"{url.translate(_ESCAPES) or '-'} {ip} {date} {middle} {len(body)}\n".encode() + body + b"\n"
+
+
+def packed(record: bytes) -> bytes:
+    """A record as one gzip member."""
+    z = zlib.compressobj(3, zlib.DEFLATED, 31)
+    return z.compress(record) + z.flush()
+
+
+def unpacked(data: bytes) -> Iterator[bytes | None]:
+    """The gzip members of a file, or the file itself if it is not packed; None for a damaged member."""
+    view, at = memoryview(data), 0
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while data[at : at + 2] == b"\x1f\x8b":
+        start, parts, z = at, [], zlib.decompressobj(31)
+        try:
+            while not z.eof and at < len(view):
+                step = view[at : at + 65536]
+                parts.append(z.decompress(step))
+                at += len(step) - len(z.unused_data)
+        except zlib.error:
+            parts = None
+        if parts is not None and z.eof:
+            yield b"".join(parts)
+            continue
+        yield None
+        at = data.find(b"\x1f\x8b\x08", start + 2)
+        if at < 0:
+            return
+
+
+def _fields(line: bytes, names: tuple[str, ...]) -> dict[str, str] | None:
+    """A header line by field; spaces beyond the declared fields belong to the URL."""
+    values = line.decode("utf-8", "replace").rstrip("\r").split(" ")
+    if len(values) < len(names) or not values[-1].isdigit():
+        return None
+    extra = len(values) - len(names) + 1
+    return dict(zip(names, [" ".join(values[:extra]), *values[extra:]], strict=True))
+
+
+def read_arc(members: Iterable[bytes | None]) -> Iterator[tuple[dict[str, str] | None, bytes | str]]:
+    """(fields, body) of every record, version blocks included; (None, fault) for what can't be read."""
+    names = ARC_FIELDS[1]
+    for data in members:
+        if data is None:
+            yield None, "damaged gzip member"
             continue
-        end = data.index(b"\n", at)
-        values = data[at:end].decode("utf-8").rstrip("\r").split(" ")
-        if values[0].startswith("filedesc:"):
-            length = int(values[-1])
-            body = data[end + 1 : end + 1 + length]
-            fields = ARC_FIELDS[int(body.split(b" ", 1)[0])]
-            yield dict(zip(fields, values, strict=False)) | {"Archive-length": values[-1]}, body
-        else:
-            if len(values) != len(fields):
-                raise ValueError(f"a header line with {len(values)} fields where {len(fields)} are declared: {values[0][:80]}")
-            named = dict(zip(fields, values, strict=True))
-            length = int(named["Archive-length"])
-            body = data[end + 1 : end + 1 + length]
-            if len(body) != length:
-                raise ValueError(f"the record of {values[0][:80]} is cut off")
+        at = 0
+        while at < len(data):
+            if data[at : at + 1] in (b"\n", b"\r"):
+                at += 1
+                continue
+            end = data.find(b"\n", at)
+            line = data[at : end if end >= 0 else len(data)]
+            opens = line.startswith(b"filedesc:")
+            # A version block's own line has the fields of its version, which stands in its body.
+            named = next((f for v in (2, 1) if (f := _fields(line, ARC_FIELDS[v]))), None) if opens else _fields(line, names)
+            length = int(named["Archive-length"]) if named else 0
+            stop = end + 1 + length
+            fault = None
+            if named is None or end < 0:
+                fault = "unreadable header line"
+            elif stop > len(data):
+                fault = "cut off"
+            elif stop < len(data) and data[stop : stop + 1] not in (b"\n", b"\r"):
+                fault = "length does not fit"
+            if fault:
+                yield None, f"{fault}: {line[:80].decode('utf-8', 'replace')}"
+                found = _HEADER.search(data, at + len(line))
+                at = found.start() if found else len(data)
+                continue
+            body = data[end + 1 : stop]
+            if opens:
+                version = body.split(b" ", 1)[0]
+                names = ARC_FIELDS[2 if version == b"2" else 1]
+                named = _fields(line, names) or named
             yield named, body
-        at = end + 1 + length
+            at = stop
 
 
 def iso_date(digits: str) -> str:
@@ -107,7 +174,7 @@ def header_value(head: bytes, name: str) -> str | None:
     for line in head.split(b"\r\n")[1:]:
         key, _, value = line.partition(b":")
         if key.strip().lower() == name.lower().encode():
-            return value.strip().decode("utf-8")
+            return value.strip().decode("utf-8", "replace")
     return None
 
 
@@ -116,17 +183,19 @@ def warc_record(kind: str, headers: list[tuple[str, str]], block: bytes) -> byte
     return b"WARC/1.0\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in lines) + b"\r\n" + block + b"\r\n\r\n"
 
 
-def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
-    while (at := data.find(b"WARC/1.0\r\n", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        headers = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
-            key, _, value = line.partition(b":")
-            headers[key.decode()] = value.strip().decode("utf-8")
-        length = int(headers["Content-Length"])
-        yield headers, data[end + 4 : end + 4 + length]
-        at = end + 4 + length
+def read_warc(members: Iterable[bytes | None]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of every record of a WARC file's gzip members."""
+    for data in members:
+        at = 0
+        while data is not None and (at := data.find(b"WARC/1.0\r\n", at)) >= 0:
+            end = data.index(b"\r\n\r\n", at)
+            headers = {}
+            for line in data[at:end].split(b"\r\n")[1:]:
+                key, _, value = line.partition(b":")
+                headers[key.decode()] = value.strip().decode("utf-8")
+            length = int(headers["Content-Length"])
+            yield headers, data[end + 4 : end + 4 + length]
+            at = end + 4 + length
 
 
 def record_id(*parts: object) -> str:
@@ -138,29 +207,22 @@ def sha1_label(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _files(rows: Iterator[tuple[bytes, bytes]], file_bytes: int) -> Iterator[bytes]:
-    """(opening record, record) pairs to file contents."""
+def _as_files(records: Iterable[tuple[bytes, bool]], file_bytes: int) -> Iterator[pa.RecordBatch]:
+    """(record, may open a file) to file contents of ``file_bytes`` and more, one a batch, cut only before openers."""
     parts, size = [], 0
-    for opening, record in rows:
-        if not parts:
-            parts, size = [opening], len(opening)
-        parts.append(record)
-        size += len(record)
-        if size >= file_bytes:
-            yield b"".join(parts)
+    for record, opens in records:
+        if opens and size >= file_bytes:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["value"])
             parts, size = [], 0
+        parts.append(packed(record))
+        size += len(record)
     if parts:
-        yield b"".join(parts)
-
-
-def _in_small_batches(contents: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
-    for data in contents:
-        yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["value"])
 
 
 def write_files(contents: DataFrame, path: str) -> None:
-    """Each ``value`` becomes one gzip file, byte for byte but for one line feed at its end."""
-    contents.select(F.col("value").cast("string")).write.option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+    """Each ``value`` becomes one file, byte for byte but for one line feed at its end."""
+    contents.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def read_files(spark, path: str) -> DataFrame:
@@ -170,7 +232,7 @@ def read_files(spark, path: str) -> DataFrame:
 def pages_to_arc(pages: DataFrame, path: str, file_bytes: int, date: str) -> None:
     """ARC files of ``pages``; versions 1 and 2 alternate every 64 records, so that both readers are in use."""
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bool]]:
         n = 0
         for batch in batches:
             for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
@@ -179,42 +241,42 @@ def pages_to_arc(pages: DataFrame, path: str, file_bytes: int, date: str) -> Non
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page_id is None else page_id}\r\n\r\n"
                 if opens:  # a version block may stand anywhere: what follows it has its fields
-                    yield arc_block(version, f"v{version}.arc", date)
-                yield arc_record(version, url or "", date, head.encode() + payload, 0, f"v{version}.arc")
+                    yield arc_block(version, f"v{version}.arc", date), True
+                yield arc_record(version, url or "", date, head.encode() + payload, 0, f"v{version}.arc"), False
+
+    write_files(pages.select("page_id", "url", "html").mapInArrow(lambda batches: _as_files(records(batches), file_bytes), "value binary"), path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending, size = [], 0
-        for record in records(batches):
-            if size >= file_bytes and record.startswith(b"filedesc:"):  # files are cut only before a version block
-                yield from _in_small_batches(iter([b"".join(pending)]))
-                pending, size = [], 0
-            pending.append(record)
-            size += len(record)
-        if pending:
-            yield from _in_small_batches(iter([b"".join(pending)]))
-
-    write_files(pages.select("page_id", "url", "html").mapInArrow(run, "value binary"), path)
-
-
-def _converted(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.RecordBatch]:
-    """ARC file contents to one row for each record."""
-    names = ["page_id", "url", "date", "sha1", "size", *(["body"] if with_payload else [])]
-    types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.binary()]
-    for batch in batches:
-        for content in batch.column("content"):
-            rows, size = [], 0
 
-            def flush(rows: list) -> pa.RecordBatch:
-                columns = list(zip(*rows, strict=True))
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names)
+_SLIM = "page_id long, url string, date string, sha1 binary, size long, fault string"
+_FULL = _SLIM + ", info string, body binary"
 
-            for fields, body in read_arc(zlib.decompress(content.as_py(), 31)):
+
+def _converted(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBatch]:
+    """ARC file contents to one row for each record or fault; ``full`` ones with other fields as JSON, and the body."""
+    names = ["page_id", "url", "date", "sha1", "size", "fault", *(["info", "body"] if full else [])]
+    types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+
+    def flush(rows: list) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names)
+
+    for batch in batches:
+        for content in batch.column("content"):
+            rows, size, version = [], 0, ""
+            for fields, body in read_arc(unpacked(content.as_py())):
+                if fields is None:
+                    rows.append((None, None, None, None, None, body, *((None, None) if full else ())))
+                    continue
                 if fields["URL"].startswith("filedesc:"):
+                    version = body.decode("utf-8", "replace")
                     continue
                 head, payload = http_payload(body)
                 page = header_value(head, "X-Page-Id")
-                row = (int(page) if page else None, fields["URL"], fields["Archive-date"], hashlib.sha1(payload).digest(), len(payload))
-                rows.append(row + ((body,) if with_payload else ()))
+                row = (int(page) if page and page.isdigit() else None, fields["URL"], fields["Archive-date"], hashlib.sha1(payload).digest(), len(payload), None)
+                if full:
+                    info = {k: v for k, v in fields.items() if k in ARC_ONLY or k in ("IP-address", "Content-type")}
+                    row += (json.dumps({**info, "version": version}), body)
+                rows.append(row)
                 size += len(body)
                 if size > 4 << 20:
                     yield flush(rows)
@@ -223,51 +285,73 @@ def _converted(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterato
                 yield flush(rows)
 
 
+def arc_faults(spark, arc_path: str) -> DataFrame:
+    """fault, n: what could not be read in the ARC files below a path."""
+    rows = read_files(spark, arc_path).select("content").mapInArrow(lambda b: _converted(b, False), _SLIM)
+    return rows.where("fault is not null").groupBy(F.regexp_extract("fault", "^[^:]*", 0).alias("fault")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _warc_headers(info: dict, url: str, date: str) -> list[tuple[str, str]]:
+    ip = info.get("IP-address", "")
+    address = [("WARC-IP-Address", ip)] if ip not in ("", "-", "0.0.0.0") else []
+    rest = [(f"WARC-X-ARC-{k}", info[k]) for k in ARC_ONLY if info.get(k, "-") not in ("", "-")]
+    return [("WARC-Date", iso_date(date)), ("WARC-Target-URI", url), *address, *rest]
+
+
+def _warc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes]]:
+    """Converted rows to (the warcinfo record of a file that starts here, WARC record)."""
+    for batch in batches:
+        for page_id, url, date, sha1, info, body, kept_id, kept_url, kept_date in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+            info = json.loads(info)
+            text = f"software: lorewright\r\nformat: WARC File Format 1.0\r\nconverted-from: ARC {info['version'].split(' ', 1)[0]}\r\narc-version-block: {json.dumps(info['version'])}\r\n".encode()
+            opening = warc_record("warcinfo", [("WARC-Record-ID", f"<{record_id('warcinfo', text)}>"), ("WARC-Date", iso_date(date)), ("Content-Type", "application/warc-fields")], text)
+            page = [("WARC-X-Page-Id", str(page_id))] if page_id is not None else []
+            headers = [("WARC-Record-ID", f"<{record_id(sha1.hex(), url, date, page_id)}>"), *_warc_headers(info, url, date), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(sha1).decode()), *page]
+            if body is None:
+                headers += [
+                    ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"),
+                    ("WARC-Refers-To", f"<{record_id(sha1.hex(), kept_url, kept_date, kept_id)}>"),
+                    ("WARC-Refers-To-Target-URI", kept_url),
+                    ("WARC-Refers-To-Date", iso_date(kept_date)),
+                    ("WARC-X-Refers-To-Page-Id", str(kept_id)),
+                ]
+                record = warc_record("revisit", headers, b"")
+            elif body.startswith(b"HTTP/") and not re.match(r"(?i)(?!https?:)[a-z][a-z0-9+.-]*:", url):
+                record = warc_record("response", [*headers, ("WARC-Block-Digest", sha1_label(body)), ("Content-Type", "application/http; msgtype=response")], body)
+            else:
+                record = warc_record("resource", [*headers, ("Content-Type", info.get("Content-type", "application/octet-stream"))], body)
+            yield opening, record
+
+
 def arc_to_warc(spark, arc_path: str, warc_path: str, scratch: Scratch, revisit_bytes: int, file_bytes: int) -> None:
-    """Convert every ARC file below ``arc_path``."""
-    slim = read_files(spark, arc_path).select("content").mapInArrow(lambda b: _converted(b, False), "page_id long, url string, date string, sha1 binary, size long")
+    """Convert every ARC file below ``arc_path``; what can't be read is left out (see ``arc_faults``)."""
+    slim = read_files(spark, arc_path).select("content").mapInArrow(lambda b: _converted(b, False), _SLIM)
     repeated = (
-        slim.where(f"size >= {revisit_bytes} and page_id is not null")
+        slim.where(f"fault is null and size >= {revisit_bytes} and page_id is not null")
         .groupBy("sha1")
         .agg(F.max(F.struct("page_id", "url", "date")).alias("kept"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .select("sha1", F.col("kept.page_id").alias("kept_id"), F.col("kept.url").alias("kept_url"), F.col("kept.date").alias("kept_date"))
     )
     repeated = scratch.save(repeated, "repeated")
-    full = read_files(spark, arc_path).select("content").mapInArrow(lambda b: _converted(b, True), "page_id long, url string, date string, sha1 binary, size long, body binary")
+    full = read_files(spark, arc_path).select("content").mapInArrow(lambda b: _converted(b, True), _FULL).where("fault is null")
     marked = full.join(repeated, "sha1", "left")
     revisit = (F.col("size") >= revisit_bytes) & F.col("page_id").isNotNull() & F.col("kept_id").isNotNull() & (F.col("page_id") != F.col("kept_id"))
     body = F.when(revisit, F.lit(None).cast("binary")).otherwise(F.col("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def records() -> Iterator[tuple[bytes, bytes]]:
-            opening = b""
-            for batch in batches:
-                for page_id, url, date, sha1, body, kept_id, kept_url, kept_date in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                    if not opening:
-                        info = b"software: lorewright\r\nformat: WARC File Format 1.0\r\nconverted-from: ARC\r\n"
-                        opening = warc_record("warcinfo", [("WARC-Record-ID", f"<{record_id('warcinfo', info)}>"), ("WARC-Date", iso_date(date)), ("Content-Type", "application/warc-fields")], info)
-                    label = "sha1:" + base64.b32encode(sha1).decode()
-                    page = [("WARC-X-Page-Id", str(page_id))] if page_id is not None else []
-                    headers = [("WARC-Record-ID", f"<{record_id(sha1.hex(), url, date, page_id)}>"), ("WARC-Date", iso_date(date)), ("WARC-Target-URI", url), ("WARC-Payload-Digest", label), *page]
-                    if body is None:
-                        headers += [
-                            ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"),
-                            ("WARC-Refers-To", f"<{record_id(sha1.hex(), kept_url, kept_date, kept_id)}>"),
-                            ("WARC-Refers-To-Target-URI", kept_url),
-                            ("WARC-Refers-To-Date", iso_date(kept_date)),
-                            ("WARC-X-Refers-To-Page-Id", str(kept_id)),
-                        ]
-                        yield opening, warc_record("revisit", headers, b"")
-                    elif body.startswith(b"HTTP/"):
-                        headers += [("WARC-Block-Digest", sha1_label(body)), ("Content-Type", "application/http; msgtype=response")]
-                        yield opening, warc_record("response", headers, body)
-                    else:
-                        yield opening, warc_record("resource", [*headers, ("Content-Type", "text/html")], body)
-
-        yield from _in_small_batches(_files(records(), file_bytes))
-
-    columns = marked.select("page_id", "url", "date", "sha1", body.alias("body"), "kept_id", "kept_url", "kept_date")
+        def with_openings() -> Iterator[tuple[bytes, bool]]:
+            size = file_bytes  # the first record needs an opening, and so does each one that may start a file
+            for opening, record in _warc_records(batches):
+                if size >= file_bytes:
+                    yield opening, True
+                    size = 0
+                yield record, False
+                size += len(record)
+
+        yield from _as_files(with_openings(), file_bytes)
+
+    columns = marked.select("page_id", "url", "date", "sha1", "info", body.alias("body"), "kept_id", "kept_url", "kept_date")
     write_files(columns.mapInArrow(run, "value binary"), warc_path)
 
 
@@ -282,7 +366,7 @@ def read_warc_rows(spark, warc_path: str) -> DataFrame:
         for batch in batches:
             rows = []
             for content in batch.column("content"):
-                for headers, block in read_warc(zlib.decompress(content.as_py(), 31)):
+                for headers, block in read_warc(unpacked(content.as_py())):
                     if headers["WARC-Type"] not in ("response", "revisit"):
                         continue
                     page, refers = headers.get("WARC-X-Page-Id"), headers.get("WARC-X-Refers-To-Page-Id")
