@@ -1,19 +1,23 @@
 """URL filtering by mined association rules, below a list of explicit rules.
 
-Labelled URLs become transactions of tokens (registered domain, subdomain labels, first path
-segment, extension, query keys, scheme) and, for bad ones, a label item. Spark's FP-growth mines
-item sets; rules that conclude the label with enough confidence and support are kept, and rules that
-contain a smaller kept rule are pruned. Matching uses an inverted index: each rule stands under its
-rarest token, distinct URLs look up their tokens, and a hit is confirmed if the URL has all tokens
-of the rule. The index is written, so the planner broadcasts it only below its own size limit.
+Labelled URLs become transactions of tokens (scheme, every domain suffix of two labels or more, first
+label, hyphenated parts of labels, path segments with numbers made equal, extension, query keys) and,
+for bad ones, a label item. Spark's FP-growth mines item sets; rules that conclude the label with
+enough confidence and support are kept, and rules that contain a smaller kept rule are pruned.
+Matching uses an inverted index: each rule stands under its rarest token, distinct URLs look up their
+tokens, and a hit is confirmed if the URL has all tokens of the rule. The index is written, so the
+planner broadcasts it only below its own size limit.
 
 Explicit rules (host and path) win over mined ones. A rule fits its host and all subdomains if the
-URL's path starts with the rule's path; the longest rule wins. They are a parameter, held as a map
-of literals, so judging needs no shuffle.
-
-Rows: one for each input row. A null url, or one without ``://``, has an empty host and path, fits
-no rule and is allowed. Labels with null fields are ignored; without labelled bad URLs nothing is
-mined. Repeated rows and other columns make no difference.
+URL's path starts with the rule's path; the longest rule wins, of equally long ones the one that
+blocks. They are a parameter, held as a map of literals, so judging needs no shuffle. Of several
+mined rules that match, the one of greatest confidence is reported, of equal ones the last in order
+of its tokens.
+
+Rows: one for each input row, an empty table gives none. A null url, or one without ``://``, has an
+empty host and path, fits no rule and is allowed. Labels with null fields are ignored; without
+labelled bad URLs nothing is mined. Very long URLs have as many tokens as segments and keys. Repeated
+rows and other columns make no difference.
 """
 
 from __future__ import annotations
@@ -66,14 +70,19 @@ def tokens(url: Column) -> Column:
     h, p = host(url), path(url)
     labels = F.split(h, r"\.", -1)
     n = F.size(labels)
-    domain = F.array(F.concat(F.lit("d="), F.array_join(F.slice(labels, F.greatest(n - 2, F.lit(1)), F.lit(3)), ".")))
-    above = F.when(n > 3, F.transform(F.slice(labels, F.lit(1), n - 3), lambda x: F.concat(F.lit("s="), x))).otherwise(F.array().cast("array<string>"))
-    parts = F.filter(F.split(p, "/", -1), lambda x: x != "")
-    first = F.transform(F.slice(parts, 1, 1), lambda x: F.concat(F.lit("p="), F.regexp_replace(x, "[0-9]+", "0")))
+    none = F.array().cast("array<string>")
+    scheme = F.array(F.concat(F.lit("scheme="), ascii_lower(F.substring_index(url, "://", 1))))
+    starts = F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array(F.lit(1)))
+    domains = F.transform(starts, lambda i: F.concat(F.lit("d="), F.array_join(F.slice(labels, i, n), ".")))
+    first_label = F.when(n >= 3, F.array(F.concat(F.lit("s="), F.get(labels, 0)))).otherwise(none)
+    split = F.transform(F.filter(labels, lambda x: F.contains(x, F.lit("-"))), lambda x: F.filter(F.split(x, "-", -1), lambda y: y != ""))
+    hyphened = F.transform(F.flatten(split), lambda x: F.concat(F.lit("h="), x))
+    segments = F.filter(F.split(p, "/", -1), lambda x: x != "")
+    parts = F.transform(segments, lambda x: F.concat(F.lit("p="), F.regexp_replace(x, "[0-9]+", "0")))
     extension = F.transform(F.slice(F.regexp_extract_all(p, F.lit(r"\.([A-Za-z]{1,6})$"), 1), 1, 1), lambda x: F.concat(F.lit("e="), ascii_lower(x)))
     query = F.regexp_extract_all(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit(r"(?:^|&)([^=&]+)"), 1)
     keys = F.transform(query, lambda x: F.concat(F.lit("q="), x))
-    found = F.array_distinct(F.concat(domain, above, first, extension, keys))
+    found = F.array_distinct(F.concat(scheme, domains, first_label, hyphened, parts, extension, keys))
     return F.when(h != "", found).otherwise(F.array().cast("array<string>"))
 
 

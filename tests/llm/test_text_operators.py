@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -36,11 +37,14 @@ def test_line_dedup(spark):
         kept = [x for x in lines if count[lower(x.strip(WS))] < 10]
         expected[i] = (len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
     df = frame(spark, texts)
-    out = line_dedup.line_report(df, Scratch(spark, "t9"))
-    assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in out.collect()} == expected
-    clean = line_dedup.clean_rows(df, Scratch(spark, "t9"))
-    assert clean.columns == df.columns
-    assert {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in clean.collect()} == {i: e[2] for i, e in expected.items()}
+    for limit in (1_000_000, 0):  # looked up where texts are read, and joined
+        out = line_dedup.line_report(df, Scratch(spark, "t9"), broadcast_keys=limit)
+        assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in out.collect()} == expected
+        clean = line_dedup.clean_rows(df, Scratch(spark, "t9"), broadcast_keys=limit)
+        assert clean.columns == df.columns
+        assert {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in clean.collect()} == {i: e[2] for i, e in expected.items()}
+    repeated = spark.createDataFrame([(None, "a\nrow")] * 5 + [(1, "a\nrow")] * 5, "doc_id long, text string")  # each row is a document
+    assert {r.kept_sha256 for r in line_dedup.line_report(repeated, Scratch(spark, "t9")).collect()} == {hashlib.sha256(b"").hexdigest()}
     assert line_dedup.line_report(df.where("false"), Scratch(spark, "t9")).count() == 0
 
 
@@ -75,18 +79,42 @@ def test_quality_base_and_limits(spark):
     assert quality_rules.judge(frame(spark, texts).where("false"), Scratch(spark, "t8")).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
 def test_licences(spark):
-    mit = licences.KNOWN[0][1]
     texts = [
-        None, "", mit, "Copyright (c) 2020 Somebody\n\n" + mit.upper(), mit.replace(" ", "\n\n  "), mit + " and more",
+        None, "", MIT, "Copyright (c) 2020 Somebody\n\n" + MIT.upper(), MIT.replace(" ", "\n\n  "), MIT + " and more",
         "Prose.\nReleased under the MIT Licence!\nMore.", "LICENSED UNDER CC BY-NC 4.0", "© 2021 X\nThis work is licensed under the GNU General Public License, version 3", "prose " * 50_000,
+        "MIT License\n\nCopyright (c) 2021 A B\n\n" + MIT, "The MIT License (MIT)\n=====================\n\nCopyright (c) 2015 X\n" + MIT, MIT.replace("sublicense", "sub-license"),
+        MIT.replace("COPYRIGHT HOLDERS", "copyright owners").replace("sublicense", "sub license"), "MIT License", MIT, "\n" * 200 + "# MIT License\n" + MIT,
     ]
-    got = {r.doc_id: (r.licence, r.line_licences) for r in licences.scan(frame(spark, texts)).collect()}
+    rows = frame(spark, texts).union(frame(spark, [MIT]).selectExpr("null as doc_id", "text", *frame(spark, []).columns[2:]))
+    got = {r.doc_id: (r.licence, r.line_licences) for r in licences.scan(rows, Scratch(spark, "t1")).collect()}
     assert got == {
         0: (None, ""), 1: (None, ""), 2: ("MIT", ""), 3: ("MIT", ""), 4: ("MIT", ""), 5: (None, ""),
         6: (None, "MIT"), 7: ("CC-BY-NC-4.0", "CC-BY-NC-4.0"), 8: ("GPL-3.0-only", "GPL-3.0-only"), 9: (None, ""),
+        10: ("MIT", ""), 11: ("MIT", ""), 12: ("MIT", ""), 13: ("MIT", ""), 14: (None, ""), 15: ("MIT", ""), 16: ("MIT", ""), None: ("MIT", ""),
     }
-    assert licences.scan(frame(spark, texts).where("false")).count() == 0
+    assert licences.scan(frame(spark, texts).where("false"), Scratch(spark, "t1")).count() == 0
+    own = licences.digest_table(spark.createDataFrame([("Own", "1. Do as you like.\n2. Or not.")], "licence string, text string"))
+    got = licences.scan(frame(spark, ["* Do as\nyou like\n* or NOT", MIT]), Scratch(spark, "t1"), own).collect()
+    assert [r.licence for r in sorted(got, key=lambda r: r.doc_id)] == ["Own", None]
+
+
+def test_licence_texts_of_this_machine():
+    folder = "/usr/share/common-licenses"
+    for name, licence in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if os.path.exists(f"{folder}/{name}"):
+            with open(f"{folder}/{name}", encoding="utf-8") as f:
+                text = f.read()
+            for form in (text, text.upper(), "Copyright 2020 Someone\n" + text.replace("\n", "\r\n")):
+                assert licences.digest(licences.canonical(form)) in licences.KNOWN_DIGESTS[licence]
+    assert len(licences.KNOWN_DIGESTS) >= 25
 
 
 def test_token_counts_equal_the_library(spark):
@@ -100,8 +128,8 @@ def test_token_counts_equal_the_library(spark):
     texts += ["".join(rnd.choices(odd + "abc  12 ", k=40)) for _ in range(300)] + ["the cat sat on the mat. " * 4000]
     tokenizer = Tokenizer.from_file(path)
     expected = {i: (len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(texts)}
-    for table_size, cache_size in ((30_000, 1_000_000), (3, 5)):
-        out = token_counts.token_counts(frame(spark, texts), path, table_size=table_size, cache_size=cache_size).collect()
+    for table_size, more in ((30_000, {}), (3, {"cache_bytes": 900, "encode_rows": 2, "slice_chars": 50, "longest": 4})):
+        out = token_counts.token_counts(frame(spark, texts), path, table_size=table_size, **more).collect()
         assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in out} == expected
         assert all(r.over_limit == (r.n_tokens > 1024) for r in out)
     assert token_counts.token_counts(frame(spark, texts).where("false"), path).count() == 0
@@ -134,8 +162,16 @@ def test_decontamination(spark):
             mine, whole = windows(b), (windows(t) if len(w) >= 5 else windows_of(t, len(w)))
             if mine and 100 * len(mine & whole) >= 80 * len(mine):
                 expected.add((i, j, len(mine), len(mine & whole)))
-    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts += [" ".join(rnd.choices(v, k=60_000)) + " " + (items[8] or "")] + ["x y z " + (items[6] or "")] * 20  # a very long text, copies
+    for i in range(len(texts) - 21, len(texts)):
+        for j, b in enumerate(items):
+            w = lower(b or "").split()
+            mine, whole = windows(b), (windows(texts[i]) if len(w) >= 5 else windows_of(texts[i], len(w)))
+            if mine and 100 * len(mine & whole) >= 80 * len(mine):
+                expected.add((i, j, len(mine), len(mine & whole)))
+    b = spark.createDataFrame([*enumerate(items), (8, items[8]), (None, items[8])], "item_id long, text string")
     df = frame(spark, texts)
+    assert {tuple(r) for r in decontaminate.leaks(df, b, Scratch(spark, "t7"), probes=3).collect()} <= expected
     got = {tuple(r) for r in decontaminate.leaks(df, b, Scratch(spark, "t7")).collect()}
     assert got == expected and len(expected) > 30
     clean = decontaminate.clean(df, b, Scratch(spark, "t7"))
@@ -145,6 +181,14 @@ def test_decontamination(spark):
     assert decontaminate.clean(df.where("false"), b, Scratch(spark, "t7")).count() == 0
 
 
+def test_items_of_one_id_are_one(spark):
+    v = [f"v{i}" for i in range(40)]
+    b = spark.createDataFrame([(1, " ".join(v[:20])), (1, " ".join(v[20:]))], "item_id long, text string")
+    texts = [" ".join(v[:20]), " ".join([*v[:20], "and", *v[20:]]), " ".join(v[:20]) + " and " + " ".join(v[20:34])]
+    got = {tuple(r) for r in decontaminate.leaks(frame(spark, texts), b, Scratch(spark, "t7")).collect()}
+    assert got == {(1, 1, 32, 32), (2, 1, 32, 26)}  # 26 of 32 shingles are 81 %
+
+
 def windows_of(text, k):
     w = lower(text or "").split()
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set()
@@ -195,3 +239,31 @@ def test_mixing_meets_its_targets_on_rare_domains(spark, monkeypatch, poor, toxi
 def test_mixing_reports_what_it_cannot_meet(spark, caplog):
     mixing.mix(frame(spark, ["one good text"] * 3), spark.createDataFrame([], "doc_id long, quality int, toxic int"), Scratch(spark, "t10"))
     assert "missed by up to 0.09" in caplog.text
+
+
+def test_rates_equal_plain_least_squares(spark):
+    """The fitted rates against projected gradient steps over all documents, on any posteriors."""
+    import numpy as np
+
+    rnd = np.random.default_rng(8)
+    p = rnd.dirichlet([4, 1, 0.3], 300)
+    w = rnd.integers(1, 200, 300).astype(float)
+    rows = spark.createDataFrame([(i, float(n), [float(x) for x in q]) for i, (n, q) in enumerate(zip(w, p, strict=True))], "key long, _tokens double, _p array<double>")
+    targets, ridge = (0.5, 0.45, 0.05), 1e-2
+    out = mixing.fit_rates(rows, targets, ridge, steps=64, tolerance=2e-4).collect()
+    got = np.array([r.rate for r in sorted(out, key=lambda r: r.key)])
+    share = w / w.sum()
+    ridge *= (share[:, None] * p).sum(axis=0).min()
+    rate = np.ones(300)
+    for _ in range(20_000):
+        slope = p @ ((share * rate) @ p - np.array(targets)) + ridge * (rate - 1)  # of each document, by its weight
+        rate = np.maximum(0, rate - 0.9 * slope)
+    assert np.abs(got - rate).max() < 1e-3 and got.min() == 0
+
+
+def test_copies_of_a_text_are_rounded_apart(spark):
+    rows = [(i, "one and the same text of several words") for i in range(400)] + [(1000 + i, f"other words number {i} here") for i in range(100)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)] + [(1000 + i, 0, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string"), labels, Scratch(spark, "t10"), targets=(0.5, 0.45, 0.05)).where("doc_id < 1000").collect()
+    assert len({round(r.rate, 9) for r in out}) == 1 and len({r.copies for r in out}) == 2
+    assert abs(sum(r.copies for r in out) / 400 - out[0].rate) < 0.1

@@ -66,6 +66,43 @@ def test_mined_rules_equal_brute_force(spark):
     assert got == expected and {v for _, v in got} == {"allow", "block"}
 
 
+def test_tokens(spark):
+    urls = {
+        "HTTP://www.casino-win.example.com/en/Page-12/7.html?id=3&ref=x#top": {"scheme=http", "d=www.casino-win.example.com", "d=casino-win.example.com", "d=example.com", "s=www", "h=casino", "h=win", "p=en", "p=Page-0", "p=0.html", "e=html", "q=id", "q=ref"},
+        "https://localhost": {"scheme=https", "d=localhost"},
+        "no scheme": set(),
+        "http://a.b/" + "x/" * 5000: {"scheme=http", "d=a.b", "p=x"},
+    }
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r.url: r.t for r in df.select("url", url_rules.tokens(df.url).alias("t")).collect()}
+    assert {u: set(t) for u, t in got.items()} == urls and all(len(t) == len(set(t)) for t in got.values())
+
+
+def test_planted_signal_over_many_pages(spark):
+    """Bad hosts share a word in their names: the mined rule finds those that no label names."""
+    rnd = random.Random(21)
+    rows, labels = [], []
+    for i in range(6000):
+        bad = rnd.random() < 0.1
+        host = f"{rnd.choice(['free', 'best'])}-bets{rnd.randrange(200)}.net" if bad else f"site{rnd.randrange(300)}.{rnd.choice(['com', 'net'])}"
+        host = host.replace("bets", "bets-") if bad else host
+        rows.append((i, f"http://{host}/{rnd.choice(['en', 'de'])}/{i}", ""))
+        if i % 3 == 0:
+            labels.append((i, int(not bad), 0))
+    pages = frame(spark, rows)
+    out = url_rules.judge_urls(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), Scratch(spark, "t2"), rules=()).collect()
+    blocked = {r.page_id for r in out if r.verdict == "block"}
+    assert blocked == {i for i, u, _ in rows if "-bets-" in u} and any(i % 3 for i in blocked)
+    assert {r.bad_rule for r in out if r.bad_rule} <= {"h=bets", "h=free", "h=best"}
+
+
+def test_equally_long_rules(spark):
+    pages = frame(spark, [(1, "http://a.org/x/y", "")])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    out = url_rules.judge_urls(pages, labels, Scratch(spark, "t2"), rules=(("block", "org/x/y"), ("allow", "a.org/x"))).collect()
+    assert out[0].rule == "org/x/y"
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/x">Menu {n}</a></li></ul></nav><div class="ad">Buy {n}</div><header><h2>Site</h2></header>
 <p>Welcome to our fine site.</p>{body}<div id="comments"><article><p>First!</p></article></div>
@@ -93,6 +130,54 @@ def test_main_text_and_templates(spark):
     assert html_extract.extract_text(pages.where("false"), Scratch(spark, "t4")).count() == 0
 
 
+def texts_of(spark, rows, **options):
+    return {r.page_id: r.text for r in html_extract.extract_text(frame(spark, rows), Scratch(spark, "t4"), **options).collect()}
+
+
+def test_recurrence_decides(spark):
+    """Chrome without any telling name, and names that tell too little: the same pages with and without recurrence."""
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(500)]
+    say = lambda n: " ".join(rnd.choices(words, k=n))
+    bodies = {i: say(40) for i in range(40)}
+    page = '<div class="c1"><p>The site of sites.</p></div><div class="slot ad-{n}"><p>{ad}</p></div><div class="x"><p>{body}</p></div><table><tr><td>Made with care</td></tr></table>'
+    rows = [(i, f"http://a.com/{i}", page.format(n=i % 7, ad=say(5), body=b)) for i, b in bodies.items()]
+    rows += [(100, "http://a.com/s", '<div class="search-results"><p>main text</p></div><div class="post promo-2024"><p>more</p></div><p title="x hidden y">kept</p><p hidden>gone</p><p style="color:red; display: none">gone</p>')]
+    rows += [(101, "http://one.com/", '<section id="promotion-history"><p>history</p></section><div class="left-sidebar"><p>side</p></div><div class="sidebar"><p>side</p></div>')]
+    got = texts_of(spark, rows)
+    assert {i: got[i] for i in bodies} == bodies
+    assert got[100] == "main text more kept" and got[101] == "history"
+    off = texts_of(spark, rows, least=1000)  # nothing can recur: only structure and clear names are left
+    assert all(off[i] == f"The site of sites. {b} Made with care" for i, b in bodies.items())
+    assert texts_of(spark, rows, broadcast_rows=0) == got
+
+
+def test_template_keys_equal_a_plain_count(spark):
+    rnd = random.Random(12)
+    parts = [f"<div><p>part {i}</p></div>" for i in range(12)]
+    rows = [(i, f"http://{'ab'[i % 3 > 0]}.com/{i}", "".join(rnd.choices(parts, k=4)) + f"<p>own {i}</p>") for i in range(90)]
+    seen = {}
+    for i, u, h in rows:
+        for part in {p for p in parts if p in h}:
+            seen.setdefault((u[7], part), set()).add(h)
+    hosts = {h: sum(u[7] == h for _, u, _ in rows) for h in "ab"}
+    least, share = 5, 0.4
+    gone = {k for k, pages in seen.items() if len(pages) >= max(least, share * hosts[k[0]])}
+    got = texts_of(spark, rows, least=least, share=share)
+    for i, u, h in rows:
+        kept = [p for p in h.replace("</div>", "</div>\n").split("\n") if p in parts and (u[7], p) not in gone]
+        assert got[i] == " ".join([p[8:-10] for p in kept] + [f"own {i}"])
+    assert 0 < len(gone) < len(seen)
+
+
+def test_near_copies_in_plain_markup_stay(spark):
+    long = [" ".join(f"w{i}{j}" for j in range(60)) for i in range(4)]
+    rows = [(i, f"http://a.com/{i}", "".join(f"<div><p>{x}</p></div>" for x in long) + f"<p>tail {i}</p>") for i in range(8)]
+    rows += [(100 + i, f"http://a.com/o{i}", f"<p>other page {i}</p>") for i in range(60)]
+    got = texts_of(spark, rows)
+    assert all(got[i] == " ".join([*long, f"tail {i}"]) for i in range(8))
+
+
 def test_copies_of_an_article_are_not_template(spark):
     text = "<article><p>The very same words.</p></article>"
     rows = [(i, "http://a.com/x", f"<html><nav>n{i}</nav>{text}</html>") for i in range(40)]
@@ -122,8 +207,46 @@ def test_archives_round_trip(spark):
 def test_arc_versions_and_dates():
     v1 = archives.arc_block(1, "a.arc", "20010203040506") + archives.arc_record(1, "http://a/", "200102030405", b"HTTP/1.0 200 OK\r\n\r\nhi\n\n", 0, "a")
     v2 = archives.arc_block(2, "b.arc", "20010203040506") + archives.arc_record(2, "http://b/", "20010203040506", b"body", 0, "b")
-    records = list(archives.read_arc(v1 + v2))
-    assert [f["URL"] for f, _ in records] == ["filedesc://a.arc", "http://a/", "filedesc://b.arc", "http://b/"]
-    assert records[1][1] == b"HTTP/1.0 200 OK\r\n\r\nhi\n\n" and records[3][0]["Checksum"] == hashlib.md5(b"body").hexdigest()
+    for members in ([v1 + v2], [v1, v2], list(archives.unpacked(archives.packed(v1) + archives.packed(v2) + b"\n"))):
+        records = list(archives.read_arc(members))
+        assert [f["URL"] for f, _ in records] == ["filedesc://a.arc", "http://a/", "filedesc://b.arc", "http://b/"]
+        assert records[1][1] == b"HTTP/1.0 200 OK\r\n\r\nhi\n\n" and records[3][0]["Checksum"] == hashlib.md5(b"body").hexdigest()
     assert archives.iso_date("200102030405") == "2001-02-03T04:05:00Z"
     assert archives.record_id("x", 1) == archives.record_id("x", 1) != archives.record_id("x", 2)
+
+
+def test_damaged_archives_cost_only_their_damage(spark, tmp_path):
+    block = archives.arc_block(1, "a.arc", "20010203040506")
+    good = [archives.arc_record(1, f"http://g/{i}", "20010203040506", f"HTTP/1.1 200 OK\r\n\r\nbody {i}\n".encode(), 0, "a", "10.0.0.7") for i in range(4)]
+    spaced = b"http://s/a b c 10.0.0.8 20010203040506 text/plain 5\nplain\n"
+    cut = b"http://c/ 10.0.0.9 20010203040506 text/html 5000\nshort\n"
+    wrong = b"http://w/ 10.0.0.9 20010203040506 text/html 3\nlonger than three\n"
+    odd = b"not a header line\n"
+    dns = b"dns:x.org 10.0.0.1 20010203040506 text/dns 9\nHTTP/ not\n"
+    data = block + good[0] + spaced + cut + good[1] + wrong + odd + good[2] + dns + good[3] + b"http://t/ 1.1.1.1 20010203040506 text/html 99\ntail"
+    folder = tmp_path / "arc"
+    folder.mkdir()
+    (folder / "part-plain.arc").write_bytes(data)
+    v2 = archives.arc_block(2, "b.arc", "20010203040506") + archives.arc_record(2, "http://v2/", "20010203040506", b"HTTP/1.1 200 OK\r\n\r\nv2", 0, "b")
+    more = archives.arc_record(2, "http://g/1", "20010203040506", b"HTTP/1.1 200 OK\r\n\r\nbody 1\n", 0, "a", "10.0.0.7")
+    broken = bytearray(archives.packed(more))
+    broken[20:40] = b"\x00" * 20
+    (folder / "part-packed.arc.gz").write_bytes(archives.packed(v2) + bytes(broken) + archives.packed(more) + b"\n")
+    scratch = Scratch(spark, "t5")
+    archives.arc_to_warc(spark, str(folder), scratch.path("warc"), scratch, 1000, 1 << 20)
+    records = []
+    for r in archives.read_files(spark, scratch.path("warc")).collect():
+        members = list(archives.unpacked(bytes(r.content)))
+        assert all(m.count(b"WARC/1.0\r\n") == 1 for m in members)  # one record a member
+        records += list(archives.read_warc(members))
+    found = sorted((h["WARC-Target-URI"], h["WARC-Type"], h.get("WARC-IP-Address"), h["Content-Type"]) for h, _ in records if h["WARC-Type"] != "warcinfo")
+    http = "application/http; msgtype=response"
+    assert found == sorted(
+        [(f"http://g/{i}", "response", "10.0.0.7", http) for i in range(4)]
+        + [("http://s/a b c", "resource", "10.0.0.8", "text/plain"), ("dns:x.org", "resource", "10.0.0.1", "text/dns"), ("http://v2/", "response", None, http)]
+        + [("http://g/1", "response", "10.0.0.7", http)]
+    )
+    assert {r.fault: r.n for r in archives.arc_faults(spark, str(folder)).collect()}.keys() >= {"cut off", "length does not fit", "damaged gzip member"}
+    v2_headers = next(h for h, _ in records if h.get("WARC-Target-URI") == "http://v2/")
+    assert v2_headers["WARC-X-ARC-Result-code"] == "200" and v2_headers["WARC-X-ARC-Filename"] == "b"
+    assert any(b"arc-version-block" in b and b"2 0 lorewright" in b for h, b in records if h["WARC-Type"] == "warcinfo")
