@@ -100,3 +100,9 @@ def rush_level(ts: Column) -> Column:
     workday, hour = F.weekday(ts) < 5, F.hour(ts)
     peak = workday & (hour.between(7, 9) | hour.between(17, 19))
     return F.when(peak, "high").when(hour.between(10, 20), "medium").otherwise("low")
+
+
+def segment_mode(by_newline: Column, size: Column) -> tuple[Column, Column]:
+    """MX15: cutting at line ends and at a length exclude each other; neither means paragraphs."""
+    mode = F.when(by_newline & size.isNotNull(), "invalid").when(by_newline, "newline").when(size.isNotNull(), "length").otherwise("paragraph")
+    return mode, size

@@ -164,3 +164,18 @@ def placeholders(text: str) -> tuple[str, dict[str, str]]:
 def restore(text: str, table: dict[str, str]) -> str:
     """TX11: the inverse."""
     return re.sub(r"⟦F\d+⟧", lambda m: table.get(m[0], m[0]), text)
+
+
+def _column(f):
+    """A pure function of one text as a column; null stays null."""
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(f, na_action="ignore")
+
+    return run
+
+
+#: TX2 to TX5 and TX11 as columns.
+trimmed, boxed, tabled, displayed = map(_column, (trim_inside, wrap_bare_boxes, tabular_to_array, wrap_bare_environments))
+put_back = _column(lambda text: restore(*placeholders(text)))

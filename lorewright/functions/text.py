@@ -9,6 +9,164 @@ from pyspark.sql import functions as F
 CJK = r"\x{4e00}-\x{9fff}"
 
 
+#: Words and patterns of the text rules.
+CONCEPT_WORDS = (
+    r"请\s*分别\s*(?:说明|介绍|讲解|解释|论述)|请\s*(?:讲解|介绍|解释|说明|论述)|什么是|是什么|的定义|的概念|的含义|"
+    r"推导方法|推导过程|证明过程|证明思路|异同|相同点|不同点|区别和联系|区别与联系"
+)
+TEACHING_WORDS = r"在.{0,10}的?学习中|我们\s*学(?:习|过)了?|从教材中|在课本中|根据教材|根据课本|教材中|课本中|课程中"
+POINTING_WORDS = (
+    r"它们|她们|他们|它|他|她|这些|那些|这个|那个|这|那|上面|前面|前述|刚才|刚刚|刚说|上文|前文|这道题|那道题|这题|那题|"
+    r"再算|再说|换一种|换个|为什么是这样|结果不对|不对|是这样吗"
+)
+STANDALONE = r"(?:^|[\s，,。.;；:：、])(?:什么是|介绍一下|帮我讲解一下|定义\s|定理\s|公式\s|\b[A-Z][a-z]+\s+[A-Z][a-z]+\b)"
+FOLLOW_UP_WORDS = (
+    "第二问", "第三问", "第一问", "上一问", "下一问", "刚才", "上面", "前面", "这个", "这一步", "这里", "它", "继续",
+    "为什么", "哪里错", "怎么做", "怎么解", "答案不对", "重新解", "接着",
+)
+COMPLETE_WORDS = ("已知", "设", "若", "求", "证明")
+NOT_SIMPLE_WORDS = ("证明", "推导", "分析", "为什么", "思路", "过程", "几何", "应用题", "函数", "方程组")
+REASONS = (
+    ("数学概念", ("集合", "函数", "定理", "公式", "定义", "什么是")),
+    ("数学推理", ("证明", "推导", "为什么")),
+    ("综合分析", ("分析", "比较", "总结")),
+)
+MATH_VERBS = {"discard": "舍去", "obtain": "得到", "substitute": "代入", "assume": "假设", "conclude": "得出", "simplify": "化简"}
+MATH_WORDS = (
+    r"正方体|立方体|长方体|球体|球(?=[体面心的内外半径体积表侧])|圆锥|圆柱|圆台|棱锥|棱柱|棱台|三角锥|椎体|"
+    r"三角形|正方形|长方形|矩形|梯形|平行四边形|菱形|多边形|圆(?![形圈])|扇形|椭圆|双曲线|抛物线|"
+    r"直线|曲线|射线|线段|切线|渐近线|交点|切点|顶点|端点|零点|极值点|对称点|拐点|斜率|截距|坐标|象限|倾角|"
+    r"函数|方程(?!式)|方程组|不等式|数列|集合|向量|矩阵|行列式|三角函数|导数|积分|极限|微分|正弦|余弦|正切|余切|"
+    r"长度|面积|体积|半径|周长|边长|棱长|对角线|侧面积|表面积|底面积|高(?![中考矮兴级手速铁])|底面|斜高|母线|斜边|焦距|内切|外接|"
+    r"取值范围|最大值|最小值|定义域|值域|根|解集|交集|并集|补集|下标|通项(?:公式)?|递推(?:关系|公式)?|公比|公差|"
+    r"等差|等比|前\s*[nN]\s*项|化简|因式分解|证明|推导(?![的方过])|(?<![需追])求(?![求给你了起])|计算(?!机)|求解|为多少|等于多少|"
+    r"除以|乘以|平方|立方|次方|开方|根号|不等于|大于等于|小于等于|大于零|小于零|等于零|比较.{0,50}的大小"
+)
+OUTPUT_LABELS = r"^(?:(?:输出|结果)[：:]\s*)+"
+SPOKEN_PART = r"(^|[\n。！？；;，,、]\s*)(?:第\s*([一二三123１２３])\s*(?:问|小题|小问)|问题\s*([一二三123１２３]))[，,、。．:\s]*"
+CHOICE_CONTEXT = r"下列选项哪个正确|下列说法正确的是|下列结论正确的是|下列.*?正确的是|下列.*?错误的是|这是一道多选题|这是一道单选题|多选题|单选题|选择题"
+CHOICE_MARK = r"(?:\$\s*([A-Da-d])\s*\$\s*选项|([A-Da-d])\s*选项|选项\s*\$\s*([A-Da-d])\s*\$|选项\s*([A-Da-d]))[：:，,、\s]*"
+
+
+def contains_any(text: Column, words) -> Column:
+    return F.rlike(text, F.lit("|".join(words)))
+
+
+def numbered_parts(text: Column) -> Column:
+    """ST17: spoken marks of sub-questions become (n); after a full stop they open a paragraph."""
+    digit = {"一": 1, "二": 2, "三": 3, "１": 1, "２": 2, "３": 3}
+    out = _sub(text, SPOKEN_PART, r"$1\(⟦$2$3⟧\)")
+    out = _sub(out, r"([。！？；;])\s*(?=\(⟦)", "$1\n\n")
+    for word, n in digit.items():
+        out = F.replace(out, F.lit(f"(⟦{word}⟧)"), F.lit(f"({n})"))
+    return _sub(out, r"\(⟦([123])⟧\)", r"\($1\)")
+
+
+def choice_lines(text: Column) -> Column:
+    """ST18: marks of options become "A. " on a line of their own, in a choice question only."""
+    marked = lambda x: F.rlike(text, F.lit(rf"(?i)\$?\s*{x}\s*\$?\s*选项|选项\s*\$?\s*{x}"))
+    context = F.rlike(text, F.lit(CHOICE_CONTEXT)) | (marked("a") & marked("b") & marked("c") & marked("d"))
+    out = _sub(text, CHOICE_MARK, "⟦$1$2$3$4⟧")
+    out = _sub(out, r"则[，,：:]?\s*(?=⟦[A-Da-d]⟧)", "则：\n")
+    out = _sub(out, r"(?<=[^\s])[^\S\n]*(?=⟦[A-Da-d]⟧)", "\n")
+    for x in "abcd":
+        out = F.replace(F.replace(out, F.lit(f"⟦{x}⟧"), F.lit(f"{x.upper()}. ")), F.lit(f"⟦{x.upper()}⟧"), F.lit(f"{x.upper()}. "))
+    out = _sub(_sub(out, r"\n{3,}", "\n\n"), r"\A\s+|\s+\z")
+    return F.when(context & F.rlike(text, F.lit(CHOICE_MARK)), out).otherwise(text)
+
+
+def clean_output(text: Column) -> Column:
+    """ST16: think blocks, fence, labels and quotes of model output go, then ST17 and ST18."""
+    bare = _sub(_sub(strip_code_fence(strip_think(text)), OUTPUT_LABELS), r"\A[\s\"]+|[\s\"]+\z")
+    return F.trim(choice_lines(numbered_parts(F.btrim(bare, F.lit(" '")))))
+
+
+def translated_verbs(text: Column) -> Column:
+    """ST24: English verbs of mathematics become Chinese, in Chinese texts with a formula only."""
+    out = text
+    for word, by in MATH_VERBS.items():
+        out = _sub(out, rf"(?i)\b{word}\b", by)
+    formula = F.rlike(text, F.lit(r"\$[^$]+\$|\\\(.+?\\\)|\\\[.+?\\\]|\\boxed\s*\{|\\begin\{"))
+    return F.when(F.rlike(text, F.lit(f"[{CJK}]")) & formula, out).otherwise(text)
+
+
+def is_math_problem(text: Column) -> Column:
+    """ST27."""
+    return F.rlike(F.trim(text), F.lit(MATH_WORDS))
+
+
+def is_follow_up(text: Column) -> Column:
+    """ST30: at most 80 characters with a word that refers back; 80 and a problem's own words make a problem."""
+    q = F.trim(text)
+    n = F.char_length(q)
+    return (n > 0) & ~((n >= 80) & contains_any(q, COMPLETE_WORDS)) & (n <= 80) & contains_any(q, FOLLOW_UP_WORDS)
+
+
+def is_simple_arithmetic(text: Column) -> Column:
+    """ST31."""
+    q = F.lower(F.trim(text))
+    number, sign = F.rlike(q, F.lit("[0-9一二三四五六七八九十百千万两零]")), F.rlike(q, F.lit("[-+*/加减乘除×÷]|等于"))
+    asks = F.rlike(q, F.lit("等于几|多少|=|＝"))
+    return (F.char_length(q).between(1, 28)) & ~contains_any(q, NOT_SIMPLE_WORDS) & number & sign & asks
+
+
+def reason_class(text: Column) -> Column:
+    """ST33."""
+    return F.coalesce(*[F.when(contains_any(text, words), F.lit(name)) for name, words in REASONS], F.lit("heuristic"))
+
+
+def traffic_place(text: Column) -> Column:
+    """ST35: the place in a question about traffic, null if there is none."""
+    q = F.trim(text)
+    named = F.regexp_extract(q, rf"([{CJK}A-Za-z]{{2,20}})(?:堵不堵|拥堵|路况|交通)", 1)
+    bare = F.trim(_sub(F.trim(_sub(named, "^(?:请问|我想了解一下|想了解一下|帮我查一下|查一下|今天|今日|现在)")), "(?:今天|今日|现在)$"))
+    rest = _sub(_sub(q, f"[^{CJK}A-Za-z]"), "堵不堵|拥堵|路况|交通|今天|今日|现在")
+    return F.when(bare != "", bare).when(F.char_length(rest).between(2, 20), rest)
+
+
+_LEAD = "请问|麻烦问下|麻烦下|麻烦您|麻烦|问下|请帮我查一下|帮我查一下|我想了解一下|我想了解|想了解一下|想了解|了解一下|了解|想知道|请告诉我|告诉我|请|查一下"
+_WEATHER = "天气|气温|气候|阴晴|降雨|下雨|下雪|气象"
+
+
+def weather_place(text: Column) -> Column:
+    """ST35: the place in a question about the weather: before a day or weather word, before the weather word
+    without manners and days, after an English preposition, else the ideographs alone; null if there is none."""
+    q = F.trim(text)
+    first = F.regexp_extract(F.trim(_sub(q, rf"^(?:{_LEAD})\s*")), rf"([{CJK}]{{2,4}}?)(?=今天|今日|明天|后天|本周|这周|当前|现在|此时|目前|的天气|的气温|的气候|{_WEATHER})", 1)
+    second = F.trim(F.regexp_extract(q, rf"([{CJK}A-Za-z]{{2,20}})\s*(?:的)?\s*(?:{_WEATHER})", 1))
+    for _ in range(3):
+        second = F.trim(_sub(second, "^(?:请问|麻烦问下|问下|请帮我查一下|帮我查一下|今天|今日|明天|后天|当前|现在|的)"))
+        second = F.trim(_sub(second, "(?:今天|今日|明天|后天|本周|这周|当前|现在|的)$"))
+    english = F.trim(_sub(F.regexp_extract(q, r"\b(?:in|at|for|of|near|around)\s+([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){0,3})", 1), r"(?i)\s+(?:today|tomorrow|now|tonight|currently|right\s+now)\s*$"))
+    only = _sub(q, f"[^{CJK}]")
+    return F.when(F.char_length(first) >= 2, first).when(F.char_length(second) >= 2, second).when(english != "", english).when(F.char_length(only).between(2, 20), only)
+
+
+def chunk_text(head: dict[str, Column], body: Column, part: Column) -> Column:
+    """ST43: header lines, the part only where there is one, then the body."""
+    lines = [F.concat(F.lit(f"【{name}】"), F.coalesce(v, F.lit(""))) for name, v in head.items()]
+    lines.append(F.when(F.coalesce(part, F.lit("")) != "", F.concat(F.lit("【分片】"), part)))
+    return F.concat(F.concat_ws("\n", *lines), F.lit("\n\n【正文】\n"), body)
+
+
+def conversion_log(entry: Column) -> Column:
+    """ST45: type, duration, before and after of a conversion's log entry, quoted or not; null if it is none."""
+    payload = F.regexp_extract(entry, r"(?s)(ASR→LaTeX.*)", 1)
+    quoted = r"(?s)before\s*=\s*'(.*?)'\s*,\s*after\s*=\s*'(.*?)(?:'\s*)?$"
+    plain = r"(?s)before\s*=\s*(.*?)\s*,\s*after\s*=\s*(.*?)(?:,\s*duration=[^,\n]+)?$"
+    is_quoted = F.rlike(payload, F.lit(quoted))
+    value = lambda i: F.trim(F.when(is_quoted, F.regexp_extract(payload, quoted, i)).otherwise(_sub(F.trim(F.regexp_extract(payload, plain, i)), "^'|'$")))
+    duration = F.nullif(F.trim(F.regexp_extract(payload, "duration=([^,]+)", 1)), F.lit(""))
+    row = F.struct(F.trim(F.substring_index(payload, ":", 1)).alias("type"), duration.alias("duration"), value(1).alias("before"), value(2).alias("after"))
+    return F.when((payload != "") & (is_quoted | F.rlike(payload, F.lit(plain))), row)
+
+
+def parsed_name(name: Column) -> Column:
+    """ST46: the plain name of a parser's export, null for other files."""
+    forms = ((r"^MinerU_(.+?)__\d{14}\.json$", ".json"), (r"^MinerU_markdown_(.+?)_\d{14}\.md$", ".md"), (r"^MinerU_markdown_(.+?)_\d{16}_\d+\.md$", ".md"))
+    return F.coalesce(*[F.when(F.rlike(name, F.lit(p)), F.concat(F.regexp_extract(name, p, 1), F.lit(ext))) for p, ext in forms])
+
+
 def _sub(text: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(by))
 
@@ -135,10 +293,11 @@ def strip_list_markers(text: Column) -> Column:
 
 
 def mapped_reply(text: Column, replies: dict[str, str]) -> Column:
-    """ST23: exact, then by prefix, then by suffix; the text itself if nothing fits."""
+    """ST23: exact, then by prefix or suffix in the order of the replies; the text itself if nothing fits."""
     steps = [F.when(text == k, F.lit(v)) for k, v in replies.items()]
-    steps += [F.when(F.startswith(text, F.lit(k)), F.concat(F.lit(v), F.substr(text, F.lit(len(k) + 1)))) for k, v in replies.items()]
-    steps += [F.when(F.endswith(text, F.lit(k)), F.concat(F.left(text, F.char_length(text) - len(k)), F.lit(v))) for k, v in replies.items()]
+    for k, v in replies.items():
+        steps.append(F.when(F.startswith(text, F.lit(k)), F.concat(F.lit(v), F.substr(text, F.lit(len(k) + 1)))))
+        steps.append(F.when(F.endswith(text, F.lit(k)), F.concat(F.left(text, F.char_length(text) - len(k)), F.lit(v))))
     return F.coalesce(*steps, text)
 
 
@@ -150,15 +309,14 @@ def guarded_rewrite(original: Column, rewritten: Column) -> Column:
 
 
 def depends_on_context(text: Column) -> Column:
-    """ST26: short, with a pronoun that points backwards."""
-    pronoun = F.rlike(text, F.lit(r"(?i)这个|那个|它|上面|刚才|\b(?:it|this|that|these|those|they)\b"))
-    return (F.char_length(text) <= 24) & pronoun
+    """ST26: short, with a word that points backwards, and no subject of its own."""
+    q = F.trim(text)
+    return (q != "") & (F.char_length(q) <= 24) & F.rlike(q, F.lit(POINTING_WORDS)) & ~F.rlike(q, F.lit(STANDALONE))
 
 
 def explains_concept(text: Column) -> Column:
     """ST28: two of an indicator, a teaching context, and 25 characters."""
-    indicator = F.rlike(text, F.lit(r"(?i)什么是|解释|概念|定义|what is|explain|define"))
-    teaching = F.rlike(text, F.lit(r"(?i)老师|课堂|教材|学习|lesson|textbook|student"))
+    indicator, teaching = F.rlike(text, F.lit(CONCEPT_WORDS)), F.rlike(text, F.lit(TEACHING_WORDS))
     return (indicator.cast("int") + teaching.cast("int") + (F.char_length(text) >= 25).cast("int")) >= 2
 
 
@@ -262,3 +420,9 @@ def shortened(text: Column, most: int) -> Column:
     """PRJ4."""
     flat = _sub(text, r"\n+", " ")
     return F.when(F.char_length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("…"))).otherwise(flat)
+
+
+def fixed_pieces(text: Column, size: int, overlap: int) -> Column:
+    """MX16: pieces of ``size`` characters, each beginning ``overlap`` before the end of the last; one at least."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(text) - overlap), F.lit(size - overlap))
+    return F.transform(starts, lambda at: F.substr(text, at, F.lit(size)))

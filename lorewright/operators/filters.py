@@ -69,3 +69,24 @@ def first_filled(*arrays: Column) -> Column:
 def keep_unless_all_dropped(parts: Column, keep, whole: Column, sep: str) -> Column:
     """``parts`` that satisfy ``keep`` joined by ``sep``; the whole text if none does."""
     return F.coalesce(F.nullif(F.array_join(F.filter(parts, keep), sep), F.lit("")), whole)
+
+
+def exists(column: str) -> Column:
+    """FIL6."""
+    return F.col(column).isNotNull()
+
+
+def equal_when_given_column(column: str, value: object) -> Column:
+    """FIL8: rows whose flag has the value; nulls have none."""
+    return F.coalesce(F.col(column) == F.lit(value), F.lit(False))
+
+
+def usable_concepts(items: DataFrame, name: str, key: str, allowed: DataFrame) -> DataFrame:
+    """FIL9: reviewed as correct, with a name, and on the whitelist."""
+    rows = items.where((F.col("review_status") == "correct") & (F.trim(F.coalesce(F.col(name), F.lit(""))) != ""))
+    return rows.join(allowed.select(key).distinct(), key, "left_semi")
+
+
+def log_from(column: str, kind: str, start: str) -> Column:
+    """FIL13: entries that hold the kind, not before a time, by their first 19 characters."""
+    return F.contains(F.col(column), F.lit(kind)) & (F.substring(column, 1, 19) >= F.lit(start))

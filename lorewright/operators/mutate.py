@@ -38,6 +38,22 @@ def copy_missing(source: DataFrame, target: DataFrame, keys: list[str], batch: i
     return marked.where(absent).select(*source.columns), stats
 
 
+def copy_all(tables: dict[str, tuple[DataFrame, DataFrame]], keys: list[str], exclude: set[str] = frozenset()) -> DataFrame:
+    """Totals of copying several (source, target) tables, without those excluded."""
+    stats = None
+    for name, (source, target) in tables.items():
+        if name not in exclude:
+            row = copy_missing(source, target, keys)[1]
+            stats = row if stats is None else stats.union(row)
+    sums = [F.sum(c).alias(c) for c in ("total", "inserted", "skipped")]
+    return stats.agg(F.count(F.lit(1)).cast("int").alias("n_tables"), *sums)
+
+
+def vector_rows(rows: DataFrame, key: str, text: str, most: int = 500) -> DataFrame:
+    """SNK12: what is put beside a vector: its id, and its text up to ``most`` characters."""
+    return rows.select(key, F.substring(text, 1, most).alias("text"), F.concat(F.lit("q"), F.col(key).cast("string")).alias("vector_id"))
+
+
 def push_bounded(array: Column, new: Column, limit: int) -> Column:
     """``new`` appended to ``array``, and only the last ``limit`` elements kept."""
     joined = F.concat(F.coalesce(array, F.slice(new, 1, 0)), new)

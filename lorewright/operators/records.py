@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def enabled_ids(datasets: Column) -> Column:
@@ -141,3 +145,83 @@ def latest_runs(runs: DataFrame, keys: list[str], order: list[Column], columns:
     """SUP26: the latest completed run of each key."""
     done = runs.where("status = 'completed'")
     return done.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("r")).select(*keys, "r.*")
+
+
+def id_strings(ids: Column) -> Column:
+    """PRJ2: ids as strings, nulls left out."""
+    return F.transform(F.array_compact(ids), lambda x: x.cast("string"))
+
+
+def field_of(structs: Column, name: str) -> Column:
+    """PRJ2: one field of an array of structs, null structs left out."""
+    return F.transform(F.array_compact(structs), lambda x: x[name])
+
+
+def script_chunks(rows: DataFrame, section: str, questions: str, script: str) -> DataFrame:
+    """PRJ8: title, content: one chunk for each question, or one titled by the section."""
+    titles = F.when(F.size(questions) > 0, F.col(questions)).otherwise(F.array(section))
+    out = rows.withColumn("title", F.explode(titles))
+    return out.withColumn("content", F.concat_ws("\n", "title", script)).drop(section, questions, script)
+
+
+def custom_kg(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """PRJ15: (id, name, source) to chunks (entity, id) and entities with their distinct sources."""
+    chunks = records.select(F.trim("name").alias("entity"), "id", "source")
+    return chunks, chunks.groupBy("entity").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+
+
+def first_text(*values: Column) -> Column:
+    """The first text that is not blank, trimmed; empty if all are."""
+    return F.coalesce(*[F.nullif(F.trim(v), F.lit("")) for v in values], F.lit(""))
+
+
+def plain_type(value: Column) -> Column:
+    """SUP23."""
+    return F.lower(F.trim(F.coalesce(value, F.lit(""))))
+
+
+def with_content(rows: DataFrame, fields: list[str], files: DataFrame, file: str, text: str) -> DataFrame:
+    """SUP13: ``resolved``: the first of the fields that has a text, else the file's."""
+    own = F.nullif(first_text(*map(F.col, fields)), F.lit(""))
+    return rows.join(files.select(file, text), file, "left").withColumn("resolved", F.coalesce(own, F.col(text), F.lit("")))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def json_objects(texts: pd.Series) -> pd.Series:
+    """MX9: the JSON objects of a text in order, as text; what does not parse is passed over."""
+    decoder = json.JSONDecoder()
+
+    def find(text: str | None) -> list[str]:
+        out, at, text = [], 0, text or ""
+        while (at := text.find("{", at)) >= 0:
+            try:
+                _, end = decoder.raw_decode(text, at)
+            except ValueError:
+                at += 1
+                continue
+            out.append(text[at:end])
+            at = end
+        return out
+
+    return texts.map(find)
+
+
+def _texts(value) -> list[str]:
+    if isinstance(value, str):
+        return [value]
+    if isinstance(value, list):
+        return [t for v in value for t in _texts(v)]
+    return _texts(value["content"]) if isinstance(value, dict) and value.get("content") is not None else []
+
+
+@F.pandas_udf(T.StringType())
+def flat_text(texts: pd.Series) -> pd.Series:
+    """SUP21: the texts of nested contents, given as JSON, in order with one space between."""
+    def one(text: str) -> str:
+        try:
+            value = json.loads(text)
+        except ValueError:
+            value = text
+        return " ".join(t.strip() for t in _texts(value) if t.strip())
+
+    return texts.map(one, na_action="ignore")

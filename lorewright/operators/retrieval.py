@@ -222,6 +222,12 @@ def long_web_text(text: Column) -> Column:
     return F.when(n > 2400, F.concat(F.substring(text, 1, 1200), F.lit("\n...\n"), F.right(text, F.lit(800)))).otherwise(F.substring(text, 1, 1200))
 
 
+def in_language(results: DataFrame, query: str, pos: str, language: Column, unwanted: str, n: int) -> DataFrame:
+    """FIL14: results in the unwanted language left out, the first n kept."""
+    kept = results.where(language != unwanted)
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(pos))).where(F.col("rank") <= n)
+
+
 TERM_BLOCK = 50_000
 
 

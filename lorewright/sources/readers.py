@@ -2,23 +2,101 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Wrapper keys under which a JSON file may hold its list.
+#: Wrapper keys under which a JSON file may hold its list.
 WRAPPERS = ("items", "concepts", "documents", "data")
 
 
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no, line: the lines of text files, numbered from 1 in each file.
+
+    Lines are numbered within the block that a task reads; only the blocks' counts are added up by file.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), F.col("value").alias("line"))
+    counts = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("file", "block").orderBy("i"))
+    return raw.withColumn("own", own).join(counts.select("file", "block", before.alias("before")), ["file", "block"]).select("file", (F.col("before") + F.col("own")).alias("line_no"), "line")
+
+
 def jsonl(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = False) -> DataFrame:
-    """SRC1-SRC3: one object a line; bad lines fail the read, or are left out."""
+    """SRC2: one object a line; bad lines are left out, or fail the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
-def jsonl_with_errors(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """SRC1: rows with ``_corrupt_record`` for the lines that don't parse, and the file they stand in."""
-    full = f"{schema}, _corrupt_record string"
-    return spark.read.schema(full).option("columnNameOfCorruptRecord", "_corrupt_record").json(path).withColumn("file", F.col("_metadata.file_name"))
+def jsonl_problems(lines: DataFrame, schema: str) -> DataFrame:
+    """SRC1: file_lines with the record, or what is wrong with the line: no JSON, or no object. Blank lines are left out."""
+    line = F.trim("line")
+    parsed = F.try_parse_json(line)
+    problem = F.when(parsed.isNull(), "no JSON").when(~F.startswith(line, F.lit("{")), "no object")
+    return lines.where(line != "").withColumn("problem", problem).withColumn("record", F.when(F.col("problem").isNull(), F.from_json(line, schema)))
+
+
+def review_rows(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """SRC3: records for review; a missing status is null, a stored index is dropped."""
+    return jsonl(spark, path, f"{fields}, review_status string")
+
+
+def samples(lines: DataFrame) -> DataFrame:
+    """SRC4: line_no, before, after of the lines whose ``before`` is not blank."""
+    r = lines.select("file", "line_no", F.from_json("line", "before string, after string").alias("r")).select("file", "line_no", "r.before", "r.after")
+    return r.where(F.trim(F.coalesce("before", F.lit(""))) != "")
+
+
+def optional_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """SRC6: the object in a file; a file that is missing or corrupt gives no row."""
+    whole = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
+    files = whole.load(path.rsplit("/", 1)[0]).where(F.endswith("path", F.lit("/" + path.rsplit("/", 1)[1])))
+    return files.select(F.from_json(F.col("content").cast("string"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"), F.try_parse_json(F.col("content").cast("string")).alias("v")).where("v is not null").select("r.*")
+
+
+def the_one_file(spark: SparkSession, path: str, pattern: str) -> str:
+    """SRC13: the only file below a folder whose path matches; any other number is an error."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.rlike("path", F.lit(pattern))).select("path").limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{'no' if not found else 'more than one'} file matches {pattern}")
+    return found[0].path
+
+
+def unnested(value):
+    """SRC23: JSON in strings, however deep, becomes JSON."""
+    if isinstance(value, dict):
+        return {k: unnested(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [unnested(v) for v in value]
+    if isinstance(value, str) and value.strip()[:1] in ("{", "["):
+        try:
+            return unnested(json.loads(value))
+        except ValueError:
+            return value
+    return value
+
+
+@F.pandas_udf(T.StringType())
+def nested_json(texts: pd.Series) -> pd.Series:
+    """SRC23 as a column: JSON text to JSON text with sorted keys; what is no JSON stays."""
+    def one(text: str) -> str:
+        try:
+            return json.dumps(unnested(json.loads(text)), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        except ValueError:
+            return text
+
+    return texts.map(one, na_action="ignore")
+
+
+def collections(tables: dict[str, DataFrame]) -> DataFrame:
+    """SRC25: name, n of each table."""
+    out = None
+    for name, df in sorted(tables.items()):
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = row if out is None else out.union(row)
+    return out
 
 
 def wrapped_json(spark: SparkSession, path: str, element: str) -> DataFrame:
@@ -32,9 +110,10 @@ def wrapped_json(spark: SparkSession, path: str, element: str) -> DataFrame:
 
 
 def keyed_json(spark: SparkSession, path: str, element: str) -> DataFrame:
-    """SRC7, SRC8: an object of objects, each key as ``_key``."""
+    """SRC7, SRC8: an object of objects, each key as ``_key``; it may stand under ``data``."""
     whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", f"map<string,struct<{element}>>")).alias("_key", "r")).select("_key", "r.*")
+    inner = F.coalesce(F.get_json_object("value", "$.data"), F.col("value"))
+    return whole.select(F.explode(F.from_json(inner, f"map<string,struct<{element}>>")).alias("_key", "r")).select("_key", "r.*")
 
 
 def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -79,10 +158,10 @@ def queries_file(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.trim("line") != "").select(F.col("line_no").alias("index"), F.trim("line").alias("query"))
 
 
-def image_assets(pages: DataFrame) -> DataFrame:
+def image_assets(pages: DataFrame, *keys: str) -> DataFrame:
     """SRC12: pages -> elements -> images; of several with one path the last one counts."""
-    elements = pages.select(F.posexplode("pages").alias("page", "elements")).select("page", F.posexplode("elements").alias("at", "e"))
-    return elements.where("e.type = 'image'").groupBy("e.img_path").agg(F.max_by("e", F.struct("page", "at")).alias("e"), F.max("page").alias("page"))
+    elements = pages.select(*keys, F.posexplode("pages").alias("page", "elements")).select(*keys, "page", F.posexplode("elements").alias("at", "e"))
+    return elements.where("e.type = 'image'").groupBy(*keys, F.col("e.img_path").alias("img_path")).agg(F.max_by("e", F.struct("page", "at")).alias("e"), F.max("page").alias("page"))
 
 
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:
