@@ -106,3 +106,20 @@ def weighted_grade(parts: list[tuple[Column, float]]) -> tuple[Column, Column]:
     score = sum((c * F.lit(w) for c, w in parts), F.lit(0.0))
     letter = F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("F")
     return score, letter
+
+
+def presence(rows: DataFrame, checks: dict[str, Column], total: str) -> DataFrame:
+    """AGG18: how many rows there are, how many pass each check, and the sum of a column."""
+    return rows.agg(F.count(F.lit(1)).alias("n_chunks"), *[F.count_if(c).alias(n) for n, c in checks.items()], F.sum(total).alias(total))
+
+
+def nested_sizes(chapters: str, sections: str, items: str) -> tuple[Column, Column, Column]:
+    """AGG19: chapters, sections and items of an array of structs of arrays of structs."""
+    inner = F.flatten(F.transform(chapters, lambda c: c[sections]))
+    return F.size(chapters), F.size(inner), F.aggregate(inner, F.lit(0), lambda n, s: n + F.size(s[items]))
+
+
+def advice(counts: DataFrame, rules: list[tuple[Column, str]], nothing: str) -> DataFrame:
+    """AGG39: one row for each rule that a row of counts meets, or one that says there is none."""
+    met = F.array_compact(F.array(*[F.when(rule, F.lit(text)) for rule, text in rules]))
+    return counts.select(F.explode(F.when(F.size(met) > 0, met).otherwise(F.array(F.lit(nothing)))).alias("advice"))

@@ -67,3 +67,56 @@ def relation_type(explicit: Column, keywords: Column, description: Column, allow
     ranked = sorted(allowed, key=lambda x: (-len(x), x))
     scan = F.coalesce(*[F.when(F.contains(F.coalesce(description, F.lit("")), F.lit(x)), F.lit(x)) for x in ranked], F.lit(""))
     return F.coalesce(F.nullif(F.trim(explicit), F.lit("")), F.get(good, 0), F.get(words, 0), scan)
+
+
+def with_degree(nodes: DataFrame, edges: DataFrame, key: str, src: str, dst: str) -> DataFrame:
+    """PRJ5: nodes with the number of their edges, zero where there is none."""
+    d = degrees(edges, src, dst).withColumnRenamed("node", key)
+    return nodes.join(d, key, "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
+
+
+def image_audit(images: DataFrame, chunk: str) -> DataFrame:
+    """AGG35: counters over image metadata (path, caption, exists, url)."""
+    filled = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    remote = F.rlike(F.coalesce("url", F.lit("")), F.lit("^https?://"))
+    return images.agg(
+        F.countDistinct(chunk).alias("chunks_with_images"),
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(filled("caption")).alias("with_caption"),
+        F.count_if(~filled("caption")).alias("missing_caption"),
+        F.count_if(F.col("exists")).alias("exists_true"),
+        F.count_if(~F.col("exists")).alias("exists_false"),
+        F.count_if(F.col("exists").isNull()).alias("exists_none"),
+        F.count_if(remote).alias("remote"),
+        F.count_if(~remote).alias("local"),
+    )
+
+
+def merge_in_order(items: list[tuple]) -> list[tuple]:
+    """JN21: items (path, line_no, *fields) merged into the first earlier one with their path or line; empty fields are filled."""
+    out: list[list] = []
+    for path, line, *rest in items:
+        same = next((x for x in out if (path and x[-1] == path) or (line is not None and x[1] == line)), None)
+        if same is None:
+            out.append([path, line, *rest, path])
+        else:
+            for i, v in enumerate((path, line, *rest)):
+                if same[i] in (None, "") and v not in (None, ""):
+                    same[i] = v
+    return [tuple(x[:-1]) for x in out]
+
+
+def merged_images(images: DataFrame, chunk: str, order: list[str], columns: list[str]) -> DataFrame:
+    """JN21 for every chunk; a chunk's images are what bounds a group."""
+    from .books import by_document
+
+    types = dict(images.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in (chunk, *columns))
+    return by_document(images.select(chunk, *order, *columns), chunk, order, columns, merge_in_order, schema)
+
+
+def by_label(rows: DataFrame, label: str, nodes: DataFrame) -> DataFrame:
+    """SUP44: rows with the least node_id of their label, without case, how many share it, and whether there is none."""
+    known = nodes.groupBy(F.lower("label").alias("_label")).agg(F.min("node_id").alias("node_id"), F.count(F.lit(1)).alias("n_same"))
+    out = rows.join(known, F.lower(label) == F.col("_label"), "left").drop("_label")
+    return out.withColumn("failed", F.col("node_id").isNull()).withColumn("n_same", F.coalesce("n_same", F.lit(0).cast("long")))

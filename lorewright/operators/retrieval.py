@@ -280,3 +280,32 @@ def first_concept(texts: DataFrame, key: str, text: str, concepts: DataFrame, sc
     hits = terms_in_text(texts, key, text, names.union(aliases), "term", "_hit", scratch)
     best = hits.groupBy(key).agg(F.min("pos").alias("_hit"))
     return best.select(key, "_hit.name", F.when(F.col("_hit.kind") == 0, "name").otherwise("alias").alias("by"))
+
+
+def typed_entity(entities: DataFrame, concepts: DataFrame, types: list[str]) -> DataFrame:
+    """JN10: query_id, name: the best ranked entity (query_id, rank, entity_name, entity_type) of a type that counts and with a concept."""
+    hits = entities.where(F.col("entity_type").isin(types)).join(concepts.select(F.col("name").alias("entity_name")).distinct(), "entity_name", "left_semi")
+    return hits.groupBy("query_id").agg(F.min_by("entity_name", "rank").alias("name"))
+
+
+def concept_cascade(queries: DataFrame, key: str, text: str, concepts: DataFrame, entities: DataFrame, types: list[str], scratch: Scratch) -> DataFrame:
+    """RET11: key, name, confidence, reason: a concept named in the question, else a retrieved one, else none."""
+    named = first_concept(queries, key, text, concepts, scratch).select(key, F.col("name").alias("exact"), "by")
+    found = typed_entity(entities.withColumnRenamed(key, "query_id") if key != "query_id" else entities, concepts, types).select(F.col("query_id").alias(key), F.col("name").alias("entity"))
+    out = queries.select(key).join(named, key, "left").join(found, key, "left")
+    reason = F.when(F.col("exact").isNotNull(), F.concat("by", F.lit("_in_query"))).when(F.col("entity").isNotNull(), "entity_hit").otherwise("not_found")
+    confidence = F.when(F.col("exact").isNotNull(), 1.0).when(F.col("entity").isNotNull(), 0.9).otherwise(0.0)
+    return out.select(key, F.coalesce("exact", "entity").alias("name"), confidence.alias("confidence"), reason.alias("reason"))
+
+
+def assessment(tops: DataFrame, method: str, top: str, success: str) -> DataFrame:
+    """RET12: by method, how often it succeeds, and its top scores."""
+    mean = F.sum(F.col(top).cast("decimal(18,6)")).cast("double") / F.count(top)
+    return tops.groupBy(method).agg(
+        F.count(F.lit(1)).alias("n_queries"), F.round(F.avg(F.col(success).cast("int")), 6).alias("success_rate"), F.min(top).alias("min_top"), F.max(top).alias("max_top"), F.round(mean, 6).alias("avg_top")
+    )
+
+
+def low_relevance(results: DataFrame, query: str, score: str, least: float) -> DataFrame:
+    """RET18: the best score of each query, and whether it is below what counts as relevant."""
+    return results.groupBy(query).agg(F.max(score).alias("best")).withColumn("low", F.col("best") < least)
