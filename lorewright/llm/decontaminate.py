@@ -6,17 +6,24 @@ the item's shingles occur in it. Jaccard similarity says nothing here, as items
 documents long, so the search is asymmetric:
 
 * Items are partitioned by size. In a partition, the least ``m`` MinHash values of each item index
-  it, with ``m`` from the partition's lower size: as many as can be absent from a document that
-  contains 80 % of the item, and one more (then no match can be missed), but ``probes`` at most,
-  when the chance to miss one is below 0.2 ** probes.
+  it, with ``m`` from the partition's upper size: as many as can be absent from a document that
+  contains 80 % of the item, and one more. No match can be missed. ``probes`` can bound ``m``, which
+  makes the index of long items smaller, at a chance to miss one below 0.2 ** probes; the default is
+  not to.
 * Shingles of documents look those values up. Documents smaller than 80 % of an item are no
   candidates for it.
-* Candidates alone are read again and verified by exact shingle containment.
+* Candidates alone are read again and verified by exact shingle containment: the shingles that each
+  pair asks for are joined to the text's own, by text and shingle, so no passage is a hot key.
 
 DataFrame functions only. The index is written first, so the planner knows its size and broadcasts
 it only below its own limit; otherwise both sides are shuffled by shingle. Texts are keyed by their
-digest, so equal texts are verified once and null or repeated doc_ids are no special case. Null and
-empty texts contain nothing; an item without words is contained nowhere. Other columns are ignored.
+digest, so equal texts are verified once.
+
+Rows: one for each document and each item that it contains, so none for an empty table. Null or
+repeated doc_ids are no special case, repeated rows give repeated results. Null and empty texts
+contain nothing, a null item_id or an item without words is contained nowhere. Rows that repeat an
+item_id are one item, with the shingles of all. A share of exactly 80 % counts. Texts of any length
+are read whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +49,7 @@ def _by_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.unhex(F.md5("text")).alias("key"), words(ascii_lower(F.col("text"))).alias("_words"))
 
 
-def contained_items(docs: DataFrame, items: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80, probes: int = 12) -> DataFrame:
+def contained_items(docs: DataFrame, items: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80, probes: int | None = None) -> DataFrame:
     """key, item_id, n_item, n_shared: the items that each distinct text contains; key is the text's MD5."""
     short = 1 - percent / 100
     item = items.where("item_id is not null and text is not null").select("item_id", words(ascii_lower(F.col("text"))).alias("_words"))
@@ -52,14 +59,12 @@ def contained_items(docs: DataFrame, items: DataFrame, scratch: Scratch, size: i
     hashed = F.when(F.col("k") == size, F.array_distinct(window_hashes(F.col("_words"), size)))
     for j in shorter:
         hashed = hashed.when(F.col("k") == j, window_hashes(F.col("_words"), j))
-    item = scratch.save(
-        item.select("item_id", hashed.alias("s")).select(
-            "item_id", "s", F.size("s").alias("n_item"), F.ceil(F.size("s") * F.lit(percent) / 100).cast("int").alias("least")
-        ),
-        "item-shingles",
-    )
+    shingled = item.select("item_id", F.explode(hashed).alias("h")).groupBy("item_id").agg(F.array_sort(F.collect_set("h")).alias("s"))
+    least = F.ceil(F.size("s") * F.lit(percent) / 100).cast("int")
+    item = scratch.save(shingled.select("item_id", "s", F.size("s").alias("n_item"), least.alias("least")), "item-shingles")
     partition = F.floor(F.log2("n_item"))
-    m = F.least(F.lit(probes), F.floor(F.pow(F.lit(2.0), partition + 1) * F.lit(short) + 1e-9) + 1).cast("int")
+    m = F.floor(F.pow(F.lit(2.0), partition + 1) * F.lit(short) + 1e-9) + 1
+    m = (m if probes is None else F.least(F.lit(probes), m)).cast("int")
     order = F.array_sort(F.transform("s", lambda h: F.struct(F.xxhash64(h, F.lit(17)).alias("rank"), h.alias("h"))))
     index = scratch.save(
         item.select("item_id", "least", F.explode(F.slice(order, F.lit(1), F.least(m, F.col("n_item")))).alias("e")).select(
@@ -73,11 +78,11 @@ def contained_items(docs: DataFrame, items: DataFrame, scratch: Scratch, size: i
     found = probed.select("key", F.size("s").alias("n"), F.explode_outer("s").alias("h")).join(index, "h").where("n >= least")
     candidates = scratch.save(found.select("key", "item_id").distinct(), "candidates")
     again = texts.select(F.unhex(F.md5("text")).alias("key"), "text").join(candidates.select("key").distinct(), "key", "left_semi")
-    again = again.select("key", words(ascii_lower(F.col("text"))).alias("_words")).select("key", _shingles(F.col("_words"), size, shorter).alias("s"))
-    full = scratch.save(item.select("item_id", "n_item", "least", F.explode("s").alias("h")), "full")
-    shared = again.select("key", F.explode_outer("s").alias("h")).join(full, "h").distinct()
-    counted = shared.groupBy("key", "item_id").agg(F.count(F.lit(1)).alias("n_shared"), F.first("n_item").alias("n_item"), F.first("least").alias("least"))
-    exact = counted.where("n_shared >= least").join(candidates, ["key", "item_id"], "left_semi")
+    again = again.groupBy("key").agg(F.first("text").alias("text")).select("key", words(ascii_lower(F.col("text"))).alias("_words"))
+    own = again.select("key", _shingles(F.col("_words"), size, shorter).alias("s")).select("key", F.explode_outer("s").alias("h"))
+    asked = candidates.join(item, "item_id").select("key", "item_id", "n_item", "least", F.explode("s").alias("h"))
+    counted = asked.join(own, ["key", "h"]).groupBy("key", "item_id", "n_item", "least").agg(F.count(F.lit(1)).alias("n_shared"))
+    exact = counted.where("n_shared >= least")
     return scratch.save(exact.select("key", "item_id", F.col("n_item").cast("long").alias("n_item"), "n_shared"), "contained")
 
 
