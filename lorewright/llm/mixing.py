@@ -133,11 +133,12 @@ def mix(docs: DataFrame, labels: DataFrame, scratch: Scratch, targets: tuple[flo
     """doc_id, n_words, posteriors, rate and copies for every row of ``docs`` (doc_id, text).
 
     ``copies`` realises the rate as a whole number: its floor, and one more for the fraction of
-    documents that a hash of the text picks.
+    documents that a hash of doc_id and of the row's place picks, so copies of a text are not all
+    rounded alike.
     """
     docs = docs.select("doc_id", "text")  # other columns, whatever their names, are not looked at
     fitted = fit_domains(docs, labels, fit_rows)
-    pick = F.pmod(F.xxhash64("text", F.lit(29)), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    pick = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit(29)), F.lit(1_000_000)) / F.lit(1_000_000.0)
     rows = scratch.save(posteriors(docs, fitted).withColumn("_pick", pick).drop("text"), "posteriors")
     rated = fit_rates(rows, targets, ridge, steps, tolerance)
     rate = F.when(F.col("_tokens") == 0, F.lit(1.0)).otherwise(F.col("rate"))
