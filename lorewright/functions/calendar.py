@@ -125,3 +125,9 @@ def iso_z(ts: Column) -> Column:
 def is_clock_question(text: Column) -> Column:
     """DT14: asks for the time of day."""
     return F.rlike(text, F.lit("(?i)几点|现在时间|what time")) & ~F.rlike(text, F.lit("(?i)时差|黄历|农历|time zone|lunar"))
+
+
+def answered_days(parts: Column, today: Column) -> Column:
+    """DT9, SUP3: the days that the parts of a question name, as ISO text; none unless every part names one."""
+    days = F.transform(parts, lambda p: F.date_format(relative_day(p, today), "yyyy-MM-dd"))
+    return F.when((F.size(days) > 0) & F.forall(days, lambda d: d.isNotNull()), days).otherwise(F.array().cast("array<string>"))

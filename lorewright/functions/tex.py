@@ -179,3 +179,21 @@ def _column(f):
 #: TX2 to TX5 and TX11 as columns.
 trimmed, boxed, tabled, displayed = map(_column, (trim_inside, wrap_bare_boxes, tabular_to_array, wrap_bare_environments))
 put_back = _column(lambda text: restore(*placeholders(text)))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def normalised_list(lists: pd.Series) -> pd.Series:
+    """TX8: TX7 on every text of a list."""
+    return lists.map(lambda texts: [normalise(t) for t in texts], na_action="ignore")
+
+
+def repaired(fields: list[str], steps: str) -> dict[str, Column]:
+    """TX8: the columns of a record with repaired formulas, in its text fields and in the texts of its steps."""
+    return {**{c: normalised(F.col(c)) for c in fields}, steps: normalised_list(F.transform(steps, lambda x: x["text"]))}
+
+
+@F.pandas_udf(T.StructType().add("text", T.StringType()).add("n", T.LongType()).add("first", T.StringType()))
+def set_aside(texts: pd.Series) -> pd.DataFrame:
+    """SUP29: texts with placeholders for their formulas, how many, and the first one."""
+    rows = [placeholders(t or "") for t in texts]
+    return pd.DataFrame({"text": [t for t, _ in rows], "n": [len(d) for _, d in rows], "first": [next(iter(d.values()), None) for _, d in rows]})

@@ -6,6 +6,7 @@ text, and stands alone in every second one.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as C
@@ -438,3 +439,65 @@ def sup21_flat_text(spark, sf_dir):
     """Nested contents as one text."""
     nested = F.concat(F.lit('{"content": [{"content": "x'), F.col("event_id").cast("string"), F.lit('"}, {"type": "t", "content": {"content": [" y ", "z"]}}, 5]}'))
     return table(spark, sf_dir, "events").select("event_id", P.flat_text(nested).alias("out"))
+
+
+@query("""
+select c_custkey, c_name, case when c_custkey % 2 = 0 then 'new' else c_mktsegment end as rule, c_acctbal from customer where c_custkey % 3 <> 0 union all select c_custkey, c_name, 'default', 0.0 from customer where c_custkey % 3 = 0
+""")
+def sup8_settings(spark, sf_dir):
+    """Employees created where absent, one section of their settings replaced."""
+    from ..operators import mutate as M
+
+    c = table(spark, sf_dir, "customer")
+    base = c.where("c_custkey % 3 <> 0").select("c_custkey", "c_name", F.struct(F.col("c_mktsegment").alias("rule"), F.col("c_acctbal").alias("balance")).alias("setting"))
+    made = M.insert_if_absent(base, c.select("c_custkey", "c_name", F.struct(F.lit("default").alias("rule"), F.lit(0.0).alias("balance")).alias("setting")), ["c_custkey"])
+    changed = F.when((F.col("c_custkey") % 2 == 0) & (F.col("c_custkey") % 3 != 0), F.col("setting").withField("rule", F.lit("new"))).otherwise(F.col("setting"))
+    return made.withColumn("setting", changed).select("c_custkey", "c_name", "setting.rule", F.col("setting.balance").alias("c_acctbal"))
+
+
+@query("select 'keywords' as name, count(*) as n from (select distinct doc_id, unnest(string_split(text, ' ')) as w from documents where doc_id not in (select doc_id from labels where toxic = 1)) union all select 'vectors', count(*) from documents where doc_id not in (select doc_id from labels where toxic = 1)")
+def sup10_removed_from_stores(spark, sf_dir):
+    """Documents removed from the vector and the keyword store."""
+    from ..operators import mutate as M
+    from ..sources.readers import collections
+
+    docs, gone = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    words = docs.select("doc_id", F.explode_outer(F.split("text", " ")).alias("w")).where("w is not null").distinct()
+    return collections(M.cascade({"vectors": docs.select("doc_id"), "keywords": words}, gone, "doc_id"))
+
+
+@query("""
+with r as (select doc_id, quality, row_number() over (order by doc_id) - 1 as index from labels)
+select doc_id, index, case when index % 4 = 0 then 'correct' when quality = 0 then 'incorrect' end as review_status from r
+""")
+def sup24_review_updates(spark, sf_dir):
+    """Reviews updated by the place that a record had in its list (SUP24, SUP25)."""
+    from ..operators import mutate as M
+
+    w = Window.orderBy("doc_id")  # one list's own order, as it is shown
+    rows = table(spark, sf_dir, "labels").select("doc_id", (F.row_number().over(w) - 1).cast("long").alias("index"), F.when(F.col("quality") == 0, "incorrect").alias("review_status"))
+    updates = rows.where("index % 4 = 0").select("index", F.lit("correct").alias("review_status"))
+    return M.upsert(rows, updates, ["index"], partial=True).select("doc_id", "index", "review_status")
+
+
+@query("""
+with m as (select doc_id, n_chars, (['clean', 'query', 'sample'])[1 + doc_id % 3] as mode from documents) select mode, count(*) filter (where mode <> 'query') as n_imported, max(case when mode = 'sample' then least(n_chars, 100) else n_chars end) as longest, mode = 'clean' as wiped from m group by 1
+""")
+def sup30_import_modes(spark, sf_dir):
+    """What each import mode does: wipe first, only ask, or take a sample of each text."""
+    mode = F.get(F.array(*map(F.lit, ("clean", "query", "sample"))), (F.col("doc_id") % 3).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("n_chars", mode.alias("mode"))
+    longest = F.when(F.col("mode") == "sample", F.least(F.col("n_chars"), F.lit(100))).otherwise(F.col("n_chars"))
+    return rows.groupBy("mode").agg(F.count_if(F.col("mode") != "query").alias("n_imported"), F.max(longest).alias("longest")).withColumn("wiped", F.col("mode") == "clean")
+
+
+@query("""
+with q as (select o_orderkey, o_orderkey % 4 as k, o_orderdate::date as d from orders)
+select o_orderkey, case k when 0 then 2 when 1 then 1 else 0 end as n_answers, case k when 0 then strftime(d + 1, '%Y-%m-%d') || ';' || strftime(d - 1, '%Y-%m-%d') when 1 then strftime(d, '%Y-%m-%d') else '' end as days from q
+""")
+def dt9_calendar_answers(spark, sf_dir):
+    """Questions of several parts answered only if every part names a day (DT9, SUP3)."""
+    k = F.col("o_orderkey") % 4
+    text = F.when(k == 0, "明天是几号？昨天呢？").when(k == 1, "今天几号").when(k == 2, "明天是几号？为什么下雨？").otherwise("no question")
+    days = C.answered_days(T.sentences(text), F.col("o_orderdate").cast("date"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.size(days).alias("n_answers"), F.array_join(days, ";").alias("days"))

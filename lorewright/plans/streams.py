@@ -191,3 +191,99 @@ def tx7_normalised(spark, sf_dir):
 def src11_html_text(spark, sf_dir):
     """Plain text of pages by tag stripping."""
     return table(spark, sf_dir, "pages").select("page_id", F.md5(readers.html_text(F.col("html"))).alias("text_md5"))
+
+
+def _streamed(spark, sf_dir, name: str, make):
+    """Events read as a stream of files, what ``make`` does with them, written by the stream and read back."""
+    from ..scratch import Scratch
+
+    scratch, path = Scratch(spark, name), f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    folder = scratch.path("in")  # a stream reads folders
+    spark.read.parquet(path).write.parquet(folder)
+    out = make(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    S.run_to_files(out, scratch.path("out"), scratch.path("checkpoint"))
+    return spark.read.schema(out.schema).parquet(scratch.path("out"))
+
+
+@query("select event_id, user_id from events where ts >= timestamp '2024-01-05'")
+def str1_tail(spark, sf_dir):
+    """A tailed stream: rows after a time, each id once though it comes twice (STR1-STR3)."""
+
+    def twice(rows):
+        again = rows.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
+        return S.tail(again, "event_id", "ts", "3000 days", "2024-01-05 00:00:00").select("event_id", "user_id")
+
+    return _streamed(spark, sf_dir, "str1", twice)
+
+
+@query("""
+with w as (select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n from events group by 1, 2)
+select start, event_type, n from w where start + interval 1 hour <= (select max(ts) - interval 10 minute from events)
+""")
+def str_windows_stream(spark, sf_dir):
+    """Hourly windows of a stream, each written once the watermark has passed its end."""
+
+    def hourly(rows):
+        return S.tumbling(rows, "ts", "event_type", "value", "1 hour", "10 minutes").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+    return _streamed(spark, sf_dir, "str-windows", hourly)
+
+
+@query("select conv_id, turn, 'a' || 'b' || replace(text, '<', '') as out from conversations where text is not null")
+def str7_think_filter(spark, sf_dir):
+    """Think blocks out of texts, a tag's attributes and case do not matter."""
+    text = F.concat(F.lit("a<THINK k='v'>no <b></think >b"), F.translate("text", "<", ""))
+    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", S.without_thinking(text).alias("out"))
+
+
+@query("""
+select user_id, date_diff('microsecond', min(case when event_type = 'click' then ts end), min(case when event_type = 'view' then ts end)) / 1000000 as seconds from events group by 1
+""")
+def str8_think_seconds(spark, sf_dir):
+    """Seconds from the first opening to the first closing tag."""
+    text = F.when(F.col("event_type") == "click", "x <think a>").when(F.col("event_type") == "view", "</think>").otherwise("plain")
+    return S.think_seconds(table(spark, sf_dir, "events").withColumn("text", text), "user_id", "ts", "text")
+
+
+@query("select event_id, case when event_id % 2 = 0 then 'direct' else 'buffered' end as streaming_source from events")
+def str10_tagged_tokens(spark, sf_dir):
+    """Tokens kept with the stream that they came from."""
+    rows = table(spark, sf_dir, "events").select("event_id")
+    return S.tagged(rows.where("event_id % 2 = 0"), "direct").union(S.tagged(rows.where("event_id % 2 = 1"), "buffered"))
+
+
+@query("""
+with q as (select conv_id, coalesce(arg_min(text, (turn, role)), '') as q, coalesce(arg_max(text, (turn, role)), '') as a from conversations group by 1)
+select conv_id, length(q) as prompt, length(a) as completion, length(q) + length(a) as total, case when a = '' then 'empty' else 'stop' end as finish_reason from q
+""")
+def sup34_usage(spark, sf_dir):
+    """Usage as lengths, and why an answer ended."""
+    at = F.struct("turn", "role")
+    chats = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", at).alias("q"), F.max_by("text", at).alias("a"))
+    return S.usage(chats, "conv_id", "q", "a")
+
+
+@query("select p_partkey, '$' || p_partkey || '$' as question, '$x$ ' || p_name as answer, '$a$|$$b$$' as steps from part")
+def tx8_repaired_records(spark, sf_dir):
+    """Formulas of a record's fields and steps repaired."""
+    step = lambda t: F.struct(F.lit(t).alias("text"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit(r"\( "), F.col("p_partkey").cast("string"), F.lit(r" \)")).alias("question"), F.concat(F.lit("$ x $ "), "p_name").alias("answer"), F.array(step(r"\(a\)"), step(r"\[b\]")).alias("steps"))
+    done = tex.repaired(["question", "answer"], "steps")
+    return rows.select("p_partkey", done["question"].alias("question"), done["answer"].alias("answer"), F.array_join(done["steps"], "|").alias("steps"))
+
+
+@query("select p_partkey, '⟦F0⟧ and ⟦F1⟧ ' || p_name as text, 2::bigint as n, '$' || p_partkey || '$' as first from part")
+def sup29_placeholders(spark, sf_dir):
+    """Formulas set aside, how many, and the first one."""
+    t = F.concat(F.lit("$"), F.col("p_partkey").cast("string"), F.lit("$ and $$b$$ "), "p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", tex.set_aside(t).alias("r")).select("p_partkey", "r.text", "r.n", "r.first")
+
+
+@query("select p_partkey, '抱歉。 ' || p_name as out from part")
+def sup35_shown_segments(spark, sf_dir):
+    """Segments as they are shown: formulas normalised, fixed replies mapped, verbs translated."""
+    from ..functions import text as T
+
+    t = tex.normalised(F.concat(F.lit("I don't know. "), "p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.translated_verbs(T.mapped_reply(t, {"I don't know.": "抱歉。"})).alias("out"))

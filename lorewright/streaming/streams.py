@@ -14,11 +14,12 @@ from dataclasses import asdict
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .bucket import TokenBucket
 from .segments import SegmentBuffer
-from .think import ThinkFilter
+from .think import ThinkFilter, strip
 
 
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -165,3 +166,33 @@ def rate_limited_stream(requests: DataFrame, limit: int, idle: str = "2 hours")
 def latest_status(log: DataFrame, key: str, ts: str, status: str) -> DataFrame:
     """STR12: the latest status of every task, from an append-only log."""
     return log.groupBy(key).agg(F.max_by(status, F.struct(ts, status)).alias(status), F.max(ts).alias("at"))
+
+
+@F.pandas_udf(T.StringType())
+def without_thinking(texts: pd.Series) -> pd.Series:
+    """STR7 over whole texts: think blocks out, unclosed ones too; the same states as over tokens."""
+    return texts.map(strip, na_action="ignore")
+
+
+def think_seconds(tokens: DataFrame, key: str, ts: str, text: str) -> DataFrame:
+    """STR8: key, seconds: from a stream's first opening tag to its first closing one, null where either lacks."""
+    opened, closed = F.rlike(text, F.lit(r"(?i)<think\b")), F.rlike(text, F.lit(r"(?i)</think\s*>"))
+    seconds = F.unix_micros(F.min(F.when(closed, F.col(ts).cast("timestamp")))) - F.unix_micros(F.min(F.when(opened, F.col(ts).cast("timestamp"))))
+    return tokens.groupBy(key).agg((seconds / 1_000_000).alias("seconds"))
+
+
+def tagged(tokens: DataFrame, source: str) -> DataFrame:
+    """STR10: tokens as they are kept, with the stream that they came from."""
+    return tokens.withColumn("streaming_source", F.lit(source))
+
+
+def usage(chats: DataFrame, key: str, question: str, answer: str) -> DataFrame:
+    """SUP34: usage as character lengths, and why the answer ended."""
+    n, m = (F.char_length(F.coalesce(c, F.lit(""))).cast("long") for c in (question, answer))
+    finish = F.when(m == 0, "empty").otherwise("stop")
+    return chats.select(key, n.alias("prompt"), m.alias("completion"), (n + m).alias("total"), finish.alias("finish_reason"))
+
+
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """A stream's rows of all that is there now, appended to files; it runs until its last batch is written."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
