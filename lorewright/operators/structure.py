@@ -49,13 +49,9 @@ def candidates(lines: DataFrame, short: int = 40) -> DataFrame:
     text, key = F.col("text"), T.number_key(F.col("text"))
     title_like = (F.trim(text) != "") & (F.char_length(F.trim(text)) <= short) & ~T.only_numbering(text)
     heading = T.is_heading(text)
-    found = F.array_compact(
-        F.array(
-            F.when(heading, F.struct(F.lit(PRIORITY["markdown_heading"]).alias("priority"), F.lit("heading").alias("reason"))),
-            F.when((key != "") & (heading | title_like), F.struct(F.lit(PRIORITY["numbered_line"]), F.concat(F.lit("number "), key)))
-            .when(title_like, F.struct(F.lit(PRIORITY["short_title"]), F.lit("short title"))),
-        )
-    )
+    kind = lambda name, reason: F.struct(F.lit(PRIORITY[name]).alias("priority"), reason.alias("reason"))
+    numbered = F.when((key != "") & (heading | title_like), kind("numbered_line", F.concat(F.lit("number "), key)))
+    found = F.array_compact(F.array(F.when(heading, kind("markdown_heading", F.lit("heading"))), numbered.when(title_like, kind("short_title", F.lit("short title")))))
     single = lines.select("doc_id", "line_no", "text", F.explode(found).alias("f")).select("doc_id", "line_no", "text", "f.priority", "f.reason")
     groups = chapter_groups(lines).select("doc_id", "line_no", "text", F.lit(PRIORITY["chapter_group"]).alias("priority"), F.concat(F.lit("group "), "number_key").alias("reason"))
     return one_per_line(single.union(groups), "doc_id", "line_no")

@@ -66,7 +66,21 @@ def mx14_chunks(spark, sf_dir):
     return books.chunks(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "part", "n_parts", F.md5("content").alias("content_md5"))
 
 
-@query()
+def _cut(mark: str, n: int) -> str:
+    at = f"(3001 - {n} - strpos(reverse(seg), {mark}))"
+    return f"case when strpos(reverse(seg), {mark}) > 0 and {at} >= 1500 then start + {at} + {n} end"
+
+
+_CUTS = ", ".join([*[_cut(f"'{m}'", 1) for m in "。！？"], _cut("chr(10) || chr(10)", 2), _cut("'；'", 1)])
+
+
+@query(f"""
+with recursive p as (
+  select doc_id, text, length(text) as len, 0 as start from documents
+  union all
+  select doc_id, text, len, greatest(e - 300, start + 1) from (select *, coalesce({_CUTS}, start + 3000) as e from (select *, substring(text, (start + 1)::int, 3000) as seg from p where len > 3000 and start + 3000 < len)) where e < len)
+select doc_id, count(*) as n_pieces from p group by doc_id
+""")
 def win15_pieces(spark, sf_dir):
     """Overlapping pieces of long texts, counted."""
     p = books.pieces(F.col("text"))
@@ -187,7 +201,10 @@ def tx7_normalised(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tex.normalised(t).alias("out"))
 
 
-@query()
+@query(r"""
+with t as (select page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script[ \t\n\x0B\f\r]*>|<style\b.*?</style[ \t\n\x0B\f\r]*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') as t from pages)
+select page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) as text_md5 from t
+""")
 def src11_html_text(spark, sf_dir):
     """Plain text of pages by tag stripping."""
     return table(spark, sf_dir, "pages").select("page_id", F.md5(readers.html_text(F.col("html"))).alias("text_md5"))

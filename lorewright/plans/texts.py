@@ -46,8 +46,20 @@ text_query("st37_title", "Normal title.", lambda t: T.normal_title(F.get(F.split
 text_query("st38_page", "Title without page number.", lambda t: T.without_page(F.concat(t, F.lit(" ... 12"))), r"rtrim(regexp_replace(text || ' ... 12', '[\s.·…]*\s\d+\s*$', ''))")
 text_query("st48_sentences", "Sentences, counted.", lambda t: F.size(T.sentences(t)).cast("long"), r"len(list_filter(string_split_regex(text, '[?？!！。；;\n]'), lambda x: trim(x, ' ') <> ''))::bigint")
 text_query("prj4_shortened", "Cut with an ellipsis.", lambda t: T.shortened(t, 120), r"case when length(regexp_replace(text, '\n+', ' ', 'g')) > 120 then substring(regexp_replace(text, '\n+', ' ', 'g'), 1, 120) || '…' else regexp_replace(text, '\n+', ' ', 'g') end")
-text_query("st21_speech", "Markdown to speech.", T.speech_text, None)
-text_query("st41_body", "Clean body.", T.clean_body, None)
+_SPEECH = [(r"(?s)```.*?```", " "), (r"`([^`]*)`", r"\1"), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"(?m)^[ \t]*#{1,6}[ \t]*", ""), (r"(?m)^[ \t]*(?:[-*+]|\d+[.)])[ \t]+", ""), (r"\*\*([^*]+)\*\*", r"\1"), (r"\*([^*\n]+)\*", r"\1"), (r"\n{2,}", "\n")]
+_BODY = [(r"!\[[^\]]*\]\([^)]*\)", ""), (r"https?://[^\s)>]+", ""), (r"(?:[A-Za-z]:)?[\\/](?:[\w.-]+[\\/])+[\w.-]+", ""), (r"\b[\w-]+\.(?:png|jpe?g|gif|svg|webp|pdf)\b", ""), (r"\n{3,}", "\n\n")]
+
+
+def _replaced(of: str, steps) -> str:
+    for pattern, by in steps:
+        of = f"regexp_replace({of}, '{pattern}', '{by}', 'g')"
+    return f"trim({of}, ' ')"
+
+
+_MARKED = "'# T' || chr(10) || '1. `a` **b** [c](d) ![e](f.png) see http://x.y/z and a/b/c.txt or g.jpg' || chr(10) || chr(10) || chr(10) || text"
+_marked = lambda t: F.concat(F.lit("# T\n1. `a` **b** [c](d) ![e](f.png) see http://x.y/z and a/b/c.txt or g.jpg\n\n\n"), t)
+text_query("st21_speech", "Markdown to speech.", lambda t: T.speech_text(_marked(t)), _replaced(_MARKED, _SPEECH))
+text_query("st41_body", "Clean body.", lambda t: T.clean_body(_marked(t)), _replaced(_MARKED, _BODY))
 text_query("st15_fence", "Fence stripped.", lambda t: T.strip_code_fence(F.concat(F.lit("```json\n"), t, F.lit("\n```"))), "trim(text, ' ')")
 text_query("st34_alias", "Label by alias.", lambda t: T.alias_of(F.col("lang"), {"en": "english", "fr": "french"}, "general"), "case lang when 'en' then 'english' when 'fr' then 'french' else 'general' end")
 

@@ -106,6 +106,7 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(batch.schema).json(source)
     q = S.segments_of_stream(stream).writeStream.format("memory").queryName("segments").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(90)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert sorted(map(tuple, spark.table("segments").collect())) == expected
 
 
