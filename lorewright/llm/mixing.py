@@ -15,8 +15,10 @@
 
 DataFrame functions and Spark's own JVM estimators only. Every row gets its
 rate: none is dropped. A document without words has no tokens and gets rate 1, a null doc_id is as
-good as any. With no labelled row, or labels of one domain only, every document belongs to a single
-domain and gets the rate that meets its total.
+good as any; an empty table gives no row. With no labelled row, or labels of one domain only, every
+document belongs to a single domain and gets the rate that meets its total. Documents with the same
+words have the same rate, repeated rows among them; very long ones count with all their words. A doc_id
+that is labelled twice counts with both labels. Tokens are words.
 """
 
 from __future__ import annotations

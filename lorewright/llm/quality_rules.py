@@ -10,8 +10,9 @@ not reject its ordinary documents).
 
 Everything is DataFrame functions. A null text has no words, fails the base rules and gets zeros.
 Null languages and sources form groups of their own. A group below ``min_group`` documents uses its
-language's thresholds, and those of all documents where the language is small too. Every input row
-gives one output row; columns that are not named here are left alone.
+language's thresholds, and those of all documents where the language is small too. A ratio that equals
+its threshold is fine. Every input row gives one output row, repeated rows each their own, an empty
+table none; very long texts are judged whole; columns that are not named here are left alone.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ are not kept. Pre-tokens are never shuffled, each row is counted where it is rea
 are counted, in slices of a batch.
 
 Strings of the vocabulary's added tokens count as one token each, as is the library's default. A
-null text is empty: 0 bytes, 0 tokens. Every input row gives one output row; null and repeated
-doc_ids and further columns make no difference.
+null text is empty: 0 bytes, 0 tokens. Every input row gives one output row, an empty table none; null
+and repeated doc_ids and further columns make no difference. Very long texts are counted whole, a text
+with exactly ``limit`` tokens is not over it.
 """
 
 from __future__ import annotations

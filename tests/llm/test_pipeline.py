@@ -75,3 +75,26 @@ def test_stages(spark, tmp_path):
     total = sum(r.n_words for r in outputs[4].values())
     for name, target in zip(mixing.DOMAINS, mixing.TARGETS, strict=True):
         assert abs(sum(r.n_words / total * r.rate * r[f"p_{name}"] for r in outputs[4].values()) - target) < 0.02
+
+
+def test_empty_and_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, key string, digest string, at string"
+    rnd = random.Random(5)
+    v = [f"w{i}" for i in range(300)]
+    long = " ".join(rnd.choices(v, k=40_000))
+    rows = [(i, " ".join(rnd.choices(v, k=30)), "en", "a", 1, "r", "k", "d", "x") for i in range(20)]
+    rows += [(50, long, None, None, None, None, None, None, None), (None, " ".join(rnd.choices(v, k=30)), "en", "a", 1, "r", "k", "d", "x"), (60, "", "en", "a", 0, "r", "k", "d", "x"), rows[3]]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "not in any text at all")], "item_id long, text string")
+    for name, docs in (("odd", spark.createDataFrame(rows, schema)), ("empty", spark.createDataFrame([], schema))):
+        sf = f"{tmp_path}/{name}"
+        for table, df in (("documents", docs), ("labels", labels), ("benchmark", items)):
+            df.write.parquet(f"{sf}/{table}.parquet")
+        current = spark.read.parquet(f"{sf}/documents.parquet")
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, current, sf)
+            assert i == 4 or out.columns == docs.columns
+            out.write.parquet(f"{sf}/out-{i}")
+            current = spark.read.parquet(f"{sf}/out-{i}")
+        left = current.collect()
+        assert not left if name == "empty" else sorted(r.doc_id if r.doc_id is not None else -1 for r in left) == [-1, *range(20), 50]

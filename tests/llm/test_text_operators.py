@@ -267,3 +267,31 @@ def test_copies_of_a_text_are_rounded_apart(spark):
     out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string"), labels, Scratch(spark, "t10"), targets=(0.5, 0.45, 0.05)).where("doc_id < 1000").collect()
     assert len({round(r.rate, 9) for r in out}) == 1 and len({r.copies for r in out}) == 2
     assert abs(sum(r.copies for r in out) / 400 - out[0].rate) < 0.1
+
+
+def test_repeated_rows_ties_and_limits(spark):
+    """Ratios on the limit are fine, repeated rows get equal results, a text of exactly the limit is not over it."""
+    plain = "a b c d e f g h i j k l"
+    rows = [(i, plain + (" ##" if i == 99 else ""), "en", "s") for i in range(100)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality_rules.judge(df, Scratch(spark, "t8")).collect()
+    assert len(got) == 200 and {(r.doc_id, r.kept) for r in got} == {(i, i != 99) for i in range(100)}
+    on_limit = [(i, "x" * 9 + " " + " ".join("abcdefghij") + (" #" if i == 99 else ""), "en", "s") for i in range(100)]
+    share = 1 / 20  # 1 of 20 characters, below the least distance of 0.1
+    assert share < quality_rules.FLOORS["symbol_ratio"]
+    assert all(r.kept for r in quality_rules.judge(spark.createDataFrame(on_limit, df.schema), Scratch(spark, "t8")).collect())
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = token_counts.token_counts(df.select("doc_id", "text"), path).collect()
+    n = next(r.n_tokens for r in out if r.doc_id == 0)
+    assert len(out) == 200 and not any(r.over_limit for r in token_counts.token_counts(df.where("doc_id = 0"), path, limit=n).collect())
+    assert all(r.over_limit for r in token_counts.token_counts(df.where("doc_id = 0"), path, limit=n - 1).collect())
+
+
+def test_mixing_of_long_and_repeated_rows(spark):
+    long = "fine words " * 60_000
+    rows = [(i, f"good text number {i} of many") for i in range(40)] + [(100, long), (100, long), (None, "odd one")] + [(200 + i, f"bad cheap click {i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(200 + i, 0, 0) for i in range(30)] + [(5, 1, 0)], "doc_id long, quality int, toxic int")
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string"), labels, Scratch(spark, "t10"), targets=(0.8, 0.19, 0.01)).collect()
+    assert len(out) == len(rows) and {r.n_words for r in out if r.doc_id == 100} == {120_000}
+    assert len({r.rate for r in out if r.doc_id == 100}) == 1 and all(r.rate >= 0 for r in out)
