@@ -3,6 +3,11 @@
 Quality rules, line dedup, MinHash near-dedup, benchmark decontamination, and mixing to target
 weights. Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept;
 the first four return the columns of ``documents``, the last one the mixing rate of every document.
+
+Every stage gives an empty table for an empty one, keeps rows with a null doc_id as documents of their
+own, and passes further columns through untouched, whatever their names. Null and empty texts fail the
+quality rules. Rows that repeat a doc_id and its text count as documents in the first two stages and
+become one in the third. Very long texts are read whole throughout.
 """
 
 from __future__ import annotations
