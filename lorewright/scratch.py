@@ -31,6 +31,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.saved: list[str] = []
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -38,8 +39,16 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as a scan of what was written."""
         df.write.mode("overwrite").parquet(self.path(name))
+        self.saved.append(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep_only(self, *names: str) -> None:
+        """Delete every table but the named ones: those that the returned plan still reads."""
+        for name in self.saved:
+            if name not in names:
+                self.drop(name)
+        self.saved = [x for x in self.saved if x in names]
+
     def drop(self, name: str = "") -> None:
         """Delete one table, or all; only for tables that no returned plan still reads."""
         jvm = self.spark._jvm
