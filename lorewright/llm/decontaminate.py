@@ -83,7 +83,9 @@ def contained_items(docs: DataFrame, items: DataFrame, scratch: Scratch, size: i
     asked = candidates.join(item, "item_id").select("key", "item_id", "n_item", "least", F.explode("s").alias("h"))
     counted = asked.join(own, ["key", "h"]).groupBy("key", "item_id", "n_item", "least").agg(F.count(F.lit(1)).alias("n_shared"))
     exact = counted.where("n_shared >= least")
-    return scratch.save(exact.select("key", "item_id", F.col("n_item").cast("long").alias("n_item"), "n_shared"), "contained")
+    contained = scratch.save(exact.select("key", "item_id", F.col("n_item").cast("long").alias("n_item"), "n_shared"), "contained")
+    scratch.keep_only("contained")
+    return contained
 
 
 def leaks(docs: DataFrame, items: DataFrame, scratch: Scratch, **options) -> DataFrame:

@@ -428,7 +428,7 @@ def minhash_components(
     named = classes.select("cid", "rep").join(labels, "cid", "left")
     least = named.where("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
     named = scratch.save(named.join(least, "root", "left").select("cid", F.coalesce("least", "rep").alias("component_id")), "named")
-    scratch.drop("sets")
+    scratch.keep_only("rows", "named")
     out = rows.select("doc_id", "n_shingles", "cid").join(named, "cid", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
@@ -442,6 +442,7 @@ def keep_one(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     Rows that repeat a doc_id and its text are one document, and stay once.
     """
     out = scratch.save(minhash_components(docs, scratch, **options).select("doc_id", "kept"), "verdicts")
+    scratch.keep_only("verdicts")
     ids = out.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     ids = scratch.save(ids.where("not kept or n > 1"), "not-once")
     left = docs.join(ids.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)

@@ -133,6 +133,7 @@ def judge_urls(
     """page_id, host, path, rule, verdict for every row of ``pages`` (page_id, url); and the mined rule that blocks it."""
     mined = mine_rules(pages, labels, scratch, support, count, confidence)
     bad = bad_urls(pages, mined, scratch)
+    scratch.keep_only("bad")
     rows = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).join(bad, "url", "left")
     fit = explicit_rule(F.col("host"), F.col("path"), rules)
     out = rows.select("page_id", "host", "path", fit.alias("fit"), "bad_rule", "confidence")
