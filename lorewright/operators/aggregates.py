@@ -123,3 +123,28 @@ def advice(counts: DataFrame, rules: list[tuple[Column, str]], nothing: str) ->
     """AGG39: one row for each rule that a row of counts meets, or one that says there is none."""
     met = F.array_compact(F.array(*[F.when(rule, F.lit(text)) for rule, text in rules]))
     return counts.select(F.explode(F.when(F.size(met) > 0, met).otherwise(F.array(F.lit(nothing)))).alias("advice"))
+
+
+def exact_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float], splits: int = 64) -> DataFrame:
+    """AGG29: linearly interpolated percentiles of each group, none of which has to fit into one task.
+
+    Equal values are counted first. A mergeable sketch cuts each group into ``splits`` buckets; only the
+    buckets that hold a wanted rank are put in order, each by itself. Nulls are left out.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    cuts = df.groupBy(group).agg(F.percentile_approx(value, F.array(*[F.lit(i / splits) for i in range(1, splits)]), F.lit(10_000)).alias("cuts"), F.count(value).alias("n"))
+    placed = counted.join(cuts, group).select(group, "v", "c", "n", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("bucket"))
+    sizes = placed.groupBy(group, "bucket").agg(F.sum("c").alias("m"), F.max("n").alias("n"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy(group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = {name: (F.floor(F.lit(p) * (F.col("n") - 1)), F.ceil(F.lit(p) * (F.col("n") - 1)), F.lit(p) * (F.col("n") - 1)) for name, p in shares.items()}
+    inside = lambda rank, a, b: (rank >= a) & (rank < b)
+    wanted = F.lit(False)
+    for low, high, _ in ranks.values():
+        wanted = wanted | inside(low, F.col("before"), F.col("before") + F.col("m")) | inside(high, F.col("before"), F.col("before") + F.col("m"))
+    kept = sizes.withColumn("before", before).where(wanted).select(group, "bucket", "before")
+    end = F.col("before") + F.sum("c").over(Window.partitionBy(group, "bucket").orderBy("v"))
+    ranked = placed.join(kept, [group, "bucket"]).withColumn("end", end).withColumn("start", F.col("end") - F.col("c"))
+    at = lambda rank: F.max(F.when(inside(rank, F.col("start"), F.col("end")), F.col("v")))
+    found = ranked.groupBy(group, "n").agg(*[e for name, (low, high, _) in ranks.items() for e in (at(low).alias(f"{name}_low"), at(high).alias(f"{name}_high"))])
+    between = lambda name, exact: F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (exact - F.floor(exact))
+    return found.select(group, *[between(name, exact).alias(name) for name, (_, _, exact) in ranks.items()])

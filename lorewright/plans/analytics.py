@@ -318,9 +318,10 @@ select event_type, round(quantile_cont(value, .5), 6) as p50, round(quantile_con
 """)
 def agg29_percentiles(spark, sf_dir):
     """Linearly interpolated percentiles."""
-    p = F.percentile("value", F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99)))).alias("p")
-    rows = events(spark, sf_dir).groupBy("event_type").agg(p, F.round(A.exact_mean("value"), 6).alias("mean"))
-    return rows.select("event_type", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99"))], "mean")
+    rows = events(spark, sf_dir)
+    found = A.exact_percentiles(rows, "event_type", "value", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
+    mean = rows.groupBy("event_type").agg(F.round(A.exact_mean("value"), 6).alias("mean"))
+    return found.join(mean, "event_type").select("event_type", *[F.round(n, 6).alias(n) for n in ("p50", "p90", "p95", "p99")], "mean")
 
 
 @query("""

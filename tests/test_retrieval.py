@@ -47,3 +47,16 @@ def test_top_k_in_blocks(spark, monkeypatch):
         assert len(got) == 240
         assert {(r.query_id, r["rank"]): (r.id, r.score) for r in got} == {(q, n + 1): (i, -s) for q, best in expected.items() for n, (s, i) in enumerate(best)}
     assert R.similarity_top_k(rows, "id", "v", queries.where("false"), 4, Scratch(spark, "t")).count() == 0
+
+
+def test_exact_percentiles(spark):
+    from lorewright.operators.aggregates import exact_percentiles
+
+    rnd = np.random.default_rng(2)
+    groups = {"hot": np.concatenate([np.zeros(400), rnd.normal(size=600).round(2)]), "one": np.array([3.5]), "two": np.array([1.0, 2.0]), "few": rnd.integers(0, 4, 37).astype(float)}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("hot", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: tuple(r)[1:] for r in exact_percentiles(df, "g", "v", {"a": 0.0, "b": 0.37, "c": 0.5, "d": 0.99, "e": 1.0}, splits=8).collect()}
+    assert set(got) == set(groups)
+    for g, v in groups.items():
+        assert np.allclose(got[g], np.quantile(v, [0.0, 0.37, 0.5, 0.99, 1.0]))
