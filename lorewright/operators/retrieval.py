@@ -110,9 +110,13 @@ def terms_of(text: Column) -> Column:
 
 
 def token_table(docs: DataFrame, key: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
-    """term, key, tf and the document's length: the keyword index, of the terms ``wanted`` only if given."""
-    each = docs.select(key, terms_of(F.col(text)).alias("terms"))
-    each = each.select(key, F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")).where("term is not null")
+    """term, key, tf and the document's length: the keyword index, of the terms ``wanted`` only if given.
+
+    If the empty term is wanted, every document has it once: it counts documents and their lengths.
+    """
+    each = docs.select(key, F.coalesce(terms_of(F.col(text)), F.array().cast("array<string>")).alias("terms"))
+    listed = F.col("terms") if wanted is None else F.concat(F.array(F.lit("")), "terms")
+    each = each.select(key, F.size("terms").alias("dl"), F.explode_outer(listed).alias("term")).where("term is not null")
     if wanted is not None:
         each = each.join(wanted, "term", "left_semi")
     return each.groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
@@ -121,11 +125,13 @@ def token_table(docs: DataFrame, key: str, text: str, wanted: DataFrame | None =
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int, scratch: Scratch, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """RET10: query_id, key, score, rank over ``queries`` (query_id, term).
 
-    Only terms of queries are counted and shuffled; collection statistics are one row.
+    Texts are read once; only terms of queries, and one row for each document, are counted and shuffled.
     """
-    stats = docs.select(F.size(terms_of(F.col(text))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl")).first()  # one row
     wanted = scratch.save(queries.select("query_id", "term").distinct(), "query-terms")
-    hits = scratch.save(token_table(docs, key, text, wanted.select("term").distinct()), "hits")
+    asked = wanted.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    counted = scratch.save(token_table(docs, key, text, asked), "hits")
+    stats = counted.where("term = ''").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avg_dl")).first()  # one row
+    hits = counted.where("term <> ''")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(float(stats.n_docs or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(stats.avg_dl or 1.0))))
