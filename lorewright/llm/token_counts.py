@@ -140,7 +140,7 @@ def _slices(texts: list[str], chars: int) -> Iterator[list[str]]:
 
 
 def token_counts(
-    docs: DataFrame, path: str, limit: int = 1024, sample_rows: int = 2000, sample_chars: int = 4_000_000, table_size: int = 30_000,
+    docs: DataFrame, path: str, limit: int = 1024, sample_rows: int = 1000, sample_chars: int = 2_000_000, table_size: int = 30_000,
     cache_bytes: int = 160 << 20, longest: int = 64, encode_rows: int = 4096, slice_chars: int = 1 << 20,
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs`` (doc_id, text)."""
