@@ -29,7 +29,7 @@ not looked at.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -170,12 +170,12 @@ def exact_roots(sets: list[np.ndarray], percent: int) -> list[int]:
     return root.tolist()
 
 
-def _splitter(percent: int):
-    """Rows (key, cid, shingles) sorted by key to (cid, root), the root within its key."""
+def search_within(roots_of: Callable[[list[np.ndarray]], list[int]]):
+    """Rows (key, cid, shingles) sorted by key to (cid, root), the root within its key, which ``roots_of`` finds."""
 
     def split(rows: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
         rows = sorted(dict(rows).items())  # repeated input rows give a set twice
-        roots = exact_roots([np.frombuffer(x, np.uint64) for _, x in rows], percent) if len(rows) > 1 else [0]
+        roots = roots_of([np.frombuffer(x, np.uint64) for _, x in rows]) if len(rows) > 1 else [0]
         return [(cid, rows[r][0]) for (cid, _), r in zip(rows, roots, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,18 +184,33 @@ def _splitter(percent: int):
     return run
 
 
-def _outsiders(percent: int):
-    """Rows (key, side, root, shingles) sorted by key and side, where side 0 is a block of outsiders and
-    side 1 members of their group, to the pairs of roots that links between the two join."""
+def marked_block(percent: int) -> Callable[[list[np.ndarray]], Callable[[np.ndarray], np.ndarray]]:
+    """A block of sets as a function that finds the positions of those similar to a set, which it marks in their vocabulary."""
 
-    def indexed(block: list[tuple[bytes, np.ndarray]]):
-        sets = [x for _, x in block]
+    def block(sets: list[np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
         vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        return vocabulary, flat, sizes, np.cumsum(sizes) - sizes, np.zeros(len(vocabulary), bool)
+        at, mark = np.cumsum(sizes) - sizes, np.zeros(len(vocabulary), bool)
+
+        def similar(own: np.ndarray) -> np.ndarray:
+            here = np.searchsorted(vocabulary[:-1], own)  # one past the others is the last one's place
+            here = here[vocabulary[here] == own]
+            mark[here] = True
+            shared = np.add.reduceat(mark[flat], at, dtype=np.int64)
+            mark[here] = False
+            return np.flatnonzero(100 * shared >= percent * (sizes + len(own) - shared))
+
+        return similar
+
+    return block
+
+
+def search_across(block_of: Callable[[list[np.ndarray]], Callable[[np.ndarray], np.ndarray]]):
+    """Rows (key, side, root, shingles) sorted by key and side, where side 0 is a block of outsiders and
+    side 1 members of their group, to the pairs of roots that links between the two join."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, bytes]]]:
-        key, block, held, up = None, [], None, {}
+        key, block, similar, up = None, [], None, {}
 
         def find(x: bytes) -> bytes:
             while up.get(x, x) != x:
@@ -206,20 +221,14 @@ def _outsiders(percent: int):
             found = []
             for k, side, root, data in zip(*(batch.column(c).to_pylist() for c in ("key", "side", "root", "shingles")), strict=True):
                 if k != key:
-                    key, block, held, up = k, [], None, {}
+                    key, block, similar, up = k, [], None, {}
                 own = np.frombuffer(data, np.uint64)
                 if side == 0:
                     block.append((root, own))
                     continue
-                if held is None:
-                    held = indexed(block)
-                vocabulary, flat, sizes, at, mark = held
-                here = np.searchsorted(vocabulary[:-1], own)  # one past the others is the last one's place
-                here = here[vocabulary[here] == own]
-                mark[here] = True
-                shared = np.add.reduceat(mark[flat], at, dtype=np.int64)
-                mark[here] = False
-                for i in np.flatnonzero(100 * shared >= percent * (sizes + len(own) - shared)):
+                if similar is None:
+                    similar = block_of([x for _, x in block])
+                for i in similar(own):
                     a, b = find(block[i][0]), find(root)
                     if a != b:
                         up[max(a, b)] = min(a, b)
@@ -232,16 +241,17 @@ def _outsiders(percent: int):
     return run
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame) -> DataFrame:
     """Rows of one ``key`` together and in one task: keys are made for groups of bounded size."""
     order = ["key", "side"] if "side" in rows.columns else ["key"]
     return rows.repartition("key").sortWithinPartitions(*order)
 
 
-def _large_groups(members: DataFrame, scratch: Scratch, percent: int, width: int, limit: int, shingles: int, rounds: int) -> DataFrame:
+def bucketed_search(members: DataFrame, scratch: Scratch, within, across, width: int, limit: int, shingles: int, rounds: int) -> DataFrame:
     """(cid, root) for the members (grp, pieces, cid, sig, n, shingles) of groups too large for one task.
 
-    ``pieces`` is the number of tasks' worth of members that the group has.
+    ``pieces`` is the number of tasks' worth of members that the group has; ``within`` and ``across`` are what
+    ``search_within`` and ``search_across`` give.
     """
     members = members.dropDuplicates(["cid"])
     ids = scratch.save(members.select("grp", "pieces", "cid", "sig", "n"), "large-ids")
@@ -255,8 +265,8 @@ def _large_groups(members: DataFrame, scratch: Scratch, percent: int, width: int
     turns = turns.select("cid", "n", "turn", F.xxhash64("grp", "turn", _token(F.col("sig"), at)).alias("bucket"))
     sizes = turns.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("total")).where("many > 1")
     keys = turns.join(sizes, "bucket").select("cid", F.xxhash64("bucket", F.pmod(F.xxhash64("cid", "turn"), pieces("many", "total"))).alias("key"))
-    met = _dealt(scratch.save(keys, "large-buckets").join(sets, "cid").select("key", "cid", "shingles"))
-    stars = scratch.save(met.mapInArrow(_splitter(percent), "cid binary, root binary"), "large-stars")
+    met = dealt(scratch.save(keys, "large-buckets").join(sets, "cid").select("key", "cid", "shingles"))
+    stars = scratch.save(met.mapInArrow(within, "cid binary, root binary"), "large-stars")
     labels = components(stars.select(F.col("cid").alias("a"), F.col("root").alias("b")), scratch, "large")
     placed = ids.join(labels, ids.cid == labels.node, "left").select("grp", "pieces", "cid", "n", F.coalesce("root", "cid").alias("root"))
     placed = scratch.save(placed, "large-placed")
@@ -273,8 +283,8 @@ def _large_groups(members: DataFrame, scratch: Scratch, percent: int, width: int
     one = outside.join(blocks, "grp").select("grp", "cid", "root", F.lit(0).alias("side"), part("blocks", 5).alias("block"), each("pieces").alias("piece"))
     all_ = placed.join(blocks, "grp").select("grp", "cid", "root", F.lit(1).alias("side"), each("blocks").alias("block"), part("pieces", 6).alias("piece"))
     keyed = scratch.save(one.union(all_).select("cid", "root", "side", F.xxhash64("grp", "block", "piece").alias("key")), "large-blocks")
-    held = _dealt(keyed.join(sets, "cid").select("key", "side", "root", "shingles"))
-    more = scratch.save(held.mapInArrow(_outsiders(percent), "a binary, b binary"), "large-more")
+    held = dealt(keyed.join(sets, "cid").select("key", "side", "root", "shingles"))
+    more = scratch.save(held.mapInArrow(across, "a binary, b binary"), "large-more")
     if more.isEmpty():
         return placed.select("cid", "root")
     merged = components(more, scratch, "merged").withColumnRenamed("root", "top")
@@ -371,7 +381,7 @@ def _candidates(signatures: DataFrame, scratch: Scratch, near: float, trees: int
     for level in range(1, depth + 1):
         size = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("pivot")).where("n > 1")
         here = scratch.save(members.join(size, "node"), f"nodes-{level}")
-        few = _dealt(here.where(F.col("n") <= leaf).join(signatures, "cid").select(F.col("node").alias("key"), "cid", "sig"))
+        few = dealt(here.where(F.col("n") <= leaf).join(signatures, "cid").select(F.col("node").alias("key"), "cid", "sig"))
         found.append(scratch.save(few.mapInArrow(_stars(width, cut), "a binary, b binary").distinct(), f"small-{level}"))
         many = here.where(F.col("n") > leaf)
         if many.isEmpty():
@@ -420,11 +430,12 @@ def minhash_components(
     wanted = scratch.save(wanted.join(wanted.groupBy("grp").agg(pieces.alias("pieces")), "grp"), "wanted")
     sets = docs.select("doc_id", "text").join(wanted, "doc_id").select("grp", "pieces", "cid", "sig", "n", "text")
     sets = scratch.save(sets.mapInArrow(_setter(k), "grp binary, pieces long, cid binary, sig binary, n long, shingles binary"), "sets")
-    small = _dealt(sets.where("pieces = 1").select(F.xxhash64("grp").alias("key"), "cid", "shingles"))
-    labels = scratch.save(small.mapInArrow(_splitter(percent), "cid binary, root binary"), "labels-small")
+    within = search_within(lambda found: exact_roots(found, percent))
+    small = dealt(sets.where("pieces = 1").select(F.xxhash64("grp").alias("key"), "cid", "shingles"))
+    labels = scratch.save(small.mapInArrow(within, "cid binary, root binary"), "labels-small")
     large = sets.where("pieces > 1")
     if not large.isEmpty():
-        labels = labels.union(_large_groups(large, scratch, percent, width, group_limit, group_shingles, rounds))
+        labels = labels.union(bucketed_search(large, scratch, within, search_across(marked_block(percent)), width, group_limit, group_shingles, rounds))
     named = classes.select("cid", "rep").join(labels, "cid", "left")
     least = named.where("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
     named = scratch.save(named.join(least, "root", "left").select("cid", F.coalesce("least", "rep").alias("component_id")), "named")

@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from ..scratch import Scratch
 from ..session import table
 from .archives import ARCHIVE_SQL, archive_report
+from .conversation_trie import TRIE_SQL, prefix_trie
 from .decontaminate import LEAK_SQL, leaks
+from .fill_in_middle import FIM_SQL, fill_in_middle
 from .html_extract import extract_text
 from .licences import scan, scan_sql
 from .line_dedup import LINE_SQL, line_report
 from .minhash_join import minhash_components
 from .mixing import mix
+from .overlap_join import overlap_components
 from .quality_rules import QUALITY_SQL, judge
 from .token_counts import token_counts
 from .url_rules import judge_urls
@@ -70,6 +73,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op10"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts, form and digests of every document as fill-in-middle text."""
+    return fill_in_middle(table(spark, sf_dir, "documents"), digests=True)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie(table(spark, sf_dir, "conversations"), Scratch(spark, "op12"))
+
+
+def op13_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of ``documents`` linked by exact Jaccard similarity of 5-word shingles."""
+    return overlap_components(table(spark, sf_dir, "documents"), Scratch(spark, "op13"), k=5, percent=80)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +101,9 @@ QUERIES = {
         op8_quality_rules,
         op9_line_dedup,
         op10_mixing,
+        op11_fill_in_middle,
+        op12_prefix_trie,
+        op13_overlap_join,
     )
 }
 
@@ -92,4 +113,6 @@ ORACLES: dict[str, str] = {
     "op7_benchmark_leaks": LEAK_SQL,
     "op8_quality_rules": QUALITY_SQL,
     "op9_line_dedup": LINE_SQL,
+    "op11_fill_in_middle": FIM_SQL,
+    "op12_prefix_trie": TRIE_SQL,
 }
