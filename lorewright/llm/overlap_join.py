@@ -167,10 +167,9 @@ class InvertedLists:
         found, count = found[fits], count[fits]
         step = max(1, 2_000_000 // max(1, n_long))
         for i in range(0, len(found), step):
-            probe = (long[:, None] * self.n + found[None, i : i + step]).ravel()
+            probe = long[:, None] * self.n + found[None, i : i + step]
             here = np.searchsorted(self.entry, probe)
-            hit = self.entry[np.minimum(here, len(self.entry) - 1)] == probe
-            count[i : i + step] += hit.reshape(len(long), -1).sum(axis=0)
+            count[i : i + step] += (self.entry[np.minimum(here, len(self.entry) - 1)] == probe).sum(axis=0)
         return found[100 * count >= self.percent * (n + self.sizes[found] - count)]
 
 
