@@ -1,3 +1,3 @@
 """Registered queries over the driver's tables."""
 
-from . import analytics, books, files, records, registry, rules, search, streams, structure, texts  # noqa: F401
+from . import analytics, books, calendar, files, records, registry, rules, search, streams, structure, texts  # noqa: F401
