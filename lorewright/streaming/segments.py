@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: Characters that end a sentence, a clause, and the least sizes of the rules.
 ENDS, COMMAS = "。！？!?.；;\n", "，,、"
 COMMA_FROM, LEAST_LETTERS = 30, 8
@@ -48,6 +51,48 @@ def is_meant(segment: str) -> bool:
     return len(segment.strip()) >= LEAST_LETTERS and bool(_MEANT.search(segment))
 
 
+#: Segments of nothing but these, and of one short word with a mark, stand by themselves nowhere.
+_MARKS_ONLY, _SHORT_PREFIX, _PREFIX_FROM = re.compile(r"^[\s。！？.,;:!?\-—*•]+$"), re.compile(r"^[0-9a-zA-Z]+[.：:]$"), 5
+
+
+def has_formula(text: str) -> bool:
+    """SUP36: a closed formula, a delimiter without its other half, or a bare box."""
+    plain = text.replace("\\$", "")
+    odd = plain.count("$$") % 2 or plain.replace("$$", "").count("$") % 2
+    uneven = text.count(r"\(") != text.count(r"\)") or text.count(r"\[") != text.count(r"\]")
+    return bool(_FORMULA.search(text) or odd or uneven or re.search(r"\\boxed\s*\{", text))
+
+
+def segment_marks(text: Column) -> dict[str, Column]:
+    """SUP36 as columns: holds a formula, is meant by itself (8 characters, a letter), is nothing but marks, is a short prefix."""
+    plain = F.replace(text, F.lit("\\$"), F.lit(""))
+    count = lambda t, part: (F.char_length(t) - F.char_length(F.replace(t, F.lit(part), F.lit("")))) / len(part)
+    uneven = [count(text, a) != count(text, b) for a, b in (("\\(", "\\)"), ("\\[", "\\]"))]
+    odd = (count(plain, "$$") % 2 == 1) | (count(F.replace(plain, F.lit("$$"), F.lit("")), "$") % 2 == 1)
+    return {
+        "formula": F.rlike(text, F.lit(f"(?s){_FORMULA.pattern}")) | odd | uneven[0] | uneven[1] | F.rlike(text, F.lit(r"\\boxed\s*\{")),
+        "meant": (F.char_length(text) >= LEAST_LETTERS) & F.rlike(text, F.lit("[a-zA-Z一-龥]")),
+        "marks": F.rlike(text, F.lit(_MARKS_ONLY.pattern)),
+        "prefix": (F.char_length(text) < _PREFIX_FROM) & F.rlike(text, F.lit(_SHORT_PREFIX.pattern)),
+    }
+
+
+def merged(segments: list[str]) -> list[str]:
+    """STR6: marks go to the segment before them, or at the start to the one behind; a short prefix goes to the one behind."""
+    out: list[str] = []
+    ahead, prefixed = "", False
+    for s in segments:
+        marks, prefix = bool(_MARKS_ONLY.match(s)), len(s) < _PREFIX_FROM and bool(_SHORT_PREFIX.match(s))
+        if prefix or (marks and not prefixed and not out) or (prefixed and s == "\n"):
+            ahead, prefixed = ahead + s, prefixed or prefix
+        elif marks and not prefixed:
+            out[-1] += s
+        else:
+            out.append(ahead + s)
+            ahead, prefixed = "", False
+    return out + [ahead] if ahead else out
+
+
 @dataclass
 class SegmentBuffer:
     """State of one stream: what is not emitted yet, and a held segment that was too short."""

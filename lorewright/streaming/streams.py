@@ -76,6 +76,9 @@ class _Reader:
     def feed(self, chat: str, token: str) -> list[tuple]:
         return self._row(chat, self.buffer.feed(self.think.feed(token)))
 
+    def tick(self, chat: str) -> list[tuple]:
+        return self._row(chat, self.buffer.tick())
+
     def end(self, chat: str) -> list[tuple]:
         self.buffer.buffer += self.think.flush()
         return self._row(chat, self.buffer.flush())
