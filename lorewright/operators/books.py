@@ -32,27 +32,33 @@ def similar_titles(a: str, b: str, least: float = 0.78) -> bool:
 
 
 def best_increasing(lines: Sequence[int], confidence: Sequence[float]) -> list[int]:
-    """WIN13, A6: positions of the longest strictly increasing sequence, then of most confidence; the earliest wins ties."""
-    best: list[tuple[int, float]] = []
+    """WIN13, A6: positions of the longest strictly increasing sequence, then of most confidence; the earliest wins ties.
+
+    A Fenwick tree over the ranks of lines holds the best chain that ends at or before each: n log n.
+    """
+    rank = {line: i + 1 for i, line in enumerate(sorted(set(lines)))}
+    nothing = (0, 0.0, 0)  # length, confidence, minus the position that ends the chain
+    tree = [nothing] * (len(rank) + 1)
     before: list[int] = []
+    best, end = nothing, -1
     for i, line in enumerate(lines):
-        top, prev = (0, 0.0), -1
-        for j in range(i):
-            if lines[j] < line and best[j] > top:
-                top, prev = best[j], j
-        best.append((top[0] + 1, top[1] + confidence[i]))
-        before.append(prev)
-    if not best:
-        return []
-    end = 0
-    for i in range(1, len(best)):
-        if best[i] > best[end]:
-            end = i
-    chain = []
+        top, at = nothing, rank[line] - 1
+        while at:
+            top = max(top, tree[at])
+            at -= at & -at
+        before.append(-top[2] if top[0] else -1)
+        chain = (top[0] + 1, top[1] + confidence[i], -i)
+        if chain[:2] > best[:2]:
+            best, end = chain, i
+        at = rank[line]
+        while at < len(tree):
+            tree[at] = max(tree[at], chain)
+            at += at & -at
+    kept = []
     while end >= 0:
-        chain.append(end)
+        kept.append(end)
         end = before[end]
-    return chain[::-1]
+    return kept[::-1]
 
 
 def by_document(rows: DataFrame, key: str, order: list[str], columns: list[str], work: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:

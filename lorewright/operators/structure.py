@@ -6,11 +6,14 @@ never holds more than six lines around a line, or one document's catalog.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .books import title_ratio
+from .books import by_document, title_ratio
+from .joins import points_in_ranges
 from .windows import one_per_line
 
 #: The priority of each kind of candidate, and what it is worth in a score.
@@ -136,24 +139,55 @@ def to_repair(anchors: DataFrame, found: DataFrame) -> DataFrame:
     return anchors.where("matched").where(bad).join(lines, ["doc_id", "candidate_id", "start"], "left_semi")
 
 
+def _bounds(rows: list[tuple]) -> list[tuple]:
+    """Rows (catalog_index, level, start, last) in order, backwards over stacks of what may still close an item.
+
+    On a stack stays what no nearer item of its level or above hides, so levels grow towards its top and
+    the next item of a level or above is found by bisection. One stack holds all items, one the matched.
+    """
+    levels, indices, matched_levels, starts = [], [], [], []
+    ahead, next_level, out = None, None, []
+
+    def nearest(of_levels: list, values: list, level: int):
+        at = bisect_right(of_levels, level) - 1
+        return values[at] if at >= 0 else None
+
+    def push(of_levels: list, values: list, level: int, value: int) -> None:
+        while of_levels and of_levels[-1] > level:
+            of_levels.pop()
+            values.pop()
+        of_levels.append(level)
+        values.append(value)
+
+    for index, level, start, last in reversed(rows):
+        closing = None if level is None else nearest(levels, indices, level)
+        within = ahead is not None and (closing is None or ahead[0] < closing)
+        bound = ahead[1] if within else None if level is None else nearest(matched_levels, starts, level)
+        if start is not None:
+            out.append((index, start, last if bound is None else bound - 1, level is not None and next_level is not None and next_level > level))
+            ahead = (index, start)
+            if level is not None:
+                push(matched_levels, starts, level, start)
+        if level is not None:
+            push(levels, indices, level, index)
+        next_level = level
+    return out[::-1]
+
+
 def structure_plan(catalog: DataFrame, lines: DataFrame) -> DataFrame:
     """MX13: matched catalog items (doc_id, catalog_index, level, start, last line) as blocks.
 
     A block ends before the next matched item: its first descendant, or else the next of its level or
     above. An item without children is a leaf; one with children is direct if its own lines hold text,
-    else structural.
+    else structural. A catalog is read once, backwards; lines meet the blocks they lie in bucket by bucket.
     """
-    w = Window.partitionBy("doc_id").orderBy("catalog_index")
-    later = w.rowsBetween(1, Window.unboundedFollowing)
-    items = catalog.withColumn("next", F.collect_list(F.struct("catalog_index", "level", "start")).over(later)).withColumn("next_level", F.lead("level").over(w))
-    closing = F.get(F.filter("next", lambda x: x["level"] <= F.col("level")), 0)["catalog_index"]
-    inner = F.filter("next", lambda x: x["start"].isNotNull() & (closing.isNull() | (x["catalog_index"] < closing)))
-    outer = F.filter("next", lambda x: x["start"].isNotNull() & (x["catalog_index"] >= closing) & (x["level"] <= F.col("level")))
-    bound = F.coalesce(F.get(inner, 0)["start"], F.get(outer, 0)["start"])
-    blocks = items.where("start is not null").select("doc_id", "catalog_index", "level", "start", F.coalesce(bound - 1, F.col("last")).alias("end"), (F.coalesce(F.col("next_level"), F.lit(0)) > F.col("level")).alias("has_children"))
+    columns = ["catalog_index", "level", "start", "last"]
+    rows = catalog.select("doc_id", *[F.col(c).cast("long").alias(c) for c in columns])
+    blocks = by_document(rows, "doc_id", ["catalog_index"], columns, _bounds, "doc_id long, catalog_index long, start long, end long, has_children boolean")
     text = F.trim("text")
     body = lines.where((text != "") & ~T.is_heading(F.col("text")) & ~F.rlike("text", F.lit(IS_MARKER)) & ~F.startswith(text, F.lit("!["))).select("doc_id", "line_no")
-    held = body.join(blocks.select("doc_id", "catalog_index", "start", "end").where("has_children"), "doc_id").where("line_no between start and end").select("doc_id", "catalog_index").distinct()
+    parents = blocks.where("has_children and start <= end").select("doc_id", "catalog_index", "start", "end")
+    held = points_in_ranges(body, parents, ["doc_id"], "line_no", "start", "end").select("doc_id", "catalog_index").distinct()
     marked = blocks.join(held.withColumn("direct", F.lit(True)), ["doc_id", "catalog_index"], "left")
     scope = F.when(~F.col("has_children"), "leaf").when(F.col("direct"), "direct").otherwise("structural")
     return marked.select("doc_id", "catalog_index", "start", "end", scope.alias("scope"), (scope != "structural").alias("extract"))
