@@ -11,7 +11,8 @@ shingles, n being the size of either. Every bound below holds for every pair, so
    also those that share a passage with many. Of m live ones the m - need + 1 rarest are kept, among
    which two similar sets still share one. Each task posts a class once, however many copies it reads.
 2. Classes that share a kept shingle are contracted to groups, in Spark, over one link from each of them
-   to the least one of the shingle. Each class's whole set goes to its group once.
+   to the least one of the shingle. Each class's whole set goes to its group once; a table of bits of
+   fixed size keeps nearly all texts without a group out of that shuffle.
 3. Search: a group's sets are indexed by inverted lists, and each set in turn is searched for among those
    not reached yet (DivideSkip). Of the lists of its shingles the long ones are set apart, as many as the
    usual balance T / (mu log2 M + 1) gives; the short ones are merged, as sorted runs in one pass of
@@ -40,6 +41,8 @@ from .minhash_join import bucketed_search, components, dealt, search_across, sea
 
 #: Buckets of large groups are drawn by one of so many MinHash tokens.
 _WIDTH = 8
+#: Bits that tell before a shuffle whether a document is in a group: 8 MB, at every size of the input.
+_SLOTS = 1 << 26
 
 
 def _class(shingles: np.ndarray) -> bytes:
@@ -112,22 +115,29 @@ def _poster(k: int, percent: int, remembered: int = 500_000, ready: int = 200_00
     return run
 
 
-def _setter(k: int):
-    """Rows (grp, pieces, cid, n, text) with the whole set in place of the text, and a few MinHash tokens for large groups."""
+def _bits(ids: DataFrame, scratch: Scratch) -> np.ndarray:
+    """A bit for the hash of each doc_id, ``_SLOTS`` of them whatever their number: it tells most rows apart that are not meant."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(_SLOTS))
+    words = ids.select(F.floor(slot / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit"))
+    words = scratch.save(words.groupBy("word").agg(F.bit_or("bit").alias("bits")), "bits")
+    out = np.zeros(_SLOTS // 64, np.int64)
+    for r in words.toLocalIterator():
+        out[r.word] = r.bits
+    return out
+
+
+def _meant_sets(k: int, held):
+    """Class, whole set and a few MinHash tokens (for large groups) of the rows (text, slot) whose bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value.view(np.uint64)
         for batch in batches:
-            kept, sets, signatures = [], [], []
-            columns = (batch.column(x).to_pylist() for x in ("cid", "pieces", "text"))
-            for at, (cid, pieces, text) in enumerate(zip(*columns, strict=True)):
-                s = shingle_set(text, k)
-                if _class(s) == cid:  # a repeated doc_id may carry another text
-                    kept.append(at)
-                    sets.append(s.tobytes())
-                    signatures.append(signature(s, _WIDTH).tobytes() if pieces > 1 else b"")
-            rows = batch.take(pa.array(kept, pa.int64()))
-            names = ["grp", "pieces", "cid", "n"]
-            yield pa.RecordBatch.from_arrays([*(rows.column(x) for x in names), pa.array(signatures, pa.binary()), pa.array(sets, pa.binary())], [*names, "sig", "shingles"])
+            slot = batch.column("slot").to_numpy(zero_copy_only=False)
+            hit = (bits[slot // 64] >> (slot % 64).astype(np.uint64)) & np.uint64(1)
+            sets = [shingle_set(text, k) for text in batch.column("text").filter(pa.array(hit.astype(bool))).to_pylist()]
+            sets = [s for s in sets if len(s)]
+            columns = ([_class(s) for s in sets], [signature(s, _WIDTH).tobytes() for s in sets], [s.tobytes() for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["cid", "sig", "shingles"])
 
     return run
 
@@ -235,17 +245,19 @@ def overlap_components(
     wanted = groups.join(classes, "key").select("grp", "cid", "n", F.col("rep").alias("doc_id"))
     pieces = F.ceil(F.greatest(F.count(F.lit(1)) / group_limit, F.sum("n") / group_shingles)).cast("long")
     wanted = scratch.save(wanted.join(wanted.groupBy("grp").agg(pieces.alias("pieces"), F.count(F.lit(1)).alias("many")).where("many > 1"), "grp"), "wanted")
-    sets = docs.join(wanted, "doc_id").select("grp", "pieces", "cid", "n", "text")
-    sets = scratch.save(sets.mapInArrow(_setter(k), "grp long, pieces long, cid binary, n long, sig binary, shingles binary"), "sets")
+    held = docs.sparkSession.sparkContext.broadcast(_bits(wanted, scratch))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(_SLOTS)).alias("slot")
+    sets = docs.where("doc_id is not null").select("text", slot).mapInArrow(_meant_sets(k, held), "cid binary, sig binary, shingles binary")
+    sets = scratch.save(sets.join(wanted.select("grp", "pieces", "cid", "n"), "cid").select("grp", "pieces", "cid", "n", "sig", "shingles"), "sets")
     within = search_within(lambda found: overlap_roots(found, percent))
     small = dealt(sets.where("pieces = 1").select(F.col("grp").alias("key"), "cid", "shingles"))
     labels = scratch.save(small.mapInArrow(within, "cid binary, root binary"), "labels-small")
     large = sets.where("pieces > 1")
     if not large.isEmpty():
         labels = labels.union(bucketed_search(large, scratch, within, search_across(_block_of(percent)), _WIDTH, group_limit, group_shingles, rounds))
-    named = classes.select("cid", "rep").join(labels, "cid", "left")
-    least = named.where("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
-    named = scratch.save(named.join(least, "root", "left").select("cid", F.coalesce("least", "rep").alias("component_id")), "named")
+    named = classes.join(labels, "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = scratch.save(named.join(least, "root").select("cid", "component_id"), "named")
     scratch.keep_only("rows", "named")
     out = rows.select("doc_id", "n_shingles", "cid").join(named, "cid", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
