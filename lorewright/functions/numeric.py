@@ -106,3 +106,18 @@ def segment_mode(by_newline: Column, size: Column) -> tuple[Column, Column]:
     """MX15: cutting at line ends and at a length exclude each other; neither means paragraphs."""
     mode = F.when(by_newline & size.isNotNull(), "invalid").when(by_newline, "newline").when(size.isNotNull(), "length").otherwise("paragraph")
     return mode, size
+
+
+#: Where a question goes by the way in which it is to be answered.
+BRANCHES = {"math_llm": "math", "rag_with_fallback": "rag", "general_llm": "general"}
+
+
+def route_after_classification(intent: Column, realtime: Column, mode: Column) -> Column:
+    """MX8: greetings and noise first, then the present, then the answer mode; unknown modes are general."""
+    by_mode = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in BRANCHES.items() for x in kv]), F.lower(mode)), F.lit("general"))
+    return F.when(intent.isin("greeting", "noise"), "greeting").when(F.coalesce(realtime, F.lit(False)), "realtime").otherwise(by_mode)
+
+
+def route_after_concepts(hit: Column, context: Column) -> Column:
+    """MX8: a hit counts only with a context."""
+    return F.when(F.coalesce(hit, F.lit(False)) & (F.coalesce(context, F.lit("")) != ""), "concept_hit").otherwise("concept_miss")

@@ -85,6 +85,19 @@ def _unified(text: str) -> str:
     return text
 
 
+#: Fixed value: a degree sign, and the sign of the side from which a limit is taken.
+_DEGREE_LIMIT = r"(\\circ)\s*\^\s*(?:\{?\s*([+-])\s*\}?)"
+
+
+def _degree_limit(text: str) -> str:
+    return re.sub(_DEGREE_LIMIT, r"\1{}^{\2}", text) if r"\circ^" in text else text
+
+
+def degree_limits(text: Column) -> Column:
+    r"""TX6 as a column: the sign of a one-sided limit at \circ gets an empty base; texts without "\circ^" stay."""
+    return F.when(F.contains(text, F.lit(r"\circ^")), F.regexp_replace(text, _DEGREE_LIMIT, r"$1{}^{$2}")).otherwise(text)
+
+
 def normalise(text: str | None) -> str | None:
     r"""TX7: TX1 to TX5, then \text becomes \mathrm, and one-sided limits at a degree sign are repaired (TX6)."""
     if text is None:
@@ -92,7 +105,8 @@ def normalise(text: str | None) -> str | None:
     for step in (_unified, trim_inside, wrap_bare_boxes, tabular_to_array, wrap_bare_environments):
         text = step(text)
     text = re.sub(r"\\text\s*\{", r"\\mathrm{", text)
-    return re.sub(r"\^\s*\{?\s*°\s*\}?", r"^{\\circ}", text)
+    text = re.sub(r"\^\s*\{?\s*°\s*\}?", r"^{\\circ}", text)
+    return _degree_limit(text)
 
 
 @F.pandas_udf(T.StringType())

@@ -1,3 +1,3 @@
 """Registered queries over the driver's tables."""
 
-from . import analytics, books, calendar, files, manuals, records, registry, rules, search, streams, structure, texts, token_streams  # noqa: F401
+from . import analytics, books, calendar, files, manuals, outputs, records, registry, rules, search, streams, structure, texts, token_streams  # noqa: F401
