@@ -8,13 +8,16 @@ paragraphs look like template; within an article, and where a subtree has ``long
 more, it has to recur on a large part of the host's pages, so neither do near copies.
 
 Structure is used first: elements that are never main text (scripts, styles, forms, navigation,
-asides, footers, page headers ...), elements named as comments, and elements of which a whole class,
-id or role names a menu, sidebar or advert. Names that only contain such a word ("ad-slot-3"), or that may as well be
-content ("search", "related"), decide nothing alone: an element so named is deleted if its tag and
-names, whatever its words, recur on the host as a subtree has to, so chrome with varying words is
-counted too. On hosts with fewer than ``least`` distinct pages, where nothing can recur, the clear
-words decide, the doubtful ones never do. If a page marks articles (``article``, ``main``), its text is
-what they hold; else it is all that remains.
+asides, footers, page headers, landmarks of those kinds ...) go at once. Names never decide alone. A
+class or id that names a menu, advert, reader comment and the like ("ad-slot-3"), or what may as well be
+content ("search", "related"), gives its element a shape: its tag and names, whatever its words. A shape
+has to recur on the host as a subtree has to, so chrome with varying words is counted too; shapes of
+clear names and of comments may as well have been found on ``hosts`` different hosts, so a small host
+gets the same verdict as a large one. Within an article only the host's own recurrence counts, and an
+element that holds nine tenths of what a page has is never deleted for its names, but for comments
+beside an article. If a page marks
+articles (``article``, ``main``) and they hold half of what remains, its text is what they hold; else,
+as with teasers beside a story, it is all that remains.
 
 Both passes parse pages where they are read. Counting shuffles 64-bit hashes with a map-side
 combine, first by (host, subtree, page), then by (host, subtree), so a host with a third of all
@@ -46,8 +49,9 @@ from ..scratch import Scratch
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 DROPPED = frozenset(
-    "head nav aside footer form script style noscript template iframe svg math object embed applet canvas audio video button select option textarea input label fieldset legend dialog menu noembed noframes map title datalist".split()
+    "head nav aside footer form script style noscript template iframe svg embed applet canvas audio video button select option textarea input noembed noframes title datalist".split()
 )
+LANDMARKS = frozenset("navigation contentinfo complementary search".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr img".split()
 )
@@ -60,6 +64,7 @@ NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer masthead topbar toolbar cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login social widget pagination pager toc contentinfo complementary".split()
 )
 COMMENTS = frozenset("comment comments disqus".split())
+DIALOGS = frozenset("dialog menu".split())
 DOUBTFUL = frozenset(
     "promo promotion rail notice notices alert related recommended recommendations share sharing skip search disclaimer copyright header reply replies respond discussion".split()
 )
@@ -100,33 +105,30 @@ def _is_hidden(attributes: str) -> bool:
 
 
 def _noise(tag: str, attributes: str, in_article: bool) -> tuple[str, bytes]:
-    """How an element's tag and names speak against it, and its shape where they do.
+    """How an element's tag and names speak against it, and its shape where only recurrence can tell.
 
-    always: never main text; named: unless it holds an article; clear, doubtful: if its shape recurs.
+    always: never main text; comment, clear, doubtful: if its shape recurs.
     """
     if tag in DROPPED or (tag == "header" and not in_article):
         return "always", b""
-    if not attributes or tag in ("html", "body"):
+    if (not attributes and tag not in DIALOGS) or tag in ("html", "body"):
         return "", b""
     if _is_hidden(attributes):
         return "always", b""
-    names = sorted({x for _, v in _NAMES.findall(attributes) for x in v.strip("\"'").lower().split()})
-    if not names:
-        return "", b""
-    whole, parts = set(names), {p for x in names for p in _PARTS.findall(x)}
-    if parts & COMMENTS:
+    found = [(k.lower(), x) for k, v in _NAMES.findall(attributes) for x in v.strip("\"'").lower().split()]
+    if any(k == "role" and (x in LANDMARKS or (x == "banner" and not in_article)) for k, x in found):
         return "always", b""
-    if whole & NOISE:
-        return "named", b""
-    kind = "clear" if parts & NOISE else "doubtful" if parts & DOUBTFUL else ""
+    names = sorted({x for _, x in found})
+    parts = {p for x in names for p in _PARTS.findall(x)}
+    kind = "comment" if parts & COMMENTS else "clear" if parts & NOISE or tag in DIALOGS else "doubtful" if parts & DOUBTFUL else ""
     return kind, (xxhash.xxh64_digest("\0".join(["shape", tag, *(re.sub("[0-9]+", "0", x) for x in names)]).encode("utf-8", "surrogatepass")) if kind else b"")
 
 
-def parse(page: str | None, long_text: int = 240) -> tuple[list[str], list[tuple[int, int, int, bool, bool]]]:
-    """Blocks of text, and (hash, first block, end block, part of an article or long, clearly named) of every
-    element with text; a named element also counts by its shape."""
+def parse(page: str | None, long_text: int = 240) -> tuple[list[str], list[tuple[int, int, int, bool, str]], list[tuple[int, int]]]:
+    """Blocks of text; (hash, first block, end block, part of an article or long, kind) of every element with
+    text, a named one also by its shape, whose kind is that of its name; and the block ranges of articles."""
     blocks: list[str] = []
-    elements: list[tuple[int, int, int, bool, bool]] = []
+    elements: list[tuple[int, int, int, bool, str]] = []
     spans: list[tuple[int, int]] = []  # block ranges of articles
     pieces: list[str] = []
     stack = [_Element("", 0, "")]
@@ -147,7 +149,7 @@ def parse(page: str | None, long_text: int = 240) -> tuple[list[str], list[tuple
         main = e.tag in ("article", "main")
         articles -= main
         parent = stack[-1]
-        if e.noise == "always" or (e.noise == "named" and not e.main):
+        if e.noise == "always":
             del blocks[e.first :]
             while elements and elements[-1][2] > e.first:
                 elements.pop()
@@ -158,9 +160,9 @@ def parse(page: str | None, long_text: int = 240) -> tuple[list[str], list[tuple
         parent.children.append(digest)
         if len(blocks) > e.first:
             long = sum(map(len, blocks[e.first :])) >= long_text if len(blocks) - e.first <= long_text else True
-            elements.append((int.from_bytes(digest, "big", signed=True), e.first, len(blocks), articles > 0 or main or long, False))
-            if e.shape and not e.main:
-                elements.append((int.from_bytes(e.shape, "big", signed=True), e.first, len(blocks), False, e.noise == "clear"))
+            elements.append((int.from_bytes(digest, "big", signed=True), e.first, len(blocks), articles > 0 or main or long, ""))
+            if e.shape and (e.noise == "comment" or not e.main):
+                elements.append((int.from_bytes(e.shape, "big", signed=True), e.first, len(blocks), articles > 0, e.noise))
             if main:
                 spans.append((e.first, len(blocks)))
         parent.main |= e.main or (main and len(blocks) > e.first)
@@ -229,14 +231,7 @@ def parse(page: str | None, long_text: int = 240) -> tuple[list[str], list[tuple
     while len(stack) > 1:
         _close_inline(stack) if stack[-1].tag in INLINE and not stack[-1].noise else close()
     end_block()
-    if spans:
-        inside = np.zeros(len(blocks) + 1, bool)
-        for a, b in spans:
-            inside[a:b] = True
-        shift = np.concatenate([[0], np.cumsum(inside[:-1])])
-        blocks[:] = [x for x, keep in zip(blocks, inside, strict=False) if keep]
-        elements[:] = [(h, int(shift[a]), int(shift[b]), art, sure) for h, a, b, art, sure in elements if shift[b] > shift[a]]
-    return blocks, elements
+    return blocks, elements, spans
 
 
 def _close_inline(stack: list[_Element]) -> None:
@@ -246,65 +241,103 @@ def _close_inline(stack: list[_Element]) -> None:
     stack[-1].main |= e.main
 
 
+#: In place of a host: all of them.
+_EVERYWHERE = "\0"
+
+
 def _keyed(host: str, digest: int) -> int:
     return xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass") + digest.to_bytes(8, "big", signed=True)) - (1 << 63)
 
 
+def _keys_of(host: str, element: tuple[int, int, int, bool, str]) -> list[int]:
+    """What may mark an element as template: its host's key, for clear names outside articles that of all hosts as well."""
+    h, _, _, inside, kind = element
+    return [_keyed(host, h)] + ([_keyed(_EVERYWHERE, h)] if kind in ("clear", "comment") and not inside else [])
+
+
+def _within(n: int, ranges: list[tuple[int, int]]) -> np.ndarray:
+    out = np.zeros(n, bool)
+    for a, b in ranges:
+        out[a:b] = True
+    return out
+
+
+def _print(blocks: list[str], elements: list, spans: list[tuple[int, int]]) -> int:
+    """A digest of what is most likely main text: the articles' blocks, or all, without named elements."""
+    own = (_within(len(blocks), spans) if spans else np.ones(len(blocks), bool)) & ~_within(len(blocks), [e[1:3] for e in elements if e[4]])
+    main = [x for x, keep in zip(blocks, own, strict=True) if keep] or blocks
+    return xxhash.xxh64_intdigest(" ".join(main).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def subtrees(pages: DataFrame) -> DataFrame:
-    """host, key, inside, page for every distinct subtree of every page; a null ``inside`` marks the host's own key."""
+    """host, key, inside, page for every distinct subtree of every page; a null ``inside`` marks the host's own key.
+
+    Shapes that all hosts count together have no host, and their host's key in place of the page.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, keys, inside, prints = [], [], [], []
+            rows: list[tuple[str, int, bool | None, int]] = []
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 host = host_of(url)
-                blocks, elements = parse(page)
+                blocks, elements, spans = parse(page)
                 if not blocks:
                     continue
-                mark = xxhash.xxh64_intdigest(" ".join(blocks).encode("utf-8", "surrogatepass")) - (1 << 63)
-                own = {(_keyed(host, h), art) for h, _, _, art, _ in elements} | {(_keyed(host, 0), None)}
-                hosts += [host] * len(own)
-                keys += [k for k, _ in own]
-                inside += [art for _, art in own]
-                prints += [mark] * len(own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(inside, pa.bool_()), pa.array(prints, pa.int64())], ["host", "key", "inside", "page"]
-            )
+                mark, own = _print(blocks, elements, spans), _keyed(host, 0)
+                found = {(host, own, None, mark)}
+                for e in elements:
+                    first, *more = _keys_of(host, e)
+                    found.add((host, first, e[3], mark))
+                    found.update((_EVERYWHERE, k, False, own) for k in more)
+                rows += found
+            types = {"host": pa.string(), "key": pa.int64(), "inside": pa.bool_(), "page": pa.int64()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types.values())], list(types))
 
     return pages.select("url", "html").mapInArrow(run, "host string, key long, inside boolean, page long")
 
 
-def template_keys(pages: DataFrame, scratch: Scratch, least: int, share: float, article_share: float) -> DataFrame:
-    """Keys of the subtrees and shapes that are template on their host, and one for each host that is large enough to tell."""
+def template_keys(pages: DataFrame, scratch: Scratch, least: int, share: float, article_share: float, hosts: int) -> DataFrame:
+    """Keys of the subtrees and shapes that are template, on their host or everywhere."""
     counted = (
         subtrees(pages).groupBy("host", "key", "inside", "page").agg(F.lit(1).alias("one")).groupBy("host", "key", "inside").agg(F.count(F.lit(1)).alias("n"))
     )
-    counted = scratch.save(counted.where(F.col("inside").isNull() | (F.col("n") >= least)), "subtrees")
-    hosts = counted.where("inside is null").select("host", F.col("n").alias("pages"), F.col("key").alias("host_key"))
-    joined = counted.where("inside is not null").join(hosts, "host")
+    everywhere = F.col("host") == _EVERYWHERE
+    counted = scratch.save(counted.where(F.col("inside").isNull() | (F.col("n") >= F.when(everywhere, hosts).otherwise(least))), "subtrees")
+    sizes = counted.where("inside is null").select("host", F.col("n").alias("pages"))
+    joined = counted.where(F.col("inside").isNotNull() & ~everywhere).join(sizes, "host")
     enough = F.when(F.col("inside"), F.col("n") >= F.greatest(F.lit(4 * least), F.col("pages") * article_share)).otherwise(F.col("n") >= F.col("pages") * share)
-    keys = joined.where(enough).select("key").union(hosts.where(F.col("pages") >= least).select("host_key"))
-    return scratch.save(keys.distinct(), "template")
-
-
-def _text(blocks: list[str], elements: list, host: str, template) -> str:
-    dropped = np.zeros(len(blocks), bool)
-    few = _keyed(host, 0) not in template
-    for h, a, b, _, sure in elements:
-        if not dropped[a:b].all() and ((sure and few) or _keyed(host, h) in template):
+    return scratch.save(joined.where(enough).select("key").union(counted.where(everywhere).select("key")).distinct(), "template")
+
+
+def _text(parsed: tuple[list[str], list, list[tuple[int, int]]], host: str, template) -> str:
+    blocks, elements, spans = parsed
+    size = np.fromiter(map(len, blocks), np.int64, len(blocks))
+    upto = np.concatenate([[0], np.cumsum(size)])
+    dropped, marked = np.zeros(len(blocks), bool), _within(len(blocks), spans)
+    for e in elements:
+        _, a, b, _, kind = e
+        beside = kind == "comment" and (marked[:a].any() or marked[b:].any())
+        if kind and not beside and 10 * (upto[b] - upto[a]) >= 9 * upto[-1]:
+            continue
+        if not dropped[a:b].all() and any(k in template for k in _keys_of(host, e)):
             dropped[a:b] = True
-    return " ".join(x for x, gone in zip(blocks, dropped, strict=True) if not gone)
+    kept = ~dropped
+    main = kept & marked
+    if main.any() and 2 * size[main].sum() >= size[kept].sum():
+        kept = main
+    return " ".join(x for x, keep in zip(blocks, kept, strict=True) if keep)
 
 
 def extract_text(
-    pages: DataFrame, scratch: Scratch, least: int = 5, share: float = 0.02, article_share: float = 0.3, broadcast_rows: int = 500_000
+    pages: DataFrame, scratch: Scratch, least: int = 5, share: float = 0.02, article_share: float = 0.3, hosts: int = 3, broadcast_rows: int = 500_000
 ) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html).
 
     A subtree is template if at least ``least`` distinct pages of its host have it, and the part
-    ``share`` of them; within articles four times as many, and the part ``article_share``.
+    ``share`` of them; within articles four times as many, and the part ``article_share``. A shape of a
+    clear name is template as well if ``hosts`` hosts have it.
     """
-    template = template_keys(pages, scratch, least, share, article_share)
+    template = template_keys(pages, scratch, least, share, article_share, hosts)
     schema = "page_id long, url string, text string, n_chars long"
 
     def output(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
@@ -319,7 +352,7 @@ def extract_text(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = frozenset(held.value.tolist())
             for batch in batches:
-                texts = [_text(*parse(page), host_of(url), known) for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)]
+                texts = [_text(parse(page), host_of(url), known) for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)]
                 yield output(batch, texts)
 
         return pages.select("page_id", "url", "html").mapInArrow(run, schema)
@@ -331,7 +364,7 @@ def extract_text(
             digests, keys = [], []
             for d, url, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 host = host_of(url)
-                own = {_keyed(host, h) for h, *_ in parse(page)[1]} | {_keyed(host, 0)}
+                own = {k for e in parse(page)[1] for k in _keys_of(host, e)}
                 digests += [d] * len(own)
                 keys += own
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(keys, pa.int64())], ["digest", "key"])
@@ -343,6 +376,6 @@ def extract_text(
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("url", "html", "keys"))
-            yield output(batch, [_text(*parse(page), host_of(url), frozenset(keys or ())) for url, page, keys in zip(*columns, strict=True)])
+            yield output(batch, [_text(parse(page), host_of(url), frozenset(keys or ())) for url, page, keys in zip(*columns, strict=True)])
 
     return rows.join(drop, "digest", "left").select("page_id", "url", "html", "keys").mapInArrow(run_joined, schema)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from html.parser import HTMLParser
 from itertools import chain, combinations
 
 from lorewright.llm import archives, html_extract, url_rules
@@ -121,7 +122,7 @@ def test_main_text_and_templates(spark):
     pages = frame(spark, rows)
     expected = {i: f"Title {i} & co Bold text {i}. Second! para {i} Third inline{i}" for i in range(30)}
     expected |= {i: f"Own text {i} 1 < 2 one{i} two{i}" for i in range(30, 60)}
-    expected |= {60: "", 61: "", 62: "plain < text & more", 64: expected[30], 65: " ".join(["long é"] * 20_000), 66: "a b"}
+    expected |= {60: "", 61: "", 62: "plain < text & more", 64: expected[30], 65: " ".join(["long é"] * 20_000), 66: "a b outside"}  # the article of 66 holds less than half of its page
     for limit in (500_000, 0):
         out = html_extract.extract_text(pages, Scratch(spark, "t4"), broadcast_rows=limit).collect()
         got = {r.page_id: r.text for r in out}
@@ -144,6 +145,8 @@ def test_recurrence_decides(spark):
     rows = [(i, f"http://a.com/{i}", page.format(n=i % 7, ad=say(5), body=b)) for i, b in bodies.items()]
     rows += [(100, "http://a.com/s", '<div class="search-results"><p>main text</p></div><div class="post promo-2024"><p>more</p></div><p title="x hidden y">kept</p><p hidden>gone</p><p style="color:red; display: none">gone</p>')]
     rows += [(101, "http://one.com/", '<section id="promotion-history"><p>history</p></section><div class="left-sidebar"><p>side</p></div><div class="sidebar"><p>side</p></div>')]
+    chrome = '<div class="sidebar"><p>{n}</p></div><div class="left-sidebar"><p>{n}</p></div><div class="slot ad-1"><p>{n}</p></div>'
+    rows += [(200 + i, f"http://other{i}.com/", chrome.format(n=i) + f"<p>{say(60)}</p>") for i in range(3)]  # names count where other hosts have them
     got = texts_of(spark, rows)
     assert {i: got[i] for i in bodies} == bodies
     assert got[100] == "main text more kept" and got[101] == "history"
@@ -152,6 +155,84 @@ def test_recurrence_decides(spark):
     assert texts_of(spark, rows, broadcast_rows=0) == got
 
 
+STORY = " ".join(f"story{i}" for i in range(50))
+
+
+def test_main_text_is_never_lost(spark):
+    """Teasers beside a story, names that sound like chrome, elements that belong into sentences, small hosts like large ones."""
+    policy = f'<div class="comments-policy-2024"><p>{STORY}</p></div>'
+    wrapped = '<div class="story-toolbar-{n}"><p>{text}</p></div>'
+    pages = {
+        1: ("http://a.com/", f"<div><p>{STORY}</p></div><article><p>teaser one</p></article><article><p>teaser two</p></article>", f"{STORY} teaser one teaser two"),
+        2: ("http://b.com/", f'<article><p>{STORY}</p><p id="comment-on-policy">A comment on policy.</p></article>', f"{STORY} A comment on policy."),
+        3: ("http://c.com/", policy, STORY),
+        4: ("http://d.com/", '<article><p>Energy is <math><mi>E</mi></math> here</p><label>Label</label> <object>fallback</object><map>m</map></article>', "Energy is E here Label fallback m"),
+        5: ("http://e.com/", f'<article><p>{STORY}</p><div class="social"><p>Social history.</p></div><div id="toc"><p>Table of contents.</p></div></article>', f"{STORY} Social history. Table of contents."),
+        6: ("http://f.com/", f'<article><p>{STORY}</p></article><div role="complementary"><p>aside</p></div><div role="banner">site</div>', STORY),
+    }
+    n = 10
+    for host, many in (("small", 4), ("large", 12)):
+        for i in range(many):
+            n += 1
+            pages[n] = (f"http://{host}.com/{i}", wrapped.format(n=i, text=f"{STORY} {n}"), f"{STORY} {n}")
+    for host in "xyz":  # readers' comments longer than what they are about, on few pages of several hosts
+        n += 1
+        pages[n] = (f"http://{host}.com/", f'<article><p>Article {n} of some length.</p></article><div class="comments"><article><p>{STORY}</p></article></div>', f"Article {n} of some length.")
+    rows = [(i, u, h) for i, (u, h, _) in pages.items()]
+    want = {i: t for i, (_, _, t) in pages.items()}
+    assert texts_of(spark, rows) == want
+    assert texts_of(spark, rows, broadcast_rows=0) == want
+
+
+class Plain(HTMLParser):
+    """The text of articles by the standard library's parser: blocks at every tag that is not part of a line."""
+
+    LINE = set("a b i em strong span code sup sub small u q cite abbr mark time".split())
+    GONE = set("nav aside form footer script style noscript button select textarea svg iframe".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.piece, self.inside, self.gone = [], "", 0, []
+
+    def end_block(self):
+        if self.piece.split():
+            self.blocks.append(" ".join(self.piece.split()))
+        self.piece = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.GONE:
+            self.gone.append(tag)
+        if tag == "br":
+            self.piece += "\n"
+        elif tag not in self.LINE:
+            self.end_block()
+        self.inside += tag in ("article", "main")
+
+    def handle_endtag(self, tag):
+        if tag not in self.LINE:
+            self.end_block()
+        if self.gone and self.gone[-1] == tag:
+            self.gone.pop()
+        self.inside -= tag in ("article", "main")
+
+    def handle_data(self, data):
+        if self.inside > 0 and not self.gone:
+            self.piece += data
+
+
+def test_equals_another_parser_on_the_whole_table(spark, sf):
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    got = {r.page_id: r.text for r in html_extract.extract_text(rows, Scratch(spark, "t4")).collect()}
+    want = {}
+    for r in rows.collect():
+        parser = Plain()
+        parser.feed(r.html or "")
+        parser.close()
+        parser.end_block()
+        want[r.page_id] = " ".join(parser.blocks)
+    assert got == want
+
+
 def test_template_keys_equal_a_plain_count(spark):
     rnd = random.Random(12)
     parts = [f"<div><p>part {i}</p></div>" for i in range(12)]
