@@ -5,8 +5,8 @@ title line ("The MIT License (MIT)") and list marks; A-Z is lower-cased, all but
 becomes one space, and equivalent spellings, of one word or of several, become one. Its SHA-256 is
 joined to the digests of known licences, whole text against whole text. Lines are texts too: a
 one-line grant ("Released under the MIT License.") is a known text of its own, and the scan reports
-the grants that stand as lines in a document beside the licence that the document is. A line with
-more than twice the words of the longest known grant can't be one, and is not looked up.
+the grants that stand as lines in a document beside the licence that the document is, whatever their
+length: every line is looked up.
 
 The known digests are a table (digest, licence): by default the entire texts in ``KNOWN_DIGESTS`` and
 the grants in ``GRANTS``; ``digest_table`` makes such a table from any texts. It is written, so the
@@ -249,8 +249,8 @@ def digest_table(texts: DataFrame) -> DataFrame:
     return texts.select("licence", "text").mapInArrow(run, "licence string, digest string")
 
 
-def _scanner(longest: int):
-    """Rows (doc_id, text) with the digest of the whole text, and those of its distinct lines of up to ``longest`` words."""
+def _scanner(held):
+    """Rows (doc_id, text) with the digest of the whole text, and those of its distinct lines that are in ``held`` (all where it is None)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,24 +259,27 @@ def _scanner(longest: int):
                 rows = _lower(text).split("\n")
                 words = [_words(x) for x in rows]
                 whole.append(digest(_whole(rows, words)))
-                lines.append([digest(_joined(list(x))) for x in {tuple(x) for x in words if x and len(x) <= longest}])
+                found = (digest(_joined(list(x))) for x in {tuple(x) for x in words if x})
+                lines.append([x for x in found if held is None or x in held.value])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole, pa.string()), pa.array(lines, pa.list_(pa.string()))], ["doc_id", "digest", "lines"])
 
     return run
 
 
-def scan(docs: DataFrame, scratch: Scratch, known: DataFrame | None = None) -> DataFrame:
+def scan(docs: DataFrame, scratch: Scratch, known: DataFrame | None = None, broadcast_digests: int = 200_000) -> DataFrame:
     """doc_id, digest, licence, line_licences for every row of ``docs`` (doc_id, text).
 
-    ``known`` is a table (licence, digest). ``licence`` is that of the entire text; ``line_licences``
+    ``known`` is a table (licence, digest). Up to ``broadcast_digests`` of them (some 120 bytes each) go to every
+    task, and only lines that are known leave it; above that all lines are joined. ``licence`` is that of the entire text; ``line_licences``
     the sorted, comma-separated ones of granting lines, empty if there is none.
     """
     spark = docs.sparkSession
     if known is None:
         known = spark.createDataFrame(known_digests(), "licence string, digest string")
     table = scratch.save(known.groupBy("digest").agg(F.min("licence").alias("licence")), "known")
-    longest = 2 * max([len(canonical_line(x).split()) for _, x in GRANTS])
-    rows = docs.select("doc_id", "text").mapInArrow(_scanner(longest), "doc_id long, digest string, lines array<string>")
+    few = table.limit(broadcast_digests + 1).count() <= broadcast_digests
+    held = spark.sparkContext.broadcast(frozenset(r.digest for r in table.select("digest").toLocalIterator())) if few else None
+    rows = docs.select("doc_id", "text").mapInArrow(_scanner(held), "doc_id long, digest string, lines array<string>")
     rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "scanned")
     lines = rows.select("row", F.explode("lines").alias("digest")).join(table, "digest")
     granted = lines.groupBy("row").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("found"))
