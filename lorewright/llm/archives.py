@@ -272,7 +272,7 @@ def _converted(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.Rec
                     continue
                 head, payload = http_payload(body)
                 page = header_value(head, "X-Page-Id")
-                row = (int(page) if page and page.isdigit() else None, fields["URL"], fields["Archive-date"], hashlib.sha1(payload).digest(), len(payload), None)
+                row = (int(page) if page and re.fullmatch(r"-?[0-9]+", page) else None, fields["URL"], fields["Archive-date"], hashlib.sha1(payload).digest(), len(payload), None)
                 if full:
                     info = {k: v for k, v in fields.items() if k in ARC_ONLY or k in ("IP-address", "Content-type")}
                     row += (json.dumps({**info, "version": version}), body)

@@ -285,6 +285,12 @@ def test_archives_round_trip(spark):
     assert archives.archive_report(frame(spark, rows).where("false"), Scratch(spark, "t5")).count() == 0
 
 
+def test_negative_and_zero_ids_take_part_in_revisits(spark):
+    big = "payload " * 150
+    out = archives.archive_report(frame(spark, [(-7, "http://a/", big), (3, "http://b/", big), (0, "http://c/", big), (-9, "http://d/", "small")]), Scratch(spark, "t5")).collect()
+    assert {r.page_id: (r.record_type, r.refers_to) for r in out} == {-7: ("revisit", 3), 0: ("revisit", 3), 3: ("response", None), -9: ("response", None)}
+
+
 def test_arc_versions_and_dates():
     v1 = archives.arc_block(1, "a.arc", "20010203040506") + archives.arc_record(1, "http://a/", "200102030405", b"HTTP/1.0 200 OK\r\n\r\nhi\n\n", 0, "a")
     v2 = archives.arc_block(2, "b.arc", "20010203040506") + archives.arc_record(2, "http://b/", "20010203040506", b"body", 0, "b")
