@@ -2,9 +2,10 @@
 
 A byte-level BPE never merges across pre-tokens, so a text's token count is the sum of its
 pre-tokens' lengths. The first tier is one broadcast table of frequent pre-tokens and their lengths,
-``table_size`` entries at most, built from the whole texts of the ``sample_rows`` rows with the least
-hashes of id and text, wherever they lie in the table, up to ``sample_chars`` characters of them: a
-bounded sample that decides speed only. The second tier is a cache in every Python worker; what it
+``table_size`` entries of up to ``longest`` characters at most. It comes from the whole texts of the rows
+with the ``sample_rows`` least hashes of doc_id, wherever they lie in the table: Spark splits them where
+they are read, sums the counts with a map-side combine and sends the most frequent pre-tokens only, no
+text. The sample decides speed alone. The second tier is a cache in every Python worker; what it
 lacks is encoded by the library itself, ``encode_rows`` pre-tokens a call, and kept up to
 ``cache_bytes`` of text, then the cache starts anew. Pre-tokens longer than ``longest`` characters
 are not kept. Pre-tokens are never shuffled, each row is counted where it is read, and whole texts
@@ -66,20 +67,22 @@ def _worker(path: str):
     return _WORKER[path]
 
 
-def frequent_lengths(docs: DataFrame, path: str, sample_rows: int, sample_chars: int, table_size: int) -> dict[str, int]:
-    """The first tier: lengths of the pre-tokens that are frequent in a bounded sample."""
-    split, tokenizer, _ = _worker(path)
-    seen: Counter[str] = Counter()
-    ranked = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("rank"))
-    last = ranked.select("rank").orderBy("rank").limit(sample_rows).agg(F.max("rank")).first()[0]  # one number
-    chars = 0
-    for row in ranked.where(F.col("rank") <= F.lit(last)).select("text").toLocalIterator():
-        if chars + len(row.text) > sample_chars:
-            break
-        chars += len(row.text)
-        seen.update(split(row.text)[0])
-    names = [x for x, _ in seen.most_common(table_size)]
-    return {x: len(e.ids) for x, e in zip(names, tokenizer.encode_batch(names, add_special_tokens=False), strict=True)}
+def frequent_lengths(docs: DataFrame, path: str, sample_rows: int, table_size: int, longest: int) -> dict[str, int]:
+    """The first tier: lengths of the pre-tokens that are frequent in a sample of whole texts."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = _worker(path)[0]
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                seen = Counter(x for x in cut(text or "")[0] if len(x) <= longest)
+                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["token", "n"])
+
+    rank = F.xxhash64("doc_id")
+    last = docs.select(rank.alias("rank")).orderBy("rank").limit(sample_rows).agg(F.max("rank")).first()[0]  # one number
+    counts = docs.where(rank <= F.lit(last)).select("text").mapInArrow(split, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    names = [r.token for r in counts.orderBy(F.desc("n"), "token").limit(table_size).collect()]
+    encoded = _worker(path)[1].encode_batch(names, add_special_tokens=False)
+    return {x: len(e.ids) for x, e in zip(names, encoded, strict=True)}
 
 
 class _Counter:
@@ -140,12 +143,12 @@ def _slices(texts: list[str], chars: int) -> Iterator[list[str]]:
 
 
 def token_counts(
-    docs: DataFrame, path: str, limit: int = 1024, sample_rows: int = 2000, sample_chars: int = 4_000_000, table_size: int = 30_000,
+    docs: DataFrame, path: str, limit: int = 1024, sample_rows: int = 2000, table_size: int = 30_000,
     cache_bytes: int = 160 << 20, longest: int = 64, encode_rows: int = 4096, slice_chars: int = 1 << 20,
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    first_tier = spark.sparkContext.broadcast(frequent_lengths(docs, path, sample_rows, sample_chars, table_size))
+    first_tier = spark.sparkContext.broadcast(frequent_lengths(docs, path, sample_rows, table_size, longest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _Counter(path, first_tier.value, cache_bytes, longest, encode_rows)
