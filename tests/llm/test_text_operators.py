@@ -106,6 +106,21 @@ def test_licences(spark):
     assert [r.licence for r in sorted(got, key=lambda r: r.doc_id)] == ["Own", None]
 
 
+FSFAP = "Copying and distribution of this file, with or without modification, are permitted in any medium without royalty provided the copyright notice and this notice are preserved. This file is offered as-is, without any warranty."
+
+
+def test_long_lines_and_licences_of_one_digest(spark):
+    """A licence in one long line among others, by the known table and a caller's; the first name where two have one digest."""
+    line = " ".join(f"w{i}" for i in range(60))
+    rows = frame(spark, [f"Prose.\n{FSFAP}\nMore.", FSFAP, f"{line}\nand more"])
+    got = {r.doc_id: (r.licence, r.line_licences) for r in licences.scan(rows, Scratch(spark, "t1")).collect()}
+    assert got == {0: (None, "FSFAP"), 1: ("FSFAP", "FSFAP"), 2: (None, "")}
+    own = spark.createDataFrame([(n, licences.digest(licences.canonical_line(line))) for n in ("Second", "First")], "licence string, digest string")
+    for most in (200_000, 0):
+        got = {r.doc_id: r.line_licences for r in licences.scan(rows, Scratch(spark, "t1"), own, broadcast_digests=most).collect()}
+        assert got == {0: "", 1: "", 2: "First"}
+
+
 def test_licence_texts_of_this_machine():
     folder = "/usr/share/common-licenses"
     for name, licence in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
@@ -135,6 +150,16 @@ def test_token_counts_equal_the_library(spark):
     assert token_counts.token_counts(frame(spark, texts).where("false"), path).count() == 0
 
 
+def test_first_tier_comes_from_rows_of_every_partition(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["x" * 300_000 + " start" * 50] + [f" word{i % 7}" * 3 for i in range(400)] + [" last" * 40] * 3
+    tier = token_counts.frequent_lengths(frame(spark, texts), path, 404, 30_000, 64)
+    assert " start" in tier and " last" in tier and " word" in tier and max(map(len, tier)) <= 64
+    assert len(token_counts.frequent_lengths(frame(spark, texts), path, 404, 2, 64)) == 2
+    assert token_counts.frequent_lengths(frame(spark, texts).where("false"), path, 10, 10, 64) == {}
+
+
 def windows(text, k=5):
     w = lower(text or "").split()
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
