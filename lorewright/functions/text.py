@@ -9,39 +9,31 @@ from pyspark.sql import functions as F
 CJK = r"\x{4e00}-\x{9fff}"
 
 
-#: Words and patterns of the text rules.
-CONCEPT_WORDS = (
-    r"请\s*分别\s*(?:说明|介绍|讲解|解释|论述)|请\s*(?:讲解|介绍|解释|说明|论述)|什么是|是什么|的定义|的概念|的含义|"
-    r"推导方法|推导过程|证明过程|证明思路|异同|相同点|不同点|区别和联系|区别与联系"
-)
-TEACHING_WORDS = r"在.{0,10}的?学习中|我们\s*学(?:习|过)了?|从教材中|在课本中|根据教材|根据课本|教材中|课本中|课程中"
-POINTING_WORDS = (
-    r"它们|她们|他们|它|他|她|这些|那些|这个|那个|这|那|上面|前面|前述|刚才|刚刚|刚说|上文|前文|这道题|那道题|这题|那题|"
-    r"再算|再说|换一种|换个|为什么是这样|结果不对|不对|是这样吗"
-)
-STANDALONE = r"(?:^|[\s，,。.;；:：、])(?:什么是|介绍一下|帮我讲解一下|定义\s|定理\s|公式\s|\b[A-Z][a-z]+\s+[A-Z][a-z]+\b)"
+#: Defaults of parameters: short lists of this repository for texts of mathematics; callers bring longer ones.
+CONCEPT_WORDS = ("什么是", "是什么", "定义", "概念", "推导", "证明过程", "异同", "区别")
+TEACHING_WORDS = ("教材", "课本", "课程", "学习了", "学过")
+POINTING_WORDS = ("它", "这个", "那个", "这些", "那些", "上面", "前面", "刚才", "再算")
+OPENING_WORDS = ("什么是", "介绍一下", "定义", "定理", "公式")
+MATH_WORDS = (
+    "三角形", "正方体", "圆锥", "圆的", "函数", "方程", "不等式", "数列", "集合", "向量", "导数", "积分", "面积", "体积", "周长", "最大值", "最小值",
+    "求解", "求证", "求值", "证明", "化简", "等于多少", "平方",
+)
+
+#: Words of follow-up questions, of a problem's own text, and of questions that are not simple.
 FOLLOW_UP_WORDS = (
     "第二问", "第三问", "第一问", "上一问", "下一问", "刚才", "上面", "前面", "这个", "这一步", "这里", "它", "继续",
     "为什么", "哪里错", "怎么做", "怎么解", "答案不对", "重新解", "接着",
 )
 COMPLETE_WORDS = ("已知", "设", "若", "求", "证明")
 NOT_SIMPLE_WORDS = ("证明", "推导", "分析", "为什么", "思路", "过程", "几何", "应用题", "函数", "方程组")
+#: The class of a reason by its words, and verbs with their translations.
 REASONS = (
     ("数学概念", ("集合", "函数", "定理", "公式", "定义", "什么是")),
     ("数学推理", ("证明", "推导", "为什么")),
     ("综合分析", ("分析", "比较", "总结")),
 )
 MATH_VERBS = {"discard": "舍去", "obtain": "得到", "substitute": "代入", "assume": "假设", "conclude": "得出", "simplify": "化简"}
-MATH_WORDS = (
-    r"正方体|立方体|长方体|球体|球(?=[体面心的内外半径体积表侧])|圆锥|圆柱|圆台|棱锥|棱柱|棱台|三角锥|椎体|"
-    r"三角形|正方形|长方形|矩形|梯形|平行四边形|菱形|多边形|圆(?![形圈])|扇形|椭圆|双曲线|抛物线|"
-    r"直线|曲线|射线|线段|切线|渐近线|交点|切点|顶点|端点|零点|极值点|对称点|拐点|斜率|截距|坐标|象限|倾角|"
-    r"函数|方程(?!式)|方程组|不等式|数列|集合|向量|矩阵|行列式|三角函数|导数|积分|极限|微分|正弦|余弦|正切|余切|"
-    r"长度|面积|体积|半径|周长|边长|棱长|对角线|侧面积|表面积|底面积|高(?![中考矮兴级手速铁])|底面|斜高|母线|斜边|焦距|内切|外接|"
-    r"取值范围|最大值|最小值|定义域|值域|根|解集|交集|并集|补集|下标|通项(?:公式)?|递推(?:关系|公式)?|公比|公差|"
-    r"等差|等比|前\s*[nN]\s*项|化简|因式分解|证明|推导(?![的方过])|(?<![需追])求(?![求给你了起])|计算(?!机)|求解|为多少|等于多少|"
-    r"除以|乘以|平方|立方|次方|开方|根号|不等于|大于等于|小于等于|大于零|小于零|等于零|比较.{0,50}的大小"
-)
+#: Marks of parts and options in model outputs.
 OUTPUT_LABELS = r"^(?:(?:输出|结果)[：:]\s*)+"
 SPOKEN_PART = r"(^|[\n。！？；;，,、]\s*)(?:第\s*([一二三123１２３])\s*(?:问|小题|小问)|问题\s*([一二三123１２３]))[，,、。．:\s]*"
 CHOICE_CONTEXT = r"下列选项哪个正确|下列说法正确的是|下列结论正确的是|下列.*?正确的是|下列.*?错误的是|这是一道多选题|这是一道单选题|多选题|单选题|选择题"
@@ -90,9 +82,9 @@ def translated_verbs(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(f"[{CJK}]")) & formula, out).otherwise(text)
 
 
-def is_math_problem(text: Column) -> Column:
-    """ST27."""
-    return F.rlike(F.trim(text), F.lit(MATH_WORDS))
+def is_math_problem(text: Column, words: tuple[str, ...] = MATH_WORDS) -> Column:
+    """ST27: holds one of ``words`` (expressions)."""
+    return contains_any(F.trim(text), words)
 
 
 def is_follow_up(text: Column) -> Column:
@@ -308,16 +300,17 @@ def guarded_rewrite(original: Column, rewritten: Column) -> Column:
     return F.when((new == "") | language_drift(original, new) | answered, original).otherwise(new)
 
 
-def depends_on_context(text: Column) -> Column:
-    """ST26: short, with a word that points backwards, and no subject of its own."""
+def depends_on_context(text: Column, pointing: tuple[str, ...] = POINTING_WORDS, opening: tuple[str, ...] = OPENING_WORDS) -> Column:
+    """ST26: short, with a word that points backwards, and no subject of its own: no clause that opens with one, no name in capitals."""
     q = F.trim(text)
-    return (q != "") & (F.char_length(q) <= 24) & F.rlike(q, F.lit(POINTING_WORDS)) & ~F.rlike(q, F.lit(STANDALONE))
+    subject = F.rlike(q, F.lit(rf"(?:^|[\s，,。.;；:：、])(?:{'|'.join(opening)})")) | F.rlike(q, F.lit(r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b"))
+    return (q != "") & (F.char_length(q) <= 24) & contains_any(q, pointing) & ~subject
 
 
-def explains_concept(text: Column) -> Column:
-    """ST28: two of an indicator, a teaching context, and 25 characters."""
-    indicator, teaching = F.rlike(text, F.lit(CONCEPT_WORDS)), F.rlike(text, F.lit(TEACHING_WORDS))
-    return (indicator.cast("int") + teaching.cast("int") + (F.char_length(text) >= 25).cast("int")) >= 2
+def explains_concept(text: Column, indicators: tuple[str, ...] = CONCEPT_WORDS, teaching: tuple[str, ...] = TEACHING_WORDS, least: int = 25) -> Column:
+    """ST28: two of an indicator, a teaching context, and ``least`` characters."""
+    met = (contains_any(text, indicators), contains_any(text, teaching), F.char_length(text) >= least)
+    return sum((x.cast("int") for x in met), F.lit(0)) >= 2
 
 
 def complexity(text: Column, reasoning: list[str], simple: list[str], office: tuple[list[str], list[str], list[str]]) -> Column:

@@ -128,11 +128,11 @@ def advice(counts: DataFrame, rules: list[tuple[Column, str]], nothing: str) ->
 def exact_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float], splits: int = 64) -> DataFrame:
     """AGG29: linearly interpolated percentiles of each group, none of which has to fit into one task.
 
-    Equal values are counted first. A mergeable sketch cuts each group into ``splits`` buckets; only the
+    Equal values are counted first, and all else reads the counts. A mergeable sketch cuts each group into ``splits`` buckets; only the
     buckets that hold a wanted rank are put in order, each by itself. Nulls are left out.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    cuts = df.groupBy(group).agg(F.percentile_approx(value, F.array(*[F.lit(i / splits) for i in range(1, splits)]), F.lit(10_000)).alias("cuts"), F.count(value).alias("n"))
+    cuts = counted.groupBy(group).agg(F.percentile_approx("v", F.array(*[F.lit(i / splits) for i in range(1, splits)]), F.lit(10_000)).alias("cuts"), F.sum("c").alias("n"))
     placed = counted.join(cuts, group).select(group, "v", "c", "n", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("bucket"))
     sizes = placed.groupBy(group, "bucket").agg(F.sum("c").alias("m"), F.max("n").alias("n"))
     before = F.coalesce(F.sum("m").over(Window.partitionBy(group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -16,16 +16,16 @@ from .registry import query
 
 
 @query(r"""
-with u as (select conv_id, turn, trim(regexp_replace(substring(text, 1, 800), '\s+', ' ', 'g')) as t from conversations where role = 'user'),
+with u as (select conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from conversations where role = 'user'),
 r as (select *, row_number() over (partition by conv_id order by turn) as r from u where t <> ''),
 d as (select *, row_number() over (partition by conv_id, t order by turn) as k from r where r <= 30)
-select conv_id, turn, t as out from d where k = 1
+select conv_id, turn, substring(t, 1, 800) as out from d where k = 1
 """)
 def win10_supplement(spark, sf_dir):
-    """First user turns of a session, each utterance once."""
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", T.one_spaced(F.substring("text", 1, 800)).alias("out")).where("out <> ''")
+    """First user turns of a session, each whole utterance once; shown up to 800 characters."""
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", T.one_spaced(F.col("text")).alias("out")).where("out <> ''")
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("r <= 30")
-    return first.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "out").orderBy("turn"))).where("k = 1").select("conv_id", "turn", "out")
+    return first.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "out").orderBy("turn"))).where("k = 1").select("conv_id", "turn", F.substring("out", 1, 800).alias("out"))
 
 
 @query("""

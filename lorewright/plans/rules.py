@@ -60,9 +60,9 @@ _Q = "trim(t, ' ')"
 phrase_query("st3_drift", "Two texts in different languages.", lambda t: T.language_drift(t, F.col("text")), f"(({_ZH.format('t')}) <> '' and ({_ZH.format('text')}) <> '' and ({_ZH.format('t')}) <> ({_ZH.format('text')}))")
 phrase_query("st14_think", "Think blocks go, closed ones and an open tail.", lambda t: T.strip_think_tail(F.concat(F.lit("a<think x>no</think >"), t, F.lit(" <THINK>tail")))[0], "'a' || t || ' '")
 phrase_query("st24_verbs", "Verbs translated in Chinese texts with a formula.", lambda t: T.translated_verbs(F.concat(F.lit("Obtain $x$ obtained "), t)), f"case when {matches('[一-鿿]')} then '得到' else 'Obtain' end || ' $x$ obtained ' || t")
-phrase_query("st26_dependent", "Short questions that point backwards.", T.depends_on_context, f"({_Q} <> '' and length({_Q}) <= 24 and {matches(T.POINTING_WORDS, _Q)} and not {matches(T.STANDALONE, _Q)})")
-phrase_query("st27_math_problem", "Problems of mathematics.", T.is_math_problem, None)
-phrase_query("st28_concept", "Two of: a concept, a class, 25 characters.", T.explains_concept, f"({matches(T.CONCEPT_WORDS)}::int + {matches(T.TEACHING_WORDS)}::int + (length(t) >= 25)::int) >= 2")
+phrase_query("st26_dependent", "Short questions that point backwards.", T.depends_on_context, f"({_Q} <> '' and length({_Q}) <= 24 and {any_of(('它', '这个', '那个', '这些', '那些', '上面', '前面', '刚才', '再算'), _Q)} and not {matches('(?:^|[\\s，,。.;；:：、])(?:什么是|介绍一下|定义|定理|公式)', _Q)} and not {matches('\\b[A-Z][a-z]+\\s+[A-Z][a-z]+\\b', _Q)})")
+phrase_query("st27_math_problem", "Problems of mathematics.", T.is_math_problem, any_of(("三角形", "正方体", "圆锥", "圆的", "函数", "方程", "不等式", "数列", "集合", "向量", "导数", "积分", "面积", "体积", "周长", "最大值", "最小值", "求解", "求证", "求值", "证明", "化简", "等于多少", "平方"), _Q))
+phrase_query("st28_concept", "Two of: a concept, a class, 25 characters.", T.explains_concept, f"({any_of(('什么是', '是什么', '定义', '概念', '推导', '证明过程', '异同', '区别'))}::int + {any_of(('教材', '课本', '课程', '学习了', '学过'))}::int + (length(t) >= 25)::int) >= 2")
 phrase_query("st29_realtime", "The category of a question about the present: none is told yet.", lambda t: F.lit(None).cast("string"), "null::varchar")
 phrase_query("st30_follow_up", "Follow-up questions.", T.is_follow_up, f"(length({_Q}) > 0 and not (length({_Q}) >= 80 and {any_of(T.COMPLETE_WORDS, _Q)}) and length({_Q}) <= 80 and {any_of(T.FOLLOW_UP_WORDS, _Q)})")
 phrase_query("st31_arithmetic", "Simple sums.", T.is_simple_arithmetic, f"(length({_Q}) between 1 and 28 and not {any_of(T.NOT_SIMPLE_WORDS, _Q)} and {matches('[0-9一二三四五六七八九十百千万两零]', _Q)} and {matches('[-+*/加减乘除×÷]|等于', _Q)} and {matches('等于几|多少|=|＝', _Q)})")
@@ -467,17 +467,19 @@ def sup10_removed_from_stores(spark, sf_dir):
 
 
 @query("""
-with r as (select doc_id, quality, row_number() over (order by doc_id) - 1 as index from labels)
-select doc_id, index, case when index % 4 = 0 then 'correct' when quality = 0 then 'incorrect' end as review_status from r
+with r as (select doc_id, quality, doc_id // 64 as list, row_number() over (partition by doc_id // 64 order by doc_id) - 1 as index from labels)
+select doc_id, list, index, case when index % 4 = 0 then 'correct' when quality = 0 then 'incorrect' end as review_status from r
 """)
 def sup24_review_updates(spark, sf_dir):
     """Reviews updated by the place that a record had in its list (SUP24, SUP25)."""
     from ..operators import mutate as M
 
-    w = Window.orderBy("doc_id")  # one list's own order, as it is shown
-    rows = table(spark, sf_dir, "labels").select("doc_id", (F.row_number().over(w) - 1).cast("long").alias("index"), F.when(F.col("quality") == 0, "incorrect").alias("review_status"))
-    updates = rows.where("index % 4 = 0").select("index", F.lit("correct").alias("review_status"))
-    return M.upsert(rows, updates, ["index"], partial=True).select("doc_id", "index", "review_status")
+    list_ = F.floor(F.col("doc_id") / 64).alias("list")
+    w = Window.partitionBy("list").orderBy("doc_id")  # a list's own order, as it is shown
+    rows = table(spark, sf_dir, "labels").select("doc_id", list_, "quality")
+    rows = rows.select("doc_id", "list", (F.row_number().over(w) - 1).cast("long").alias("index"), F.when(F.col("quality") == 0, "incorrect").alias("review_status"))
+    updates = rows.where("index % 4 = 0").select("list", "index", F.lit("correct").alias("review_status"))
+    return M.upsert(rows, updates, ["list", "index"], partial=True).select("doc_id", "list", "index", "review_status")
 
 
 @query("""

@@ -23,7 +23,7 @@ def column(spark, rule, texts):
 
 def test_spoken_parts_and_choices(spark):
     parts = {
-        "第一问求E的方程。第二问证明": "(1)求E的方程。\n\n(2)证明",
+        "第一问量角度。第二问画图形": "(1)量角度。\n\n(2)画图形",
         "$，第一小问：求周期。": "$，(1)：求周期。",
         "问题 ２、求和": "(2)求和",
         "没有小题": "没有小题",
@@ -40,9 +40,15 @@ def test_spoken_parts_and_choices(spark):
     assert column(spark, T.clean_output, ["<think>x</think>```\n输出：'第一问求和'\n```"]) == ["(1)求和"]
 
 
-def test_math_problems_equal_plain_expressions(spark):
-    texts = ["正方体的棱长", "高中生活", "高考", "圆形", "圆的面积", "方程式赛车", "解方程", "请求帮助", "需求", "追求", "求x", "计算机", "计算和", "推导方法", "推导公式", "比较两数的大小", "", "hello", "球员", "球的体积"]
-    assert column(spark, T.is_math_problem, texts) == [bool(re.search(T.MATH_WORDS, t.strip())) for t in texts]
+def test_words_of_questions_are_parameters(spark):
+    texts = {"正方体的棱长": True, "高中生活": False, "圆的面积": True, "解方程": True, "请求帮助": False, "求证两边相等": True, "计算机": False, "": False, "hello": False}
+    assert column(spark, T.is_math_problem, texts) == list(texts.values())
+    assert column(spark, lambda t: T.is_math_problem(t, ("计算(?!机)", "^hello$")), ["计算和", "计算机", " hello ", "hello you"]) == [True, False, True, False]
+    context = {"这个怎么算": True, "什么是这个": False, "看，定理，它": False, "Big Apple 这个": False, "": False, "它" + "长" * 30: False, "没有": False}
+    assert column(spark, T.depends_on_context, context) == list(context.values())
+    assert column(spark, lambda t: T.depends_on_context(t, ("that",), ("what",)), ["and that", "what that", "no"]) == [True, False, False]
+    concepts = {"课本里的定义": True, "什么是圆": False, "教材": False, "概念" + "长" * 23: True, "长" * 40: False}
+    assert column(spark, T.explains_concept, concepts) == list(concepts.values())
 
 
 def test_places(spark):
