@@ -67,14 +67,12 @@ phrase_query("st29_realtime", "The category of a question about the present: non
 phrase_query("st30_follow_up", "Follow-up questions.", T.is_follow_up, f"(length({_Q}) > 0 and not (length({_Q}) >= 80 and {any_of(T.COMPLETE_WORDS, _Q)}) and length({_Q}) <= 80 and {any_of(T.FOLLOW_UP_WORDS, _Q)})")
 phrase_query("st31_arithmetic", "Simple sums.", T.is_simple_arithmetic, f"(length({_Q}) between 1 and 28 and not {any_of(T.NOT_SIMPLE_WORDS, _Q)} and {matches('[0-9一二三四五六七八九十百千万两零]', _Q)} and {matches('[-+*/加减乘除×÷]|等于', _Q)} and {matches('等于几|多少|=|＝', _Q)})")
 phrase_query("st33_reason", "The class of a score's reason.", T.reason_class, "case " + " ".join(f"when {any_of(w)} then '{n}'" for n, w in T.REASONS) + " else 'heuristic' end")
-phrase_query("st35_traffic_place", "Places in questions about traffic.", lambda t: T.traffic_place(F.concat(F.lit("请问成都今天堵不堵 "), F.substring_index(t, " ", 0))), "'成都'")
 phrase_query("st43_chunk_text", "Chunk texts with their header lines.", lambda t: T.chunk_text({"领域": F.col("lang"), "书名": F.lit(None)}, t, F.when(F.col("doc_id") % 3 == 0, "1/2")), "'【领域】' || lang || chr(10) || '【书名】' || case when doc_id % 3 = 0 then chr(10) || '【分片】1/2' else '' end || chr(10) || chr(10) || '【正文】' || chr(10) || t")
 phrase_query("st45_log_payload", "Values of a conversion's log entry.", lambda t: T.conversion_log(F.concat(F.lit("x ASR→LaTeX: duration=1.5s, before='b', after='"), F.translate(t, "'", ""), F.lit("'")))["after"], "trim(replace(t, '''', ''), ' ')")
 phrase_query("st47_first_line", "The first line of an answer, unquoted.", lambda t: T.first_line(F.concat(F.lit('"'), F.translate(t, "\"'“”‘’", ""), F.lit('"\nmore'))), "trim(split_part(trim(translate(t, '\"''“”‘’', ''), ' '), chr(10), 1), ' ')")
 phrase_query("st49_calendar_text", "Spaces between ideographs, wide spaces and curly quotes.", lambda t: T.calendar_text(F.concat(F.lit("今 天　是“x” "), t)), "'今天是\"x\" ' || translate(t, '　“”‘’', ' \"\"''''')")
 phrase_query("tx1_delimiters", "Formula delimiters made one.", lambda t: tex.unified_delimiters(F.concat(F.lit(r"\(x\) \\[y\\] "), t)), "'$x$ $$y$$ ' || t")
 phrase_query("tx12_has_formula", "Texts with a formula.", lambda t: tex.has_formula(F.when(F.col("doc_id") % 3 == 0, F.concat(t, F.lit(r" \(x\)"))).otherwise(t)), "case when doc_id % 3 = 0 then true else " + matches(r"\$[^$]+\$|\\\(.+?\\\)|\\\[.+?\\\]|\\boxed\s*\{|\\begin\{") + " end")
-phrase_query("tx9_formulas", "Formulas found, and how many.", lambda t: F.size(tex.formulas(F.concat(F.lit("$a$ and $$b$$ "), F.translate(t, "$", "")))).cast("long"), "2::bigint")
 phrase_query("tx10_unwrapped", "Delimiters and boxes stripped, however nested.", lambda t: tex.unwrapped(F.concat(F.lit(r"$$\boxed{ "), F.translate(t, "{}$\\", ""), F.lit(" }$$"))), r"regexp_replace(translate(t, '{}$\', ''), '^\s+|\s+$', '', 'g')")
 phrase_query("tx4_tables", "Tables become arrays.", lambda t: tex.tabled(F.concat(F.lit(r"\begin{tabular}{c} $a$ & "), F.translate(t, "$", ""), F.lit(r" \end{tabular} $x$"))), r"'\begin{array}{c} a & ' || translate(t, '$', '') || ' \end{array} $x$'")
 phrase_query("tx5_environments", "Bare environments become formulas.", lambda t: tex.displayed(F.concat(F.lit(r"\begin{cases} a \end{cases} "), F.translate(t, "$\\", ""))), r"'$$\begin{cases} a \end{cases}$$ ' || translate(t, '$\', '')")
@@ -83,16 +81,17 @@ phrase_query("tx2_trimmed", "White space inside delimiters.", lambda t: tex.trim
 phrase_query("tx11_restored", "Formulas put aside and put back.", lambda t: tex.put_back(F.concat(F.lit("$a$ "), t)), "'$a$ ' || t")
 
 
-@query(f"""
-{PHRASE_SQL},
-r as (select doc_id, '(1) one ' || case when doc_id % 3 = 0 then '' when doc_id % 3 = 1 then '(2) two' else '（2）two (3) three' end as q from s)
-select doc_id, '' as stem, case doc_id % 3 when 0 then 'one' when 1 then 'one|two' else 'one|two|three' end as parts, case when doc_id % 3 = 1 then 'two_part' else 'fallback' end as status from r
+@query(r"""
+with t as (select doc_id, 'x ' || trim(regexp_replace(coalesce(text, ''), '[()（）\s]+', ' ', 'g')) as b from documents)
+select doc_id, md5(case doc_id % 4 when 0 then 'stem' when 1 then '' else b end) as stem_md5, md5(case doc_id % 4 when 0 then b when 1 then b || '|' || b when 2 then b || '|two|' || b else '' end) as parts_md5,
+    (['fallback', 'two_part', 'fallback', 'single'])[1 + doc_id % 4] as status from t
 """)
 def st19_split_question(spark, sf_dir):
-    """Stem, sub-questions and status of a question."""
-    kind = F.col("doc_id") % 3
-    q = F.concat(F.lit("(1) one "), F.when(kind == 0, "").when(kind == 1, "(2) two").otherwise("（2）two (3) three"))
-    return said(spark, sf_dir).select("doc_id", T.split_question(q).alias("r")).select("doc_id", "r.stem", F.array_join("r.parts", "|").alias("parts"), "r.status")
+    """Stem, sub-questions and status of questions made of whole texts."""
+    b, kind = F.concat(F.lit("x "), F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[()（）\s]+", " "))), F.col("doc_id") % 4
+    q = F.when(kind == 0, F.concat(F.lit(" stem (1) "), b)).when(kind == 1, F.concat(F.lit("(1)"), b, F.lit(" （ 2 ）"), b)).when(kind == 2, F.concat(b, F.lit("(1)"), b, F.lit("(2) two (3)"), b)).otherwise(b)
+    parts = table(spark, sf_dir, "documents").select("doc_id", T.split_question(q).alias("r"))
+    return parts.select("doc_id", F.md5("r.stem").alias("stem_md5"), F.md5(F.array_join("r.parts", "|")).alias("parts_md5"), "r.status")
 
 
 @query(f"""
@@ -273,16 +272,19 @@ def mx11_confidence_faults(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", N.first_fault((k % 5 == 0, "missing"), (~v.between(0, 90), "out_of_range"), (k % 7 == 0, "no_reason")).alias("fault"))
 
 
-@query("""
-with e as (select event_id, (['{"a": 1}', 'text {"a": {"b": 2}} more', '{"a": 1}{"b": [2]}', '{"a": 1}' || chr(10) || '{"b": "}"}', 'no object', '{broken'])[1 + event_id % 6] as t from events)
-select event_id, ([1, 1, 2, 2, 0, 0])[1 + event_id % 6]::bigint as n, (['{"a": 1}', '{"a": {"b": 2}}', '{"a": 1}', '{"a": 1}', null, null])[1 + event_id % 6] as first from e
+@query(r"""
+with t as (select doc_id, replace(replace(replace(replace(replace(coalesce(text, ''), '{', ''), '}', ''), '"', ''), '\', ''), chr(10), ' ') as t from documents)
+select doc_id, ([1, 1, 2, 3, 0, 1])[1 + doc_id % 6]::bigint as n, md5(case doc_id % 6 when 0 then '{"a": "' || t || '"}' when 1 then '{"a": {"b": [1, "' || t || '"]}}' when 2 then '{"a": 1}{"b": "' || t || '}"}'
+    when 3 then '{"k": "' || t || '"}' || '{}' || '{"l": 2}' when 4 then '' else '{"in": 3}' end) as objects_md5 from t
 """)
 def mx9_json_objects(spark, sf_dir):
-    """JSON objects in free text: alone, among words, one after the other, a line each."""
-    texts = ['{"a": 1}', 'text {"a": {"b": 2}} more', '{"a": 1}{"b": [2]}', '{"a": 1}\n{"b": "}"}', "no object", "{broken"]
-    t = F.get(F.array(*map(F.lit, texts)), (F.col("event_id") % len(texts)).cast("int"))
-    found = table(spark, sf_dir, "events").select("event_id", P.json_objects(t).alias("o"))
-    return found.select("event_id", F.size("o").cast("long").alias("n"), F.get("o", 0).alias("first"))
+    """JSON objects in whole texts: alone, among words, one after the other, a line each, none, within a broken one."""
+    t = F.translate(F.coalesce("text", F.lit("")), '\n{}"\\', " ")
+    a = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    texts = (a('{"a": "', t, '"}'), a(t, ' {"a": {"b": [1, "', t, '"]}} ', t), a('{"a": 1}{"b": "', t, '}"}'), a('{"k": "', t, '"}\n', t, '{}\n{"l": 2}'), t, a('{"open": ', t, '{"in": 3} ', t))
+    text = F.coalesce(*[F.when(F.col("doc_id") % len(texts) == i, x) for i, x in enumerate(texts)])
+    found = table(spark, sf_dir, "documents").select("doc_id", P.json_objects(text).alias("o"))
+    return found.select("doc_id", F.size("o").cast("long").alias("n"), F.md5(F.array_join("o", "")).alias("objects_md5"))
 
 
 @query("""
@@ -297,12 +299,37 @@ def mx15_segment_settings(spark, sf_dir):
 
 
 @query("""
-with d as (select doc_id, length(text) as n from documents) select doc_id, greatest(1, ceil((n - 50) / 206.0))::bigint as n_pieces, least(256, n)::bigint as first_chars from d
+with d as (select doc_id, text, unnest(range(0, greatest(1, length(text) - 50), 206)) as start from documents)
+select doc_id, start // 206 + 1 as piece, md5(substring(text, (start + 1)::int, 256)) as text_md5 from d
 """)
 def mx16_fixed_pieces(spark, sf_dir):
-    """Pieces of 256 characters that overlap by 50."""
-    p = T.fixed_pieces(F.col("text"), 256, 50)
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(p).cast("long").alias("n_pieces"), F.char_length(F.get(p, 0)).cast("long").alias("first_chars"))
+    """Every text in pieces of 256 characters that overlap by 50."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.fixed_pieces(F.col("text"), 256, 50)).alias("p", "piece_text"))
+    return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("piece"), F.md5("piece_text").alias("text_md5"))
+
+
+@query(r"""
+with t as (select doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') as t from documents)
+select doc_id, case doc_id % 4 when 0 then '成都' when 1 then '上海' when 2 then '广州' else case when length(t) between 2 and 20 then t end end as out from t
+""")
+def st35_traffic_place(spark, sf_dir):
+    """Places in questions about traffic that have a whole text before or behind them."""
+    t, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 4
+    letters = F.regexp_replace(t, "[^A-Za-z]", "")
+    q = F.when(k == 0, F.concat(F.lit("请问成都今天堵不堵 "), t)).when(k == 1, F.concat(t, F.lit("。上海路况如何"))).when(k == 2, F.concat(t, F.lit("。查一下广州现在拥堵吗"))).otherwise(F.concat(letters, F.lit("？")))
+    return table(spark, sf_dir, "documents").select("doc_id", T.traffic_place(q).alias("out"))
+
+
+@query(r"""
+with t as (select doc_id, 'x' || replace(replace(replace(coalesce(text, ''), '$', ''), '\', ''), chr(10), ' ') as t from documents)
+select doc_id, (2 + doc_id % 2)::bigint as n, case when doc_id % 2 = 1 then 'inline' else 'display' end as last_kind, md5(t || '|b' || case when doc_id % 2 = 1 then '|' || t else '' end) as bodies_md5 from t
+""")
+def tx9_formulas(spark, sf_dir):
+    """Formulas that hold whole texts, with their kinds and bodies."""
+    t = F.concat(F.lit("x"), F.translate(F.coalesce("text", F.lit("")), "\n$\\", " "))
+    q = F.concat(F.lit("a $"), t, F.lit("$ and $$b$$ "), F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("or $"), t, F.lit("$."))).otherwise(""))
+    found = table(spark, sf_dir, "documents").select("doc_id", tex.formulas(q).alias("f"))
+    return found.select("doc_id", F.size("f").cast("long").alias("n"), F.element_at("f", -1)["kind"].alias("last_kind"), F.md5(F.array_join(F.transform("f", lambda x: x["body"]), "|")).alias("bodies_md5"))
 
 
 # --- filters, projections -----------------------------------------------------------------------
@@ -434,11 +461,14 @@ def sup20_document_ids(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("_", "p_brand", F.col("p_size").cast("string")).alias("document_id"), P.first_text(title, F.element_at(path, -1)).alias("title"))
 
 
-@query("select event_id, 'x' || event_id || ' y z' as out from events")
+@query(r"""
+select doc_id, md5(trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || ' y z') as out_md5 from (select doc_id, 'x ' || coalesce(text, '') as t from documents)
+""")
 def sup21_flat_text(spark, sf_dir):
-    """Nested contents as one text."""
-    nested = F.concat(F.lit('{"content": [{"content": "x'), F.col("event_id").cast("string"), F.lit('"}, {"type": "t", "content": {"content": [" y ", "z"]}}, 5]}'))
-    return table(spark, sf_dir, "events").select("event_id", P.flat_text(nested).alias("out"))
+    """Nested contents, whole texts among them, as one text."""
+    inner = F.to_json(F.struct(F.concat(F.lit("x "), F.coalesce("text", F.lit(""))).alias("content")))
+    nested = F.concat(F.lit('{"content": ['), inner, F.lit(', {"type": "t", "content": {"content": [" y ", "z"]}}, 5]}'))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(P.flat_text(nested)).alias("out_md5"))
 
 
 @query("""

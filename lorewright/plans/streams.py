@@ -78,13 +78,14 @@ _CUTS = ", ".join([*[_cut(f"'{m}'", 1) for m in "。！？"], _cut("chr(10) || c
 with recursive p as (
   select doc_id, text, length(text) as len, 0 as start from documents
   union all
-  select doc_id, text, len, greatest(e - 300, start + 1) from (select *, coalesce({_CUTS}, start + 3000) as e from (select *, substring(text, (start + 1)::int, 3000) as seg from p where len > 3000 and start + 3000 < len)) where e < len)
-select doc_id, count(*) as n_pieces from p group by doc_id
+  select doc_id, text, len, greatest(e - 300, start + 1) from (select *, coalesce({_CUTS}, start + 3000) as e from (select *, substring(text, (start + 1)::int, 3000) as seg from p where len > 3000 and start + 3000 < len)) where e < len),
+q as (select *, case when len > 3000 and start + 3000 < len then coalesce({_CUTS}, start + 3000) else len end as e from (select *, substring(text, (start + 1)::int, 3000) as seg from p))
+select doc_id, row_number() over (partition by doc_id order by start) as piece, md5(substring(text, (start + 1)::int, (e - start)::int)) as text_md5 from q
 """)
 def win15_pieces(spark, sf_dir):
-    """Overlapping pieces of long texts, counted."""
-    p = books.pieces(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(p).cast("long").alias("n_pieces"))
+    """The overlapping pieces of every text."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(books.pieces(F.col("text"))).alias("p", "piece_text"))
+    return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("piece"), F.md5("piece_text").alias("text_md5"))
 
 
 @query("""
