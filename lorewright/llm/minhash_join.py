@@ -309,7 +309,7 @@ def _branched(rows: DataFrame, width: int) -> DataFrame:
     return at.select(F.xxhash64("node", "at", _token(F.col("sig"), F.col("at"))).alias("node"), "cid")
 
 
-def components(links: DataFrame, scratch: Scratch, label: str = "cc", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, label: str = "cc") -> DataFrame:
     """(a, b) to (node, root): every node of a link with one common root for each component.
 
     Each round points every node at its least neighbour, follows that pointer once more, and rewrites
@@ -321,9 +321,9 @@ def components(links: DataFrame, scratch: Scratch, label: str = "cc", rounds: in
     nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
     labels = nodes.select("node", F.col("node").alias("root"))
     links = scratch.save(links.where(F.col("a") != F.col("b")).distinct(), f"{label}-links-0")
-    for i in range(1, rounds + 1):
-        if links.isEmpty():
-            return scratch.save(labels, f"{label}-labels")
+    i = 0
+    while not links.isEmpty():
+        i += 1
 
         def order(c: str, i: int = i) -> Column:
             first = F.lit(0).cast("long") if i % 2 else F.xxhash64(F.col(c), F.lit(i))
@@ -345,7 +345,7 @@ def components(links: DataFrame, scratch: Scratch, label: str = "cc", rounds: in
         labels = labels.join(parent, labels.root == parent.child, "left").select("node", F.coalesce("parent", "root").alias("root"))
         if i % 6 == 0:
             labels = scratch.save(labels, f"{label}-labels-{i}")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return scratch.save(labels, f"{label}-labels")
 
 
 def _stars(width: int, cut: float):
