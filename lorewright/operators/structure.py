@@ -60,26 +60,64 @@ def candidates(lines: DataFrame, short: int = 40) -> DataFrame:
     return one_per_line(single.union(groups), "doc_id", "line_no")
 
 
-def candidate_scores(catalog: DataFrame, found: DataFrame, spans: DataFrame) -> DataFrame:
-    """JN16: every catalog item of a document with every candidate of it, scored.
-
-    ``catalog`` (doc_id, catalog_index, n_items, title), ``found`` (doc_id, line_no, kind, text),
-    ``spans`` (doc_id, first, last) of the body's lines.
-    """
+def _candidate_pairs(catalog: DataFrame, found: DataFrame, spans: DataFrame) -> DataFrame:
+    """Items and lines of a document in pairs, with titles a and b and all parts of a score but the similarity."""
     items = catalog.select("doc_id", "catalog_index", "n_items", T.normal_title(F.col("title")).alias("a"), T.number_key(F.col("title")).alias("item_key"))
     lines = found.select("doc_id", "line_no", "kind", T.normal_title(F.col("text")).alias("b"), T.number_key(F.col("text")).alias("line_key"))
+    items, lines = (x.withColumn(f"{c}_letters", _letters(F.col(c))) for x, c in ((items, "a"), (lines, "b")))
     pairs = items.join(lines, "doc_id").join(spans, "doc_id")
     a, b, x, y = (F.col(c) for c in ("a", "b", "item_key", "line_key"))
     worth = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in WORTH.items()], F.lit(0.0))
     prefix = F.startswith(y, F.concat(x, F.lit("."))) | F.startswith(x, F.concat(y, F.lit(".")))
     number = F.when((x != "") & (x == y), 120.0).when((x != "") & (y != "") & prefix, 10.0).otherwise(0.0)
     filled = (a != "") & (b != "")
-    similar = F.when(filled, title_ratio(a, b) * 55 + F.when(F.contains(a, b) | F.contains(b, a), 18.0).otherwise(0.0)).otherwise(0.0)
+    within = F.when(filled & (F.contains(a, b) | F.contains(b, a)), 18.0).otherwise(0.0)
     expected = (F.col("catalog_index") - 1) / F.greatest(F.lit(1), F.col("n_items") - 1)
     actual = (F.col("line_no") - F.col("first")) / F.greatest(F.lit(1), F.col("last") - F.col("first"))
     place = F.greatest(F.lit(0.0), 6 - F.abs(actual - expected) * 6)
-    exact = (x != "") & (x == y)
-    return pairs.select("doc_id", "catalog_index", "line_no", F.round(worth + number + similar + place, 3).alias("score"), exact.alias("exact"))
+    parts = [worth.alias("worth"), number.alias("number"), within.alias("within"), place.alias("place")]
+    return pairs.select("doc_id", "catalog_index", "line_no", "a", "b", "a_letters", "b_letters", filled.alias("filled"), ((x != "") & (x == y)).alias("exact"), *parts)
+
+
+def _letters(title: Column) -> Column:
+    """The characters of a title, each with a number that tells it from its earlier ones: sets that meet as multisets do."""
+    chars = F.filter(F.split(title, ""), lambda c: c != "")
+    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda d: d == c)).cast("string")))
+
+
+def _score(ratio: Column) -> Column:
+    """Terms in one order, so that equal pairs have equal scores."""
+    similar = F.when(F.col("filled"), ratio * 55 + F.col("within")).otherwise(0.0)
+    return F.round(F.col("worth") + F.col("number") + similar + F.col("place"), 3)
+
+
+def candidate_scores(catalog: DataFrame, found: DataFrame, spans: DataFrame) -> DataFrame:
+    """JN16: every catalog item of a document with every candidate of it, scored.
+
+    ``catalog`` (doc_id, catalog_index, n_items, title), ``found`` (doc_id, line_no, kind, text),
+    ``spans`` (doc_id, first, last) of the body's lines.
+    """
+    return _candidate_pairs(catalog, found, spans).select("doc_id", "catalog_index", "line_no", _score(title_ratio("a", "b")).alias("score"), "exact")
+
+
+def top_candidates(catalog: DataFrame, found: DataFrame, spans: DataFrame, k: int = 8) -> DataFrame:
+    """JN16, RET14: the ``k`` best candidates of every item and all of its number, scored; as if all pairs had been.
+
+    The ratio of two titles is at most 2 * (common characters) / (both lengths). A pair counts its ratio only
+    where that bound lets it reach the k-th best of what its item has for certain: scores with a ratio of 0, or
+    of 1 where the titles are the same.
+    """
+    pairs = _candidate_pairs(catalog, found, spans)
+    common, both = F.size(F.array_intersect("a_letters", "b_letters")), F.char_length("a") + F.char_length("b")
+    pairs = pairs.withColumns({"at_most": _score(F.try_divide(2 * common, both)), "at_least": _score(F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.0))})
+    pairs = pairs.drop("a_letters", "b_letters")
+    item = ["doc_id", "catalog_index"]
+    sure = pairs.groupBy(*item).agg(F.array_sort(F.collect_list("at_least"), lambda x, y: F.when(x > y, -1).when(x < y, 1).otherwise(0)).alias("sure"))
+    bars = sure.select(*item, F.coalesce(F.get("sure", k - 1), F.lit(float("-inf"))).alias("bar"))  # one item's candidates
+    reach = pairs.join(bars, item).where(F.col("exact") | (F.col("at_most") >= F.col("bar")))
+    scored = reach.select(*item, "line_no", _score(title_ratio("a", "b")).alias("score"), "exact")
+    w = Window.partitionBy(*item).orderBy(F.desc("score"), "line_no")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("exact") | (F.col("rank") <= k)).select(*item, "line_no", "score", "exact")
 
 
 def preferred(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -49,7 +49,7 @@ def win19_chapter_groups(spark, sf_dir):
     return S.chapter_groups(lines(spark, sf_dir)).select("doc_id", "line_no", "until", "text", "number_key")
 
 
-@query("""
+_SCORES_SQL = """
 with s as (select l_orderkey as doc_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate) as i, count(*) over (partition by l_orderkey) as n, l_partkey as p, l_suppkey as u from lineitem),
 t as (select *, 1 + p % 3 || '.' || repeat(chr((97 + p % 2)::int), (1 + p % 4)::int) as title, 1 + u % 3 || '.' || repeat(chr((97 + u % 2)::int), (1 + u % 5)::int) as line from s),
 x as (select c.doc_id, c.i as catalog_index, l.i as line_no, c.n, 1 + c.p % 3 = 1 + l.u % 3 as same, c.p % 2 = l.u % 2 as letter, 1 + c.p % 4 as a, 1 + l.u % 5 as b, l.u % 4 as kind, c.title, l.line from t c join t l on l.doc_id = c.doc_id)
@@ -57,9 +57,11 @@ select doc_id, catalog_index, line_no, same as exact,
        round(([28.0, 22.0, 16.0, 5.0])[1 + kind]::double + case when same then 120 else 0 end + 55.0::double * 2 * (case when same then 2 else 1 end + case when letter then least(a, b) else 0 end) / (a + b + 4)
              + case when contains(title, line) or contains(line, title) then 18 else 0 end
              + greatest(0, 6 - abs((line_no - 1) / greatest(1, n - 1)::double - (catalog_index - 1) / greatest(1, n - 1)::double) * 6), 3) as score from x
-""")
-def jn16_candidate_scores(spark, sf_dir):
-    """Every catalog item of a book against every candidate line of it."""
+"""
+
+
+def _candidates(spark, sf_dir):
+    """Lines of an order as the catalog of a book and as the candidates in it."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(w).cast("long").alias("i"), F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("u"))
     named = lambda c, m: F.concat((1 + F.col(c) % 3).cast("string"), F.lit("."), F.expr(f"repeat(chr(97 + {c} % 2), cast(1 + {c} % {m} as int))"))
@@ -67,7 +69,19 @@ def jn16_candidate_scores(spark, sf_dir):
     catalog = rows.select("doc_id", F.col("i").alias("catalog_index"), F.col("n").alias("n_items"), named("p", 4).alias("title"))
     found = rows.select("doc_id", F.col("i").alias("line_no"), kind.alias("kind"), named("u", 5).alias("text"))
     spans = rows.groupBy("doc_id").agg(F.lit(1).cast("long").alias("first"), F.max("i").alias("last"))
-    return S.candidate_scores(catalog, found, spans)
+    return catalog, found, spans
+
+
+@query(_SCORES_SQL)
+def jn16_candidate_scores(spark, sf_dir):
+    """Every catalog item of a book against every candidate line of it."""
+    return S.candidate_scores(*_candidates(spark, sf_dir))
+
+
+@query(f"select doc_id, catalog_index, line_no, score from (select *, row_number() over (partition by doc_id, catalog_index order by score desc, line_no) as r from ({_SCORES_SQL})) where exact or r <= 2")
+def ret14_top_candidates(spark, sf_dir):
+    """The two best candidates of every item and all of its number; similarities are worked out where they can count."""
+    return S.top_candidates(*_candidates(spark, sf_dir), k=2).select("doc_id", "catalog_index", "line_no", "score")
 
 
 _PLAN_SQL = """

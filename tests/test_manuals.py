@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorewright.functions import captions as C
 from lorewright.operators.books import best_increasing
 from lorewright.operators.semantic import semantic_pieces
-from lorewright.operators.structure import structure_plan
+from lorewright.operators.structure import candidate_scores, structure_plan, top_candidates
 
 
 def test_captions(spark):
@@ -90,3 +90,51 @@ def test_semantic_pieces(spark):
     pieces = [got[1, i][0] for i in range(9)]
     assert pieces == [0] * 4 + [1] * 5  # the last sentence is too short for a piece
     assert [got[2, i] for i in range(5)] == [(0, 0), (0, 0), (0, 0), (0, 1), (0, 1)] and got[3, 0] == (0, 0)
+
+
+def test_top_candidates_equal_all_pairs(spark):
+    rnd = random.Random(4)
+    words = ["轮", "轴", "wheel", "axle", "保养", "安全", "检查", "of", "the", "机"]
+    title = lambda: (rnd.choice(["", "1.2 ", "3 ", "第4章 "]) + "".join(rnd.choices(words, k=rnd.randint(0, 4))))
+    catalog = spark.createDataFrame([(d, i + 1, 12, title()) for d in range(6) for i in range(12)], "doc_id long, catalog_index long, n_items long, title string")
+    kinds = ["chapter_group", "markdown_heading", "numbered_line", "short_title", "other"]
+    found = spark.createDataFrame([(d, i + 1, rnd.choice(kinds), title()) for d in range(6) for i in range(40)], "doc_id long, line_no long, kind string, text string")
+    spans = spark.createDataFrame([(d, 1, 40) for d in range(6)], "doc_id long, first long, last long")
+    every = candidate_scores(catalog, found, spans).collect()
+    for k in (1, 3, 100):
+        want = []
+        for item in {(r.doc_id, r.catalog_index) for r in every}:
+            mine = sorted((r for r in every if (r.doc_id, r.catalog_index) == item), key=lambda r: (-r.score, r.line_no))
+            want += [tuple(r) for i, r in enumerate(mine) if i < k or r.exact]
+        assert sorted(map(tuple, top_candidates(catalog, found, spans, k).collect())) == sorted(want)
+
+
+def test_queries_equal_plain_python(spark, sf):
+    """Order-dependent queries over a whole table, by another way of working them out."""
+    from lorewright.plans.registry import QUERIES
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").collect()
+    orders = {}
+    for r in lines:
+        orders.setdefault(r.l_orderkey, []).append(r)
+    got = {}
+    for r in QUERIES["win13_consistent_anchors"](spark, sf).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for key, rows in orders.items():
+        mine = sorted(((r.l_linenumber, r.l_partkey, r.l_discount) for r in rows))
+        kept = set(quadratic([x[1] for x in mine], [x[2] for x in mine])) if len(mine) > 1 else {0}
+        assert sorted((r.pos, r.line, r.confidence) for r in got[key] if r.kept) == sorted(x for i, x in enumerate(mine) if i in kept)
+    blocks = {}
+    for r in QUERIES["s15_unique_blocks"](spark, sf).collect():
+        blocks.setdefault(r.doc_id, []).append((r.start, r.end, r.block_id, r.title, r.confidence))
+    for key, rows in orders.items():
+        kept = []
+        spans = sorted((r.l_partkey % 50, r.l_partkey % 50 + int(r.l_quantity), str(r.l_linenumber), r.l_returnflag, r.l_discount) for r in rows)
+        for new in spans:
+            lengths = lambda old: min(new[1] - new[0], old[1] - old[0]) + 1  # noqa: B023, E731
+            same = [i for i, old in enumerate(kept) if new[2] == old[2] or (new[3] == old[3] and (min(new[1], old[1]) - max(new[0], old[0]) + 1) / lengths(old) >= 0.7)]
+            if not same:
+                kept.append(new)
+            elif (new[4], new[1] - new[0]) > (kept[same[0]][4], kept[same[0]][1] - kept[same[0]][0]):
+                kept[same[0]] = new
+        assert sorted(blocks[key]) == sorted(kept)
