@@ -101,10 +101,18 @@ DATE_PATTERNS = (
 )
 
 
-def found_date(text: Column, now: Column) -> Column:
-    """DT10: the date in a text; one without a year is in that of ``now``. Empty and null texts have none."""
+_SHORTEST_DAY, _WHOLE_DAY = r"(0?[1-9]|[12]\d|3[01])", r"(3[01]|[12]\d|0?[1-9])(?!\d)"
+
+
+def found_date(text: Column, now: Column, as_written: bool = True) -> Column:
+    """DT10: the date in a text; one without a year is in that of ``now``. Empty and null texts have none.
+
+    As written, "2024/11/28" is the second of November: a day after a separator ends at its shortest form.
+    Otherwise days are read whole.
+    """
     out = None
     for pattern, (y, m, d) in DATE_PATTERNS:
+        pattern = pattern if as_written else pattern.replace(_SHORTEST_DAY, _WHOLE_DAY)
         year = F.regexp_extract(text, pattern, y) if y else F.year(now).cast("string")
         day = F.try_to_date(F.concat_ws("-", year, *[F.lpad(F.regexp_extract(text, pattern, i), 2, "0") for i in (m, d)]), "yyyy-MM-dd")
         hit = F.rlike(text, F.lit(pattern))

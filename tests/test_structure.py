@@ -30,7 +30,22 @@ def test_merged_images(spark):
     rows = [(k, i, rnd.choice(["", "p", "q", None]), rnd.choice([None, 1, 2]), rnd.choice(["", "cap"])) for k in range(40) for i in range(6)]
     df = spark.createDataFrame(rows, "chunk long, at long, path string, line_no long, caption string").repartition(3)
     got = sorted(map(repr, (tuple(r) for r in G.merged_images(df, "chunk", ["at"], ["path", "line_no", "caption"]).collect())))
-    expected = sorted(repr((k, *m)) for k in range(40) for m in G.merge_in_order([r[2:] for r in rows if r[0] == k]))
+
+    def plain(items):
+        """Groups of positions first, then the first filled value of each field."""
+        groups, names = [], []
+        for i, (path, line, _) in enumerate(items):
+            lines = [next((items[j][1] for j in g if items[j][1] is not None), None) for g in groups]
+            at = [g for g in range(len(groups)) if (path and names[g] == path) or (line is not None and lines[g] == line)]
+            if at:
+                groups[at[0]].append(i)
+            else:
+                groups.append([i])
+                names.append(path)
+        first = lambda values: next((v for v in values if v not in (None, "")), values[0])
+        return [tuple(first([items[i][f] for i in g]) for f in range(3)) for g in groups]
+
+    expected = sorted(repr((k, *m)) for k in range(40) for m in plain([r[2:] for r in rows if r[0] == k]))
     assert got == expected
 
 
