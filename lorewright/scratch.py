@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,10 +27,26 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_gathered: list[list[Scratch]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables of every ``Scratch`` made within are deleted at the end: for work whose result is written there."""
+    _gathered.append([])
+    try:
+        yield
+    finally:
+        for scratch in _gathered.pop():
+            scratch.drop()
+
+
 class Scratch:
     """A folder of intermediate tables for one run of one operator."""
 
     def __init__(self, spark: SparkSession, label: str):
+        if _gathered:
+            _gathered[-1].append(self)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.saved: list[str] = []
