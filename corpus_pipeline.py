@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lorewright.llm import decontaminate, line_dedup, minhash_join, mixing, quality_rules
-from lorewright.scratch import Scratch
+from lorewright.scratch import Scratch, temporary
 from lorewright.session import let_workers_import, table
 
 
@@ -58,8 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage has written for itself goes when its result is written."""
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{i}")
+        with temporary():
+            docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{i}")
+        scratch.keep_only(f"stage-{i}")
     return docs
