@@ -15,7 +15,8 @@ classes take part. A class has ``width`` MinHash tokens, its signature.
 3. Links are confirmed on full sets, all of a group's: a group of up to ``group_limit`` classes and
    ``group_shingles`` shingles is searched breadth first in one task. Larger groups stay spread.
    Their members are first dealt into buckets of that size, ``rounds`` times by another token, so
-   that similar ones mostly meet; every bucket is searched. Then members outside the group's
+   that similar ones mostly meet; every bucket is searched. More such turns follow while more members
+   than one task takes stay apart and a fifth of them meets in each. Then members outside the group's
    largest component are compared with all its members, block by block. What is left apart has no
    link: no case is dropped, and only members that a few rounds leave outside meet the whole group.
 
@@ -260,18 +261,25 @@ def bucketed_search(members: DataFrame, scratch: Scratch, within, across, width:
     def pieces(count: str, total: str) -> Column:
         return F.ceil(F.greatest(F.col(count) / limit, F.col(total) / shingles)).cast("long")
 
-    turns = ids.select("grp", "cid", "sig", "n", F.explode(F.array(*map(F.lit, range(1, rounds + 1)))).alias("turn"))
-    at = F.pmod(F.xxhash64("grp", "turn"), F.lit(width)).cast("int")
-    turns = turns.select("cid", "n", "turn", F.xxhash64("grp", "turn", _token(F.col("sig"), at)).alias("bucket"))
-    sizes = turns.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("total")).where("many > 1")
-    keys = turns.join(sizes, "bucket").select("cid", F.xxhash64("bucket", F.pmod(F.xxhash64("cid", "turn"), pieces("many", "total"))).alias("key"))
-    met = dealt(scratch.save(keys, "large-buckets").join(sets, "cid").select("key", "cid", "shingles"))
-    stars = scratch.save(met.mapInArrow(within, "cid binary, root binary"), "large-stars")
-    labels = components(stars.select(F.col("cid").alias("a"), F.col("root").alias("b")), scratch, "large")
-    placed = ids.join(labels, ids.cid == labels.node, "left").select("grp", "pieces", "cid", "n", F.coalesce("root", "cid").alias("root"))
-    placed = scratch.save(placed, "large-placed")
-    largest = placed.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
-    outside = scratch.save(placed.join(largest, "grp").where("root <> main").drop("main"), "large-outside")
+    stars, turn, apart = None, 1, None
+    while True:  # as long as further turns bring members together
+        turns = ids.select("grp", "cid", "sig", "n", F.explode(F.array(*map(F.lit, range(turn, turn + rounds)))).alias("turn"))
+        at = F.pmod(F.xxhash64("grp", "turn"), F.lit(width)).cast("int")
+        turns = turns.select("cid", "n", "turn", F.xxhash64("grp", "turn", _token(F.col("sig"), at)).alias("bucket"))
+        sizes = turns.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("total")).where("many > 1")
+        keys = turns.join(sizes, "bucket").select("cid", F.xxhash64("bucket", F.pmod(F.xxhash64("cid", "turn"), pieces("many", "total"))).alias("key"))
+        met = dealt(scratch.save(keys, f"large-buckets-{turn}").join(sets, "cid").select("key", "cid", "shingles"))
+        found = scratch.save(met.mapInArrow(within, "cid binary, root binary"), f"large-stars-{turn}")
+        stars = found if stars is None else stars.union(found)
+        labels = components(stars.select(F.col("cid").alias("a"), F.col("root").alias("b")), scratch, f"large-{turn}")
+        placed = ids.join(labels, ids.cid == labels.node, "left").select("grp", "pieces", "cid", "n", F.coalesce("root", "cid").alias("root"))
+        placed = scratch.save(placed, f"large-placed-{turn}")
+        largest = placed.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+        outside = scratch.save(placed.join(largest, "grp").where("root <> main").drop("main"), f"large-outside-{turn}")
+        left = outside.count()
+        if left <= limit or (apart is not None and left > 0.8 * apart):
+            break
+        apart, turn = left, turn + rounds
     blocks = outside.groupBy("grp").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("total")).select("grp", pieces("many", "total").alias("blocks"))
 
     def each(n: str) -> Column:
