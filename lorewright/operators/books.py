@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,14 @@ def similar_titles(a: str, b: str, least: float = 0.78) -> bool:
     return bool(a) and bool(b) and (a == b or a in b or b in a or ratio(a, b) >= least)
 
 
+def are_similar_titles(a: Column, b: Column, least: float = 0.78) -> Column:
+    """ST39 as a column: equal, one within the other, or similar; the ratio is worked out only where lengths let it reach ``least``."""
+    shorter, longer = F.least(F.char_length(a), F.char_length(b)), F.greatest(F.char_length(a), F.char_length(b))
+    reachable = 2 * shorter >= least * (shorter + longer)
+    similar = F.when(reachable, title_ratio(F.when(reachable, a), F.when(reachable, b)) >= least).otherwise(False)
+    return F.coalesce((a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a) | similar), F.lit(False))
+
+
 def best_increasing(lines: Sequence[int], confidence: Sequence[float]) -> list[int]:
     """WIN13, A6: positions of the longest strictly increasing sequence, then of most confidence; the earliest wins ties.
 

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import tex
 from ..functions import text as T
+from ..operators import books as B
+from ..operators import retrieval as R
 from ..scratch import Scratch
 from ..session import table
+from ..streaming import streams as S
 from ..streaming import upserts as U
+from ..streaming.stateful import merged_segments
 from .registry import query
 
 _WORDS = r"b as (select doc_id, 'x ' || trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g')) as b from documents)"
@@ -127,3 +131,51 @@ def snk6_streamed_upserts(spark, sf_dir):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(scratch.path("in"))
     U.run_into(stream, target, "gone", scratch.path("checkpoint"), replay=True)
     return target.rows().select("id", "status", "value", "version")
+
+
+@query("""
+with e as (select vec_id, embedding::double[] as v, lead(embedding::double[]) over (partition by vec_id // 50 order by vec_id) as w from embeddings)
+select vec_id, round(case when vec_id % 10 = 0 then 0 else list_cosine_similarity(v, w) end, 6) as similarity from e where w is not null
+""")
+def ret3_cosine(spark, sf_dir):
+    """Cosine of each vector and the next one of its block of fifty; a zero vector is similar to nothing (RET3)."""
+    w = Window.partitionBy(F.floor(F.col("vec_id") / 50)).orderBy("vec_id")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lead("embedding").over(w).alias("next")).where("next is not null")
+    vector = F.when(F.col("vec_id") % 10 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
+    return rows.select("vec_id", F.round(R.cosine(vector, F.col("next")), 6).alias("similarity"))
+
+
+@query("""
+with t as (select p_partkey, p_name || ' of ' || p_type as t from part)
+select p_partkey, case p_partkey % 5 when 0 then true when 1 then true when 2 then (length(t) - 2) / length(t) >= 0.78 when 3 then false else false end as similar from t
+""")
+def st39_similar_titles(spark, sf_dir):
+    """Titles that are equal, hold each other, differ in two characters, share none, or are empty (ST39)."""
+    t, k = F.concat("p_name", F.lit(" of "), "p_type"), F.col("p_partkey") % 5
+    other = F.when(k == 0, t).when(k == 1, F.concat(F.lit("1 "), t, F.lit("!"))).when(k == 2, F.concat(F.lit("##"), F.substring(t, 3, 1000))).when(k == 3, "#####").otherwise("")
+    return table(spark, sf_dir, "part").select("p_partkey", B.are_similar_titles(t, other).alias("similar"))
+
+
+@query(rf"""
+with {_WORDS}
+select doc_id, md5(case doc_id % 5 when 0 then '。' || b || '!|1.' || b when 1 then b || '|a.' || chr(10) || 'b.' || b || '?' when 2 then b || ' ...|9.' when 3 then '?!' else '2：。|' || b end) as merged_md5 from b
+""")
+def str6_merged_segments(spark, sf_dir):
+    """Segments that are marks or short prefixes joined with their neighbours (STR6)."""
+    b = F.col("b")
+    lists = (("。", b, "!", "1.", b), (b, "a.", "\n", "b.", b, "?"), (b, " ...", "9."), ("?", "!"), ("2：", "。", b))
+    arrays = [F.array(*[F.lit(x) if isinstance(x, str) else x for x in parts]) for parts in lists]
+    segments = F.coalesce(*[F.when(F.col("doc_id") % len(lists) == i, x) for i, x in enumerate(arrays)])
+    return _words(spark, sf_dir).select("doc_id", F.md5(F.array_join(merged_segments(segments), "|")).alias("merged_md5"))
+
+
+@query(rf"""
+with {_WORDS}
+select doc_id, (['outside', 'opening', 'inside', 'closing', 'outside'])[1 + doc_id % 5] as mode, (['', '<thin', '', '</think', ''])[1 + doc_id % 5] as held, ([1, 0, 0, 1, 0])[1 + doc_id % 5]::bigint as n_blocks,
+    md5(case doc_id % 5 when 0 then b || b when 1 then b when 2 then b when 3 then '' else b || '<b <thinker>' end) as shown_md5 from b
+""")
+def sup37_think_states(spark, sf_dir):
+    """Where the think filter stands after every text: what it shows, holds back and has closed (SUP37)."""
+    b = F.col("b")
+    text = _by_id(5, (b, "<think a='1'>no", b, "</THINK >", b), (b, "<thin"), (b, "<think\n>", b), ("<think>x</think><think>", b, "</think"), (b, "<b <thinker>"))
+    return _words(spark, sf_dir).select("doc_id", S.think_states(text).alias("s")).select("doc_id", "s.mode", "s.held", "s.n_blocks", F.md5("s.shown").alias("shown_md5"))

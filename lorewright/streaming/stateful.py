@@ -15,9 +15,10 @@ from dataclasses import asdict, dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from .segments import has_formula
+from .segments import has_formula, merged
 from .streams import _Reader
 
 #: State with several variables and timers needs this store.
@@ -85,6 +86,12 @@ class _InOrder(StatefulProcessor):
         pass
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def merged_segments(segments: pd.Series) -> pd.Series:
+    """STR6 as a column of arrays."""
+    return segments.map(lambda x: merged(list(x)), na_action="ignore")
+
+
 SEGMENTS = "chat_id string, seq long, segment string, has_formula boolean, is_final boolean"
 
 

@@ -177,6 +177,17 @@ def without_thinking(texts: pd.Series) -> pd.Series:
     return texts.map(strip, na_action="ignore")
 
 
+@F.pandas_udf(T.StructType().add("mode", T.StringType()).add("held", T.StringType()).add("n_blocks", T.LongType()).add("shown", T.StringType()))
+def think_states(texts: pd.Series) -> pd.DataFrame:
+    """SUP37: the filter's state after every text, and what it has shown of it."""
+    rows = []
+    for text in texts:
+        f = ThinkFilter()
+        shown = f.feed(text or "")
+        rows.append((f.mode, f.held, len(f.blocks), shown))
+    return pd.DataFrame(rows, columns=["mode", "held", "n_blocks", "shown"])
+
+
 def think_seconds(tokens: DataFrame, key: str, ts: str, text: str) -> DataFrame:
     """STR8: key, seconds: from a stream's first opening tag to its first closing one, null where either lacks."""
     opened, closed = F.rlike(text, F.lit(r"(?i)<think\b")), F.rlike(text, F.lit(r"(?i)</think\s*>"))
