@@ -279,11 +279,15 @@ def terms_in_text(texts: DataFrame, key: str, text: str, terms: DataFrame, term:
 
 
 def first_concept(texts: DataFrame, key: str, text: str, concepts: DataFrame, scratch: Scratch) -> DataFrame:
-    """JN9: the first concept of ``concepts`` (pos, name, alias or null) that a text names; names before aliases."""
+    """JN9: the first concept of ``concepts`` (pos, name, alias or null) that a text names; names before aliases.
+
+    Of concepts with the same term only the first one can be a text's first, so a term meets each text once.
+    """
     rank = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col("pos"), F.col("name")).alias("_hit")
     names = concepts.select(rank(0), F.col("name").alias("term"))
     aliases = concepts.where("alias is not null").select(rank(1), F.col("alias").alias("term"))
-    hits = terms_in_text(texts, key, text, names.union(aliases), "term", "_hit", scratch)
+    firsts = names.union(aliases).groupBy(F.lower("term").alias("term")).agg(F.min("_hit").alias("_hit"))
+    hits = terms_in_text(texts, key, text, firsts, "term", "_hit", scratch)
     best = hits.groupBy(key).agg(F.min("pos").alias("_hit"))
     return best.select(key, "_hit.name", F.when(F.col("_hit.kind") == 0, "name").otherwise("alias").alias("by"))
 

@@ -29,6 +29,16 @@ def test_first_concept_prefers_names(spark):
     assert sorted((r.id, r.name, r.by) for r in got) == [(1, "BETA", "name"), (2, "delta", "alias")]
 
 
+def test_first_concept_meets_repeated_terms_once(spark, monkeypatch):
+    asked, real = [], R.terms_in_text
+    monkeypatch.setattr(R, "terms_in_text", lambda *a: asked.append(a[3].collect()) or real(*a))
+    texts = spark.createDataFrame([(i, "Alpha of beta") for i in range(3)], "id long, text string")
+    concepts = spark.createDataFrame([(p, n, a) for p in range(50, 0, -1) for n, a in (("Beta", None), ("BETA", "alpha"), ("delta", "Alpha"))], "pos long, name string, alias string")
+    got = R.first_concept(texts, "id", "text", concepts, Scratch(spark, "t")).collect()
+    assert sorted((r.id, r.name, r.by) for r in got) == [(i, "BETA", "name") for i in range(3)]
+    assert sorted(r.term for r in asked[0]) == ["alpha", "beta", "delta"]
+
+
 def test_top_k_in_blocks(spark, monkeypatch):
     rnd = np.random.default_rng(5)
     vectors = rnd.normal(size=(300, 8)).round(3)
