@@ -32,8 +32,8 @@ def _by_id(n: int, *texts):
 
 @query(rf"""
 with {_WORDS}
-select doc_id, md5(case doc_id % 6 when 0 then '(1)' || b || '。' || chr(10) || chr(10) || '(2)完' when 1 then b when 2 then b when 3 then '说：' || b || '，(3)' || b
-    when 4 then '选择题，则：' || chr(10) || 'A. ' || b || '。' || chr(10) || 'B. 二' else '没有选项' || b end) as out_md5 from b
+select doc_id, md5(trim(case doc_id % 6 when 0 then '(1)' || b || '。' || chr(10) || chr(10) || '(2)完' when 1 then b when 2 then b when 3 then '说：' || b || '，(3)' || b
+    when 4 then '选择题，则：' || chr(10) || 'A. ' || b || '。' || chr(10) || 'B. 二' else '没有选项' || b end)) as out_md5 from b
 """)
 def st16_clean_outputs(spark, sf_dir):
     """Model outputs with think blocks, fences, labels, quotes, spoken parts and options (ST16, ST17, ST18)."""
