@@ -58,7 +58,7 @@ def st17_numbered_parts(spark, sf_dir):
 
 @query(rf"""
 with {_WORDS}
-select doc_id, md5(case doc_id % 3 when 0 then '下列说法正确的是' || chr(10) || 'A. ' || b || '。' || chr(10) || 'D. ' || b when 1 then '选项A' || b else 'A. ' || b || '。' || chr(10) || 'B. 二。' || chr(10) || 'C. 三。' || chr(10) || 'D. 四' end) as out_md5 from b
+select doc_id, md5(case doc_id % 3 when 0 then '下列说法正确的是' || chr(10) || 'A. ' || b || '。' || chr(10) || trim('D. ' || b) when 1 then '选项A' || b else 'A. ' || b || '。' || chr(10) || 'B. 二。' || chr(10) || 'C. 三。' || chr(10) || 'D. 四' end) as out_md5 from b
 """)
 def st18_choice_lines(spark, sf_dir):
     """Options on lines of their own: in a choice question, or where all four are named (ST18)."""

@@ -9,7 +9,7 @@ from verify import normal
 TEXTS = ("12 34", "", "...", "é ñ", None, "日本", "A b", " c ")
 
 
-@pytest.mark.parametrize("name", ["st16_clean_outputs"])
+@pytest.mark.parametrize("name", ["st16_clean_outputs", "st18_choice_lines"])
 def test_texts_without_letters(spark, tmp_path, name):
     rows = [(i, TEXTS[i // 12]) for i in range(12 * len(TEXTS))]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
