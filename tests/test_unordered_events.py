@@ -21,3 +21,12 @@ def test_windows_of_files_in_any_order(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     want = db.execute(ORACLES["str_windows_stream"]).df()
     assert len(want) > 100 and normal(got) == normal(want)
+
+
+def test_sketches_are_kept_by_type_only(spark, tmp_path):
+    rows = [(i % 3, "ab"[i % 2] if i % 5 else None) for i in range(60)] + [(None, "c")]
+    spark.createDataFrame(rows, "user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    df = QUERIES["agg_approximate_distinct"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted([("a", True, True), ("b", True, True), ("c", False, True), (None, True, True)], key=repr)
+    sketches = [x for x in df._jdf.queryExecution().sparkPlan().toString().split("\n") if "approx_count_distinct" in x]
+    assert sketches and not any("user_id" in x.split("keys=[")[1].split("]")[0] for x in sketches)
