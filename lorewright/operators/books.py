@@ -23,8 +23,14 @@ def ratio(a: str | None, b: str | None) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """ST39 as a column."""
-    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    """ST39 as a column; titles that meet more than once in a batch are compared once."""
+    known: dict[tuple, float] = {}
+    out = []
+    for pair in zip(a, b, strict=True):
+        if pair not in known:
+            known[pair] = ratio(*pair)
+        out.append(known[pair])
+    return pd.Series(out, dtype="float64")
 
 
 def similar_titles(a: str, b: str, least: float = 0.78) -> bool:

@@ -92,6 +92,17 @@ def test_semantic_pieces(spark):
     assert [got[2, i] for i in range(5)] == [(0, 0), (0, 0), (0, 0), (0, 1), (0, 1)] and got[3, 0] == (0, 0)
 
 
+def test_repeated_title_pairs_are_compared_once(monkeypatch):
+    import pandas as pd
+
+    from lorewright.operators import books
+
+    asked, real = [], books.ratio
+    monkeypatch.setattr(books, "ratio", lambda a, b: asked.append((a, b)) or real(a, b))
+    got = books.title_ratio.func(pd.Series(["ab", "ab", None, "ab"] * 5), pd.Series(["abc", "x", "x", "abc"] * 5))
+    assert got.tolist() == [0.8, 0.0, 0.0, 0.8] * 5 and len(asked) == 3
+
+
 def test_top_candidates_equal_all_pairs(spark):
     rnd = random.Random(4)
     words = ["轮", "轴", "wheel", "axle", "保养", "安全", "检查", "of", "the", "机"]
