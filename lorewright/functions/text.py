@@ -400,12 +400,20 @@ def calendar_text(text: Column) -> Column:
     return F.trim(_sub(plain, f"(?<=[{CJK}])\\s+(?=[{CJK}])"))
 
 
+#: A12: terms that have to be whole words.
+PLAIN_TERM = "^[a-z0-9]+$"
+
+
+def padded_words(text: Column) -> Column:
+    """A12: the words of a text in lower case, each between spaces of its own; ideographs are word characters."""
+    return F.concat(F.lit(" "), _sub(F.lower(text), r"[^\p{L}\p{N}_]+", "  "), F.lit(" "))
+
+
 def word_or_substring(query: Column, term: Column) -> Column:
     """A12: a term of a-z0-9 has to be a whole word (ideographs are word characters), any other a substring."""
     q, t = F.lower(query), F.lower(term)
-    plain = F.rlike(t, F.lit("^[a-z0-9]+$"))
-    padded = _sub(q, r"[^\p{L}\p{N}_]+", "  ")
-    whole = F.contains(F.concat(F.lit(" "), padded, F.lit(" ")), F.concat(F.lit(" "), t, F.lit(" ")))
+    plain = F.rlike(t, F.lit(PLAIN_TERM))
+    whole = F.contains(padded_words(query), F.concat(F.lit(" "), t, F.lit(" ")))
     return (t != "") & (q != "") & F.when(plain, whole).otherwise(F.contains(q, t))
 
 

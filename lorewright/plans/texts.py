@@ -98,9 +98,12 @@ def jn11_sensitive_words(spark, sf_dir):
 
     listed = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), F.get(F.split("text", " "), 2).alias("term"))
     terms = listed.union(spark.createDataFrame([(-1, "idiot"), (-2, "ouan"), (-3, "É")], "pos long, term string"))
-    rows = docs(spark, sf_dir).select("doc_id", "text")
-    hits = terms_in_text(rows, "doc_id", "text", terms, "term", "pos", Scratch(spark, "words"))
-    return hits.join(rows, "doc_id").where(T.word_or_substring(F.col("text"), F.col("term"))).select("doc_id", "pos")
+    rows = docs(spark, sf_dir).select("doc_id", "text", T.padded_words(F.col("text")).alias("padded"))
+    plain = F.rlike(F.lower("term"), F.lit(T.PLAIN_TERM))
+    whole = terms.where(plain).select("pos", F.concat(F.lit(" "), "term", F.lit(" ")).alias("term"))
+    words = terms_in_text(rows, "doc_id", "padded", whole, "term", "pos", Scratch(spark, "words"))
+    parts = terms_in_text(rows, "doc_id", "text", terms.where(~plain), "term", "pos", Scratch(spark, "parts"))
+    return words.union(parts).select("doc_id", "pos")
 
 
 @query("select event_id, case (event_id % 100) " + " ".join(f"when {k} then '{v}'" for k, v in N.WEATHER.items()) + """ else 'unknown' end as weather,

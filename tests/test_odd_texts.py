@@ -16,3 +16,16 @@ def test_texts_without_letters(spark, tmp_path, name):
     db = duckdb.connect()
     db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert normal(QUERIES[name](spark, str(tmp_path)).toPandas()) == normal(db.execute(ORACLES[name]).df())
+
+
+def test_sensitive_words_read_texts_once(spark, tmp_path):
+    said = ["an idiot!", "idiots", "Ouan", "xOUANx", "CAFÉ", "idiot_", "idiot字", "(idiot)", "", None, "a seven b", "seventy", "不好的"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(said)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "x y Seven"), (2, "x y seven z"), (3, "x y 好"), (4, "x"), (5, "x y  z")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    df = QUERIES["jn11_sensitive_words"](spark, str(tmp_path))
+    assert normal(df.toPandas()) == normal(db.execute(ORACLES["jn11_sensitive_words"]).df()) and df.count() > 6
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("text#" in line for line in plan.split("\n") if "Join" in line) and "RLIKE" not in plan
