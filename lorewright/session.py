@@ -36,7 +36,20 @@ def let_workers_import(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
 
 
+#: Bytes of rows that go to a Python worker at once, so that its memory does not grow with the length of texts.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """A session's batches for Python hold at most ``BATCH_BYTES``; a lower limit of its own stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if held <= 0 or held > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table. The path stays a URI that only Spark opens."""
     let_workers_import(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
