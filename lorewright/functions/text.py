@@ -2,6 +2,8 @@ r"""String rules as columns (ST1-ST49). Everything here stays in the JVM."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,13 +109,35 @@ def reason_class(text: Column) -> Column:
     return F.coalesce(*[F.when(contains_any(text, words), F.lit(name)) for name, words in REASONS], F.lit("heuristic"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def traffic_place(text: Column) -> Column:
-    """ST35: the place in a question about traffic, null if there is none."""
-    q = F.trim(text)
-    named = F.regexp_extract(q, rf"([{CJK}A-Za-z]{{2,20}})(?:堵不堵|拥堵|路况|交通)", 1)
-    bare = F.trim(_sub(F.trim(_sub(named, "^(?:请问|我想了解一下|想了解一下|帮我查一下|查一下|今天|今日|现在)")), "(?:今天|今日|现在)$"))
-    rest = _sub(_sub(q, f"[^{CJK}A-Za-z]"), "堵不堵|拥堵|路况|交通|今天|今日|现在")
-    return F.when(bare != "", bare).when(F.char_length(rest).between(2, 20), rest)
+    """ST35: the place in a question about traffic, null if there is none.
+
+    A place has at most 20 characters and one of four words behind it, so it is looked for from 20 characters
+    before the first of these words on.
+    """
+    words = ("堵不堵", "拥堵", "路况", "交通")
+    any_word = "|".join(words)
+
+    def named(q: Column) -> Column:
+        first = F.least(*[F.nullif(F.instr(q, w), F.lit(0)) for w in words])
+        near = F.coalesce(F.substr(q, F.greatest(F.lit(1), first - 20)), F.lit(""))
+        found = F.regexp_extract(near, rf"([{CJK}A-Za-z]{{2,20}})(?:{any_word})", 1)
+        return F.trim(_sub(F.trim(_sub(found, "^(?:请问|我想了解一下|想了解一下|帮我查一下|查一下|今天|今日|现在)")), "(?:今天|今日|现在)$"))
+
+    def rest(q: Column) -> Column:
+        """The letters without words of traffic and day; with 21 that are in none of these words there are too many."""
+        in_words = "".join(sorted({*any_word, *"今天今日现在"} - {"|"}))
+        stays = rf"[A-Za-z{CJK}&&[^{in_words}]]"
+        many = rf"\A(?:[[^A-Za-z{CJK}]{in_words}]*+{stays}){{21}}"
+        letters = _sub(_sub(q, f"[^{CJK}A-Za-z]+"), f"{any_word}|今天|今日|现在")
+        return F.when(~F.rlike(q, F.lit(many)), _once(letters, lambda r: F.when(F.char_length(r).between(2, 20), r)))
+
+    return _once(F.trim(text), lambda q: _once(named(q), lambda bare: F.when(bare != "", bare).otherwise(rest(q))))
 
 
 _LEAD = "请问|麻烦问下|麻烦下|麻烦您|麻烦|问下|请帮我查一下|帮我查一下|我想了解一下|我想了解|想了解一下|想了解|了解一下|了解|想知道|请告诉我|告诉我|请|查一下"

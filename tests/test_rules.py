@@ -122,3 +122,22 @@ def test_pretty_json_is_json(spark):
     S.write_pretty(spark.createDataFrame([(1, "ü", ["a"])], "id int, name string, tags array<string>"), scratch.path("rows"))
     texts = [r.value for r in spark.read.text(scratch.path("rows"), wholetext=True).collect()]
     assert len(texts) == 1 and json.loads(texts[0]) == {"id": 1, "name": "ü", "tags": ["a"]} and "\n" in texts[0].strip()
+
+
+def test_traffic_places_read_a_text_once(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    def plain(t):
+        q = t.strip(" ")
+        m = re.search("([一-鿿A-Za-z]{2,20})(?:堵不堵|拥堵|路况|交通)", q)
+        bare = re.sub("(?:今天|今日|现在)$", "", re.sub("^(?:请问|我想了解一下|想了解一下|帮我查一下|查一下|今天|今日|现在)", "", m[1] if m else "")).strip(" ")
+        rest = re.sub("堵不堵|拥堵|路况|交通|今天|今日|现在", "", re.sub("[^一-鿿A-Za-z]", "", q))
+        return bare or (rest if 2 <= len(rest) <= 20 else None)
+
+    rnd, parts = random.Random(5), ["堵不堵", "拥堵", "路况", "交通", "今天", "请问", "查一下", "堵", "不", "成都", "a", "Bc", " ", "。", "1", "\n", "😀", "日", "long words "]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, n))) for n in (2, 4, 8, 30, 60) for _ in range(120)] + ["a" * n + "1今天" * m for n in (20, 21, 22) for m in (0, 3, 40)]
+    assert column(spark, T.traffic_place, texts) == [plain(t) for t in texts]
+    assert str(T.traffic_place(F.col("the_text"))).count("the_text") == 1  # however dear the text, it is made once
