@@ -7,6 +7,8 @@ never holds more than six lines around a line, or one document's catalog.
 from __future__ import annotations
 
 from bisect import bisect_right
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,34 +63,47 @@ def candidates(lines: DataFrame, short: int = 40) -> DataFrame:
 
 
 def _candidate_pairs(catalog: DataFrame, found: DataFrame, spans: DataFrame) -> DataFrame:
-    """Items and lines of a document in pairs, with titles a and b and all parts of a score but the similarity."""
-    items = catalog.select("doc_id", "catalog_index", "n_items", T.normal_title(F.col("title")).alias("a"), T.number_key(F.col("title")).alias("item_key"))
-    lines = found.select("doc_id", "line_no", "kind", T.normal_title(F.col("text")).alias("b"), T.number_key(F.col("text")).alias("line_key"))
-    items, lines = (x.withColumn(f"{c}_letters", _letters(F.col(c))) for x, c in ((items, "a"), (lines, "b")))
-    pairs = items.join(lines, "doc_id").join(spans, "doc_id")
-    a, b, x, y = (F.col(c) for c in ("a", "b", "item_key", "line_key"))
+    """Items and lines of a document in pairs, with titles a and b and all parts of a score but the similarity.
+
+    What one side tells is worked out before they meet, once a row and not once a pair.
+    """
     worth = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in WORTH.items()], F.lit(0.0))
-    prefix = F.startswith(y, F.concat(x, F.lit("."))) | F.startswith(x, F.concat(y, F.lit(".")))
-    number = F.when((x != "") & (x == y), 120.0).when((x != "") & (y != "") & prefix, 10.0).otherwise(0.0)
-    filled = (a != "") & (b != "")
-    within = F.when(filled & (F.contains(a, b) | F.contains(b, a)), 18.0).otherwise(0.0)
     expected = (F.col("catalog_index") - 1) / F.greatest(F.lit(1), F.col("n_items") - 1)
     actual = (F.col("line_no") - F.col("first")) / F.greatest(F.lit(1), F.col("last") - F.col("first"))
-    place = F.greatest(F.lit(0.0), 6 - F.abs(actual - expected) * 6)
-    parts = [worth.alias("worth"), number.alias("number"), within.alias("within"), place.alias("place")]
-    return pairs.select("doc_id", "catalog_index", "line_no", "a", "b", "a_letters", "b_letters", filled.alias("filled"), ((x != "") & (x == y)).alias("exact"), *parts)
+    items = catalog.select("doc_id", "catalog_index", expected.alias("expected"), T.normal_title(F.col("title")).alias("a"), T.number_key(F.col("title")).alias("x"))
+    lines = found.join(spans, "doc_id").select("doc_id", "line_no", worth.alias("worth"), actual.alias("actual"), T.normal_title(F.col("text")).alias("b"), T.number_key(F.col("text")).alias("y"))
+    items, lines = (r.withColumn(f"{c}_dot", F.concat(F.col(c), F.lit("."))) for r, c in ((items, "x"), (lines, "y")))
+    pairs = items.join(lines, "doc_id")
+    a, b, x, y = (F.col(c) for c in "abxy")
+    number = F.when((x != "") & (x == y), 120.0).when((x != "") & (y != "") & (F.startswith(y, F.col("x_dot")) | F.startswith(x, F.col("y_dot"))), 10.0).otherwise(0.0)
+    filled = (a != "") & (b != "")
+    within = F.when(filled & (F.contains(a, b) | F.contains(b, a)), 18.0).otherwise(0.0)
+    place = F.greatest(F.lit(0.0), 6 - F.abs(F.col("actual") - F.col("expected")) * 6)
+    parts = [number.alias("number"), within.alias("within"), place.alias("place")]
+    return pairs.select("doc_id", "catalog_index", "line_no", "a", "b", "worth", filled.alias("filled"), ((x != "") & (x == y)).alias("exact"), *parts)
+
+
+def _shared(a: Column, b: Column, within: Column) -> Column:
+    """How many characters the matching pieces of two titles hold at most: those that the other one has too."""
+    others = lambda x, y: F.char_length(x) - F.char_length(F.call_function("translate", x, y, F.lit("")))
+    return F.when(within, F.least(F.char_length(a), F.char_length(b))).otherwise(F.least(others(a, b), others(b, a)))
 
 
-def _letters(title: Column) -> Column:
-    """The characters of a title, each with a number that tells it from its earlier ones: sets that meet as multisets do."""
-    chars = F.filter(F.split(title, ""), lambda c: c != "")
-    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda d: d == c)).cast("string")))
+def _as_many(a: Column, b: Column, n: Column) -> Column:
+    """Whether the matching pieces hold these ``n`` for certain: one character is a piece, and where the ``n`` at an end of one
+    title stand in the other, they are the longest piece."""
+    ends = [F.contains(y, end(x, n)) for x, y in ((b, a), (a, b)) for end in (F.right, F.left)]
+    return F.coalesce(reduce(or_, ends, n <= 1), F.lit(True))
 
 
 def _score(ratio: Column) -> Column:
     """Terms in one order, so that equal pairs have equal scores."""
+    return F.round(_raw_score(ratio), 3)
+
+
+def _raw_score(ratio: Column) -> Column:
     similar = F.when(F.col("filled"), ratio * 55 + F.col("within")).otherwise(0.0)
-    return F.round(F.col("worth") + F.col("number") + similar + F.col("place"), 3)
+    return F.col("worth") + F.col("number") + similar + F.col("place")
 
 
 def candidate_scores(catalog: DataFrame, found: DataFrame, spans: DataFrame) -> DataFrame:
@@ -103,20 +118,22 @@ def candidate_scores(catalog: DataFrame, found: DataFrame, spans: DataFrame) ->
 def top_candidates(catalog: DataFrame, found: DataFrame, spans: DataFrame, k: int = 8) -> DataFrame:
     """JN16, RET14: the ``k`` best candidates of every item and all of its number, scored; as if all pairs had been.
 
-    The ratio of two titles is at most 2 * (common characters) / (both lengths). A pair counts its ratio only
-    where that bound lets it reach the k-th best of what its item has for certain: scores with a ratio of 0, or
-    of 1 where the titles are the same.
+    The ratio of two titles is 2 * (characters of their matching pieces) / (both lengths). It is worked out only where
+    columns do not tell it and it lets a pair reach the k-th best of what its item has for certain: known scores, and of other
+    pairs those with one matching character. Bars are compared before rounding, one unit of it lower.
     """
-    pairs = _candidate_pairs(catalog, found, spans)
-    common, both = F.size(F.array_intersect("a_letters", "b_letters")), F.char_length("a") + F.char_length("b")
-    pairs = pairs.withColumns({"at_most": _score(F.try_divide(2 * common, both)), "at_least": _score(F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.0))})
-    pairs = pairs.drop("a_letters", "b_letters")
-    item = ["doc_id", "catalog_index"]
-    sure = pairs.groupBy(*item).agg(F.array_sort(F.collect_list("at_least"), lambda x, y: F.when(x > y, -1).when(x < y, 1).otherwise(0)).alias("sure"))
-    bars = sure.select(*item, F.coalesce(F.get("sure", k - 1), F.lit(float("-inf"))).alias("bar"))  # one item's candidates
-    reach = pairs.join(bars, item).where(F.col("exact") | (F.col("at_most") >= F.col("bar")))
-    scored = reach.select(*item, "line_no", _score(title_ratio("a", "b")).alias("score"), "exact")
+    a, b = F.col("a"), F.col("b")
+    ratio = lambda n: F.try_divide(2 * n, F.char_length(a) + F.char_length(b))
+    pairs = _candidate_pairs(catalog, found, spans).withColumn("shared", _shared(a, b, F.col("within") > 0))
+    pairs = pairs.withColumns({"known": _as_many(a, b, F.col("shared")), "at_most": _raw_score(ratio(F.col("shared")))})
+    least = F.when(F.col("known"), F.col("at_most")).otherwise(_raw_score(ratio(F.lit(1))))
+    item, parts = ["doc_id", "catalog_index"], ["filled", "exact", "worth", "number", "within", "place"]
+    pairs = pairs.select(*item, "line_no", *parts, "known", "at_most", least.alias("at_least"), *[F.when(~F.col("known"), x).alias(n) for n, x in (("a", a), ("b", b))])
+    best = Window.partitionBy(*item).orderBy(F.desc("at_least")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    reach = pairs.withColumn("bar", F.nth_value("at_least", k).over(best)).where(F.col("exact") | F.col("bar").isNull() | (F.col("at_most") >= F.col("bar") - 0.001))
+    score = F.round(F.when(F.col("known"), F.col("at_most")).otherwise(_raw_score(title_ratio("a", "b"))), 3)
     w = Window.partitionBy(*item).orderBy(F.desc("score"), "line_no")
+    scored = reach.select(*item, "line_no", score.alias("score"), "exact")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("exact") | (F.col("rank") <= k)).select(*item, "line_no", "score", "exact")
 
 

@@ -120,6 +120,27 @@ def test_top_candidates_equal_all_pairs(spark):
         assert sorted(map(tuple, top_candidates(catalog, found, spans, k).collect())) == sorted(want)
 
 
+def test_similarities_that_columns_tell(spark):
+    from pyspark.sql import functions as F
+
+    from lorewright.operators import books, structure
+
+    rnd = random.Random(6)
+    titles = lambda: "".join(rnd.choices("ab.1车", k=rnd.randint(0, 6)))
+    rows = [(titles(), titles()) for _ in range(600)] + [("1.aa", "2.aaa"), ("1.aa", "1.bbb"), ("1.aa", "2.b")]
+    a, b = F.col("a"), F.col("b")
+    within = F.contains(a, b) | F.contains(b, a)
+    told = spark.createDataFrame(rows, "a string, b string").withColumn("n", structure._shared(a, b, within)).withColumn("known", structure._as_many(a, b, F.col("n"))).collect()
+    for r in told:
+        matched = books.ratio(r.a, r.b) * (len(r.a) + len(r.b)) / 2 if r.a or r.b else 0
+        assert round(matched) == r.n if r.known else 1 <= matched <= r.n + 1e-9
+    assert all(r.known for r in told[-3:]) and 0 < sum(r.known for r in told) < len(told)
+    catalog = spark.createDataFrame([(1, 1, 1, "1.aa")], "doc_id long, catalog_index long, n_items long, title string")
+    found = spark.createDataFrame([(1, 1, "other", "2.aaa")], "doc_id long, line_no long, kind string, text string")
+    top = top_candidates(catalog, found, spark.createDataFrame([(1, 1, 1)], "doc_id long, first long, last long"), 2)
+    assert top._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 2  # pairs are made once
+
+
 def test_queries_equal_plain_python(spark, sf):
     """Order-dependent queries over a whole table, by another way of working them out."""
     from lorewright.plans.registry import QUERIES
