@@ -13,12 +13,18 @@ from ..streaming.segments import segment_marks
 from .registry import query
 
 
+#: Batches of a stream over a table: each one opens and commits every partition's state, so they do not grow with the table.
+BATCHES = 3
+
+
 def _streamed(spark: SparkSession, tokens: DataFrame, name: str, make) -> DataFrame:
     """Tokens written as files, read as a stream of several batches whatever their order, and what it wrote."""
     scratch = Scratch(spark, name)
     tokens.write.parquet(scratch.path("in"))
+    n_files = len(spark.read.schema(tokens.schema).parquet(scratch.path("in")).inputFiles())
     with X.timed_state(spark, ends=True):
-        out = make(spark.readStream.schema(tokens.schema).option("maxFilesPerTrigger", 2).parquet(scratch.path("in")))
+        files = spark.readStream.schema(tokens.schema).option("maxFilesPerTrigger", max(2, -(-n_files // BATCHES)))
+        out = make(files.parquet(scratch.path("in")))
         S.run_to_files(out, scratch.path("out"), scratch.path("checkpoint"))
     return spark.read.schema(out.schema).parquet(scratch.path("out"))
 

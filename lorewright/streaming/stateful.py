@@ -56,8 +56,15 @@ class _InOrder(StatefulProcessor):
         self.saved = handle.getValueState("saved", "next long, reader string", self.ttl)
         self.early = handle.getMapState("early", "place long", "token string", self.ttl)
 
+    def _begin(self) -> tuple[int, str | None]:
+        """Where a chat goes on and its reader; one that is new has neither early tokens nor timers to ask for."""
+        found = self.saved.get() if self.saved.exists() else None
+        self.is_known = found is not None
+        return found or (0, None)
+
     def _ready(self, rows: Iterator[pd.DataFrame], at: int) -> tuple[list[str | None], int]:
         """Tokens from place ``at`` on without a gap; the others wait."""
+        has_early = self.is_known and self.early.exists()
         new = {}
         for pdf in rows:
             new.update(zip(pdf["token_index"].tolist(), pdf["token_text"].astype(object).where(pdf["token_text"].notna(), None), strict=True))
@@ -65,7 +72,7 @@ class _InOrder(StatefulProcessor):
         while True:
             if at in new:
                 out.append(new.pop(at))
-            elif self.early.exists() and self.early.containsKey((at,)):
+            elif has_early and self.early.containsKey((at,)):
                 out.append(self.early.getValue((at,))[0])
                 self.early.removeKey((at,))
             else:
@@ -74,13 +81,19 @@ class _InOrder(StatefulProcessor):
         for place, token in new.items():
             if place > at:  # earlier ones have been read already
                 self.early.updateValue((int(place),), (token,))
+                self.is_known = True
         return out, at
 
+    def _stop_timers(self) -> None:
+        if self.is_known:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+
     def _forget(self) -> None:
-        self.saved.clear()
-        self.early.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        self._stop_timers()
+        if self.is_known:
+            self.saved.clear()
+            self.early.clear()
 
     def close(self) -> None:
         pass
@@ -105,7 +118,7 @@ class _Segments(_InOrder):
         return pd.DataFrame(done, columns=["chat_id", "seq", "segment", "has_formula", "is_final"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at, saved = self.saved.get() if self.saved.exists() else (0, None)
+        at, saved = self._begin()
         reader = _Reader(self.limit, saved)
         tokens, at = self._ready(rows, at)
         out: list[tuple] = []
@@ -116,11 +129,11 @@ class _Segments(_InOrder):
                 return
             out += reader.feed(key[0], token)
         self.saved.update((at, reader.saved()))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        self._stop_timers()
         if reader.buffer.buffer:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait)
-        yield self._table(out, False)
+        if out:
+            yield self._table(out, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """Nothing came for ``wait``: what is there goes, unless a formula is open."""
@@ -206,7 +219,7 @@ class _Formulas(_InOrder):
         self.joined = joined
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at, saved = self.saved.get() if self.saved.exists() else (0, None)
+        at, saved = self._begin()
         reader = FormulaReader(**json.loads(saved)) if saved else FormulaReader(self.joined)
         tokens, at = self._ready(rows, at)
         out: list[tuple] = []
@@ -219,7 +232,8 @@ class _Formulas(_InOrder):
             self._forget()
         else:
             self.saved.update((at, json.dumps(asdict(reader))))
-        yield pd.DataFrame(out, columns=["chat_id", "n", "formula", "kind", "delimiter", "start", "of_kind"])
+        if out:
+            yield pd.DataFrame(out, columns=["chat_id", "n", "formula", "kind", "delimiter", "start", "of_kind"])
 
 
 def streamed_formulas(tokens: DataFrame, joined: bool = False, ttl: str = "1 hour") -> DataFrame:

@@ -107,3 +107,17 @@ def test_places_and_ends_of_tokens(spark):
     df = spark.createDataFrame([(1, 0, "a b"), (1, 1, "c"), (2, 0, None)], "c long, t long, text string")
     got = sorted(map(tuple, X.placed_tokens(df, "c", ["t"], "text", "(?<= )").collect()), key=repr)
     assert got == sorted([("1", 0, "a "), ("1", 1, "b"), ("1", 2, "c"), ("1", 3, None), ("2", 0, ""), ("2", 1, None)], key=repr)
+
+
+def test_batches_do_not_grow_with_files(spark, monkeypatch):
+    from lorewright.plans import token_streams as P
+
+    seen, run = [], S.run_to_files
+    monkeypatch.setattr(P.S, "run_to_files", lambda out, path, checkpoint: seen.append(checkpoint) or run(out, path, checkpoint))
+    rows = tokens(0)
+    want = S.segments_of_batch(spark.createDataFrame([r for r in rows if r[2] is not None], SCHEMA)).collect()
+    got = P._streamed(spark, spark.createDataFrame(rows, SCHEMA).repartition(8), "batches", lambda s: X.timed_segments(s, wait="1 day")).collect()
+    assert sorted((r.chat_id, r.seq, r.segment) for r in got) == sorted(map(tuple, want))
+    fs = spark._jvm.org.apache.hadoop.fs.Path(f"{seen[0]}/commits")
+    done = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(fs)
+    assert 1 < len([x for x in done if x.getPath().getName().isdigit()]) <= 3
