@@ -408,9 +408,9 @@ def local_path(path: Column) -> Column:
 
 
 def first_line(text: Column) -> Column:
-    """ST47: the first line of model output, unquoted."""
+    """ST47: the first line of model output, unquoted, without spaces outside or inside the quotes."""
     line = F.trim(F.get(F.split(F.trim(text), "\n"), 0))
-    return _sub(line, "^[\"'“”‘’]+|[\"'“”‘’]+$")
+    return F.trim(_sub(line, "^[\"'“”‘’]+|[\"'“”‘’]+$"))
 
 
 def sentences(text: Column) -> Column:

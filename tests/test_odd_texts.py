@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from lorewright.functions.text import first_line
 from lorewright.plans.registry import ORACLES, QUERIES
 from verify import normal
 
@@ -18,6 +20,19 @@ def test_texts_without_letters(spark, tmp_path, name):
     assert normal(QUERIES[name](spark, str(tmp_path)).toPandas()) == normal(db.execute(ORACLES[name]).df())
 
 
+ENDS = ("", " ", "a ", " c ", 'a "', "'", "‘a’ ", "a\n", "a \nb", "\t", None, "a b")
+
+
+def test_first_lines_without_spaces_at_the_ends(spark, tmp_path):
+    spark.createDataFrame([(i, "en", ENDS[i // 12]) for i in range(12 * len(ENDS))], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert normal(QUERIES["st47_first_line"](spark, str(tmp_path)).toPandas()) == normal(db.execute(ORACLES["st47_first_line"]).df())
+    said = {'" a b " \nmore': "a b", "“ x”": "x", "plain ": "plain", '"': ""}
+    rows = spark.createDataFrame(list(enumerate(said)), "i long, t string").select("i", first_line(F.col("t")).alias("out")).orderBy("i").collect()
+    assert [r.out for r in rows] == list(said.values())
+
+
 def test_sensitive_words_read_texts_once(spark, tmp_path):
     said = ["an idiot!", "idiots", "Ouan", "xOUANx", "CAFÉ", "idiot_", "idiot字", "(idiot)", "", None, "a seven b", "seventy", "不好的"]
     spark.createDataFrame([(i, t) for i, t in enumerate(said)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
