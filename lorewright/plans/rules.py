@@ -81,6 +81,10 @@ phrase_query("tx2_trimmed", "White space inside delimiters.", lambda t: tex.trim
 phrase_query("tx11_restored", "Formulas put aside and put back.", lambda t: tex.put_back(F.concat(F.lit("$a$ "), t)), "'$a$ ' || t")
 
 
+#: The white space of SQL's patterns, and the spaces that its trim takes from the ends of a text.
+SQL_WHITE, SQL_ENDS = r"\t\n\f\r ", " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 @query(r"""
 with t as (select doc_id, 'x ' || trim(regexp_replace(coalesce(text, ''), '[()（）\s]+', ' ', 'g')) as b from documents)
 select doc_id, md5(case doc_id % 4 when 0 then 'stem' when 1 then '' else b end) as stem_md5, md5(case doc_id % 4 when 0 then b when 1 then b || '|' || b when 2 then b || '|two|' || b else '' end) as parts_md5,
@@ -88,7 +92,7 @@ select doc_id, md5(case doc_id % 4 when 0 then 'stem' when 1 then '' else b end)
 """)
 def st19_split_question(spark, sf_dir):
     """Stem, sub-questions and status of questions made of whole texts."""
-    b, kind = F.concat(F.lit("x "), F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[()（）\s]+", " "))), F.col("doc_id") % 4
+    b, kind = F.concat(F.lit("x "), F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), rf"[()（）{SQL_WHITE}]+", " "), F.lit(SQL_ENDS))), F.col("doc_id") % 4
     q = F.when(kind == 0, F.concat(F.lit(" stem (1) "), b)).when(kind == 1, F.concat(F.lit("(1)"), b, F.lit(" （ 2 ）"), b)).when(kind == 2, F.concat(b, F.lit("(1)"), b, F.lit("(2) two (3)"), b)).otherwise(b)
     parts = table(spark, sf_dir, "documents").select("doc_id", T.split_question(q).alias("r"))
     return parts.select("doc_id", F.md5("r.stem").alias("stem_md5"), F.md5(F.array_join("r.parts", "|")).alias("parts_md5"), "r.status")

@@ -33,6 +33,14 @@ def test_first_lines_without_spaces_at_the_ends(spark, tmp_path):
     assert [r.out for r in rows] == list(said.values())
 
 
+def test_questions_of_texts_with_other_white_space(spark, tmp_path):
+    texts = ("a\x0b", "\x0ba", "a\x0bb", "a\x0b b", "a\u00a0", "\u3000a", "a \u2003", "\u205fa\u00a0 (\u202f", "\x0b", "a\u3000b", "a\u0085", "a\u2028", "a (1) b", "\ta\f\r\n")
+    spark.createDataFrame([(i, texts[i // 4]) for i in range(4 * len(texts))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert normal(QUERIES["st19_split_question"](spark, str(tmp_path)).toPandas()) == normal(db.execute(ORACLES["st19_split_question"]).df())
+
+
 def test_sensitive_words_read_texts_once(spark, tmp_path):
     said = ["an idiot!", "idiots", "Ouan", "xOUANx", "CAFÉ", "idiot_", "idiot字", "(idiot)", "", None, "a seven b", "seventy", "不好的"]
     spark.createDataFrame([(i, t) for i, t in enumerate(said)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
